@@ -338,3 +338,181 @@ def q_enqueue(spark, sf_dir):
                        "max_retries", "store_id", "created_at",
                        F.json_array_length("messages").alias("message_count"),
                        F.md5(F.get_json_object("messages", "$[0].content")).alias("content_md5"))
+
+
+# -- guardrails ------------------------------------------------------------------------------
+
+from tokenloom.operators import entities as en  # noqa: E402
+from tokenloom.operators import guard  # noqa: E402
+
+
+def _blocklist(spark):
+    valid, _rejected = guard.compile_blocklist(spark, fx.BLOCKLIST_TEXT)
+    return valid
+
+
+@register("injection_screen")
+def q_injection_screen(spark, sf_dir):
+    d = fx.planted_documents(spark, sf_dir)
+    return d.select("doc_id", guard.injection_hit(F.col("text")).alias("injection"))
+
+
+@register("base64_screen")
+def q_base64_screen(spark, sf_dir):
+    d = fx.planted_documents(spark, sf_dir)
+    return d.select("doc_id", guard.base64_hit(F.col("text")).alias("base64_injection"))
+
+
+@register("base64_screen_runs")
+def q_base64_screen_runs(spark, sf_dir):
+    d = fx.planted_documents(spark, sf_dir)
+    return d.select("doc_id", guard.base64_runs_hit(F.col("text")).alias("base64_run_injection"))
+
+
+@register("blocklist_screen")
+def q_blocklist_screen(spark, sf_dir):
+    d = fx.planted_documents(spark, sf_dir)
+    return d.select("doc_id", guard.blocklist_hit(F.col("text"), _blocklist(spark)).alias("blocked"))
+
+
+@register("validate")
+def q_validate(spark, sf_dir):
+    d = fx.planted_documents(spark, sf_dir)
+    return guard.validate(d, "text", _blocklist(spark)).select("doc_id", "safe", "reason")
+
+
+@register("conversation_screen")
+def q_conversation_screen(spark, sf_dir):
+    return guard.conversation_screen(fx.planted_conversations(spark, sf_dir), _blocklist(spark))
+
+
+@register("sanitize_html")
+def q_sanitize_html(spark, sf_dir):
+    p = fx.planted_pages(spark, sf_dir)
+    clean = guard.sanitize_html_expr(F.col("html"))
+    return p.select("page_id", F.md5(clean).alias("html_md5"), F.length(clean).alias("html_length"))
+
+
+@register("pii_flag")
+def q_pii_flag(spark, sf_dir):
+    d = guard.pii_flag(fx.planted_documents(spark, sf_dir))
+    return d.select("doc_id", "pii_flagged", F.array_join("pii_types", ",").alias("pii_types"))
+
+
+@register("sanitize")
+def q_sanitize(spark, sf_dir):
+    p = guard.sanitize(fx.planted_pages(spark, sf_dir), "html", is_html=True, detect_pii=True)
+    return p.select("page_id", F.md5("html").alias("html_md5"),
+                    F.array_join("pii_types", ",").alias("pii_types"))
+
+
+@register("pii_report")
+def q_pii_report(spark, sf_dir):
+    return guard.pii_report(guard.pii_flag(fx.planted_documents(spark, sf_dir)), "source")
+
+
+@register("rejection_report")
+def q_rejection_report(spark, sf_dir):
+    v = guard.validate(fx.planted_documents(spark, sf_dir), "text", _blocklist(spark))
+    return guard.rejection_report(v)
+
+
+# -- entity text and message preparation -------------------------------------------------------
+
+@register("strip_tags")
+def q_strip_tags(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages", "page_id", "html")
+    s = en.strip_tags(F.col("html"))
+    return p.select("page_id", F.md5(s).alias("text_md5"), F.length(s).alias("text_length"))
+
+
+@register("entity_products")
+def q_entity_products(spark, sf_dir):
+    return en.enabled_products(fx.products(spark, sf_dir)).select(
+        "entity_id", "name", "short_description", F.md5("description").alias("description_md5"))
+
+
+@register("entity_categories")
+def q_entity_categories(spark, sf_dir):
+    return en.active_categories(fx.categories(spark, sf_dir)).select("entity_id", "name", "level")
+
+
+def _entity_texts(spark, sf_dir):
+    return en.entity_text(fx.products(spark, sf_dir), fx.categories(spark, sf_dir))
+
+
+@register("entity_text")
+def q_entity_text(spark, sf_dir):
+    t = _entity_texts(spark, sf_dir)
+    return t.select("entity_type", "entity_id", F.md5("text").alias("text_md5"),
+                    F.length("text").alias("text_length"))
+
+
+def _task_shape(tasks: DataFrame) -> DataFrame:
+    ctx = F.from_json("context", "map<string,string>")
+    return tasks.select(
+        F.try_element_at(ctx, F.lit("entity_type")).alias("entity_type"),
+        F.try_element_at(ctx, F.lit("entity_id")).cast("bigint").alias("entity_id"),
+        "consumer", "action", "task_type", "status", "priority", "max_retries", "store_id",
+        F.json_array_length("messages").alias("message_count"),
+        F.md5(F.get_json_object("messages", "$[0].content")).alias("content_md5"),
+        F.col("task_id").isNotNull().alias("has_id"))
+
+
+@register("embed_tasks")
+def q_embed_tasks(spark, sf_dir):
+    texts = en.entity_text(fx.products(spark, sf_dir), None)
+    return _task_shape(en.embed_tasks(texts, created_at=AS_OF))
+
+
+@register("queue_all")
+def q_queue_all(spark, sf_dir):
+    return _task_shape(en.queue_all(fx.products(spark, sf_dir), fx.categories(spark, sf_dir),
+                                    created_at=AS_OF))
+
+
+@register("task_detail")
+def q_task_detail(spark, sf_dir):
+    t = en.queue_all(fx.products(spark, sf_dir), fx.categories(spark, sf_dir), created_at=AS_OF)
+    ctx = F.from_json("context", "map<string,string>")
+    keyed = t.withColumn("entity_type", F.try_element_at(ctx, F.lit("entity_type"))) \
+        .withColumn("entity_id", F.try_element_at(ctx, F.lit("entity_id")).cast("bigint"))
+    d = tk.task_detail(keyed).join(keyed.select("task_id", "entity_type", "entity_id"), "task_id")
+    m = F.try_element_at("message_preview", F.lit(1))
+    return d.select("entity_type", "entity_id", m["role"].alias("preview_role"),
+                    F.length(m["content"]).alias("preview_length"),
+                    F.md5(m["content"]).alias("preview_md5"), "cost_text")
+
+
+@register("missing_vectors")
+def q_missing_vectors(spark, sf_dir):
+    return en.missing_vectors(_entity_texts(spark, sf_dir), fx.vectors(spark, sf_dir),
+                              fx.task_log(spark, sf_dir)).select("entity_type", "entity_id")
+
+
+SYSTEM_PROMPT = "You are a helpful shop assistant."
+
+
+@register("normalize_messages")
+def q_normalize_messages(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    n = en.normalize_messages(conv, SYSTEM_PROMPT)
+    return n.select("conv_id", F.size("messages").alias("message_count"),
+                    F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"),
+                    F.md5(F.array_join(F.transform("messages", lambda m: m["content"]), "\u0001"))
+                    .alias("content_md5"))
+
+
+@register("first_prompt")
+def q_first_prompt(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return en.first_prompt(conv).select("conv_id", F.md5("first_prompt").alias("first_prompt_md5"))
+
+
+@register("parse_call_log")
+def q_parse_call_log(spark, sf_dir):
+    lines = en.format_call_log(priced_calls(spark, sf_dir)).unionByName(
+        read_table(spark, sf_dir, "documents", "text").select(F.col("text").alias("value")))
+    p = en.parse_call_log(lines)
+    return p.select("parsed", "called_at", "consumer", "platform", "model", "input_tokens",
+                    "output_tokens", "estimated_cost", F.md5("rejected_line").alias("rejected_md5"))
