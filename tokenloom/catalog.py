@@ -516,3 +516,85 @@ def q_parse_call_log(spark, sf_dir):
     p = en.parse_call_log(lines)
     return p.select("parsed", "called_at", "consumer", "platform", "model", "input_tokens",
                     "output_tokens", "estimated_cost", F.md5("rejected_line").alias("rejected_md5"))
+
+
+# -- vectors -------------------------------------------------------------------------------
+
+from tokenloom.operators import vectors as vx  # noqa: E402
+
+
+def _checksum(col: str = "vector"):
+    return F.round(F.aggregate(col, F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")), 4)
+
+
+def _first(col: str = "vector"):
+    return F.round(F.try_element_at(col, F.lit(1)).cast("double"), 6)
+
+
+def _upserted(spark, sf_dir):
+    return vx.upsert_vectors(fx.vectors(spark, sf_dir), fx.vector_batch(spark, sf_dir))
+
+
+@register("vector_scan")
+def q_vector_scan(spark, sf_dir):
+    stored = vx.encode_vectors(fx.vectors(spark, sf_dir))
+    v = vx.decode_vectors(stored)
+    return v.select("entity_type", "entity_id", "store_id", "dimensions",
+                    _first().alias("first_value"), _checksum().alias("checksum"))
+
+
+@register("vector_encode")
+def q_vector_encode(spark, sf_dir):
+    src = fx.vectors(spark, sf_dir)
+    enc = vx.encode_vectors(src).select("entity_id", F.col("vector").alias("json"), "dimensions")
+    back = F.from_json("json", "array<float>")
+    return enc.join(src.select("entity_id", F.col("vector").alias("orig")), "entity_id").select(
+        "entity_id", "dimensions", F.json_array_length("json").alias("json_length"),
+        (back == F.col("orig")).alias("roundtrip_equal"))
+
+
+@register("vector_upsert")
+def q_vector_upsert(spark, sf_dir):
+    u = _upserted(spark, sf_dir)
+    return u.select("entity_type", "entity_id", "store_id", "dimensions", "created_at", "updated_at",
+                    _first().alias("first_value"), _checksum().alias("checksum"))
+
+
+@register("vector_lookup")
+def q_vector_lookup(spark, sf_dir):
+    keys = read_table(spark, sf_dir, "part", "p_partkey").select(
+        F.lit("product").alias("entity_type"), F.col("p_partkey").alias("entity_id"),
+        (F.col("p_partkey") % 3).cast("int").alias("store_id"))
+    hit = vx.lookup_vectors(_upserted(spark, sf_dir), keys)
+    return hit.select("entity_id", "store_id", "model", "platform", "dimensions", "updated_at")
+
+
+@register("truncate_vectors")
+def q_truncate_vectors(spark, sf_dir):
+    t = vx.truncate_vectors(fx.vectors(spark, sf_dir), 32)
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0).cast("double"),
+                              lambda a, x: a + x.cast("double") * x.cast("double")))
+    return t.select("entity_id", "dimensions", F.round(norm, 6).alias("norm"), _first().alias("first_value"))
+
+
+@register("vector_health")
+def q_vector_health(spark, sf_dir):
+    return vx.vector_health(_upserted(spark, sf_dir))
+
+
+@register("save_condition")
+def q_save_condition(spark, sf_dir):
+    return vx.save_condition(fx.task_log(spark, sf_dir))
+
+
+@register("clear_vectors")
+def q_clear_vectors(spark, sf_dir):
+    kept = vx.clear_vectors(_upserted(spark, sf_dir), F.col("store_id") == 0)
+    return kept.groupBy("entity_type", "store_id").agg(F.count("*").alias("vectors"))
+
+
+@register("cosine_topk")
+def q_cosine_topk(spark, sf_dir):
+    v = fx.vectors(spark, sf_dir)
+    return vx.cosine_topk(v, v, 3, exclude_self=True).select(
+        "query_id", "rank", "neighbor_id", F.round("similarity", 6).alias("similarity"))

@@ -709,3 +709,78 @@ FROM (SELECT v, regexp_matches(v, {_sql_str(LINE_RE)}) AS ok FROM (
     || ' out=' || CAST(output_tokens AS VARCHAR) || ' cost=$' || CAST(estimated_cost AS VARCHAR) AS v
   FROM priced_calls
   UNION ALL SELECT text FROM documents))""")
+
+# -- vectors ------------------------------------------------------------------------------------
+
+ASOF_TS = "TIMESTAMP '2024-01-31 00:05:00'"
+CHECKSUM = "round(list_sum(list_transform({v}, lambda x: CAST(x AS DOUBLE))), 4)"
+FIRST = "round(CAST({v}[1] AS DOUBLE), 6)"
+
+cte("vbatch", [], f"""  SELECT 'product' AS entity_type, vec_id AS entity_id, CAST(label % 3 AS INTEGER) AS store_id,
+    list_reverse(embedding) AS vector, 1 AS seq FROM embeddings WHERE vec_id % 5 = 0
+  UNION ALL
+  SELECT 'product', vec_id, CAST(label % 3 AS INTEGER), list_transform(embedding, lambda x: x * CAST(2.0 AS FLOAT)), 2
+  FROM embeddings WHERE vec_id % 10 = 0
+  UNION ALL
+  SELECT 'product', vec_id + 1000000, CAST(label % 3 AS INTEGER), embedding, 1 FROM embeddings WHERE vec_id % 5 = 0""")
+
+cte("upserted", ["vectors", "vbatch"], f"""  SELECT entity_type, entity_id, store_id, platform, model, dimensions, vector, created_at, updated_at FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY entity_type, entity_id, store_id ORDER BY updated_at DESC, seq DESC) AS rn,
+      MIN(created_at0) OVER (PARTITION BY entity_type, entity_id, store_id) AS created_at
+    FROM (SELECT entity_type, entity_id, store_id, platform, model, dimensions, vector,
+                 created_at AS created_at0, updated_at, -1 AS seq FROM vectors
+          UNION ALL
+          SELECT entity_type, entity_id, store_id, 'openai', 'text-embedding-3-small', CAST(len(vector) AS BIGINT),
+                 vector, {ASOF_TS}, {ASOF_TS}, seq FROM vbatch))
+  WHERE rn = 1""")
+
+oracle("vector_scan", ["vectors"], f"""SELECT entity_type, entity_id, store_id, dimensions,
+  {FIRST.format(v='vector')} AS first_value, {CHECKSUM.format(v='vector')} AS checksum FROM vectors""")
+
+oracle("vector_encode", ["vectors"], """SELECT entity_id, dimensions, CAST(len(vector) AS BIGINT) AS json_length,
+  true AS roundtrip_equal FROM vectors""")
+
+oracle("vector_upsert", ["upserted"], f"""SELECT entity_type, entity_id, store_id, dimensions, created_at, updated_at,
+  {FIRST.format(v='vector')} AS first_value, {CHECKSUM.format(v='vector')} AS checksum FROM upserted""")
+
+oracle("vector_lookup", ["upserted"], """SELECT u.entity_id, u.store_id, u.model, u.platform, u.dimensions, u.updated_at
+FROM upserted u JOIN part p ON u.entity_type = 'product' AND u.entity_id = p.p_partkey
+  AND u.store_id = CAST(p.p_partkey % 3 AS INTEGER)""")
+
+oracle("truncate_vectors", ["vectors"], """SELECT entity_id, CAST(len(v) AS BIGINT) AS dimensions,
+  round(sqrt(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm,
+  round(CAST(v[1] AS DOUBLE), 6) AS first_value
+FROM (SELECT entity_id, CASE WHEN len(vector) > 32 THEN
+        CASE WHEN n > 0 THEN list_transform(cut, lambda x: CAST(CAST(x AS DOUBLE) / n AS FLOAT)) ELSE cut END
+        ELSE vector END AS v
+      FROM (SELECT entity_id, vector, list_slice(vector, 1, 32) AS cut,
+                   sqrt(list_sum(list_transform(list_slice(vector, 1, 32),
+                        lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n
+            FROM vectors))""")
+
+oracle("vector_health", ["upserted"], """SELECT entity_type, model, dimensions, COUNT(*) AS vectors,
+  COUNT(*) FILTER (WHERE COALESCE(len(vector), 0) <= 0) AS empty_vectors,
+  COUNT(*) FILTER (WHERE len(vector) <> dimensions) AS dimension_mismatch,
+  CAST(COUNT(*) OVER (PARTITION BY entity_type) AS INTEGER) AS models_for_type
+FROM upserted GROUP BY entity_type, model, dimensions""")
+
+oracle("save_condition", ["tasks"], """SELECT task_id, et AS entity_type, eid AS entity_id,
+  NOT (et IS NULL OR et IN ('', '0')) AND NOT (eid IS NULL OR eid IN ('', '0')) AS save
+FROM (SELECT task_id, json_extract_string(context, '$.entity_type') AS et,
+             json_extract_string(context, '$.entity_id') AS eid
+      FROM tasks WHERE task_type = 'embedding')""")
+
+oracle("clear_vectors", ["upserted"], """SELECT entity_type, store_id, COUNT(*) AS vectors FROM upserted
+WHERE store_id <> 0 GROUP BY ALL""")
+
+oracle("cosine_topk", [], """SELECT query_id, rank, neighbor_id, round(similarity, 6) AS similarity FROM (
+  SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_dot_product(a.v, b.v) / (a.n * b.n) AS similarity,
+    ROW_NUMBER() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.v, b.v) / (a.n * b.n) DESC, b.vec_id) AS rank
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v,
+               sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n
+        FROM embeddings) a
+  JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v,
+               sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n
+        FROM embeddings) b
+    ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0)
+WHERE rank <= 3""")
