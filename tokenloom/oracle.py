@@ -761,8 +761,9 @@ FROM (SELECT entity_id, CASE WHEN len(vector) > 32 THEN
 oracle("vector_health", ["upserted"], """SELECT entity_type, model, dimensions, COUNT(*) AS vectors,
   COUNT(*) FILTER (WHERE COALESCE(len(vector), 0) <= 0) AS empty_vectors,
   COUNT(*) FILTER (WHERE len(vector) <> dimensions) AS dimension_mismatch,
-  CAST(COUNT(*) OVER (PARTITION BY entity_type) AS INTEGER) AS models_for_type
-FROM upserted GROUP BY entity_type, model, dimensions""")
+  CAST((SELECT COUNT(DISTINCT u2.model) FROM upserted u2 WHERE u2.entity_type = g.entity_type) AS INTEGER)
+    AS models_for_type
+FROM upserted g GROUP BY entity_type, model, dimensions""")
 
 oracle("save_condition", ["tasks"], """SELECT task_id, et AS entity_type, eid AS entity_id,
   NOT (et IS NULL OR et IN ('', '0')) AND NOT (eid IS NULL OR eid IN ('', '0')) AS save
