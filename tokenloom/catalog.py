@@ -598,3 +598,91 @@ def q_cosine_topk(spark, sf_dir):
     v = fx.vectors(spark, sf_dir)
     return vx.cosine_topk(v, v, 3, exclude_self=True).select(
         "query_id", "rank", "neighbor_id", F.round("similarity", 6).alias("similarity"))
+
+
+# -- streaming (availableNow over files Spark derives from the tables) -----------------------------
+
+from tokenloom.session import scratch_path  # noqa: E402
+from tokenloom.streaming import streams as st  # noqa: E402
+
+FAR_FUTURE = dt.datetime(2100, 1, 1)
+LATE_TOLERANCE = "31 days"   # files of a split log arrive in any order
+
+
+def _day_stream(spark, df, time_col, label, max_files=8, marker=None):
+    """Files by day; an optional watermark marker is appended afterwards so
+    it is the newest file and is read in the last micro-batch."""
+    path = st.write_day_files(df, time_col, scratch_path(spark, f"{label}-src"))
+    if marker is not None:
+        marker.withColumn("day", F.to_date(time_col)).write.mode("append").partitionBy("day").parquet(path)
+    return st.file_stream(spark, path, df.schema, max_files)
+
+
+@register("stream_usage")
+def q_stream_usage(spark, sf_dir):
+    calls = priced_calls(spark, sf_dir)
+    agg = st.stream_usage(_day_stream(spark, calls, "called_at", "calls"), LATE_TOLERANCE)
+    out = scratch_path(spark, "stream-usage-out")
+    st.run_batches(agg, st.batch_folder_writer(out), scratch_path(spark, "stream-usage-ckpt"), "update")
+    return st.latest_per_key(spark, out, ["consumer", "platform", "model", "store_id", "period_date"],
+                             agg.schema)
+
+
+def _marker(spark, id_col, time_col):
+    """A far-future marker row advances the watermark so every interval closes."""
+    return spark.createDataFrame([(-1, FAR_FUTURE)], f"{id_col} long, {time_col} timestamp_ntz")
+
+
+@register("stream_timeouts")
+def q_stream_timeouts(spark, sf_dir):
+    t = fx.task_log(spark, sf_dir)
+    starts = t.where(F.col("started_at").isNotNull()).select("task_id", "started_at")
+    ends = t.where(F.col("completed_at").isNotNull()).select("task_id", "completed_at")
+    j = st.stream_timeouts(
+        _day_stream(spark, starts, "started_at", "starts", 8, _marker(spark, "task_id", "started_at")),
+        _day_stream(spark, ends, "completed_at", "finishes", 8, _marker(spark, "task_id", "completed_at")),
+        120, LATE_TOLERANCE)
+    out = st.run_available_now(j, scratch_path(spark, "timeouts-out"), scratch_path(spark, "timeouts-ckpt"))
+    return spark.read.schema(j.schema).parquet(out).where(F.col("task_id") != -1)
+
+
+@register("stream_screen")
+def q_stream_screen(spark, sf_dir):
+    docs = fx.planted_documents(spark, sf_dir)
+    src = scratch_path(spark, "docs-src")
+    docs.repartition(4).write.parquet(src)
+    v = st.stream_screen(st.file_stream(spark, src, docs.schema, 1), "text", _blocklist(spark))
+    v = v.select("doc_id", "safe", "reason")
+    out = st.run_available_now(v, scratch_path(spark, "screen-out"), scratch_path(spark, "screen-ckpt"))
+    return spark.read.schema(v.schema).parquet(out)
+
+
+@register("stream_rate_limit")
+def q_stream_rate_limit(spark, sf_dir):
+    calls = fx.call_log(spark, sf_dir).select(F.col("called_at").alias("ts"))
+    marker = spark.createDataFrame([(FAR_FUTURE,)], "ts timestamp_ntz")
+    r = st.stream_rate_limit(_day_stream(spark, calls, "ts", "requests", 8, marker), "ts", 30,
+                             LATE_TOLERANCE)
+    out = st.run_available_now(r, scratch_path(spark, "rate-out"), scratch_path(spark, "rate-ckpt"))
+    return spark.read.schema(r.schema).parquet(out).where(F.col("minute_start") < F.lit(FAR_FUTURE).cast("timestamp_ntz"))
+
+
+@register("stream_embed_queue")
+def q_stream_embed_queue(spark, sf_dir):
+    p = fx.products(spark, sf_dir).withColumn(
+        "changed_at", F.timestamp_add("MINUTE", F.col("entity_id") % 60, F.lit(AS_OF).cast("timestamp_ntz")))
+    changes = p.unionByName(p.where(F.col("entity_id") % 4 == 0))   # repeated deliveries
+    tasks = st.stream_embed_queue(_day_stream(spark, changes, "changed_at", "changes", 2), "1 hour", AS_OF)
+    out = st.run_available_now(tasks, scratch_path(spark, "embedq-out"), scratch_path(spark, "embedq-ckpt"))
+    return _task_shape(spark.read.schema(tasks.schema).parquet(out))
+
+
+@register("stream_vector_upsert")
+def q_stream_vector_upsert(spark, sf_dir):
+    batch = fx.vector_batch(spark, sf_dir)
+    src = scratch_path(spark, "vec-updates")
+    batch.write.partitionBy("seq").parquet(src)
+    updates = st.file_stream(spark, src, batch.schema, 1)
+    u = st.stream_vector_upsert(spark, fx.vectors(spark, sf_dir), updates)
+    return u.select("entity_type", "entity_id", "store_id", "dimensions", "created_at", "updated_at",
+                    _first().alias("first_value"), _checksum().alias("checksum"))

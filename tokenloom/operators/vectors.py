@@ -33,23 +33,26 @@ def decode_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("vector", dec)
 
 
-def upsert_vectors(existing: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert_vectors(existing: DataFrame, batch: DataFrame, keep_seq: bool = False) -> DataFrame:
     """Keyed upsert on (entity_type, entity_id, store_id).
 
     The latest version (by ``updated_at``, then the batch sequence ``seq``)
     wins for platform, model, dimensions, vector and updated_at; the first
     ``created_at`` of the key is kept.  One ``groupBy`` with ``max_by`` /
     ``min``: partial aggregation drops superseded versions before the shuffle.
+    ``keep_seq`` keeps the winning sequence so later merges (streaming
+    snapshots) order versions exactly regardless of arrival order.
     """
     def shaped(df: DataFrame, default_seq: int) -> DataFrame:
         seq = F.col("seq") if "seq" in df.columns else F.lit(default_seq)
         return df.select(*VECTOR_KEY, *VECTOR_COLS, "created_at", seq.cast("bigint").alias("seq"))
 
     both = shaped(existing, -1).unionByName(shaped(batch, 0))
-    latest = F.max_by(F.struct(*VECTOR_COLS), F.struct("updated_at", "seq"))
+    latest = F.max_by(F.struct(*VECTOR_COLS, "seq"), F.struct("updated_at", "seq"))
     merged = both.groupBy(*VECTOR_KEY).agg(latest.alias("v"), F.min("created_at").alias("created_at"))
+    extra = ["v.seq"] if keep_seq else []
     return merged.select(*VECTOR_KEY, "v.platform", "v.model", "v.dimensions", "v.vector",
-                         "created_at", "v.updated_at")
+                         "created_at", "v.updated_at", *extra)
 
 
 def lookup_vectors(vectors: DataFrame, keys: DataFrame) -> DataFrame:

@@ -785,3 +785,15 @@ oracle("cosine_topk", [], """SELECT query_id, rank, neighbor_id, round(similarit
         FROM embeddings) b
     ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0)
 WHERE rank <= 3""")
+
+# -- streaming keys reuse the batch semantics -----------------------------------------------------------
+
+ORACLE["stream_usage"] = ORACLE["call_usage"]
+ORACLE["stream_screen"] = ORACLE["validate"]
+ORACLE["stream_embed_queue"] = ORACLE["embed_tasks"]
+ORACLE["stream_vector_upsert"] = ORACLE["vector_upsert"]
+oracle("stream_timeouts", ["tasks"], """SELECT task_id, started_at FROM tasks
+WHERE started_at IS NOT NULL
+  AND NOT COALESCE(completed_at BETWEEN started_at AND started_at + INTERVAL 120 SECOND, false)""")
+oracle("stream_rate_limit", ["calls"], """SELECT date_trunc('minute', called_at) AS minute_start, COUNT(*) AS requests,
+  COUNT(*) > 30 AS over_limit FROM calls GROUP BY 1""")
