@@ -686,3 +686,59 @@ def q_stream_vector_upsert(spark, sf_dir):
     u = st.stream_vector_upsert(spark, fx.vectors(spark, sf_dir), updates)
     return u.select("entity_type", "entity_id", "store_id", "dimensions", "created_at", "updated_at",
                     _first().alias("first_value"), _checksum().alias("checksum"))
+
+
+# -- inference hook and composed jobs --------------------------------------------------------
+
+from tokenloom.operators import infer as inf  # noqa: E402
+from tokenloom.plans import jobs, sinks  # noqa: E402
+
+OUTCOME_COLS = ["task_id", "attempt", "ok", "response", "input_tokens", "output_tokens", "platform", "model",
+                "error"]
+
+
+def _stub():
+    return inf.StubProvider()
+
+
+def _tasks_with_failures(spark, sf_dir):
+    t = fx.task_log(spark, sf_dir)
+    bad = F.concat(F.lit('[{"role":"user","content":"FAIL #'), F.col("task_id").cast("string"), F.lit('"}]'))
+    return t.withColumn("messages", F.when(F.col("task_id") % 9 == 0, bad).otherwise(F.col("messages")))
+
+
+@register("infer_batch")
+def q_infer_batch(spark, sf_dir):
+    pending = tk.pending_tasks(_tasks_with_failures(spark, sf_dir))
+    out = inf.infer_batch(pending, _stub)
+    return out.select(*OUTCOME_COLS, F.size("vector").alias("vector_dims"))
+
+
+@register("infer_by_type")
+def q_infer_by_type(spark, sf_dir):
+    t = _tasks_with_failures(spark, sf_dir)
+    out = inf.infer_batch(tk.pending_tasks(t), _stub)
+    return out.join(t.select("task_id", "task_type"), "task_id") \
+        .groupBy("task_type", "ok").agg(F.count("*").alias("outcomes"),
+                                        F.sum("input_tokens").alias("input_tokens"))
+
+
+@register("on_complete")
+def q_on_complete(spark, sf_dir):
+    t = fx.task_log(spark, sf_dir)
+    after = tk.apply_outcomes(t, inf.infer_batch(tk.pending_tasks(t), _stub), price_dim(spark), AS_OF)
+    registry = {"Shop_Model_Callback": {"onDone": lambda task_id, response: None}}
+    return inf.on_complete(t, after, registry)
+
+
+@register("queue_sweep")
+def q_queue_sweep(spark, sf_dir):
+    new_log, _ = jobs.queue_sweep(fx.task_log(spark, sf_dir), _stub, price_dim(spark), AS_OF)
+    return new_log.select(*RESULT_COLS)
+
+
+@register("usage_scan")
+def q_usage_scan(spark, sf_dir):
+    path = scratch_path(spark, "usage-table")
+    sinks.write_usage(usage_table(spark, sf_dir), path)
+    return sinks.read_usage(spark, path, date_from=dt.date(2024, 1, 20))

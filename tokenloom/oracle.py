@@ -797,3 +797,71 @@ WHERE started_at IS NOT NULL
   AND NOT COALESCE(completed_at BETWEEN started_at AND started_at + INTERVAL 120 SECOND, false)""")
 oracle("stream_rate_limit", ["calls"], """SELECT date_trunc('minute', called_at) AS minute_start, COUNT(*) AS requests,
   COUNT(*) > 30 AS over_limit FROM calls GROUP BY 1""")
+
+# -- inference stub and jobs ----------------------------------------------------------------------
+
+DEFAULT_MODEL_SQL = """CASE task_type
+      WHEN 'completion' THEN CASE plat WHEN 'openai' THEN 'gpt-4o' WHEN 'anthropic' THEN 'claude-sonnet-4-6'
+        WHEN 'google' THEN 'gemini-2.0-flash' WHEN 'mistral' THEN 'mistral-large-latest'
+        WHEN 'openrouter' THEN 'openai/gpt-4o' WHEN 'ollama' THEN 'llama3.2' END
+      WHEN 'embedding' THEN CASE plat WHEN 'openai' THEN 'text-embedding-3-small' WHEN 'google' THEN 'text-embedding-004'
+        WHEN 'mistral' THEN 'mistral-embed' WHEN 'ollama' THEN 'nomic-embed-text' END
+      WHEN 'image' THEN CASE plat WHEN 'openai' THEN 'dall-e-3' WHEN 'google' THEN 'imagen-3.0-generate-001' END END"""
+
+
+def stub_outcomes_sql(src: str) -> str:
+    """What the deterministic stub provider returns for every row of ``src``."""
+    return f"""SELECT task_id, CAST(retries + 1 AS INTEGER) AS attempt, ok,
+    CASE WHEN NOT ok THEN NULL
+         WHEN task_type = 'completion' THEN 'echo:' || content
+         WHEN task_type = 'embedding' THEN '[' || CAST(CAST(length(content) % 7 AS DOUBLE) AS VARCHAR) || ', '
+              || CAST(CAST(length(content) % 11 AS DOUBLE) AS VARCHAR) || ', '
+              || CAST(CAST(length(content) % 13 AS DOUBLE) AS VARCHAR) || ', 1.0]'
+         ELSE 'https://img.invalid/' || CAST(length(content) AS VARCHAR) || '.png' END AS response,
+    CAST(CASE WHEN NOT ok THEN NULL
+         WHEN task_type = 'completion' THEN length(COALESCE(system_prompt, '')) + length(content)
+         WHEN task_type = 'embedding' THEN length(content) ELSE 0 END AS BIGINT) AS input_tokens,
+    CAST(CASE WHEN NOT ok THEN NULL WHEN task_type = 'completion' THEN length('echo:' || content) ELSE 0 END
+         AS BIGINT) AS output_tokens,
+    CASE WHEN ok THEN plat END AS platform,
+    CASE WHEN ok THEN COALESCE(model, {DEFAULT_MODEL_SQL}) END AS model,
+    CASE WHEN NOT ok THEN 'AI request failed (openai): stub failure' END AS error,
+    CASE WHEN ok AND task_type = 'embedding' THEN 4 END AS vector_dims
+  FROM (SELECT *, COALESCE(platform, 'openai') AS plat,
+               NOT (task_type = 'completion' AND contains(content, 'FAIL')) AS ok
+        FROM (SELECT *, COALESCE(json_extract_string(messages, '$[0].content'), '') AS content FROM {src}))"""
+
+
+cte("fail_tasks", ["tasks"], """  SELECT * REPLACE (CASE WHEN task_id % 9 = 0
+      THEN '[{"role":"user","content":"FAIL #' || CAST(task_id AS VARCHAR) || '"}]' ELSE messages END AS messages)
+  FROM tasks""")
+cte("fail_pending", ["fail_tasks"], "  SELECT * FROM fail_tasks WHERE status = 'pending'")
+cte("stub_out", ["fail_pending"], "  " + stub_outcomes_sql("fail_pending"))
+
+oracle("infer_batch", ["stub_out"], """SELECT task_id, attempt, ok, response, input_tokens, output_tokens, platform,
+  model, error, vector_dims FROM stub_out""")
+
+oracle("infer_by_type", ["stub_out", "fail_tasks"], """SELECT t.task_type, o.ok, COUNT(*) AS outcomes,
+  CAST(SUM(o.input_tokens) AS BIGINT) AS input_tokens
+FROM stub_out o JOIN fail_tasks t USING (task_id) GROUP BY ALL""")
+
+cte("pending_plain", ["tasks"], "  SELECT * FROM tasks WHERE status = 'pending'")
+cte("stub_plain", ["pending_plain"], "  " + stub_outcomes_sql("pending_plain"))
+
+oracle("on_complete", ["stub_plain", "tasks"], """SELECT t.task_id, 'called' AS callback_status
+FROM tasks t JOIN stub_plain o USING (task_id)
+WHERE t.status = 'pending' AND o.ok AND t.callback_class IS NOT NULL AND t.callback_method IS NOT NULL""")
+
+cte("recovered", ["tasks"], f"""  SELECT * REPLACE (
+    CASE WHEN hit THEN CASE WHEN retries >= max_retries THEN 'failed' ELSE 'pending' END ELSE status END AS status,
+    CASE WHEN hit THEN retries + 1 ELSE retries END AS retries,
+    CASE WHEN hit THEN 'Task timed out' ELSE error_message END AS error_message,
+    CASE WHEN hit THEN CASE WHEN retries >= max_retries THEN {AS_OF} END ELSE completed_at END AS completed_at)
+  FROM (SELECT *, COALESCE(status = 'processing' AND started_at < {AS_OF} - INTERVAL 120 SECOND, false) AS hit
+        FROM tasks)""")
+cte("sweep_batch", ["recovered"], """  SELECT * FROM recovered WHERE status = 'pending'
+  ORDER BY CASE WHEN priority = 'interactive' THEN 0 ELSE 1 END, created_at, task_id LIMIT 10""")
+cte("sweep_out", ["sweep_batch"], "  SELECT * EXCLUDE (vector_dims) FROM (" + stub_outcomes_sql("sweep_batch") + ")")
+ORACLE["queue_sweep"] = replay_sql(["recovered", "sweep_out"], "recovered", "sweep_out", RESULT_COLS)
+
+oracle("usage_scan", ["usage_tbl"], f"""SELECT {USAGE_COLS} FROM usage_tbl WHERE period_date >= DATE '2024-01-20'""")
