@@ -11,6 +11,4 @@ def test_every_query_has_oracle_or_is_listed():
     q, o = entry_mod.queries(), entry_mod.oracle_sql()
     assert set(o) <= set(q)
     missing = set(q) - set(o)
-    assert missing <= {"stream_usage", "stream_timeouts", "stream_screen", "stream_rate_limit",
-                       "stream_embed_queue", "stream_vector_upsert", "infer_batch", "infer_by_type",
-                       "queue_sweep", "ann_topk", "usage_scan", "on_complete"}, missing
+    assert missing <= {"ann_topk"}, missing   # approximate: checked for recall in test_vectors

@@ -66,3 +66,13 @@ def test_truncate_and_clear(spark):
         raise AssertionError("expected refusal")
     except ValueError:
         pass
+
+
+def test_ann_recall_against_exact(spark, medium):
+    v = fx.vectors(spark, medium)
+    exact = {(r.query_id, r.neighbor_id) for r in vx.cosine_topk(v, v, 3, exclude_self=True).collect()}
+    approx = vx.ann_topk(v, v, 3, n_lists=16, n_probe=4, exclude_self=True, block=64).collect()
+    got = {(r.query_id, r.neighbor_id) for r in approx}
+    assert len(got & exact) / len(exact) >= 0.5
+    full = vx.ann_topk(v, v, 3, n_lists=4, n_probe=4, exclude_self=True, block=64).collect()
+    assert {(r.query_id, r.neighbor_id) for r in full} == exact   # probing every list is exact

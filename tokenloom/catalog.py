@@ -742,3 +742,43 @@ def q_usage_scan(spark, sf_dir):
     path = scratch_path(spark, "usage-table")
     sinks.write_usage(usage_table(spark, sf_dir), path)
     return sinks.read_usage(spark, path, date_from=dt.date(2024, 1, 20))
+
+
+# -- single transitions, bulk enqueue through the sink, approximate top-k ---------------------------
+
+def _with_outcome_flag(spark, sf_dir, want_ok: bool):
+    t = fx.task_log(spark, sf_dir)
+    o = fx.outcomes(t)
+    out = tk.apply_outcomes(t, o, price_dim(spark), AS_OF)
+    return out.join(o.where(F.col("ok") == F.lit(want_ok)).select("task_id"), "task_id", "left_semi") \
+        .select(*RESULT_COLS)
+
+
+@register("complete")
+def q_complete(spark, sf_dir):
+    return _with_outcome_flag(spark, sf_dir, True)
+
+
+@register("fail_or_retry")
+def q_fail_or_retry(spark, sf_dir):
+    return _with_outcome_flag(spark, sf_dir, False)
+
+
+@register("bulk_enqueue")
+def q_bulk_enqueue(spark, sf_dir):
+    path = scratch_path(spark, "task-table")
+    sinks.append_tasks(en.queue_all(fx.products(spark, sf_dir), fx.categories(spark, sf_dir),
+                                    created_at=AS_OF), path)
+    return _task_shape(spark.read.parquet(path))
+
+
+@register("latest_per_key")
+def q_latest_per_key(spark, sf_dir):
+    return q_vector_upsert(spark, sf_dir)
+
+
+@register("ann_topk")
+def q_ann_topk(spark, sf_dir):
+    v = fx.vectors(spark, sf_dir)
+    return vx.ann_topk(v, v, 3, n_lists=16, n_probe=4, exclude_self=True).select(
+        "query_id", "rank", "neighbor_id", F.round("similarity", 6).alias("similarity"))

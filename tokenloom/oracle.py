@@ -865,3 +865,10 @@ cte("sweep_out", ["sweep_batch"], "  SELECT * EXCLUDE (vector_dims) FROM (" + st
 ORACLE["queue_sweep"] = replay_sql(["recovered", "sweep_out"], "recovered", "sweep_out", RESULT_COLS)
 
 oracle("usage_scan", ["usage_tbl"], f"""SELECT {USAGE_COLS} FROM usage_tbl WHERE period_date >= DATE '2024-01-20'""")
+
+ORACLE["complete"] = replay_sql(["tasks", "outcomes1"], "tasks", "outcomes1", RESULT_COLS).replace(
+    ") r", ") r WHERE r.task_id IN (SELECT task_id FROM outcomes1 WHERE ok)")
+ORACLE["fail_or_retry"] = replay_sql(["tasks", "outcomes1"], "tasks", "outcomes1", RESULT_COLS).replace(
+    ") r", ") r WHERE r.task_id IN (SELECT task_id FROM outcomes1 WHERE NOT ok)")
+ORACLE["bulk_enqueue"] = ORACLE["queue_all"]
+ORACLE["latest_per_key"] = ORACLE["vector_upsert"]
