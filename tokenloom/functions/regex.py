@@ -54,10 +54,25 @@ FORBIDDEN_TAGS = ["script", "iframe", "object", "embed", "form", "base", "link",
 
 
 def injection_regex() -> str:
-    """All patterns as one case-insensitive alternation: one native pass per text."""
+    """All patterns as one case-insensitive alternation."""
     return "(?i)" + "|".join(f"(?:{p})" for p in INJECTION_PATTERNS)
 
 
+def injection_regexes() -> list[str]:
+    """One case-insensitive regex per pattern.  Measured on sf0.1 documents,
+    OR-ing them (each keeps Java's literal-prefix scan, and the OR stops at
+    the first hit) is ~4x faster than the fused alternation."""
+    return ["(?i)" + p for p in INJECTION_PATTERNS]
+
+
+# Scan forms used only to test whether a match exists.  Each starts matching
+# at the left edge of a run of its leading class, which cannot change whether
+# some match exists (a match starting inside a run also starts at the run's
+# left edge) but keeps long tokens linear instead of quadratic.
+BASE64_RUN_SCAN = r"(?<![A-Za-z0-9+/])" + BASE64_RUN
+EMAIL_SCAN = r"(?<![a-zA-Z0-9._%+\-])[a-zA-Z0-9._%+\-]++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+
+
 def sanitize_steps() -> list[tuple[str, str]]:
     """(pattern, replacement) pairs of the HTML clean-up, applied in order."""
     steps = [

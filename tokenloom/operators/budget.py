@@ -38,18 +38,31 @@ def budget_month_running(usage: DataFrame, cap: float) -> DataFrame:
 def cap_crossing_calls(events: DataFrame, cap: float, slices: int | None = None) -> DataFrame:
     """Per month, the first usage event whose running month cost exceeds ``cap``.
 
-    ``events``: (source, event_id, event_time, estimated_cost, ...).  The
-    running sum is exact and distributed (``running_total``); only rows
-    over the cap survive before the per-month minimum.
+    ``events``: (source, event_id, event_time, estimated_cost, ...), costs >= 0.
+    Two levels: a tiny per-day table finds the day on which each month's
+    running cost passes the cap and the budget left at its start; only that
+    day's events get an exact, distributed running sum (``running_total``,
+    range-partitioned so even a day holding a third of all rows is split).
     """
     if cap <= 0:
         return events.select("source", "event_id", "event_time").limit(0) \
             .withColumn("month", F.lit(None).cast("date")) \
             .withColumn("running_cost", F.lit(None).cast("decimal(38,6)"))
     ev = events.select("source", "event_id", "event_time", "estimated_cost",
-                       F.trunc(F.to_date("event_time"), "MM").alias("month"))
-    run = running_total(ev, "estimated_cost", ["event_time", "source", "event_id"], ["month"],
-                        out="running_cost", slices=slices)
+                       F.to_date("event_time").alias("day")) \
+        .withColumn("month", F.trunc("day", "MM"))
+    daily = ev.groupBy("month", "day").agg(F.sum("estimated_cost").alias("day_cost"))
+    before_w = Window.partitionBy("month").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    daily = daily.withColumn("cost_before", F.coalesce(F.sum("day_cost").over(before_w), F.lit(0)))
+    crossing_days = daily.where((F.col("cost_before") <= F.lit(cap))
+                                & (F.col("cost_before") + F.col("day_cost") > F.lit(cap))) \
+        .select("month", "day", "cost_before")
+    # At most one crossing day per month (the running cost is monotone), so
+    # this side is bounded by the number of months: broadcast it.
+    day_events = ev.join(F.broadcast(crossing_days), ["month", "day"])
+    run = running_total(day_events, "estimated_cost", ["event_time", "source", "event_id"], ["month"],
+                        out="cost_in_day", slices=slices)
+    run = run.withColumn("running_cost", F.col("cost_before") + F.col("cost_in_day"))
     over = run.where(F.col("running_cost") > F.lit(cap))
     first = over.groupBy("month").agg(
         F.min_by(F.struct("event_time", "source", "event_id", "running_cost"),

@@ -15,7 +15,7 @@ from tokenloom.schemas import MESSAGES_TYPE
 
 # Call-log line layout.
 CALL_LOG_LINE = (r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\] consumer=(\S*) platform=(\S*) "
-                 r"model=(\S*) in=(-?\d+) out=(-?\d+) cost=\$(-?\d+\.\d{6})$")
+                 r"model=(\S*) in=(-?\d+) out=(-?\d+) cost=\$(-?\d+\.\d{6})\z")
 
 
 def strip_tags(c: Column) -> Column:
@@ -146,21 +146,29 @@ def format_call_log(priced_calls: DataFrame) -> DataFrame:
 
 def parse_call_log(lines: DataFrame, col: str = "value") -> DataFrame:
     """Parse request-log lines into a call log; unparsable lines are kept with
-    ``parsed = false`` so a caller can route them to a reject table."""
+    ``parsed = false`` so a caller can route them to a reject table.
+
+    One anchored regex test per line; a line that passes has exactly eight
+    space-separated fields, which are then cut out with ``split`` (no
+    further regex work per field).
+    """
     v = F.col(col)
     ok = v.rlike(CALL_LOG_LINE)
-
-    def g(i: int) -> Column:
-        return F.when(ok, F.regexp_extract(v, CALL_LOG_LINE, i))
-
-    return lines.select(
-        ok.alias("parsed"),
-        F.to_timestamp_ntz(g(1), F.lit("yyyy-MM-dd HH:mm:ss")).alias("called_at"),
-        g(2).alias("consumer"), F.nullif(g(3), F.lit("")).alias("platform"),
-        F.nullif(g(4), F.lit("")).alias("model"),
-        g(5).cast("bigint").alias("input_tokens"), g(6).cast("bigint").alias("output_tokens"),
-        g(7).cast("decimal(10,6)").alias("estimated_cost"),
-        F.when(~ok, v).alias("rejected_line"))
+    parts = F.split(v, " ")
+
+    def field(i: int, prefix: int) -> Column:
+        return F.when(F.col("parsed"), F.expr(f"substring(_parts[{i}], {prefix + 1})"))
+
+    stamp = F.when(F.col("parsed"), F.concat(F.expr("substring(_parts[0], 2)"), F.lit(" "),
+                                F.expr("substring(_parts[1], 1, 8)")))
+    return lines.select(v.alias(col), ok.alias("parsed"), parts.alias("_parts")).select(
+        "parsed",
+        F.to_timestamp_ntz(stamp, F.lit("yyyy-MM-dd HH:mm:ss")).alias("called_at"),
+        field(2, 9).alias("consumer"), F.nullif(field(3, 9), F.lit("")).alias("platform"),
+        F.nullif(field(4, 6), F.lit("")).alias("model"),
+        field(5, 3).cast("bigint").alias("input_tokens"), field(6, 4).cast("bigint").alias("output_tokens"),
+        field(7, 6).cast("decimal(10,6)").alias("estimated_cost"),
+        F.when(~F.col("parsed"), F.col(col)).alias("rejected_line"))
 
 
 def lookup(keys: DataFrame, table: DataFrame, on: list[str], max_broadcast_rows: int = 1_000_000) -> DataFrame:

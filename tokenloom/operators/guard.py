@@ -19,19 +19,23 @@ BRACKETS = {"(": ")", "{": "}", "[": "]", "<": ">"}
 
 
 def injection_hit(text: Column) -> Column:
-    return F.coalesce(text.rlike(rx.injection_regex()), F.lit(False))
+    hit = None
+    for p in rx.injection_regexes():
+        h = text.rlike(p)
+        hit = h if hit is None else (hit | h)
+    return F.coalesce(hit, F.lit(False))
 
 
 def _decoded_hit(blob: Column) -> Column:
     return F.coalesce((F.octet_length(blob) > rx.BASE64_MIN_BYTES)
-                      & blob.cast("string").rlike(rx.injection_regex()), F.lit(False))
+                      & injection_hit(blob.cast("string")), F.lit(False))
 
 
 def base64_hit(text: Column) -> Column:
     """A base64 run anywhere -> strip every non-alphabet character from the
     whole text, strict-decode (bad input = no match) and re-test."""
     blob = F.try_to_binary(F.regexp_replace(text, rx.BASE64_STRIP, ""), F.lit("base64"))
-    return F.when(text.rlike(rx.BASE64_RUN), _decoded_hit(blob)).otherwise(F.lit(False))
+    return F.when(text.rlike(rx.BASE64_RUN_SCAN), _decoded_hit(blob)).otherwise(F.lit(False))
 
 
 def base64_runs_hit(text: Column) -> Column:
@@ -94,33 +98,36 @@ def blocklist_hit(text: Column, patterns: list[str]) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def validation(text: Column, blocklist: list[str] | None = None, enabled: bool = True) -> Column:
-    """struct(safe, reason): injection, then base64, then blocklist; first wins."""
+def validation_reason(text: Column, blocklist: list[str] | None = None, enabled: bool = True) -> Column:
+    """The first failing check's reason ('' when safe): injection, then
+    base64, then blocklist."""
     if not enabled:
-        return F.struct(F.lit(True).alias("safe"), F.lit("").alias("reason"))
-    reason = (F.when(injection_hit(text), F.lit(rx.REASON_INJECTION))
-              .when(base64_hit(text), F.lit(rx.REASON_BASE64))
-              .when(blocklist_hit(text, blocklist or []), F.lit(rx.REASON_BLOCKED))
-              .otherwise(F.lit("")))
-    return F.struct((reason == "").alias("safe"), reason.alias("reason"))
+        return F.lit("")
+    return (F.when(injection_hit(text), F.lit(rx.REASON_INJECTION))
+            .when(base64_hit(text), F.lit(rx.REASON_BASE64))
+            .when(blocklist_hit(text, blocklist or []), F.lit(rx.REASON_BLOCKED))
+            .otherwise(F.lit("")))
 
 
 def validate(df: DataFrame, text_col: str = "text", blocklist: list[str] | None = None,
              enabled: bool = True) -> DataFrame:
-    return df.withColumn("_v", validation(F.col(text_col), blocklist, enabled)) \
-        .select(*df.columns, "_v.safe", "_v.reason")
+    """Adds ``safe`` and ``reason``.  The reason is computed once in its own
+    projection and ``safe`` is derived from the column, so the regex work is
+    not duplicated when projections are collapsed."""
+    with_reason = df.withColumn("reason", validation_reason(F.col(text_col), blocklist, enabled))
+    return with_reason.select(*df.columns, (F.col("reason") == "").alias("safe"), "reason")
 
 
 def conversation_screen(messages: DataFrame, blocklist: list[str] | None = None,
                         enabled: bool = True) -> DataFrame:
     """Only user messages are screened; the first unsafe one (by turn) rejects
     the conversation.  One row per conversation, via partial aggregation."""
-    v = validation(F.col("text"), blocklist, enabled)
-    m = messages.withColumn("_v", v)
-    bad_turn = F.when((F.col("role") == "user") & ~F.col("_v.safe"), F.col("turn"))
+    m = messages.withColumn("_reason", F.when(F.col("role") == "user",
+                                              validation_reason(F.col("text"), blocklist, enabled)))
+    bad_turn = F.when(F.col("_reason") != "", F.col("turn"))
     return m.groupBy("conv_id").agg(
         F.min(bad_turn).alias("rejected_turn"),
-        F.min_by(F.col("_v.reason"), bad_turn).alias("reason")) \
+        F.min_by(F.col("_reason"), bad_turn).alias("reason")) \
         .select("conv_id", F.col("rejected_turn").isNull().alias("safe"),
                 F.coalesce("reason", F.lit("")).alias("reason"), "rejected_turn")
 
@@ -132,8 +139,15 @@ def sanitize_html_expr(html: Column) -> Column:
     return out
 
 
+def _pii_hit(text: Column, name: str, pattern: str) -> Column:
+    if name == "email":   # no '@', no e-mail address: a plain byte search first
+        return text.contains("@") & text.rlike(rx.EMAIL_SCAN)
+    return text.rlike(pattern)
+
+
 def pii_types_expr(text: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(name)) for name, p in rx.PII_PATTERNS]))
+    return F.array_compact(F.array(*[F.when(_pii_hit(text, name, p), F.lit(name))
+                                     for name, p in rx.PII_PATTERNS]))
 
 
 def pii_flag(df: DataFrame, text_col: str = "text") -> DataFrame:
