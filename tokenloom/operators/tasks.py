@@ -226,9 +226,10 @@ def replay_attempts(tasks: DataFrame, outcomes: DataFrame, prices: DataFrame,
         F.col("estimated_cost"),
         success.alias("_priced"),
     )
-    priced = estimate_cost(out.where("_priced"), prices)
-    untouched = out.where(~F.col("_priced"))
-    return priced.unionByName(untouched).select(*tasks.columns)
+    # One broadcast price join for every row; only completed-now rows take the new cost.
+    priced = estimate_cost(out, prices, out="_new_cost")
+    return priced.withColumn("estimated_cost", F.when(F.col("_priced"), F.col("_new_cost"))
+                             .otherwise(F.col("estimated_cost"))).select(*tasks.columns)
 
 
 def apply_outcomes(tasks: DataFrame, outcomes: DataFrame, prices: DataFrame,
