@@ -41,16 +41,33 @@ PROVIDERS = [
 TYPE_CAPABILITY = [("completion", "chat"), ("embedding", "embed"), ("image", "image")]
 
 
+def _sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    if isinstance(v, Decimal):   # exact text; the schema cast makes it a decimal
+        return "'" + format(v, "f") + "'"
+    return str(v)
+
+
+def _values_table(spark: SparkSession, rows, schema) -> DataFrame:
+    """A JVM-local table (``LocalTableScan``) from literal rows, typed by ``schema``."""
+    names = [f.name for f in schema.fields]
+    body = ", ".join("(" + ", ".join(_sql_literal(v) for v in row) + ")" for row in rows)
+    raw = spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(names)})")
+    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def price_dim(spark: SparkSession, rows=None) -> DataFrame:
     rows = PRICES if rows is None else rows
-    data = [(p, m, Decimal(i), Decimal(o)) for p, m, i, o in rows]
-    return spark.createDataFrame(data, PRICE_SCHEMA)
+    return _values_table(spark, [(p, m, Decimal(i), Decimal(o)) for p, m, i, o in rows], PRICE_SCHEMA)
 
 
 def provider_dim(spark: SparkSession, rows=None) -> DataFrame:
     """Providers with ``capabilities`` as a trimmed array, ordered by sort order."""
     rows = PROVIDERS if rows is None else rows
-    df = spark.createDataFrame(rows, PROVIDER_SCHEMA)
+    df = _values_table(spark, rows, PROVIDER_SCHEMA)
     return df.select(
         "code", "label",
         F.transform(F.split(F.coalesce("capabilities", F.lit("")), ","), lambda c: F.trim(c))
