@@ -360,7 +360,7 @@ def q_injection_screen(spark, sf_dir):
 @register("base64_screen")
 def q_base64_screen(spark, sf_dir):
     d = fx.planted_documents(spark, sf_dir)
-    return d.select("doc_id", guard.base64_hit(F.col("text")).alias("base64_injection"))
+    return guard.base64_screen(d).select("doc_id", "base64_injection")
 
 
 @register("base64_screen_runs")
@@ -388,9 +388,8 @@ def q_conversation_screen(spark, sf_dir):
 
 @register("sanitize_html")
 def q_sanitize_html(spark, sf_dir):
-    p = fx.planted_pages(spark, sf_dir)
-    clean = guard.sanitize_html_expr(F.col("html"))
-    return p.select("page_id", F.md5(clean).alias("html_md5"), F.length(clean).alias("html_length"))
+    p = fx.planted_pages(spark, sf_dir).withColumn("clean", guard.sanitize_html_expr(F.col("html")))
+    return p.select("page_id", F.md5("clean").alias("html_md5"), F.length("clean").alias("html_length"))
 
 
 @register("pii_flag")
@@ -408,7 +407,7 @@ def q_sanitize(spark, sf_dir):
 
 @register("pii_report")
 def q_pii_report(spark, sf_dir):
-    return guard.pii_report(guard.pii_flag(fx.planted_documents(spark, sf_dir)), "source")
+    return guard.pii_report(fx.planted_documents(spark, sf_dir), "text", "source")
 
 
 @register("rejection_report")
@@ -421,9 +420,8 @@ def q_rejection_report(spark, sf_dir):
 
 @register("strip_tags")
 def q_strip_tags(spark, sf_dir):
-    p = read_table(spark, sf_dir, "pages", "page_id", "html")
-    s = en.strip_tags(F.col("html"))
-    return p.select("page_id", F.md5(s).alias("text_md5"), F.length(s).alias("text_length"))
+    p = read_table(spark, sf_dir, "pages", "page_id", "html").withColumn("s", en.strip_tags(F.col("html")))
+    return p.select("page_id", F.md5("s").alias("text_md5"), F.length("s").alias("text_length"))
 
 
 @register("entity_products")
@@ -477,7 +475,7 @@ def q_task_detail(spark, sf_dir):
     ctx = F.from_json("context", "map<string,string>")
     keyed = t.withColumn("entity_type", F.try_element_at(ctx, F.lit("entity_type"))) \
         .withColumn("entity_id", F.try_element_at(ctx, F.lit("entity_id")).cast("bigint"))
-    d = tk.task_detail(keyed).join(keyed.select("task_id", "entity_type", "entity_id"), "task_id")
+    d = tk.task_detail(keyed, keep=["entity_type", "entity_id"])
     m = F.try_element_at("message_preview", F.lit(1))
     return d.select("entity_type", "entity_id", m["role"].alias("preview_role"),
                     F.length(m["content"]).alias("preview_length"),

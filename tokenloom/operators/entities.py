@@ -40,17 +40,25 @@ def active_categories(categories: DataFrame) -> DataFrame:
     return categories.where(F.col("is_active") & (F.col("level") > 1))
 
 
+def _non_empty(text: Column) -> Column:
+    """Generator keeping the text only when it is non-empty.
+
+    A plain ``where(text != '')`` is pushed below the projection and would
+    evaluate the whole markup-removal chain twice per row; inside a
+    generator the text is computed once.
+    """
+    return F.explode(F.filter(F.array(text), lambda t: t != ""))
+
+
 def product_text(products: DataFrame) -> DataFrame:
     text = _join_parts(F.col("name"), strip_tags(F.col("short_description")),
                        strip_tags(F.col("description")))
-    return products.select(F.lit("product").alias("entity_type"), "entity_id", text.alias("text")) \
-        .where(F.col("text") != "")
+    return products.select(F.lit("product").alias("entity_type"), "entity_id", _non_empty(text).alias("text"))
 
 
 def category_text(categories: DataFrame) -> DataFrame:
     text = _join_parts(F.col("name"), strip_tags(F.col("description")))
-    return categories.select(F.lit("category").alias("entity_type"), "entity_id", text.alias("text")) \
-        .where(F.col("text") != "")
+    return categories.select(F.lit("category").alias("entity_type"), "entity_id", _non_empty(text).alias("text"))
 
 
 def entity_text(products: DataFrame | None, categories: DataFrame | None) -> DataFrame:

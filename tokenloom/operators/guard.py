@@ -33,11 +33,37 @@ def _decoded_hit(blob: Column) -> Column:
 
 def base64_hit(text: Column) -> Column:
     """A base64 run anywhere -> strip every non-alphabet character from the
-    whole text, strict-decode (bad input = no match) and re-test."""
+    whole text, strict-decode (bad input = no match) and re-test.  Column
+    form; the DataFrame operators below decode once per row."""
     blob = F.try_to_binary(F.regexp_replace(text, rx.BASE64_STRIP, ""), F.lit("base64"))
     return F.when(text.rlike(rx.BASE64_RUN_SCAN), _decoded_hit(blob)).otherwise(F.lit(False))
 
 
+def _decoded_text(text: Column) -> Column:
+    """Whole-text base64 decode as a string, null unless a run is present and
+    more than 20 bytes decode."""
+    blob = F.try_to_binary(F.regexp_replace(text, rx.BASE64_STRIP, ""), F.lit("base64"))
+    return F.when(text.rlike(rx.BASE64_RUN_SCAN) & (F.octet_length(blob) > rx.BASE64_MIN_BYTES),
+                  blob.cast("string"))
+
+
+def with_decoded(df: DataFrame, text_col: str, out: str = "_b64_text") -> DataFrame:
+    """Materialise the decoded payload in its own projections (bytes, then
+    text); the checks that read it reference the column, so the strip and
+    decode run once per row."""
+    text = F.col(text_col)
+    blob = F.when(text.rlike(rx.BASE64_RUN_SCAN),
+                  F.try_to_binary(F.regexp_replace(text, rx.BASE64_STRIP, ""), F.lit("base64")))
+    d = df.withColumn("_b64_blob", blob)
+    return d.withColumn(out, F.when(F.octet_length("_b64_blob") > rx.BASE64_MIN_BYTES,
+                                    F.col("_b64_blob").cast("string"))).drop("_b64_blob")
+
+
+def base64_screen(df: DataFrame, text_col: str = "text", out: str = "base64_injection") -> DataFrame:
+    d = with_decoded(df, text_col)
+    return d.withColumn(out, injection_hit(F.col("_b64_text"))).drop("_b64_text")
+
+
 def base64_runs_hit(text: Column) -> Column:
     """Improved option: decode every run on its own."""
     runs = F.regexp_extract_all(text, F.lit(rx.BASE64_RUN), 0)
@@ -98,23 +124,30 @@ def blocklist_hit(text: Column, patterns: list[str]) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+def _reason(text: Column, decoded: Column, blocklist: list[str] | None) -> Column:
+    return (F.when(injection_hit(text), F.lit(rx.REASON_INJECTION))
+            .when(injection_hit(decoded), F.lit(rx.REASON_BASE64))
+            .when(blocklist_hit(text, blocklist or []), F.lit(rx.REASON_BLOCKED))
+            .otherwise(F.lit("")))
+
+
 def validation_reason(text: Column, blocklist: list[str] | None = None, enabled: bool = True) -> Column:
     """The first failing check's reason ('' when safe): injection, then
-    base64, then blocklist."""
+    base64, then blocklist (Column form)."""
     if not enabled:
         return F.lit("")
-    return (F.when(injection_hit(text), F.lit(rx.REASON_INJECTION))
-            .when(base64_hit(text), F.lit(rx.REASON_BASE64))
-            .when(blocklist_hit(text, blocklist or []), F.lit(rx.REASON_BLOCKED))
-            .otherwise(F.lit("")))
+    return _reason(text, _decoded_text(text), blocklist)
 
 
 def validate(df: DataFrame, text_col: str = "text", blocklist: list[str] | None = None,
              enabled: bool = True) -> DataFrame:
-    """Adds ``safe`` and ``reason``.  The reason is computed once in its own
-    projection and ``safe`` is derived from the column, so the regex work is
-    not duplicated when projections are collapsed."""
-    with_reason = df.withColumn("reason", validation_reason(F.col(text_col), blocklist, enabled))
+    """Adds ``safe`` and ``reason``.  The decoded payload and the reason are
+    each computed once in their own projection and ``safe`` is derived from
+    the column, so no regex work is repeated when projections are collapsed."""
+    if not enabled:
+        return df.select(*df.columns, F.lit(True).alias("safe"), F.lit("").alias("reason"))
+    d = with_decoded(df, text_col)
+    with_reason = d.withColumn("reason", _reason(F.col(text_col), F.col("_b64_text"), blocklist))
     return with_reason.select(*df.columns, (F.col("reason") == "").alias("safe"), "reason")
 
 
@@ -122,12 +155,12 @@ def conversation_screen(messages: DataFrame, blocklist: list[str] | None = None,
                         enabled: bool = True) -> DataFrame:
     """Only user messages are screened; the first unsafe one (by turn) rejects
     the conversation.  One row per conversation, via partial aggregation."""
-    m = messages.withColumn("_reason", F.when(F.col("role") == "user",
-                                              validation_reason(F.col("text"), blocklist, enabled)))
-    bad_turn = F.when(F.col("_reason") != "", F.col("turn"))
-    return m.groupBy("conv_id").agg(
+    users = messages.withColumn("text", F.when(F.col("role") == "user", F.col("text")))
+    v = validate(users, "text", blocklist, enabled)
+    bad_turn = F.when(F.col("role") == "user", F.when(~F.col("safe"), F.col("turn")))
+    return v.groupBy("conv_id").agg(
         F.min(bad_turn).alias("rejected_turn"),
-        F.min_by(F.col("_reason"), bad_turn).alias("reason")) \
+        F.min_by(F.col("reason"), bad_turn).alias("reason")) \
         .select("conv_id", F.col("rejected_turn").isNull().alias("safe"),
                 F.coalesce("reason", F.lit("")).alias("reason"), "rejected_turn")
 
@@ -167,10 +200,20 @@ def sanitize(df: DataFrame, text_col: str = "text", is_html: bool = False, sanit
     return out
 
 
-def pii_report(flagged: DataFrame, by: str = "source") -> DataFrame:
-    return flagged.select(by, F.explode("pii_types").alias("pii_type")) \
-        .groupBy("pii_type", by).agg(F.count("*").alias("texts"))
+def pii_report(texts: DataFrame, text_col: str = "text", by: str = "source") -> DataFrame:
+    """Texts flagged per PII type and ``by`` group: one flag column per type
+    (each pattern evaluated once) and conditional counts, then one row per
+    (type, group) with a non-zero count."""
+    flags = texts.select(by, *[_pii_hit(F.col(text_col), n, p).alias(f"_{n}") for n, p in rx.PII_PATTERNS])
+    counts = flags.groupBy(by).agg(*[F.count(F.when(F.col(f"_{n}"), 1)).alias(n) for n, _ in rx.PII_PATTERNS])
+    stacked = counts.select(by, F.explode(F.array(*[F.struct(F.lit(n).alias("pii_type"),
+                                                             F.col(n).alias("texts"))
+                                                    for n, _ in rx.PII_PATTERNS])).alias("s"))
+    return stacked.select("s.pii_type", by, "s.texts").where(F.col("texts") > 0)
 
 
 def rejection_report(validated: DataFrame) -> DataFrame:
-    return validated.where(~F.col("safe")).groupBy("reason").agg(F.count("*").alias("texts"))
+    """Rejected texts per reason (conditional count, so no filter has to be
+    evaluated below the validator)."""
+    return validated.groupBy("reason").agg(F.count(F.when(~F.col("safe"), 1)).alias("texts")) \
+        .where(F.col("texts") > 0)

@@ -119,7 +119,7 @@ def _preview(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("…"))).otherwise(c)
 
 
-def task_detail(tasks: DataFrame) -> DataFrame:
+def task_detail(tasks: DataFrame, keep: list[str] | tuple = ()) -> DataFrame:
     """Detail preview: messages cut at 500 characters, responses at 2000,
     embedding responses shown as dimension count + first 8 values."""
     d = decode_tasks(tasks)
@@ -128,7 +128,7 @@ def task_detail(tasks: DataFrame) -> DataFrame:
     vec = F.from_json("response", "array<double>")
     is_vec = F.col("task_type") == "embedding"
     return d.select(
-        "task_id", "task_type", "status",
+        "task_id", "task_type", "status", *keep,
         msgs.alias("message_preview"),
         F.when(~is_vec, _preview(F.col("response"), 2000)).alias("response_preview"),
         F.when(is_vec, F.size(vec)).alias("vector_dimensions"),
