@@ -35,7 +35,8 @@ def budget_month_running(usage: DataFrame, cap: float) -> DataFrame:
     return mtd.withColumn("over_cap", crossed)
 
 
-def cap_crossing_calls(events: DataFrame, cap: float, slices: int | None = None) -> DataFrame:
+def cap_crossing_calls(events: DataFrame, cap: float, slices: int | None = None,
+                       rows_per_slice: int | None = None) -> DataFrame:
     """Per month, the first usage event whose running month cost exceeds ``cap``.
 
     ``events``: (source, event_id, event_time, estimated_cost, ...), costs >= 0.
@@ -61,7 +62,7 @@ def cap_crossing_calls(events: DataFrame, cap: float, slices: int | None = None)
     # this side is bounded by the number of months: broadcast it.
     day_events = ev.join(F.broadcast(crossing_days), ["month", "day"])
     run = running_total(day_events, "estimated_cost", ["event_time", "source", "event_id"], ["month"],
-                        out="cost_in_day", slices=slices)
+                        out="cost_in_day", slices=slices, rows_per_slice=rows_per_slice)
     run = run.withColumn("running_cost", F.col("cost_before") + F.col("cost_in_day"))
     over = run.where(F.col("running_cost") > F.lit(cap))
     first = over.groupBy("month").agg(

@@ -27,16 +27,20 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     return F.broadcast(df) if is_bounded(df, max_rows) else df
 
 
-def _slice_count(df: DataFrame, slices: int | None) -> int:
+def _slice_count(df: DataFrame, slices: int | None, rows_per_slice: int | None = None) -> int:
+    """Explicit ``slices``; else enough slices for ``rows_per_slice`` rows each
+    (one count); else the session's shuffle partition count."""
     if slices:
         return slices
-    conf = df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
-    return max(int(conf), 1)
+    conf = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 1)
+    if rows_per_slice:
+        return max(conf, -(-df.count() // rows_per_slice))
+    return conf
 
 
 def running_total(df: DataFrame, value: str, order_cols: list[str],
                   partition_cols: list[str] | tuple = (), out: str = "running",
-                  slices: int | None = None) -> DataFrame:
+                  slices: int | None = None, rows_per_slice: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over rows up to this one, per ``partition_cols``.
 
     The rows are range-partitioned on ``partition_cols + order_cols`` so a
@@ -51,7 +55,7 @@ def running_total(df: DataFrame, value: str, order_cols: list[str],
     # Slice ids depend on sampled range bounds, so they are fixed once with a
     # reliable checkpoint: both branches below (and any recomputation after
     # an executor loss) then see the same assignment.
-    ranged = df.repartitionByRange(_slice_count(df, slices), *keys) \
+    ranged = df.repartitionByRange(_slice_count(df, slices, rows_per_slice), *keys) \
         .withColumn("_slice", F.spark_partition_id()).checkpoint(eager=True)
     local_w = (Window.partitionBy("_slice", *pcols).orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -68,7 +72,8 @@ def running_total(df: DataFrame, value: str, order_cols: list[str],
 
 
 def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
-                      percentiles: dict[str, float], slices: int | None = None) -> DataFrame:
+                      percentiles: dict[str, float], slices: int | None = None,
+                      rows_per_slice: int | None = None) -> DataFrame:
     """Per group, the percentile with linear interpolation between ranks.
 
     Equal to SQL ``percentile_cont`` / Spark ``percentile`` but never holds
@@ -77,7 +82,7 @@ def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
     data = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")) \
         .where(F.col("_v").isNotNull()).withColumn("_one", F.lit(1).cast("bigint"))
     ranked = running_total(data, "_one", ["_v"], group_cols,
-                           out="_rank", slices=slices)
+                           out="_rank", slices=slices, rows_per_slice=rows_per_slice)
     counts = data.groupBy(*group_cols).agg(F.count("*").alias("_n"))
     specs = F.array(*[F.struct(F.lit(name).alias("pname"), F.lit(float(p)).alias("p"))
                       for name, p in percentiles.items()])
