@@ -46,3 +46,19 @@ def test_parse_call_log_roundtrip_and_rejects(spark):
     rows = en.parse_call_log(lines).collect()
     assert rows[0].parsed and rows[0].input_tokens == 10 and str(rows[0].estimated_cost) == "0.000225"
     assert not rows[1].parsed and rows[1].rejected_line == "garbage"
+
+
+def test_call_log_files_roundtrip(spark, small):
+    from tokenloom.catalog import priced_calls
+    from tokenloom.session import scratch_path
+    from tokenloom.sources.logs import read_call_log, write_call_log
+    calls = priced_calls(spark, small)
+    path = scratch_path(spark, "log-files")
+    write_call_log(calls, path)
+    spark.createDataFrame([("not a log line",)], "value string").write.mode("append").text(path)
+    parsed, rejects = read_call_log(spark, path)
+    cols = ["called_at", "consumer", "platform", "model", "input_tokens", "output_tokens", "estimated_cost"]
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    got = sorted(map(tuple, parsed.select(*cols).collect()), key=key)
+    assert got == sorted(map(tuple, calls.select(*cols).collect()), key=key)
+    assert [r.value for r in rejects.collect()] == ["not a log line"]

@@ -471,15 +471,19 @@ def q_queue_all(spark, sf_dir):
 
 @register("task_detail")
 def q_task_detail(spark, sf_dir):
+    """Entity text -> embedding tasks -> provider -> outcome fold -> detail preview."""
+    from tokenloom.operators import infer as inf_
     t = en.queue_all(fx.products(spark, sf_dir), fx.categories(spark, sf_dir), created_at=AS_OF)
+    done = tk.apply_outcomes(t, inf_.infer_batch(t, inf_.StubProvider), price_dim(spark), AS_OF)
     ctx = F.from_json("context", "map<string,string>")
-    keyed = t.withColumn("entity_type", F.try_element_at(ctx, F.lit("entity_type"))) \
+    keyed = done.withColumn("entity_type", F.try_element_at(ctx, F.lit("entity_type"))) \
         .withColumn("entity_id", F.try_element_at(ctx, F.lit("entity_id")).cast("bigint"))
     d = tk.task_detail(keyed, keep=["entity_type", "entity_id"])
     m = F.try_element_at("message_preview", F.lit(1))
-    return d.select("entity_type", "entity_id", m["role"].alias("preview_role"),
+    return d.select("entity_type", "entity_id", "status", m["role"].alias("preview_role"),
                     F.length(m["content"]).alias("preview_length"),
-                    F.md5(m["content"]).alias("preview_md5"), "cost_text")
+                    F.md5(m["content"]).alias("preview_md5"), "vector_dimensions",
+                    F.try_element_at("vector_head", F.lit(1)).alias("vector_first"), "cost_text")
 
 
 @register("missing_vectors")

@@ -660,9 +660,10 @@ FROM {src}"""
 oracle("embed_tasks", ["product_text"], TASK_SHAPE.format(src="product_text"))
 oracle("queue_all", ["entity_texts"], TASK_SHAPE.format(src="entity_texts"))
 
-oracle("task_detail", ["entity_texts"], """SELECT entity_type, entity_id, 'user' AS preview_role,
-  length(p) AS preview_length, md5(p) AS preview_md5, '0.000000' AS cost_text
-FROM (SELECT entity_type, entity_id,
+oracle("task_detail", ["entity_texts"], """SELECT entity_type, entity_id, 'complete' AS status,
+  'user' AS preview_role, length(p) AS preview_length, md5(p) AS preview_md5,
+  4 AS vector_dimensions, CAST(length(text) % 7 AS DOUBLE) AS vector_first, '0.000000' AS cost_text
+FROM (SELECT entity_type, entity_id, text,
         CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '…' ELSE text END AS p
       FROM entity_texts)""")
 
