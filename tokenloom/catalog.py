@@ -784,3 +784,12 @@ def q_ann_topk(spark, sf_dir):
     v = fx.vectors(spark, sf_dir)
     return vx.ann_topk(v, v, 3, n_lists=16, n_probe=4, exclude_self=True).select(
         "query_id", "rank", "neighbor_id", F.round("similarity", 6).alias("similarity"))
+
+
+@register("sync_call")
+def q_sync_call(spark, sf_dir):
+    calls = jobs.sync_calls(fx.planted_conversations(spark, sf_dir), _stub, price_dim(spark), AS_OF,
+                            SYSTEM_PROMPT, _blocklist(spark))
+    return calls.select("conv_id", "ok", F.md5("response").alias("response_md5"), "platform", "model",
+                        "input_tokens", "output_tokens", F.array_join("pii_types", ",").alias("pii_types"),
+                        "estimated_cost")

@@ -873,3 +873,26 @@ ORACLE["fail_or_retry"] = replay_sql(["tasks", "outcomes1"], "tasks", "outcomes1
     ") r", ") r WHERE r.task_id IN (SELECT task_id FROM outcomes1 WHERE NOT ok)")
 ORACLE["bulk_enqueue"] = ORACLE["queue_all"]
 ORACLE["latest_per_key"] = ORACLE["vector_upsert"]
+
+cte("conv_verdict", ["convs"], f"""  SELECT conv_id, MIN(bad_turn) IS NULL AS safe FROM (
+    SELECT conv_id, CASE WHEN role = 'user' AND (regexp_matches(text, '{INJ}') OR {B64_WHOLE} OR {BLOCKED})
+                         THEN turn END AS bad_turn
+    FROM convs)
+  GROUP BY conv_id""")
+
+cte("sync_req", ["convs", "conv_verdict"], """  SELECT conv_id,
+    length('You are a helpful shop assistant.') + SUM(length(COALESCE(text, ''))) AS in_tok,
+    arg_max(COALESCE(text, ''), turn) AS last
+  FROM convs WHERE conv_id IN (SELECT conv_id FROM conv_verdict WHERE safe)
+  GROUP BY conv_id""")
+
+oracle("sync_call", ["sync_req", "prices"], f"""SELECT conv_id, ok,
+  CASE WHEN ok THEN md5('echo:' || last) END AS response_md5,
+  CASE WHEN ok THEN 'openai' END AS platform, CASE WHEN ok THEN 'gpt-4o' END AS model,
+  CAST(CASE WHEN ok THEN in_tok ELSE 0 END AS BIGINT) AS input_tokens,
+  CAST(CASE WHEN ok THEN length('echo:' || last) ELSE 0 END AS BIGINT) AS output_tokens,
+  CASE WHEN ok THEN {pii_sql("('echo:' || last)")} ELSE '' END AS pii_types,
+  CAST(CASE WHEN ok THEN {COST.format(i='in_tok', o="length('echo:' || last)", pin='p.price_in', pout='p.price_out')}
+       ELSE 0 END AS DOUBLE) AS estimated_cost
+FROM (SELECT *, NOT contains(last, 'FAIL') AS ok FROM sync_req) r
+LEFT JOIN prices p ON p.platform = 'openai' AND p.model = 'gpt-4o'""")

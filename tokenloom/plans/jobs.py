@@ -6,6 +6,9 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 
+from pyspark.sql import functions as F
+
+from tokenloom.operators import entities as en
 from tokenloom.operators import guard, tasks as tk, usage
 from tokenloom.operators.infer import infer_batch
 from tokenloom.schemas import DEFAULT_BATCH_SIZE, DEFAULT_TIMEOUT_SECONDS
@@ -30,7 +33,26 @@ def nightly_rollup(tasks: DataFrame, prices: DataFrame, day: dt.date) -> DataFra
     return usage.daily_usage(usage.estimate_cost(tasks, prices), day)
 
 
-def screen_then_call(conversations: DataFrame, blocklist=None) -> DataFrame:
-    """Synchronous-call shape: only conversations whose user turns pass screening."""
+def sync_calls(conversations: DataFrame, provider_factory, prices: DataFrame, as_of: dt.datetime,
+               system_prompt: str | None = None, blocklist=None, consumer: str = "_direct",
+               store_id: int = 0, detect_pii: bool = True) -> DataFrame:
+    """The synchronous path for a whole batch of conversations: screen the user
+    turns, send the safe conversations (one request each), flag personal data
+    in the answers and price every call.  Returns one call row per
+    conversation sent (aggregate it with ``usage.call_usage``)."""
     verdict = guard.conversation_screen(conversations, blocklist)
-    return conversations.join(verdict.where("safe").select("conv_id"), "conv_id", "left_semi")
+    safe = conversations.join(verdict.where("safe").select("conv_id"), "conv_id", "left_semi")
+    prompts = en.normalize_messages(safe, system_prompt)
+    requests = prompts.select(F.col("conv_id").alias("task_id"), F.lit("completion").alias("task_type"),
+                              F.to_json("messages").alias("messages"), F.lit(0).alias("retries"))
+    out = infer_batch(requests, provider_factory)
+    if detect_pii:
+        out = guard.pii_flag(out, "response")
+    calls = out.select(
+        F.col("task_id").alias("conv_id"), "ok", "response", "error", "platform", "model",
+        F.coalesce("input_tokens", F.lit(0)).alias("input_tokens"),
+        F.coalesce("output_tokens", F.lit(0)).alias("output_tokens"),
+        *(["pii_types"] if detect_pii else []),
+        F.lit(consumer).alias("consumer"), F.lit(store_id).alias("store_id"),
+        F.lit(as_of).cast("timestamp_ntz").alias("called_at"))
+    return usage.estimate_cost(calls, prices)
