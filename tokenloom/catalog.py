@@ -685,7 +685,7 @@ def q_stream_vector_upsert(spark, sf_dir):
     src = scratch_path(spark, "vec-updates")
     batch.write.partitionBy("seq").parquet(src)
     updates = st.file_stream(spark, src, batch.schema, 1)
-    u = st.stream_vector_upsert(spark, fx.vectors(spark, sf_dir), updates)
+    u = st.stream_vector_upsert(spark, fx.vectors(spark, sf_dir), updates, buckets=16)
     return u.select("entity_type", "entity_id", "store_id", "dimensions", "created_at", "updated_at",
                     _first().alias("first_value"), _checksum().alias("checksum"))
 

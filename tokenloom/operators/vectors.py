@@ -249,3 +249,45 @@ def ann_topk(queries: DataFrame, vectors: DataFrame, k: int, n_lists: int = 64,
     best = part.groupBy("query_id", "neighbor_id").agg(F.max("similarity").alias("similarity"))
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("neighbor_id"))
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+# -- bucketed vector table (keyed merge rewrites only touched buckets) ----------------
+
+VECTOR_BUCKETS = 1024
+
+
+def vector_bucket(buckets: int = VECTOR_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(*VECTOR_KEY), F.lit(buckets))
+
+
+def write_vector_table(vectors: DataFrame, path: str, buckets: int = VECTOR_BUCKETS) -> None:
+    """Create (or replace) a vector table partitioned by key-hash bucket."""
+    seq = F.col("seq") if "seq" in vectors.columns else F.lit(-1).cast("bigint")
+    vectors.withColumn("seq", seq.cast("bigint")).withColumn("bucket", vector_bucket(buckets)) \
+        .repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def merge_into_vector_table(batch: DataFrame, path: str, buckets: int = VECTOR_BUCKETS) -> None:
+    """Keyed upsert of ``batch`` into the table at ``path``.
+
+    Only buckets the batch touches are read (semi join on the partition
+    column: at most ``buckets`` ids, so the broadcast is bounded, and the
+    scan is pruned) and rewritten (dynamic partition overwrite).  Re-running
+    the same batch gives the same table, so a retried micro-batch is safe.
+    """
+    spark = batch.sparkSession
+    b = batch.withColumn("bucket", vector_bucket(buckets))
+    touched = b.select("bucket").distinct()
+    current = spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi")
+    merged = upsert_vectors(current.drop("bucket"), b.drop("bucket"), keep_seq=True) \
+        .withColumn("bucket", vector_bucket(buckets))
+    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+
+
+def read_vector_table(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket", "seq")

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from tokenloom.operators import entities as en
 from tokenloom.operators import guard
-from tokenloom.operators.vectors import upsert_vectors
 from tokenloom.schemas import VECTOR_KEY
 from tokenloom.session import scratch_path
 
@@ -137,25 +136,21 @@ def stream_embed_queue(changes: DataFrame, delay: str = "1 hour", created_at: dt
     return en.embed_tasks(texts, created_at=created_at)
 
 
-def vector_snapshot_writer(spark: SparkSession, base: DataFrame, snapshot_root: str):
-    """``foreachBatch`` handler: merge the batch into the previous snapshot and
-    write snapshot ``batch_id`` (never overwriting a folder being read)."""
-    state = {"last": None}
+def stream_vector_upsert(spark: SparkSession, base: DataFrame, updates: DataFrame, label: str = "vectors",
+                         buckets: int | None = None) -> DataFrame:
+    """Merge a stream of vector versions into a bucketed vector table; each
+    micro-batch rewrites only the buckets it touches (``foreachBatch``)."""
+    from tokenloom.operators.vectors import VECTOR_BUCKETS, merge_into_vector_table, read_vector_table, \
+        write_vector_table
+    n = buckets or VECTOR_BUCKETS
+    table = scratch_path(spark, f"{label}-table")
+    write_vector_table(base, table, n)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        prev_path = state["last"]
-        prev = base if prev_path is None else spark.read.parquet(prev_path)
-        out = f"{snapshot_root}/snapshot={batch_id}"
-        upsert_vectors(prev, batch, keep_seq=True).write.mode("overwrite").parquet(out)
-        state["last"] = out
-    return handle, state
+        merge_into_vector_table(batch, table, n)
 
-
-def stream_vector_upsert(spark: SparkSession, base: DataFrame, updates: DataFrame, label: str = "vectors") -> DataFrame:
-    root = scratch_path(spark, f"{label}-snapshots")
-    handle, state = vector_snapshot_writer(spark, base, root)
     run_batches(updates, handle, scratch_path(spark, f"{label}-ckpt"), mode="append")
-    return base if state["last"] is None else spark.read.parquet(state["last"]).drop("seq")
+    return read_vector_table(spark, table)
 
 
 VECTOR_KEYS = VECTOR_KEY
