@@ -12,3 +12,34 @@ def test_every_query_has_oracle_or_is_listed():
     assert set(o) <= set(q)
     missing = set(q) - set(o)
     assert missing <= {"ann_topk"}, missing   # approximate: checked for recall in test_vectors
+
+
+def test_checkpoint_root_when_unset():
+    from tokenloom.session import FALLBACK_KEY, checkpoint_root
+
+    class Conf(dict):
+        def get(self, k, d=None):
+            return dict.get(self, k, d)
+
+        def set(self, k, v):
+            if k.startswith("spark.") and k != FALLBACK_KEY:
+                raise AssertionError("core settings must not be changed at runtime")
+            self[k] = v
+
+    class SC:
+        dir = None
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def setCheckpointDir(self, d):
+            self.dir = d
+
+    class S:
+        conf = Conf()
+        sparkContext = SC()
+
+    s = S()
+    root = checkpoint_root(s)
+    assert s.sparkContext.dir == root and s.conf[FALLBACK_KEY] == root
+    assert checkpoint_root(s) == root

@@ -19,6 +19,9 @@ RECOMMENDED_CONF = {
 }
 
 
+FALLBACK_KEY = "tokenloom.checkpoint.dir"
+
+
 def build_session(master: str = "local[*]", shuffle_partitions: int | None = 8,
                   app_name: str = "tokenloom") -> SparkSession:
     """Local session for tests and benchmarks (the UI stays off)."""
@@ -38,17 +41,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     Only when the setting is absent (local tests) is a private folder
-    created and registered, so cluster jobs never write to a
-    machine-local path.
+    created; it is registered with ``setCheckpointDir`` and remembered under
+    a library key (core settings cannot be changed at runtime), so cluster
+    jobs never write to a machine-local path.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    root = (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+            or spark.conf.get(FALLBACK_KEY, None))
     if not root:
         root = tempfile.mkdtemp(prefix="tokenloom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        spark.conf.set(FALLBACK_KEY, root)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
     return root
 
 
