@@ -57,3 +57,22 @@ def test_today_and_month_on_empty_usage_are_zero(spark):
     as_of = dt.datetime(2024, 1, 31, 0, 5)
     assert usage.today_tokens(empty, as_of).collect()[0].total_tokens == 0
     assert usage.month_cost(empty, as_of).collect()[0].month_cost == 0
+
+
+def test_usage_table_rewrites_only_recomputed_days(spark, small):
+    from tokenloom.catalog import usage_table
+    from tokenloom.plans import sinks
+    from tokenloom.session import scratch_path
+    path = scratch_path(spark, "usage-sink")
+    full = usage_table(spark, small)
+    sinks.write_usage(full, path)
+    day = dt.date(2024, 1, 15)
+    redo = full.where(F.col("period_date") == F.lit(day)).withColumn("request_count", F.lit(0).cast("bigint"))
+    sinks.write_usage(redo, path)
+    back = sinks.read_usage(spark, path)
+    assert back.count() == full.count()
+    assert back.where(F.col("period_date") == F.lit(day)).agg(F.sum("request_count")).collect()[0][0] == 0
+    other = back.where(F.col("period_date") != F.lit(day)).agg(F.sum("request_count")).collect()[0][0]
+    assert other == full.where(F.col("period_date") != F.lit(day)).agg(F.sum("request_count")).collect()[0][0]
+    plan = sinks.read_usage(spark, path, date_from=day)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(period_date" in plan

@@ -281,12 +281,8 @@ def merge_into_vector_table(batch: DataFrame, path: str, buckets: int = VECTOR_B
     current = spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi")
     merged = upsert_vectors(current.drop("bucket"), b.drop("bucket"), keep_seq=True) \
         .withColumn("bucket", vector_bucket(buckets))
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("bucket").parquet(path)
 
 
 def read_vector_table(spark, path: str) -> DataFrame:

@@ -11,13 +11,8 @@ from pyspark.sql import functions as F
 def write_usage(usage: DataFrame, path: str) -> None:
     """Usage table partitioned by ``period_date``; recomputed days replace
     their partitions (dynamic partition overwrite), other days stay."""
-    spark = usage.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        usage.repartition("period_date").write.mode("overwrite").partitionBy("period_date").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    usage.repartition("period_date").write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy("period_date").parquet(path)
 
 
 def read_usage(spark, path: str, date_from=None, date_to=None) -> DataFrame:
