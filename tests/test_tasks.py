@@ -122,3 +122,19 @@ def test_unknown_type_fails_with_message(spark, small):
     o = tk.unknown_type_outcomes(t)
     out = tk.apply_outcomes(t, o, price_dim(spark), AS_OF).collect()
     assert all(r.status == "failed" and r.error_message == "Unknown task type: video" for r in out)
+
+
+def test_next_batch_tie_on_created_at_prefers_interactive_then_id(spark):
+    t0 = dt.datetime(2024, 1, 5, 10)
+    rows = [(3, "background", t0), (2, "interactive", t0), (1, "background", t0), (4, "interactive",
+                                                                                   t0 + dt.timedelta(hours=1))]
+    df = spark.createDataFrame(rows, "task_id long, priority string, created_at timestamp_ntz") \
+        .withColumn("status", F.lit("pending"))
+    assert [r.task_id for r in tk.next_batch(df, 3).collect()] == [2, 4, 1]
+
+
+def test_decode_tasks_bad_json_is_empty(spark):
+    df = spark.createDataFrame([(1, '[{"role":"user","content":"x"}]', "{}"), (2, "not json", "{bad"),
+                                (3, None, None)], "task_id long, messages string, context string")
+    got = {r.task_id: (len(r.messages_array), dict(r.context_map)) for r in tk.decode_tasks(df).collect()}
+    assert got == {1: (1, {}), 2: (0, {}), 3: (0, {})}

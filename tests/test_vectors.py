@@ -102,3 +102,30 @@ def test_bucketed_table_merge_matches_upsert_and_is_idempotent(spark, small):
     got = sorted(map(tuple, vx.read_vector_table(spark, path).select(*cols).collect()))
     exp = sorted(map(tuple, vx.upsert_vectors(base, batch).select(*cols).collect()))
     assert got == exp
+
+
+def test_save_condition_falsy_context(spark):
+    rows = [(1, '{"entity_type":"product","entity_id":5}'), (2, "{}"), (3, "{bad"),
+            (4, '{"entity_type":"product","entity_id":0}'), (5, '{"entity_type":"0","entity_id":7}'),
+            (6, '{"entity_type":"category","entity_id":"12"}')]
+    df = spark.createDataFrame(rows, "task_id long, context string").withColumn("task_type", F.lit("embedding"))
+    got = {r.task_id: r.save for r in vx.save_condition(df).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False, 5: False, 6: True}
+
+
+def test_topk_skips_null_and_wrong_dimension(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, 0.0, 0.0]), (4, [0.8, 0.6])],
+                               "entity_id long, vector array<float>")
+    out = vx.cosine_topk(df, df, 3, exclude_self=True).collect()
+    pairs = {(r.query_id, r.neighbor_id) for r in out}
+    assert (1, 4) in pairs and (4, 1) in pairs
+    assert all(2 not in p for p in pairs)
+
+
+def test_topk_ties_go_to_smaller_id(spark):
+    df = spark.createDataFrame([(9, [1.0, 0.0]), (5, [1.0, 0.0]), (7, [1.0, 0.0]), (1, [0.0, 1.0])],
+                               "entity_id long, vector array<float>")
+    q = df.where("entity_id = 1").select("entity_id", F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>")
+                                         .alias("vector"))
+    got = [(r.rank, r.neighbor_id) for r in vx.cosine_topk(q, df, 2).orderBy("rank").collect()]
+    assert got == [(1, 5), (2, 7)]

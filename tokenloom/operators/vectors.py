@@ -113,53 +113,75 @@ def clear_vectors(vectors: DataFrame, predicate: Column | None) -> DataFrame:
 TOPK_SCHEMA = "query_id long, neighbor_id long, similarity double"
 
 
-def _unit_rows(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    mats = [np.asarray(v, dtype=np.float64) if v is not None else np.zeros(0) for v in vectors]
-    width = max((m.shape[0] for m in mats), default=0)
-    out = np.zeros((len(mats), width))
-    ok = np.zeros(len(mats), dtype=bool)
-    for i, m in enumerate(mats):
-        if m.shape[0] == width and width > 0:
-            n = np.sqrt(np.dot(m, m))
-            if n > 0:
-                out[i] = m / n
-                ok[i] = True
-    return out, ok
+def _by_dimension(vectors: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Row indices and unit-length rows per vector dimension (zero/NULL/empty
+    vectors are left out: they have no direction to compare)."""
+    groups: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for i, v in enumerate(vectors):
+        if v is None:
+            continue
+        m = np.asarray(v, dtype=np.float64)
+        n = np.sqrt(np.dot(m, m)) if m.size else 0.0
+        if n > 0:
+            groups.setdefault(m.shape[0], []).append((i, m / n))
+    return {d: (np.array([i for i, _ in rows]), np.vstack([r for _, r in rows])) for d, rows in groups.items()}
+
+
+def _topk_indices(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) pairs of the best ``k`` per row by (score desc, id asc),
+    vectorised; only rows with a tie at the k-th score take the exact path."""
+    nq, nv = sims.shape
+    if nv <= k:
+        cand = np.tile(np.arange(nv), (nq, 1))
+    else:
+        cand = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    cs = np.take_along_axis(sims, cand, axis=1)
+    order = np.lexsort((ids[cand], -cs), axis=1)
+    cand = np.take_along_axis(cand, order, axis=1)
+    rows = [np.repeat(np.arange(nq), cand.shape[1])]
+    cols = [cand.reshape(-1)]
+    if nv > k:
+        kth = cs.min(axis=1)
+        tied = np.nonzero((sims >= kth[:, None]).sum(axis=1) > k)[0]
+        if len(tied):
+            drop = np.isin(rows[0], tied)
+            rows, cols = [rows[0][~drop]], [cols[0][~drop]]
+            for r in tied:
+                idx = np.nonzero(sims[r] >= kth[r])[0]
+                best = idx[np.lexsort((ids[idx], -sims[r, idx]))[:k]]
+                rows.append(np.full(len(best), r))
+                cols.append(best)
+    return np.concatenate(rows), np.concatenate(cols)
 
 
 def _topk_kernel(k: int, exclude_self: bool):
+    """Best ``k`` neighbours per query within one (query block, vector block)
+    group; only vectors of the query's own dimension are compared."""
+    empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "neighbor_id": pd.Series([], dtype="int64"),
+                          "similarity": pd.Series([], dtype="float64")})
+
     def run(key, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if q.empty or v.empty:
-            return pd.DataFrame({"query_id": [], "neighbor_id": [], "similarity": []})
-        qm, qok = _unit_rows(q["vector"])
-        vm, vok = _unit_rows(v["vector"])
-        if qm.shape[1] != vm.shape[1]:
-            return pd.DataFrame({"query_id": [], "neighbor_id": [], "similarity": []})
-        sims = qm @ vm.T
+            return empty
         qids = q["qid"].to_numpy(dtype=np.int64)
         vids = v["vid"].to_numpy(dtype=np.int64)
-        sims[~qok, :] = -np.inf
-        sims[:, ~vok] = -np.inf
-        if exclude_self:
-            sims[qids[:, None] == vids[None, :]] = -np.inf
+        vgroups = _by_dimension(v["vector"])
         out_q, out_v, out_s = [], [], []
-        for i in range(len(qids)):
-            row = sims[i]
-            valid = np.isfinite(row)
-            if not valid.any():
+        for dim, (qi, qm) in _by_dimension(q["vector"]).items():
+            if dim not in vgroups:
                 continue
-            idx = np.nonzero(valid)[0]
-            if len(idx) > k:
-                part = idx[np.argpartition(-row[idx], k - 1)[:k]]
-                kth = row[part].min()
-                idx = idx[row[idx] >= kth]
-            order = np.lexsort((vids[idx], -row[idx]))[:k]
-            sel = idx[order]
-            out_q.append(np.full(len(sel), qids[i]))
-            out_v.append(vids[sel])
-            out_s.append(row[sel])
+            vi, vm = vgroups[dim]
+            sims = qm @ vm.T
+            gv = vids[vi]
+            if exclude_self:
+                sims[qids[qi][:, None] == gv[None, :]] = -np.inf
+            sel_rows, sel_cols = _topk_indices(sims, gv, k)
+            keep = np.isfinite(sims[sel_rows, sel_cols])
+            out_q.append(qids[qi][sel_rows[keep]])
+            out_v.append(gv[sel_cols[keep]])
+            out_s.append(sims[sel_rows[keep], sel_cols[keep]])
         if not out_q:
-            return pd.DataFrame({"query_id": [], "neighbor_id": [], "similarity": []})
+            return empty
         return pd.DataFrame({"query_id": np.concatenate(out_q), "neighbor_id": np.concatenate(out_v),
                              "similarity": np.concatenate(out_s)})
     return run
@@ -199,10 +221,13 @@ def _assign_lists(df: DataFrame, centroids: np.ndarray, id_col: str, n_probe: in
 
     def run(batches):
         for pdf in batches:
-            m, ok = _unit_rows(pdf["vector"])
-            if m.shape[1] != cents.shape[1]:
-                m = np.zeros((len(pdf), cents.shape[1]))
-                ok = np.zeros(len(pdf), dtype=bool)
+            groups = _by_dimension(pdf["vector"])
+            m = np.zeros((len(pdf), cents.shape[1]))
+            ok = np.zeros(len(pdf), dtype=bool)
+            if cents.shape[1] in groups:   # other dimensions cannot be compared
+                rows, unit = groups[cents.shape[1]]
+                m[rows] = unit
+                ok[rows] = True
             scores = m @ cents.T
             best = np.argsort(-scores, axis=1)[:, :n_probe]
             ids = np.repeat(pdf[id_col].to_numpy(dtype=np.int64), best.shape[1])
