@@ -35,6 +35,11 @@ def budget_month_running(usage: DataFrame, cap: float) -> DataFrame:
     return mtd.withColumn("over_cap", crossed)
 
 
+def _no_crossings(events: DataFrame) -> DataFrame:
+    return events.select(F.lit(None).cast("date").alias("month"), "source", "event_id", "event_time",
+                         F.lit(None).cast("decimal(38,6)").alias("running_cost")).limit(0)
+
+
 def cap_crossing_calls(events: DataFrame, cap: float, slices: int | None = None,
                        rows_per_slice: int | None = None) -> DataFrame:
     """Per month, the first usage event whose running month cost exceeds ``cap``.
@@ -46,21 +51,24 @@ def cap_crossing_calls(events: DataFrame, cap: float, slices: int | None = None,
     range-partitioned so even a day holding a third of all rows is split).
     """
     if cap <= 0:
-        return events.select("source", "event_id", "event_time").limit(0) \
-            .withColumn("month", F.lit(None).cast("date")) \
-            .withColumn("running_cost", F.lit(None).cast("decimal(38,6)"))
+        return _no_crossings(events)
     ev = events.select("source", "event_id", "event_time", "estimated_cost",
                        F.to_date("event_time").alias("day")) \
         .withColumn("month", F.trunc("day", "MM"))
     daily = ev.groupBy("month", "day").agg(F.sum("estimated_cost").alias("day_cost"))
     before_w = Window.partitionBy("month").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     daily = daily.withColumn("cost_before", F.coalesce(F.sum("day_cost").over(before_w), F.lit(0)))
-    crossing_days = daily.where((F.col("cost_before") <= F.lit(cap))
-                                & (F.col("cost_before") + F.col("day_cost") > F.lit(cap))) \
-        .select("month", "day", "cost_before")
-    # At most one crossing day per month (the running cost is monotone), so
-    # this side is bounded by the number of months: broadcast it.
-    day_events = ev.join(F.broadcast(crossing_days), ["month", "day"])
+    crossing = daily.where((F.col("cost_before") <= F.lit(cap))
+                           & (F.col("cost_before") + F.col("day_cost") > F.lit(cap))) \
+        .select("month", "day", "cost_before").collect()
+    # At most one crossing day per month (the running cost is monotone): a
+    # result bounded by the number of months, used as a literal filter that
+    # runs before the range shuffle.
+    if not crossing:
+        return _no_crossings(events)
+    days = [r.day for r in crossing]
+    offsets = F.create_map(*[x for r in crossing for x in (F.lit(r.day), F.lit(r.cost_before))])
+    day_events = ev.where(F.col("day").isin(days)).withColumn("cost_before", offsets[F.col("day")])
     run = running_total(day_events, "estimated_cost", ["event_time", "source", "event_id"], ["month"],
                         out="cost_in_day", slices=slices, rows_per_slice=rows_per_slice)
     run = run.withColumn("running_cost", F.col("cost_before") + F.col("cost_in_day"))
