@@ -67,9 +67,12 @@ def test_pii_ascii_word_boundaries(spark):
 
 
 def test_sanitize_html_expected_tail_and_single_pass(spark):
-    df = _texts(spark, "<p>x</p>" + fx.HTML_ATTACK, "<scr<script>x</script>ipt>alert(1)</script>",
-                "<IFRAME src='a'></iframe><b onmouseover='z'>t</b>")
-    got = [r[0] for r in df.select(guard.sanitize_html_expr(F.col("text"))).collect()]
+    df = _texts(spark, "<p>x</p>" + fx.HTML_ATTACK, "<IFRAME src='a'></iframe><b onmouseover='z'>t</b>",
+                "<scr<script>x</script>ipt>alert(1)</script>", "<ifr<iframe>ame src=x>")
+    got = [r[0] for r in df.orderBy("id").select(guard.sanitize_html_expr(F.col("text"))).collect()]
     assert got[0] == '<p>x</p><a href="javascript:void(0)"alert(1)">k</a><img src=""image/png;base64,AA>'
-    assert got[1] == "<scr</script>ipt>alert(1)" or "<script" not in got[1].lower() or True
-    assert got[2] == "<b>t</b>"
+    assert got[1] == "<b>t</b>"
+    # Each step runs once, in order: a tag re-assembled by an earlier step is
+    # caught only if a later step matches it (same result in both engines).
+    assert got[2] == "alert(1)"
+    assert got[3] == "<iframe src=x>"    # documented single-pass gap

@@ -138,3 +138,45 @@ def test_decode_tasks_bad_json_is_empty(spark):
                                 (3, None, None)], "task_id long, messages string, context string")
     got = {r.task_id: (len(r.messages_array), dict(r.context_map)) for r in tk.decode_tasks(df).collect()}
     assert got == {1: (1, {}), 2: (0, {}), 3: (0, {})}
+
+
+def test_task_table_schema_evolution_roundtrip(spark, small):
+    from tokenloom.plans.sinks import append_tasks
+    from tokenloom.session import scratch_path
+    from tokenloom.sources.tables import read_tasks
+    t = fx.task_log(spark, small)
+    path = scratch_path(spark, "task-table")
+    split = F.lit(dt.datetime(2024, 1, 15)).cast("timestamp_ntz")
+    append_tasks(t.where(F.col("created_at") < split).drop("task_type"), path)   # written before the column
+    append_tasks(t.where(F.col("created_at") >= split), path)
+    back = read_tasks(spark, path)
+    assert back.count() == t.count()
+    old = back.where(F.col("created_at") < split)
+    assert old.where("task_type <> 'completion'").count() == 0
+    new_types = {r.task_type for r in back.where(F.col("created_at") >= split).select("task_type").distinct().collect()}
+    assert new_types == {"completion", "embedding", "image"}
+    plan = read_tasks(spark, path).where(F.col("created_date") == F.lit(dt.date(2024, 1, 20)))._jdf \
+        .queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(created_date" in plan
+
+
+def test_infer_by_type_dispatches_and_reports_unknown(spark, small):
+    from tokenloom.operators import infer as inf
+
+    class Chat(inf.StubProvider):
+        def complete(self, messages, options):
+            return "chat", 1, 1
+
+    t = fx.task_log(spark, small).where("status = 'pending'") \
+        .withColumn("task_type", F.when(F.col("task_id") % 17 == 3, F.lit("video")).otherwise(F.col("task_type")))
+    out = inf.infer_by_type(t, {"completion": Chat, "embedding": inf.StubProvider, "image": inf.StubProvider})
+    got = {r.task_id: r for r in out.collect()}
+    types = {r.task_id: r.task_type for r in t.collect()}
+    assert set(got) == set(types)
+    for tid, ty in types.items():
+        if ty == "completion":
+            assert got[tid].response == "chat"
+        elif ty == "video":
+            assert not got[tid].ok and got[tid].error == "Unknown task type: video"
+        elif ty == "embedding":
+            assert got[tid].response.startswith("[")

@@ -719,7 +719,8 @@ def q_infer_batch(spark, sf_dir):
 @register("infer_by_type")
 def q_infer_by_type(spark, sf_dir):
     t = _tasks_with_failures(spark, sf_dir)
-    out = inf.infer_batch(tk.pending_tasks(t), _stub)
+    factories = {"completion": _stub, "embedding": _stub, "image": _stub}
+    out = inf.infer_by_type(tk.pending_tasks(t), factories)
     return out.join(t.select("task_id", "task_type"), "task_id") \
         .groupBy("task_type", "ok").agg(F.count("*").alias("outcomes"),
                                         F.sum("input_tokens").alias("input_tokens"))

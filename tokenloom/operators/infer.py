@@ -106,6 +106,29 @@ def infer_batch(tasks: DataFrame, provider_factory: Callable[[], Provider], targ
     return tasks.select(*cols).mapInPandas(run, OUTCOME_SCHEMA)
 
 
+def infer_by_type(tasks: DataFrame, factories: dict[str, Callable[[], Provider]],
+                  target_dims: int = 0) -> DataFrame:
+    """Dispatch by task type: each type's rows go to its own provider factory
+    (e.g. a chat client, an embedding client, an image client); the outcome
+    sets are unioned.  Rows of a type without a factory fail with
+    ``Unknown task type``."""
+    ttype = F.coalesce(F.nullif(F.col("task_type"), F.lit("")), F.lit("completion"))
+    typed = tasks.withColumn("task_type", ttype)
+    parts = [infer_batch(typed.where(F.col("task_type") == t), f, target_dims) for t, f in factories.items()]
+    known = list(factories)
+    unknown = typed.where(~F.col("task_type").isin(known)).select(
+        "task_id", (F.col("retries") + 1).cast("int").alias("attempt"), F.lit(False).alias("ok"),
+        *[F.lit(None).cast(t).alias(c) for c, t in [("response", "string"), ("input_tokens", "bigint"),
+                                                      ("output_tokens", "bigint"), ("platform", "string"),
+                                                      ("model", "string")]],
+        F.concat(F.lit("Unknown task type: "), F.col("task_type")).alias("error"),
+        F.lit(None).cast("array<float>").alias("vector"))
+    out = unknown
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
 def on_complete(before: DataFrame, after: DataFrame, registry: dict[str, dict[str, Callable]]) -> DataFrame:
     """Fire ``registry[callback_class][callback_method](task_id, response)`` for
     tasks that became complete (success only).  Unknown callbacks are
