@@ -718,12 +718,12 @@ CHECKSUM = "round(list_sum(list_transform({v}, lambda x: CAST(x AS DOUBLE))), 4)
 FIRST = "round(CAST({v}[1] AS DOUBLE), 6)"
 
 cte("vbatch", [], f"""  SELECT 'product' AS entity_type, vec_id AS entity_id, CAST(label % 3 AS INTEGER) AS store_id,
-    list_reverse(embedding) AS vector, 1 AS seq FROM embeddings WHERE vec_id % 5 = 0
+    list_reverse(embedding) AS vector, 1 AS seq FROM embeddings
   UNION ALL
   SELECT 'product', vec_id, CAST(label % 3 AS INTEGER), list_transform(embedding, lambda x: x * CAST(2.0 AS FLOAT)), 2
-  FROM embeddings WHERE vec_id % 10 = 0
+  FROM embeddings
   UNION ALL
-  SELECT 'product', vec_id + 1000000, CAST(label % 3 AS INTEGER), embedding, 1 FROM embeddings WHERE vec_id % 5 = 0""")
+  SELECT 'product', vec_id + 1000000, CAST(label % 3 AS INTEGER), embedding, 1 FROM embeddings""")
 
 cte("upserted", ["vectors", "vbatch"], f"""  SELECT entity_type, entity_id, store_id, platform, model, dimensions, vector, created_at, updated_at FROM (
     SELECT *, ROW_NUMBER() OVER (PARTITION BY entity_type, entity_id, store_id ORDER BY updated_at DESC, seq DESC) AS rn,

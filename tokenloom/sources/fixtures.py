@@ -210,20 +210,22 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An upsert batch: reversed vectors, a later duplicate that must win, new ids."""
+    """An upsert batch over every vector: a reversed version, a later version
+    with the same timestamp that must win (doubled values, higher sequence),
+    and a copy under a new id."""
     emb = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
     common = [F.lit("product").alias("entity_type"),
               (F.col("label") % 3).cast("int").alias("store_id"),
               F.lit("openai").alias("platform"), F.lit("text-embedding-3-small").alias("model")]
     now = _ts(AS_OF)
-    reversed_ = emb.where(F.col("vec_id") % 5 == 0).select(
+    reversed_ = emb.select(
         F.col("vec_id").alias("entity_id"), *common,
         F.reverse("embedding").alias("vector"), now.alias("updated_at"), F.lit(1).alias("seq"))
-    doubled = emb.where(F.col("vec_id") % 10 == 0).select(
+    doubled = emb.select(
         F.col("vec_id").alias("entity_id"), *common,
         F.transform("embedding", lambda x: x * F.lit(2.0).cast("float")).alias("vector"),
         now.alias("updated_at"), F.lit(2).alias("seq"))
-    fresh = emb.where(F.col("vec_id") % 5 == 0).select(
+    fresh = emb.select(
         (F.col("vec_id") + 1000000).alias("entity_id"), *common,
         F.col("embedding").alias("vector"), now.alias("updated_at"), F.lit(1).alias("seq"))
     batch = reversed_.unionByName(doubled).unionByName(fresh)
