@@ -14,10 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.operators import budget, tasks as tk, usage
+from tokenloom.operators import budget, guard, usage
+from tokenloom.operators import entities as en
+from tokenloom.operators import infer as inf
+from tokenloom.operators import tasks as tk
+from tokenloom.operators import vectors as vx
+from tokenloom.plans import jobs, sinks
+from tokenloom.session import scratch_path
 from tokenloom.sources import fixtures as fx
 from tokenloom.sources.dims import PRICES, price_dim, provider_dim
 from tokenloom.sources.tables import read_table
+from tokenloom.streaming import streams as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -342,8 +349,6 @@ def q_enqueue(spark, sf_dir):
 
 # -- guardrails ------------------------------------------------------------------------------
 
-from tokenloom.operators import entities as en  # noqa: E402
-from tokenloom.operators import guard  # noqa: E402
 
 
 def _blocklist(spark):
@@ -472,9 +477,8 @@ def q_queue_all(spark, sf_dir):
 @register("task_detail")
 def q_task_detail(spark, sf_dir):
     """Entity text -> embedding tasks -> provider -> outcome fold -> detail preview."""
-    from tokenloom.operators import infer as inf_
     t = en.queue_all(fx.products(spark, sf_dir), fx.categories(spark, sf_dir), created_at=AS_OF)
-    done = tk.apply_outcomes(t, inf_.infer_batch(t, inf_.StubProvider), price_dim(spark), AS_OF)
+    done = tk.apply_outcomes(t, inf.infer_batch(t, inf.StubProvider), price_dim(spark), AS_OF)
     ctx = F.from_json("context", "map<string,string>")
     keyed = done.withColumn("entity_type", F.try_element_at(ctx, F.lit("entity_type"))) \
         .withColumn("entity_id", F.try_element_at(ctx, F.lit("entity_id")).cast("bigint"))
@@ -522,7 +526,6 @@ def q_parse_call_log(spark, sf_dir):
 
 # -- vectors -------------------------------------------------------------------------------
 
-from tokenloom.operators import vectors as vx  # noqa: E402
 
 
 def _checksum(col: str = "vector"):
@@ -604,8 +607,6 @@ def q_cosine_topk(spark, sf_dir):
 
 # -- streaming (availableNow over files Spark derives from the tables) -----------------------------
 
-from tokenloom.session import scratch_path  # noqa: E402
-from tokenloom.streaming import streams as st  # noqa: E402
 
 FAR_FUTURE = dt.datetime(2100, 1, 1)
 LATE_TOLERANCE = "31 days"   # files of a split log arrive in any order
@@ -692,8 +693,6 @@ def q_stream_vector_upsert(spark, sf_dir):
 
 # -- inference hook and composed jobs --------------------------------------------------------
 
-from tokenloom.operators import infer as inf  # noqa: E402
-from tokenloom.plans import jobs, sinks  # noqa: E402
 
 OUTCOME_COLS = ["task_id", "attempt", "ok", "response", "input_tokens", "output_tokens", "platform", "model",
                 "error"]

@@ -5,7 +5,6 @@ A limit of 0 means unlimited.
 
 from __future__ import annotations
 
-import datetime as dt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F

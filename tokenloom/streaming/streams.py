@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from tokenloom.operators import entities as en
 from tokenloom.operators import guard
-from tokenloom.schemas import VECTOR_KEY
 from tokenloom.session import scratch_path
 
 EPOCH = dt.datetime(1970, 1, 1)
@@ -152,5 +151,3 @@ def stream_vector_upsert(spark: SparkSession, base: DataFrame, updates: DataFram
     run_batches(updates, handle, scratch_path(spark, f"{label}-ckpt"), mode="append")
     return read_vector_table(spark, table)
 
-
-VECTOR_KEYS = VECTOR_KEY
