@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tokenloom.functions.dates import ntz
 from tokenloom.operators import budget, guard, usage
 from tokenloom.operators import entities as en
 from tokenloom.operators import infer as inf
@@ -304,8 +305,8 @@ def q_retention(spark, sf_dir):
 def q_schema_evolve(spark, sf_dir):
     t = fx.task_log(spark, sf_dir)
     split = dt.datetime(2024, 1, 15)
-    old = t.where(F.col("created_at") < F.lit(split).cast("timestamp_ntz")).drop("task_type")
-    new = t.where(F.col("created_at") >= F.lit(split).cast("timestamp_ntz"))
+    old = t.where(F.col("created_at") < ntz(split)).drop("task_type")
+    new = t.where(F.col("created_at") >= ntz(split))
     return tk.schema_evolve(old, new).groupBy("task_type", "status").agg(F.count("*").alias("tasks"))
 
 
@@ -667,13 +668,13 @@ def q_stream_rate_limit(spark, sf_dir):
     r = st.stream_rate_limit(_day_stream(spark, calls, "ts", "requests", 8, marker), "ts", 30,
                              LATE_TOLERANCE)
     out = st.run_available_now(r, scratch_path(spark, "rate-out"), scratch_path(spark, "rate-ckpt"))
-    return spark.read.schema(r.schema).parquet(out).where(F.col("minute_start") < F.lit(FAR_FUTURE).cast("timestamp_ntz"))
+    return spark.read.schema(r.schema).parquet(out).where(F.col("minute_start") < ntz(FAR_FUTURE))
 
 
 @register("stream_embed_queue")
 def q_stream_embed_queue(spark, sf_dir):
     p = fx.products(spark, sf_dir).withColumn(
-        "changed_at", F.timestamp_add("MINUTE", F.col("entity_id") % 60, F.lit(AS_OF).cast("timestamp_ntz")))
+        "changed_at", F.timestamp_add("MINUTE", F.col("entity_id") % 60, ntz(AS_OF)))
     changes = p.unionByName(p.where(F.col("entity_id") % 4 == 0))   # repeated deliveries
     tasks = st.stream_embed_queue(_day_stream(spark, changes, "changed_at", "changes", 2), "1 hour", AS_OF)
     out = st.run_available_now(tasks, scratch_path(spark, "embedq-out"), scratch_path(spark, "embedq-ckpt"))

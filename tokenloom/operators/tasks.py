@@ -12,6 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenloom.functions.dates import ntz
 from tokenloom.operators.usage import estimate_cost
 from tokenloom.operators.util import bounded_broadcast, exact_percentiles
 from tokenloom.schemas import (DEFAULT_BATCH_SIZE, DEFAULT_CRON, DEFAULT_MAX_RETRIES,
@@ -23,7 +24,7 @@ TIMEOUT_MESSAGE = "Task timed out"
 
 
 def _ts(value: dt.datetime) -> Column:
-    return F.lit(value).cast("timestamp_ntz")
+    return ntz(value)
 
 
 # -- scans and projections ---------------------------------------------------

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.functions.dates import ntz
 from tokenloom.functions.cost import cost_expr
 from tokenloom.operators.util import bounded_broadcast
 from tokenloom.schemas import USAGE_KEY
@@ -16,8 +17,7 @@ PRICE_ROWS_BOUND = 100_000
 
 def _day_bounds(day: dt.date) -> tuple[Column, Column]:
     start = dt.datetime.combine(day, dt.time())
-    return (F.lit(start).cast("timestamp_ntz"),
-            F.lit(start + dt.timedelta(days=1)).cast("timestamp_ntz"))
+    return ntz(start), ntz(start + dt.timedelta(days=1))
 
 
 def estimate_cost(df: DataFrame, prices: DataFrame, in_col: str = "input_tokens",

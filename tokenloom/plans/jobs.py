@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from pyspark.sql import functions as F
 
+from tokenloom.functions.dates import ntz
 from tokenloom.operators import entities as en
 from tokenloom.operators import guard, tasks as tk, usage
 from tokenloom.operators.infer import infer_batch
@@ -54,5 +55,5 @@ def sync_calls(conversations: DataFrame, provider_factory, prices: DataFrame, as
         F.coalesce("output_tokens", F.lit(0)).alias("output_tokens"),
         *(["pii_types"] if detect_pii else []),
         F.lit(consumer).alias("consumer"), F.lit(store_id).alias("store_id"),
-        F.lit(as_of).cast("timestamp_ntz").alias("called_at"))
+        ntz(as_of).alias("called_at"))
     return usage.estimate_cost(calls, prices)

@@ -13,6 +13,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.functions.dates import ntz
 from tokenloom.sources.dims import ERROR_PREFIXES_DOC
 from tokenloom.sources.tables import read_table
 
@@ -43,7 +44,7 @@ TIMEOUT_MESSAGE = "Task timed out"
 
 
 def _ts(value: dt.datetime) -> Column:
-    return F.lit(value).cast("timestamp_ntz")
+    return ntz(value)
 
 
 def _bucketed(bucket: Column, index: int) -> Column:

@@ -14,6 +14,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.functions.dates import ntz
 from tokenloom.operators import entities as en
 from tokenloom.operators import guard
 from tokenloom.session import scratch_path
@@ -22,7 +23,7 @@ EPOCH = dt.datetime(1970, 1, 1)
 
 
 def _epoch_ntz() -> Column:
-    return F.lit(EPOCH).cast("timestamp_ntz")
+    return ntz(EPOCH)
 
 
 def ntz_to_instant(c: Column) -> Column:
