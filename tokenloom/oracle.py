@@ -213,7 +213,7 @@ FROM usage_tbl WHERE period_date = DATE '2024-01-31'""")
 oracle("month_cost", ["usage_tbl"], """SELECT CAST(COALESCE(SUM(estimated_cost), 0) AS DOUBLE) AS month_cost
 FROM usage_tbl WHERE period_date >= DATE '2024-01-01'""")
 
-oracle("usage_summary", ["usage_tbl"], """SELECT platform, model, CAST(GROUPING(platform, model) AS INTEGER) AS grouping_level,
+oracle("usage_summary", ["usage_tbl"], """SELECT platform, model, CAST(GROUPING(platform, model) AS BIGINT) AS grouping_level,
   CAST(SUM(request_count) AS BIGINT) AS request_count, CAST(SUM(input_tokens) AS BIGINT) AS input_tokens,
   CAST(SUM(output_tokens) AS BIGINT) AS output_tokens, CAST(SUM(estimated_cost) AS DOUBLE) AS estimated_cost
 FROM usage_tbl WHERE period_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'
@@ -580,7 +580,7 @@ def sanitize_sql(col: str) -> str:
 cte("planted_pages", [], """  SELECT page_id, url, html || '<a href="javascript:alert(1)" onclick="x()">k</a><img src=data:image/png;base64,AA onerror=go>' AS html
   FROM pages""")
 
-oracle("sanitize_html", ["planted_pages"], f"""SELECT page_id, md5(c) AS html_md5, length(c) AS html_length
+oracle("sanitize_html", ["planted_pages"], f"""SELECT page_id, md5(c) AS html_md5, CAST(length(c) AS INTEGER) AS html_length
 FROM (SELECT page_id, {sanitize_sql('html')} AS c FROM planted_pages)""")
 
 PII = [("email", "[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}"),
@@ -628,7 +628,7 @@ def join_parts_sql(*parts: str) -> str:
             f"lambda x: x IS NOT NULL AND x <> '' AND x <> '0'), ' '), {TRIM})")
 
 
-oracle("strip_tags", [], f"""SELECT page_id, md5(s) AS text_md5, length(s) AS text_length
+oracle("strip_tags", [], f"""SELECT page_id, md5(s) AS text_md5, CAST(length(s) AS INTEGER) AS text_length
 FROM (SELECT page_id, {strip_sql('html')} AS s FROM pages)""")
 
 oracle("entity_products", ["products"], """SELECT entity_id, name, short_description,
@@ -649,7 +649,7 @@ cte("category_text", ["categories"], f"""  SELECT * FROM (
 cte("entity_texts", ["product_text", "category_text"], """  SELECT * FROM product_text UNION ALL SELECT * FROM category_text""")
 
 oracle("entity_text", ["entity_texts"], """SELECT entity_type, entity_id, md5(text) AS text_md5,
-  length(text) AS text_length FROM entity_texts""")
+  CAST(length(text) AS INTEGER) AS text_length FROM entity_texts""")
 
 TASK_SHAPE = """SELECT entity_type, entity_id,
   CASE entity_type WHEN 'product' THEN 'catalog_product' WHEN 'category' THEN 'catalog_category' END AS consumer,
@@ -661,7 +661,7 @@ oracle("embed_tasks", ["product_text"], TASK_SHAPE.format(src="product_text"))
 oracle("queue_all", ["entity_texts"], TASK_SHAPE.format(src="entity_texts"))
 
 oracle("task_detail", ["entity_texts"], """SELECT entity_type, entity_id, 'complete' AS status,
-  'user' AS preview_role, length(p) AS preview_length, md5(p) AS preview_md5,
+  'user' AS preview_role, CAST(length(p) AS INTEGER) AS preview_length, md5(p) AS preview_md5,
   4 AS vector_dimensions, CAST(length(text) % 7 AS DOUBLE) AS vector_first, '0.000000' AS cost_text
 FROM (SELECT entity_type, entity_id, text,
         CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '…' ELSE text END AS p
@@ -738,7 +738,7 @@ cte("upserted", ["vectors", "vbatch"], f"""  SELECT entity_type, entity_id, stor
 oracle("vector_scan", ["vectors"], f"""SELECT entity_type, entity_id, store_id, dimensions,
   {FIRST.format(v='vector')} AS first_value, {CHECKSUM.format(v='vector')} AS checksum FROM vectors""")
 
-oracle("vector_encode", ["vectors"], """SELECT entity_id, dimensions, CAST(len(vector) AS BIGINT) AS json_length,
+oracle("vector_encode", ["vectors"], """SELECT entity_id, dimensions, CAST(len(vector) AS INTEGER) AS json_length,
   true AS roundtrip_equal FROM vectors""")
 
 oracle("vector_upsert", ["upserted"], f"""SELECT entity_type, entity_id, store_id, dimensions, created_at, updated_at,
@@ -775,7 +775,7 @@ FROM (SELECT task_id, json_extract_string(context, '$.entity_type') AS et,
 oracle("clear_vectors", ["upserted"], """SELECT entity_type, store_id, COUNT(*) AS vectors FROM upserted
 WHERE store_id <> 0 GROUP BY ALL""")
 
-oracle("cosine_topk", [], """SELECT query_id, rank, neighbor_id, round(similarity, 6) AS similarity FROM (
+oracle("cosine_topk", [], """SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(similarity, 6) AS similarity FROM (
   SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_dot_product(a.v, b.v) / (a.n * b.n) AS similarity,
     ROW_NUMBER() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.v, b.v) / (a.n * b.n) DESC, b.vec_id) AS rank
   FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v,
