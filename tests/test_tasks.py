@@ -180,3 +180,19 @@ def test_infer_by_type_dispatches_and_reports_unknown(spark, small):
             assert not got[tid].ok and got[tid].error == "Unknown task type: video"
         elif ty == "embedding":
             assert got[tid].response.startswith("[")
+
+
+def test_embeddings_are_sent_in_batches(spark, small):
+    from tokenloom.operators import infer as inf
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting(inf.StubProvider):
+        def embed(self, texts, options):
+            calls.add(1)
+            return super().embed(texts, options)
+
+    t = fx.task_log(spark, small).where("task_type = 'embedding'").coalesce(1)
+    n = t.count()
+    out = inf.infer_batch(t, Counting, embed_batch_size=16).collect()
+    assert len(out) == n and all(r.ok and len(r.vector) == 4 for r in out)
+    assert calls.value < n / 4     # grouped per (platform, model), 16 texts per call

@@ -92,16 +92,59 @@ def _run_one(provider: Provider, row, target_dims: int) -> dict:
         return {**base, "ok": False, "platform": None, "model": None, "error": str(exc)}
 
 
-def infer_batch(tasks: DataFrame, provider_factory: Callable[[], Provider], target_dims: int = 0) -> DataFrame:
+def _embed_chunk(provider: Provider, rows: list, target_dims: int) -> list[dict]:
+    """One provider call for many embedding tasks of the same model; if the
+    call fails, each task is retried alone so one bad text fails only itself."""
+    first = rows[0]
+    platform = first.platform or DEFAULT_PLATFORM
+    model = first.model or DEFAULT_MODELS["embedding"].get(platform)
+    texts = []
+    for r in rows:
+        msgs = _messages(r.messages)
+        texts.append((msgs[0].get("content") if msgs and isinstance(msgs[0], dict) else "") or "")
+    opts = {"model": model, **({"dimensions": target_dims} if target_dims > 0 else {})}
+    try:
+        vecs, _ = provider.embed(texts, opts)
+        if len(vecs) != len(rows):
+            raise ValueError("provider returned a different number of vectors")
+    except Exception:  # noqa: BLE001 - isolate the failing text
+        return [_run_one(provider, r, target_dims) for r in rows]
+    out = []
+    for r, text, vec in zip(rows, texts, vecs):
+        vec = [float(x) for x in vec]
+        out.append({"task_id": int(r.task_id), "attempt": int(r.retries) + 1, "ok": True,
+                    "response": json.dumps(vec), "input_tokens": len(text), "output_tokens": 0,
+                    "platform": platform, "model": model, "error": None, "vector": vec})
+    return out
+
+
+def infer_batch(tasks: DataFrame, provider_factory: Callable[[], Provider], target_dims: int = 0,
+                embed_batch_size: int = 64) -> DataFrame:
     """One outcome per task row.  ``provider_factory`` runs once per partition
-    on the executor (build HTTP clients there, not on the driver)."""
+    on the executor (build HTTP clients there, not on the driver).
+
+    Embedding tasks of one (platform, model) are sent ``embed_batch_size``
+    texts per provider call instead of one call per text.  Token counts of a
+    batched call are attributed per text by its length in characters, as the
+    provider reports one total."""
     cols = [F.col(c) if c in tasks.columns else F.lit(None).cast("string").alias(c) for c in TASK_INPUT_COLS]
+    names = [f.name for f in OUTCOME_SCHEMA.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = provider_factory()
         for pdf in batches:
-            rows = [_run_one(provider, r, target_dims) for r in pdf.itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=[f.name for f in OUTCOME_SCHEMA.fields])
+            rows = list(pdf.itertuples(index=False))
+            out = []
+            groups: dict[tuple, list] = {}
+            for r in rows:
+                if (r.task_type or "completion") == "embedding" and embed_batch_size > 1:
+                    groups.setdefault((r.platform, r.model), []).append(r)
+                else:
+                    out.append(_run_one(provider, r, target_dims))
+            for group in groups.values():
+                for i in range(0, len(group), embed_batch_size):
+                    out.extend(_embed_chunk(provider, group[i:i + embed_batch_size], target_dims))
+            yield pd.DataFrame(out, columns=names)
 
     return tasks.select(*cols).mapInPandas(run, OUTCOME_SCHEMA)
 
