@@ -24,7 +24,7 @@ from tokenloom.plans import jobs, sinks
 from tokenloom.session import scratch_path
 from tokenloom.sources import fixtures as fx
 from tokenloom.sources.dims import PRICES, price_dim, provider_dim
-from tokenloom.sources.tables import read_table
+from tokenloom.sources.tables import read_table, spread
 from tokenloom.streaming import streams as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -426,7 +426,7 @@ def q_rejection_report(spark, sf_dir):
 
 @register("strip_tags")
 def q_strip_tags(spark, sf_dir):
-    p = read_table(spark, sf_dir, "pages", "page_id", "html").withColumn("s", en.strip_tags(F.col("html")))
+    p = spread(read_table(spark, sf_dir, "pages", "page_id", "html")).withColumn("s", en.strip_tags(F.col("html")))
     return p.select("page_id", F.md5("s").alias("text_md5"), F.length("s").alias("text_length"))
 
 
@@ -794,3 +794,12 @@ def q_sync_call(spark, sf_dir):
     return calls.select("conv_id", "ok", F.md5("response").alias("response_md5"), "platform", "model",
                         "input_tokens", "output_tokens", F.array_join("pii_types", ",").alias("pii_types"),
                         "estimated_cost")
+
+
+@register("embed_entities")
+def q_embed_entities(spark, sf_dir):
+    """Queue-all -> provider -> task fold -> vector table, for every entity."""
+    _, table = jobs.embed_entities(fx.products(spark, sf_dir), fx.categories(spark, sf_dir),
+                                   fx.vectors(spark, sf_dir), _stub, price_dim(spark), AS_OF)
+    return table.select("entity_type", "entity_id", "store_id", "model", "dimensions", "created_at",
+                        "updated_at", _first().alias("first_value"), _checksum().alias("checksum"))

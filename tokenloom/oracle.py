@@ -896,3 +896,19 @@ oracle("sync_call", ["sync_req", "prices"], f"""SELECT conv_id, ok,
        ELSE 0 END AS DOUBLE) AS estimated_cost
 FROM (SELECT *, NOT contains(last, 'FAIL') AS ok FROM sync_req) r
 LEFT JOIN prices p ON p.platform = 'openai' AND p.model = 'gpt-4o'""")
+
+cte("embedded", ["vectors", "entity_texts"], f"""  SELECT entity_type, entity_id, store_id, model, dimensions, vector, created_at, updated_at FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY entity_type, entity_id, store_id ORDER BY updated_at DESC, seq DESC) AS rn,
+      MIN(created_at0) OVER (PARTITION BY entity_type, entity_id, store_id) AS created_at
+    FROM (SELECT entity_type, entity_id, store_id, model, dimensions, vector, created_at AS created_at0,
+                 updated_at, -1 AS seq FROM vectors
+          UNION ALL
+          SELECT entity_type, entity_id, 0, 'text-embedding-3-small', CAST(4 AS BIGINT),
+                 [CAST(length(text) % 7 AS FLOAT), CAST(length(text) % 11 AS FLOAT),
+                  CAST(length(text) % 13 AS FLOAT), CAST(1.0 AS FLOAT)],
+                 {ASOF_TS}, {ASOF_TS}, 0 FROM entity_texts
+          WHERE entity_id <> 0 AND entity_type NOT IN ('', '0')))   -- an empty entity id stores no vector
+  WHERE rn = 1""")
+
+oracle("embed_entities", ["embedded"], f"""SELECT entity_type, entity_id, store_id, model, dimensions, created_at,
+  updated_at, {FIRST.format(v='vector')} AS first_value, {CHECKSUM.format(v='vector')} AS checksum FROM embedded""")

@@ -12,6 +12,8 @@ from tokenloom.functions.dates import ntz
 from tokenloom.operators import entities as en
 from tokenloom.operators import guard, tasks as tk, usage
 from tokenloom.operators.infer import infer_batch
+from tokenloom.operators.vectors import save_condition, upsert_vectors
+from tokenloom.session import checkpoint_root
 from tokenloom.schemas import DEFAULT_BATCH_SIZE, DEFAULT_TIMEOUT_SECONDS
 
 
@@ -57,3 +59,28 @@ def sync_calls(conversations: DataFrame, provider_factory, prices: DataFrame, as
         F.lit(consumer).alias("consumer"), F.lit(store_id).alias("store_id"),
         ntz(as_of).alias("called_at"))
     return usage.estimate_cost(calls, prices)
+
+
+def embed_entities(products: DataFrame, categories: DataFrame, vectors: DataFrame, provider_factory,
+                   prices: DataFrame, as_of: dt.datetime, store_id: int = 0,
+                   target_dims: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Queue-all, run every embedding task, fold the outcomes into the task
+    rows and store the vectors (returns (tasks, vector table)).
+
+    Queued tasks and provider outcomes are each checkpointed once: both the
+    task fold and the vector upsert read them, and recomputing the outcomes
+    would call the provider twice.
+    """
+    checkpoint_root(products.sparkSession)
+    # The queued rows stand in for the written task table (as a sweep reads
+    # it): fixed once, so text preparation is not redone by later branches.
+    tasks = en.queue_all(products, categories, store_id=store_id, created_at=as_of).checkpoint(eager=True)
+    outcomes = infer_batch(tasks, provider_factory, target_dims).checkpoint(eager=True)
+    done = tk.apply_outcomes(tasks, outcomes, prices, as_of)
+    targets = save_condition(tasks).where("save")
+    fresh = outcomes.where("ok").join(targets, "task_id").select(
+        "entity_type", F.col("entity_id").cast("bigint").alias("entity_id"),
+        F.lit(store_id).alias("store_id"), "platform", "model",
+        F.size("vector").cast("bigint").alias("dimensions"), F.col("vector").cast("array<float>").alias("vector"),
+        ntz(as_of).alias("created_at"), ntz(as_of).alias("updated_at"), F.lit(0).alias("seq"))
+    return done, upsert_vectors(vectors, fresh)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.dates import ntz
 from tokenloom.sources.dims import ERROR_PREFIXES_DOC
-from tokenloom.sources.tables import read_table
+from tokenloom.sources.tables import read_table, spread
 
 AS_OF = dt.datetime(2024, 1, 31, 0, 5, 0)
 CALL_EPOCH = dt.datetime(2024, 1, 1, 0, 0, 0)
@@ -143,7 +143,7 @@ def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog products: ``part`` joined to a page that serves as description."""
-    part = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_size")
+    part = spread(read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_size"))
     pages = read_table(spark, sf_dir, "pages", "page_id", "html")
     n_pages = read_table(spark, sf_dir, "pages", "page_id").count()
     keyed = part.withColumn("page_id", F.col("p_partkey") % F.lit(max(n_pages, 1)))
@@ -168,7 +168,7 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def planted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    docs = spread(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
     m = F.col("doc_id") % 11
     text = (F.when(m == 0, F.concat("text", F.lit(" " + INJECTION_PHRASE)))
             .when(m == 1, F.lit(BASE64_PAYLOAD))
@@ -180,12 +180,12 @@ def planted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def planted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    pages = spread(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return pages.select("page_id", "url", F.concat("html", F.lit(HTML_ATTACK)).alias("html"))
 
 
 def planted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    conv = spread(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
     m = F.col("conv_id") % 7
     hit = (((m == 0) & (F.col("turn") == 0) & (F.col("role") == "user"))
            | ((m == 1) & F.col("role").isin("assistant", "system")))

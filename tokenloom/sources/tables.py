@@ -36,3 +36,14 @@ def read_vector_json(spark: SparkSession, path: str) -> DataFrame:
     JSON decodes to an empty array."""
     from tokenloom.operators.vectors import decode_vectors
     return decode_vectors(spark.read.parquet(path))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread rows over at least the cluster's parallelism when the input has
+    fewer partitions (a small file feeding CPU-heavy per-row work such as
+    regex screening).  Large inputs already have more splits than cores, so
+    for them this is a no-op and adds no shuffle."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
