@@ -18,11 +18,9 @@ from tokenloom.session import build_session  # noqa: E402
 
 
 def summarise(plan: str) -> dict:
-    shuffles = len(re.findall(r"\bExchange (hashpartitioning|rangepartitioning|SinglePartition|RoundRobin)", plan)) \
-        + len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition)", plan.replace("+-", "")))
     return {
-        "shuffle": len(re.findall(r"ShuffleQueryStage|Exchange hashpartitioning|Exchange rangepartitioning|"
-                                  r"Exchange SinglePartition", plan)),
+        "shuffle": len(re.findall(r"(?<!Broadcast)Exchange (hashpartitioning|rangepartitioning|"
+                                  r"RoundRobinPartitioning|SinglePartition)", plan)),
         "broadcast": len(re.findall(r"BroadcastExchange|BroadcastQueryStage", plan)),
         "bhj": plan.count("BroadcastHashJoin"),
         "smj": plan.count("SortMergeJoin"),
@@ -40,7 +38,7 @@ def main() -> None:
     spark = build_session("local[8]", 8)
     print(f"# Physical plans of the registered queries ({os.path.basename(sf)}, local[8], AQE on)\n")
     print("Generated by `scripts/plan_report.py` from the executed adaptive plan of each key. "
-          "`shuffle` counts exchanges (stages); `python` counts Arrow/pandas operators. "
+          "`shuffle` counts exchanges (hash, range, round-robin, single); `python` counts Arrow/pandas operators. "
           "Plans of streaming keys show the read-back of their sink.\n")
     print("| key | shuffle | broadcast | BHJ | SMJ | window | python | pushed filters | partition filters |")
     print("|---|---|---|---|---|---|---|---|---|")
