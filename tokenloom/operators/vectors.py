@@ -237,14 +237,47 @@ def _assign_lists(df: DataFrame, centroids: np.ndarray, id_col: str, n_probe: in
     return df.select(id_col, "vector").mapInPandas(run, "id long, list_id long")
 
 
+def _refine_centroids(v: DataFrame, cents: np.ndarray, iterations: int) -> np.ndarray:
+    """Spherical k-means steps run by Spark: each Arrow batch assigns its unit
+    vectors to the nearest centroid and emits one partial sum per centroid;
+    Spark adds the partial sums per (centroid, position), and only the
+    ``n_lists x dim`` result (bounded by the parameters) returns to the driver.
+    A centroid that attracts no vector keeps its position."""
+    dim = cents.shape[1]
+    for _ in range(iterations):
+        unit_c = cents / np.maximum(np.linalg.norm(cents, axis=1, keepdims=True), 1e-30)
+
+        def run(batches, unit_c=unit_c):
+            for pdf in batches:
+                groups = _by_dimension(pdf["vector"])
+                if dim not in groups:
+                    continue
+                _, unit = groups[dim]
+                best = np.argmax(unit @ unit_c.T, axis=1)
+                sums = np.zeros_like(unit_c)
+                np.add.at(sums, best, unit)
+                present = np.nonzero(np.bincount(best, minlength=len(unit_c)))[0]
+                yield pd.DataFrame({"list_id": present.astype(np.int64),
+                                    "s": [sums[i].tolist() for i in present]})
+
+        partial = v.select("vector").mapInPandas(run, "list_id long, s array<double>")
+        totals = partial.select("list_id", F.posexplode("s").alias("pos", "x")) \
+            .groupBy("list_id", "pos").agg(F.sum("x").alias("x")).collect()
+        new = cents.copy()
+        for r in totals:
+            new[r.list_id, r.pos] = r.x
+        cents = new
+    return cents
+
+
 def ann_topk(queries: DataFrame, vectors: DataFrame, k: int, n_lists: int = 64, n_probe: int = 4,
              query_id: str = "entity_id", vector_id: str = "entity_id", exclude_self: bool = False,
-             block: int = 16384) -> DataFrame:
+             block: int = 16384, iterations: int = 3) -> DataFrame:
     """Approximate top-k with inverted lists: every vector goes to its nearest
     centroid, every query searches its ``n_probe`` nearest lists, exactly.
 
-    Centroids are ``n_lists`` vectors chosen by a hash order (a bounded
-    sample, broadcast to the tasks).  A crowded list is cut into chunks of
+    Centroids start as ``n_lists`` vectors chosen by a hash order (a bounded
+    sample) and are refined by ``iterations`` distributed k-means steps.  A crowded list is cut into chunks of
     at most ``block`` vectors, so no group grows with the data; results are
     re-ranked exactly.  Recall is measured against ``cosine_topk`` in tests.
     """
@@ -257,6 +290,7 @@ def ann_topk(queries: DataFrame, vectors: DataFrame, k: int, n_lists: int = 64,
             "query_id", F.lit(None).cast("long").alias("neighbor_id"),
             F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("int").alias("rank"))
     cents = np.array([np.asarray(r.vector, dtype=np.float64) for r in sample])
+    cents = _refine_centroids(v, cents, iterations)
     v_lists = _assign_lists(v.withColumnRenamed("vid", "id"), cents, "id", 1) \
         .withColumnRenamed("id", "vid")
     q_lists = _assign_lists(q.withColumnRenamed("qid", "id"), cents, "id", n_probe) \
