@@ -312,7 +312,10 @@ def q_schema_evolve(spark, sf_dir):
 
 @register("latency")
 def q_latency(spark, sf_dir):
-    return tk.latency(fx.task_log(spark, sf_dir))
+    out = tk.latency(fx.task_log(spark, sf_dir))
+    return out.select("platform", "model", "tasks",
+                      *[F.round(c, 6).alias(c) for c in ["avg_wait_s", "avg_run_s", "avg_retries",
+                                                         "p50_run_s", "p95_run_s"]])
 
 
 @register("backlog")

@@ -437,11 +437,11 @@ FROM (SELECT task_id, CAST(NULL AS VARCHAR) AS task_type, status FROM tasks
 GROUP BY ALL""")
 
 oracle("latency", ["tasks"], """SELECT platform, model, COUNT(*) AS tasks,
-  AVG(date_diff('microsecond', created_at, started_at) / 1000000.0) AS avg_wait_s,
-  AVG(date_diff('microsecond', started_at, completed_at) / 1000000.0) AS avg_run_s,
-  AVG(retries) AS avg_retries,
-  quantile_cont(date_diff('microsecond', started_at, completed_at) / 1000000.0, 0.5) AS p50_run_s,
-  quantile_cont(date_diff('microsecond', started_at, completed_at) / 1000000.0, 0.95) AS p95_run_s
+  round(AVG(date_diff('microsecond', created_at, started_at) / 1000000.0), 6) AS avg_wait_s,
+  round(AVG(date_diff('microsecond', started_at, completed_at) / 1000000.0), 6) AS avg_run_s,
+  round(AVG(retries), 6) AS avg_retries,
+  round(quantile_cont(date_diff('microsecond', started_at, completed_at) / 1000000.0, 0.5), 6) AS p50_run_s,
+  round(quantile_cont(date_diff('microsecond', started_at, completed_at) / 1000000.0, 0.95), 6) AS p95_run_s
 FROM tasks WHERE platform IS NOT NULL AND started_at IS NOT NULL
 GROUP BY platform, model""")
 
