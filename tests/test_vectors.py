@@ -129,3 +129,11 @@ def test_topk_ties_go_to_smaller_id(spark):
                                          .alias("vector"))
     got = [(r.rank, r.neighbor_id) for r in vx.cosine_topk(q, df, 2).orderBy("rank").collect()]
     assert got == [(1, 5), (2, 7)]
+
+
+def test_provider_registry_capability_order(spark):
+    from tokenloom.sources.dims import provider_dim, providers_with_capability
+    got = [r.code for r in providers_with_capability(provider_dim(spark), "embed").collect()]
+    assert got == ["openai", "google", "mistral", "ollama", "generic"]
+    img = [r.code for r in providers_with_capability(provider_dim(spark), "image").collect()]
+    assert img == ["openai", "google", "openrouter", "generic"]

@@ -806,3 +806,12 @@ def q_embed_entities(spark, sf_dir):
                                    fx.vectors(spark, sf_dir), _stub, price_dim(spark), AS_OF)
     return table.select("entity_type", "entity_id", "store_id", "model", "dimensions", "created_at",
                         "updated_at", _first().alias("first_value"), _checksum().alias("checksum"))
+
+
+@register("stale_vectors")
+def q_stale_vectors(spark, sf_dir):
+    """Vectors whose product changed after the vector was written."""
+    p = fx.products(spark, sf_dir).select(
+        F.lit("product").alias("entity_type"), "entity_id",
+        F.timestamp_add("HOUR", -(F.col("entity_id") % 48), ntz(AS_OF)).alias("changed_at"))
+    return vx.stale_vectors(fx.vectors(spark, sf_dir), p)

@@ -346,3 +346,13 @@ def merge_into_vector_table(batch: DataFrame, path: str, buckets: int = VECTOR_B
 
 def read_vector_table(spark, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("bucket", "seq")
+
+
+def stale_vectors(vectors: DataFrame, changes: DataFrame) -> DataFrame:
+    """Vectors older than the latest change of their entity (re-embedding
+    candidates).  ``changes``: (entity_type, entity_id, changed_at); the
+    latest change per entity is found by partial aggregation first."""
+    latest = changes.groupBy("entity_type", "entity_id").agg(F.max("changed_at").alias("changed_at"))
+    return vectors.join(latest, ["entity_type", "entity_id"]) \
+        .where(F.col("changed_at") > F.col("updated_at")) \
+        .select("entity_type", "entity_id", "store_id", "updated_at", "changed_at")

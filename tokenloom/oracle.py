@@ -912,3 +912,10 @@ cte("embedded", ["vectors", "entity_texts"], f"""  SELECT entity_type, entity_id
 
 oracle("embed_entities", ["embedded"], f"""SELECT entity_type, entity_id, store_id, model, dimensions, created_at,
   updated_at, {FIRST.format(v='vector')} AS first_value, {CHECKSUM.format(v='vector')} AS checksum FROM embedded""")
+
+oracle("stale_vectors", ["vectors"], f"""SELECT v.entity_type, v.entity_id, v.store_id, v.updated_at, c.changed_at
+FROM vectors v JOIN (SELECT 'product' AS entity_type, p_partkey AS entity_id,
+                            MAX({ASOF_TS} - to_hours(p_partkey % 48)) AS changed_at
+                     FROM part GROUP BY ALL) c
+  ON c.entity_type = v.entity_type AND c.entity_id = v.entity_id
+WHERE c.changed_at > v.updated_at""")
