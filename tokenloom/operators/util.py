@@ -95,12 +95,16 @@ def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
     wanted = targets.select(*group_cols, "pname", "_pos", "_lo",
                             F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_rank"))
     picked = ranked.join(bounded_broadcast(wanted), [*group_cols, "_rank"], "inner")
-    lo_v = F.max(F.when(F.col("_rank") == F.col("_lo"), F.col("_v")))
-    hi_v = F.max(F.when(F.col("_rank") != F.col("_lo"), F.col("_v")))
-    agg = picked.groupBy(*group_cols, "pname", "_pos", "_lo").agg(lo_v.alias("lo_v"), hi_v.alias("hi_v"))
-    value = F.col("lo_v") + (F.col("_pos") - F.col("_lo")) * (F.coalesce("hi_v", "lo_v") - F.col("lo_v"))
-    wide = agg.groupBy(*group_cols).pivot("pname", list(percentiles)).agg(F.first(value))
-    return wide
+    # One aggregation per group: for each percentile the value at the lower
+    # rank, at the upper rank, and the interpolation position.
+    aggs = []
+    for name in percentiles:
+        mine = F.col("pname") == name
+        lo_v = F.max(F.when(mine & (F.col("_rank") == F.col("_lo")), F.col("_v")))
+        hi_v = F.max(F.when(mine & (F.col("_rank") != F.col("_lo")), F.col("_v")))
+        frac = F.max(F.when(mine, F.col("_pos") - F.col("_lo")))
+        aggs.append((lo_v + frac * (F.coalesce(hi_v, lo_v) - lo_v)).alias(name))
+    return picked.groupBy(*group_cols).agg(*aggs)
 
 
 def first_row_by(df: DataFrame, keys: list[str], order: list[Column], cols: list[str]) -> DataFrame:
