@@ -76,3 +76,11 @@ def test_sanitize_html_expected_tail_and_single_pass(spark):
     # caught only if a later step matches it (same result in both engines).
     assert got[2] == "alert(1)"
     assert got[3] == "<iframe src=x>"    # documented single-pass gap
+
+
+def test_blocklist_anchored_modifier(spark):
+    valid, _ = guard.compile_blocklist(spark, "/abc/Ai")
+    assert valid == [r"(?i)\G(?:abc)"]
+    df = _texts(spark, "ABC at start", "not abc first")
+    got = [r[0] for r in df.orderBy("id").select(guard.blocklist_hit(F.col("text"), valid)).collect()]
+    assert got == [True, False]

@@ -91,6 +91,8 @@ def to_java_regex(pattern: str) -> str | None:
     if not re.fullmatch(r"[imsxuADSUXJn]*", flags):
         return None
     java_flags = "".join(sorted({PHP_FLAG_MAP[f] for f in flags if f in PHP_FLAG_MAP}))
+    if "A" in flags:   # anchored: match only at the start of the text
+        body = f"\\G(?:{body})"
     return (f"(?{java_flags})" if java_flags else "") + body
 
 
