@@ -187,26 +187,30 @@ def replay_attempts(tasks: DataFrame, outcomes: DataFrame, prices: DataFrame,
     o = outcomes.groupBy("task_id", "attempt").agg(
         F.max_by(F.struct("ok", "response", "input_tokens", "output_tokens", "platform", "model",
                           "error"), F.col("ok")).alias("o")).select("task_id", "attempt", "o.*")
+    # Each task's retry budget travels with its outcomes, so only failures
+    # that can still change the task are looked at (no per-task lists).
+    budget = tasks.select("task_id", F.col("retries").alias("_r"), F.col("max_retries").alias("_m"))
+    o = o.join(budget, "task_id")
     per_task = Window.partitionBy("task_id")
     o = o.withColumn("first_ok", F.min(F.when(F.col("ok"), F.col("attempt"))).over(per_task))
     considered_fail = (~F.col("ok")) & (F.col("first_ok").isNull() | (F.col("attempt") < F.col("first_ok")))
     o = o.withColumn("fail_no", F.when(considered_fail, F.row_number().over(
         per_task.orderBy(F.when(considered_fail, 0).otherwise(1), "attempt"))))
+    needed = F.greatest(F.col("_m") - F.col("_r"), F.lit(0)) + 1
     agg = o.groupBy("task_id").agg(
         F.count(F.col("fail_no")).alias("f"),
         F.min_by(F.struct("response", "input_tokens", "output_tokens", "platform", "model"),
                  F.when(F.col("ok"), F.col("attempt"))).alias("win"),
         F.max("first_ok").alias("first_ok"),
-        F.map_from_entries(F.collect_list(F.when(F.col("fail_no").isNotNull(),
-                                                 F.struct("fail_no", "error")))).alias("errors"))
+        F.max_by(F.col("error"), F.when(F.col("fail_no") <= needed, F.col("fail_no"))).alias("last_error"))
     t = tasks.join(agg, "task_id", "left")
     r, m, f = F.col("retries"), F.col("max_retries"), F.col("f")
     open_ = F.col("status").isin("pending", "processing") & F.col("f").isNotNull()
     success = open_ & F.col("first_ok").isNotNull() & ((f == 0) | (r + f <= m))
     failed = open_ & ~success & (f > 0) & (r + f > m)
     requeue = open_ & ~success & ~failed
-    used_fails = F.when(failed, F.greatest(m - r, F.lit(0)) + 1).otherwise(f)
-    last_error = F.element_at(F.col("errors"), used_fails.cast("int"))
+    # the error of failure number least(f, budget): the last one that counted
+    last_error = F.col("last_error")
     now = _ts(as_of)
     out = t.select(
         *[c for c in tasks.columns if c not in ("status", "retries", "error_message", "completed_at",
