@@ -82,8 +82,8 @@ def vector_health(vectors: DataFrame) -> DataFrame:
         F.count("*").alias("vectors"),
         F.count(F.when(F.coalesce(F.size("vector"), F.lit(0)) <= 0, 1)).alias("empty_vectors"),
         F.count(F.when(F.size("vector") != F.col("dimensions"), 1)).alias("dimension_mismatch"))
-    w = Window.partitionBy("entity_type")
-    return per.withColumn("models_for_type", F.size(F.collect_set("model").over(w)))
+    models = per.groupBy("entity_type").agg(F.countDistinct("model").cast("int").alias("models_for_type"))
+    return per.join(models, "entity_type")
 
 
 def _falsy(c: Column) -> Column:
