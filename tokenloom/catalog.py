@@ -523,7 +523,7 @@ def q_first_prompt(spark, sf_dir):
 def q_parse_call_log(spark, sf_dir):
     lines = en.format_call_log(priced_calls(spark, sf_dir)).unionByName(
         read_table(spark, sf_dir, "documents", "text").select(F.col("text").alias("value")))
-    p = en.parse_call_log(lines)
+    p = en.parse_call_log(spread(lines))
     return p.select("parsed", "called_at", "consumer", "platform", "model", "input_tokens",
                     "output_tokens", "estimated_cost", F.md5("rejected_line").alias("rejected_md5"))
 
