@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -60,3 +61,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, unique sub-folder of the checkpoint root for one run."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/tokenloom/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once per application, so
+    that Python functions can be unpickled whatever their working directory."""
+    sc = spark.sparkContext
+    done = f"{FALLBACK_KEY}.shipped"
+    if spark.conf.get(done, None) == sc.applicationId:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tokenloom-ship-"), "tokenloom-package.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(home):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(home)))
+    sc.addPyFile(path)
+    spark.conf.set(done, sc.applicationId)
