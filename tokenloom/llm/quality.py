@@ -28,7 +28,7 @@ RULES = {
     "repeated_windows": "100 * n_repeat_words > 50 * n_words",
     "word_length": "word_chars < 2 * n_words or word_chars > 20 * n_words",
     "symbols": "10 * n_symbols > n_words",
-    "duplicate_lines": "100 * n_dup_lines > 30 * n_lines",
+    "duplicate_lines": "100 * n_dup_lines > 50 * n_lines",
     "shouting": "100 * n_upper > 50 * n_letters",
     "few_letters": "100 * n_letters < 60 * word_chars",
     "marks": "n_marks > n_words",
@@ -148,7 +148,7 @@ with d as (
   select doc_id, coalesce(text, '') as t from documents
 ), m as (
   select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w,
-         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as l
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l
   from d
 ), wins as (
   select row_number() over () as k, doc_id, t, w, l from m
@@ -173,7 +173,7 @@ with d as (
 ), f as (
   select *, ((n_words < 50)::int * 1 + (100 * n_repeat_words > 50 * n_words)::int * 2
     + (word_chars < 2 * n_words or word_chars > 20 * n_words)::int * 4
-    + (10 * n_symbols > n_words)::int * 8 + (100 * n_dup_lines > 30 * n_lines)::int * 16
+    + (10 * n_symbols > n_words)::int * 8 + (100 * n_dup_lines > 50 * n_lines)::int * 16
     + (100 * n_upper > 50 * n_letters)::int * 32 + (100 * n_letters < 60 * word_chars)::int * 64
     + (n_marks > n_words)::int * 128)::bigint as failures from b
 )

@@ -37,11 +37,16 @@ from tokenloom.llm.common import text_slices
 
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 3000, 20_000
 WINDOW = 8
-GRAMS = (5, 6)           # letter groups (with word edges) that can mark toxic text
-COVER = (4, 5, 6, 7, 8)  # letter groups that ordinary words have to cover
+GRAMS = (6, 7, 8, 9, 10)   # letter groups (with word edges) that can mark toxic text, beside whole words
+COVER = (6, 7, 8, 9)       # letter groups that ordinary words have to cover
+SEEN = 0.3                 # a training text with more known five-word shingles is a copy
 MIN_SHARE, MIN_RATIO = 0.01, 20.0
 BACKGROUND_BYTES = 4096
-LEVEL, MIN_MATCH = 5, 5
+LEVEL, MIN_MATCH = 5, 6
+# Both dictionaries end in this text and every window starts with it, so each
+# window has one long match and its length counts bytes rather than whether a
+# block is worth compressing at all.
+LEAD = bytes(range(1, 9)) + bytes(range(14, 32))
 
 MARKS = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\n\x0b\x0c\r"})
 
@@ -55,9 +60,29 @@ def _grams(word: str, sizes: tuple[int, ...]) -> set[str]:
     return {v[i:i + n] for n in sizes for i in range(len(v) - n + 1)}
 
 
+def _marks_of(word: str) -> set[str]:
+    return _grams(word, GRAMS) | {f" {word} "}
+
+
+def without_copies(rows: list[str]) -> list[str]:
+    """The texts that aren't mostly made of earlier ones: a group of copies
+    would make its own words look typical of its class."""
+    seen: set[int] = set()
+    out = []
+    for text in rows:
+        w = words_in(text)
+        shingles = {hash(tuple(w[i:i + 5])) for i in range(max(1, len(w) - 4))}
+        if len(shingles & seen) <= SEEN * len(shingles):
+            out.append(text)
+        seen |= shingles
+    return out
+
+
 def _segments(word: str, marks: set[str]) -> list[str]:
     """The parts of a word (with its edges) that marking groups cover."""
     v = f" {word} "
+    if v in marks:
+        return [v]
     on = [False] * len(v)
     for n in GRAMS:
         for i in range(len(v) - n + 1):
@@ -81,10 +106,10 @@ def build_dictionaries(toxic: list[str], clean: list[str]) -> tuple[bytes, bytes
     for t in clean:
         distinct = set(words_in(t))
         clean_words.update(distinct)
-        in_clean.update(set().union(*(_grams(w, GRAMS) for w in distinct)) if distinct else ())
+        in_clean.update(set().union(*map(_marks_of, distinct)) if distinct else ())
     in_toxic: Counter[str] = Counter()
     for distinct in toxic_words:
-        in_toxic.update(set().union(*(_grams(w, GRAMS) for w in distinct)) if distinct else ())
+        in_toxic.update(set().union(*map(_marks_of, distinct)) if distinct else ())
     least = max(3, MIN_SHARE * len(toxic))
     marks = {g for g, n in in_toxic.items()
              if n >= least and n / len(toxic) >= MIN_RATIO * (in_clean[g] + 0.5) / len(clean)}
@@ -108,7 +133,7 @@ def build_dictionaries(toxic: list[str], clean: list[str]) -> tuple[bytes, bytes
             ordinary.append(w)
             size += len(w.encode()) + 1
     background = (" " + " ".join(reversed(ordinary)) + " ").encode()
-    return toxic_part.encode() + b"\n" + background, background
+    return toxic_part.encode() + b"\n" + background + LEAD, background + LEAD
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -131,7 +156,7 @@ class Scorer:
         top = [0, 0, 0]
         toxic, ordinary = self.toxic.compress, self.ordinary.compress
         for i in range(0, len(words), WINDOW):
-            window = f" {' '.join(words[i:i + WINDOW])} ".encode("utf-8", "replace")
+            window = LEAD + f" {' '.join(words[i:i + WINDOW])} ".encode("utf-8", "replace")
             gain = len(ordinary(window)) - len(toxic(window))
             if gain > top[2]:
                 top = sorted([*top, gain], reverse=True)[:3]
@@ -146,6 +171,7 @@ def fit(toxic: list[str], clean: list[str]) -> Model | None:
     pick = lambda rows, held: [t for i, t in enumerate(rows) if (i % 3 == 2) == held]
     if not toxic or not clean:
         return None
+    toxic, clean = without_copies(toxic), without_copies(clean)
     model = Model(*build_dictionaries(pick(toxic, False), pick(clean, False)), 0.5)
     scorer = Scorer(model)
     t = sorted(scorer.distance(x) for x in (pick(toxic, True) or toxic))
