@@ -33,7 +33,7 @@ not every pair in it is enumerated.
 Defined results: null and blank texts have no shingles: they are copies of
 each other (one class).  Rows that repeat a doc_id are judged as rows of one
 document: equal rows collapse; a doc_id with different texts belongs to the
-class of each, so these classes join.
+class of each, so these classes join.  A null doc_id is an id, the smallest.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import materialise, mix64, words_of
@@ -55,6 +55,7 @@ SMALL = 24
 DEPTH = 10
 RECALL = 0.999
 SCREEN = 0.62        # three and a half standard deviations below the threshold
+NO_ID = -(1 << 63)    # stands for a null doc_id inside the operator
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - THRESHOLD ** 2))
 
 
@@ -123,9 +124,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "n", "d1", "d2", "sketch"])
 
 
+def ident() -> Column:
+    return F.coalesce("doc_id", F.lit(NO_ID))
+
+
 def word_hashes(docs: DataFrame) -> DataFrame:
     words = words_of(F.lower("text"))
-    return docs.select("doc_id", F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
+    return docs.select(ident().alias("doc_id"), F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
 
 
 def texts_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -269,7 +274,8 @@ def verified_links(docs: DataFrame, members: DataFrame, texts: DataFrame, pairs:
     # One document stands for each text; equal sets, so any would do.
     stand = members.groupBy("t").agg(F.min("doc_id").alias("doc_id")).join(needed, "t", "left_semi")
     stand = materialise(stand, "jaccard-standins")
-    words = word_hashes(docs.join(stand.select("doc_id"), "doc_id", "left_semi"))
+    keyed = docs.select(ident().alias("doc_id"), "text")
+    words = word_hashes(keyed.join(stand.select("doc_id"), "doc_id", "left_semi"))
     sets = words.join(stand, "doc_id").select("t", "words").mapInArrow(_sets, "t long, shingles binary") \
         .dropDuplicates(["t"])
     sets = materialise(sets, "jaccard-sets")
@@ -321,17 +327,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     per_text = materialise(named.join(low, "label").join(degree, "t", "left").select(
         "t", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
         "jaccard-texts-out")
+    named_id = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
     return members.join(per_text, "t").groupBy("doc_id").agg(
-        F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"), F.max("copies").alias("text_copies"))
+        F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"), F.max("copies").alias("text_copies")) \
+        .select(named_id("doc_id"), named_id("class_id"), "n_links", "text_copies")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """All columns of the documents that are their class's smallest doc_id;
-    equal doc_ids keep one row (the smallest by text)."""
-    classes = materialise(near_duplicates(docs).where("doc_id = class_id").select(
-        F.col("doc_id").alias("_keep")), "jaccard-keep")
-    kept = docs.join(classes, docs["doc_id"] == classes["_keep"], "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    rows that repeat a doc_id give one row, the smallest."""
+    classes = materialise(near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
+        ident().alias("_keep")), "jaccard-keep")
+    kept = docs.withColumn("_ident", ident()).join(classes, F.col("_ident") == F.col("_keep"), "left_semi")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    return kept.groupBy("_ident").agg(F.min(row).alias("_row")).select("_row.*")
 
 
 def op2(docs: DataFrame) -> DataFrame:
