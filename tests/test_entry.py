@@ -1,3 +1,5 @@
+import pytest
+
 import __spark_entry__ as entry_mod
 
 
@@ -10,7 +12,7 @@ def test_entry_runs(spark):
 def test_every_query_has_oracle_or_is_listed():
     q, o = entry_mod.queries(), entry_mod.oracle_sql()
     assert set(o) <= set(q)
-    missing = set(q) - set(o)
+    missing = set(entry_mod.QUERIES) - set(o)
     assert missing <= {"ann_topk"}, missing   # approximate: checked for recall in test_vectors
 
 
@@ -28,6 +30,7 @@ def test_checkpoint_root_when_unset():
 
     class SC:
         dir = None
+        master = "local[4]"
 
         def getCheckpointDir(self):
             return self.dir
@@ -43,3 +46,8 @@ def test_checkpoint_root_when_unset():
     root = checkpoint_root(s)
     assert s.sparkContext.dir == root and s.conf[FALLBACK_KEY] == root
     assert checkpoint_root(s) == root
+    cluster = S()
+    cluster.conf, cluster.sparkContext = Conf(), SC()
+    cluster.sparkContext.master = "spark://host:7077"
+    with pytest.raises(ValueError):
+        checkpoint_root(cluster)

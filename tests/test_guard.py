@@ -84,3 +84,12 @@ def test_blocklist_anchored_modifier(spark):
     df = _texts(spark, "ABC at start", "not abc first")
     got = [r[0] for r in df.orderBy("id").select(guard.blocklist_hit(F.col("text"), valid)).collect()]
     assert got == [True, False]
+
+
+def test_blocklist_boundary_is_ascii_without_u_flag(spark):
+    from tokenloom.operators.guard import blocklist_hit, compile_blocklist
+    valid, rejected = compile_blocklist(spark, "/\\bsecret\\b/i\n/(unclosed/\n/[\\b]x/")
+    assert len(valid) == 2 and rejected == ["/(unclosed/"]
+    df = spark.createDataFrame([("secreté x",), ("a Secret.",), ("secrets",)], "t string")
+    hits = [r[0] for r in df.select(blocklist_hit(F.col("t"), valid[:1])).collect()]
+    assert hits == [True, True, False]

@@ -196,3 +196,36 @@ def test_embeddings_are_sent_in_batches(spark, small):
     out = inf.infer_batch(t, Counting, embed_batch_size=16).collect()
     assert len(out) == n and all(r.ok and len(r.vector) == 4 for r in out)
     assert calls.value < n / 4     # grouped per (platform, model), 16 texts per call
+
+
+def test_batched_embedding_keeps_billed_tokens(spark):
+    """Tokens differ from characters; batching must not change them."""
+    from tokenloom.operators import infer as inf
+
+    class ThreeEach(inf.StubProvider):
+        def embed(self, texts, options):
+            return super().embed(texts, options)[0], 3 * len(texts)
+
+    class Listed(inf.StubProvider):
+        def embed(self, texts, options):
+            return super().embed(texts, options)[0], [len(t) % 5 + 1 for t in texts]
+
+    msgs = ['[{"role": "user", "content": "%s"}]' % ("x" * 400) for _ in range(5)]
+    t = spark.createDataFrame([(i, "embedding", m, 0) for i, m in enumerate(msgs)],
+                              "task_id long, task_type string, messages string, retries int")
+    for provider in (ThreeEach, Listed):
+        got = [{r.task_id: r.input_tokens for r in inf.infer_batch(t, provider, embed_batch_size=n).collect()} for n in (1, 4)]
+        assert got[0] == got[1] == {i: 3 if provider is ThreeEach else 1 for i in range(5)}
+    assert inf._tokens_per_text(10, ["aa", "bbbb", "c"]) == [3, 6, 1]
+
+
+def test_latency_of_tasks_without_model(spark):
+    import datetime as dt
+
+    from tokenloom.operators.tasks import latency
+    at = dt.datetime(2024, 1, 1)
+    rows = [("p", None, 0, at, at, at + dt.timedelta(seconds=s)) for s in (1, 2, 2, 5)]
+    t = spark.createDataFrame(rows, "platform string, model string, retries int, created_at timestamp_ntz, "
+                                    "started_at timestamp_ntz, completed_at timestamp_ntz")
+    r = latency(t).first()
+    assert (r.p50_run_s, round(r.p95_run_s, 6)) == (2.0, 4.55)

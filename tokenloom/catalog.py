@@ -630,7 +630,8 @@ def q_stream_usage(spark, sf_dir):
     calls = priced_calls(spark, sf_dir)
     agg = st.stream_usage(_day_stream(spark, calls, "called_at", "calls"), LATE_TOLERANCE)
     out = scratch_path(spark, "stream-usage-out")
-    st.run_batches(agg, st.batch_folder_writer(out), scratch_path(spark, "stream-usage-ckpt"), "update")
+    st.run_batches(agg, st.batch_folder_writer(out, spark.createDataFrame([], agg.schema)),
+                   scratch_path(spark, "stream-usage-ckpt"), "update")
     return st.latest_per_key(spark, out, ["consumer", "platform", "model", "store_id", "period_date"],
                              agg.schema)
 

@@ -162,7 +162,7 @@ def parse_call_log(lines: DataFrame, col: str = "value") -> DataFrame:
     """
     v = F.col(col)
     ok = v.rlike(CALL_LOG_LINE)
-    parts = F.split(v, " ")
+    parts = F.when(ok, F.split(v, " "))   # rejected lines are never split
 
     def field(i: int, prefix: int) -> Column:
         return F.when(F.col("parsed"), F.expr(f"substring(_parts[{i}], {prefix + 1})"))

@@ -79,6 +79,28 @@ def parse_blocklist(text: str | None) -> list[str]:
     return [ln for ln in lines if ln not in ("", "0")]
 
 
+# A word boundary over ASCII letters, digits and underscore.
+ASCII_BOUNDARY = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+ASCII_NO_BOUNDARY = "(?:(?<=[A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<![A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def ascii_boundaries(body: str) -> str:
+    """``\\b`` and ``\\B`` outside character classes, read as ASCII boundaries."""
+    out, i, in_class = [], 0, False
+    while i < len(body):
+        c = body[i]
+        if c == "\\" and i + 1 < len(body):
+            pair = body[i:i + 2]
+            # inside a class \\b is the backspace
+            out.append(pair.replace("\\b", "\\x08") if in_class else {"\\b": ASCII_BOUNDARY, "\\B": ASCII_NO_BOUNDARY}.get(pair, pair))
+            i += 2
+            continue
+        in_class = c == "[" or (in_class and c != "]")
+        out.append(c)
+        i += 1
+    return "".join(out)
+
+
 def to_java_regex(pattern: str) -> str | None:
     """``/body/flags`` (any delimiter) -> ``(?flags)body``; None if malformed."""
     if len(pattern) < 2 or pattern[0].isalnum() or pattern[0] == "\\" or pattern[0].isspace():
@@ -90,6 +112,8 @@ def to_java_regex(pattern: str) -> str | None:
     body, flags = pattern[1:end], pattern[end + 1:]
     if not re.fullmatch(r"[imsxuADSUXJn]*", flags):
         return None
+    if "u" not in flags:
+        body = ascii_boundaries(body)
     java_flags = "".join(sorted({PHP_FLAG_MAP[f] for f in flags if f in PHP_FLAG_MAP}))
     if "A" in flags:   # anchored: match only at the start of the text
         body = f"\\G(?:{body})"
@@ -111,7 +135,9 @@ def compile_blocklist(spark: SparkSession, text: str | None) -> tuple[list[str],
         try:
             spark.range(1).select(F.lit("").rlike(java)).collect()
             valid.append(java)
-        except Exception:  # noqa: BLE001 - JVM pattern syntax error
+        except Exception as exc:  # noqa: BLE001 - anything but a pattern error is raised again
+            if "PatternSyntaxException" not in str(exc) and "INVALID_PARAMETER_VALUE.PATTERN" not in str(exc):
+                raise
             rejected.append(line)
     return valid, rejected
 

@@ -80,6 +80,7 @@ def _run_one(provider: Provider, row, target_dims: int) -> dict:
             text = (msgs[0].get("content") if msgs and isinstance(msgs[0], dict) else "") or ""
             opts = {"model": model, **({"dimensions": target_dims} if target_dims > 0 else {})}
             vecs, tin = provider.embed([text], opts)
+            tin = _tokens_per_text(tin, [text])[0]
             vec = [float(x) for x in (vecs[0] if vecs else [])]
             return {**base, "ok": True, "response": json.dumps(vec), "input_tokens": tin, "output_tokens": 0,
                     "vector": vec}
@@ -104,29 +105,48 @@ def _embed_chunk(provider: Provider, rows: list, target_dims: int) -> list[dict]
         texts.append((msgs[0].get("content") if msgs and isinstance(msgs[0], dict) else "") or "")
     opts = {"model": model, **({"dimensions": target_dims} if target_dims > 0 else {})}
     try:
-        vecs, _ = provider.embed(texts, opts)
+        vecs, tokens = provider.embed(texts, opts)
         if len(vecs) != len(rows):
             raise ValueError("provider returned a different number of vectors")
+        counts = _tokens_per_text(tokens, texts)
     except Exception:  # noqa: BLE001 - isolate the failing text
         return [_run_one(provider, r, target_dims) for r in rows]
     out = []
-    for r, text, vec in zip(rows, texts, vecs):
+    for r, count, vec in zip(rows, counts, vecs):
         vec = [float(x) for x in vec]
         out.append({"task_id": int(r.task_id), "attempt": int(r.retries) + 1, "ok": True,
-                    "response": json.dumps(vec), "input_tokens": len(text), "output_tokens": 0,
+                    "response": json.dumps(vec), "input_tokens": count, "output_tokens": 0,
                     "platform": platform, "model": model, "error": None, "vector": vec})
     return out
 
 
+def _tokens_per_text(tokens, texts: list[str]) -> list[int]:
+    """Billed tokens of each text: as reported when the provider lists them,
+    else its total shared out by length in characters (largest remainder, so
+    the sum is the reported total)."""
+    if isinstance(tokens, (list, tuple)):
+        if len(tokens) != len(texts):
+            raise ValueError("provider returned a different number of token counts")
+        return [int(t) for t in tokens]
+    weights = [len(t) for t in texts]
+    if not sum(weights):
+        weights = [1] * len(texts)
+    exact = [int(tokens) * w / sum(weights) for w in weights]
+    counts = [int(x) for x in exact]
+    for i in sorted(range(len(texts)), key=lambda i: (counts[i] - exact[i], i))[:int(tokens) - sum(counts)]:
+        counts[i] += 1
+    return counts
+
+
 def infer_batch(tasks: DataFrame, provider_factory: Callable[[], Provider], target_dims: int = 0,
                 embed_batch_size: int = 64) -> DataFrame:
     """One outcome per task row.  ``provider_factory`` runs once per partition
     on the executor (build HTTP clients there, not on the driver).
 
     Embedding tasks of one (platform, model) are sent ``embed_batch_size``
-    texts per provider call instead of one call per text.  Token counts of a
-    batched call are attributed per text by its length in characters, as the
-    provider reports one total."""
+    texts per provider call instead of one call per text.  ``embed`` returns
+    the vectors and either the tokens of each text or their total, which is
+    then shared out so that its sum is kept."""
     cols = [F.col(c) if c in tasks.columns else F.lit(None).cast("string").alias(c) for c in TASK_INPUT_COLS]
     names = [f.name for f in OUTCOME_SCHEMA.fields]
 

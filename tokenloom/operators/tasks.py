@@ -281,7 +281,10 @@ def latency(tasks: DataFrame, exact: bool = True) -> DataFrame:
         pct = t.groupBy("platform", "model").agg(
             F.percentile_approx("run_s", 0.5, 10000).cast("double").alias("p50_run_s"),
             F.percentile_approx("run_s", 0.95, 10000).cast("double").alias("p95_run_s"))
-    return base.join(pct, ["platform", "model"], "left")
+    # A task without model is a group of its own: match null keys too.
+    pct = pct.withColumnsRenamed({"platform": "_platform", "model": "_model"})
+    same = F.col("platform").eqNullSafe(F.col("_platform")) & F.col("model").eqNullSafe(F.col("_model"))
+    return base.join(pct, same, "left").drop("_platform", "_model")
 
 
 def backlog(tasks: DataFrame, as_of: dt.datetime) -> DataFrame:

@@ -18,8 +18,8 @@ DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
 def is_bounded(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows (a distributed count)."""
+    return df.count() <= max_rows
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
@@ -66,7 +66,13 @@ def running_total(df: DataFrame, value: str, order_cols: list[str],
         Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_slice", *pcols,
                             F.sum("_slice_total").over(prior_w).alias("_offset"))
-    joined = local.join(F.broadcast(offsets), ["_slice", *pcols], "left")
+    # One row per slice and key: small beside the data, so adaptive execution
+    # picks the join; keys may be null.
+    offsets = offsets.select(F.col("_offset"), *[F.col(c).alias(f"_o_{c}") for c in ["_slice", *pcols]])
+    match = F.col("_slice") == F.col("_o__slice")
+    for c in pcols:
+        match = match & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    joined = local.join(offsets, match, "left").drop(*[f"_o_{c}" for c in ["_slice", *pcols]])
     return joined.withColumn(out, F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0))) \
         .drop("_slice", "_local", "_offset")
 
@@ -79,11 +85,13 @@ def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
     Equal to SQL ``percentile_cont`` / Spark ``percentile`` but never holds
     a group's values in one buffer: ranks come from ``running_total``.
     """
+    # Equal values are one row with their count, so ties cost nothing and the
+    # ranking shuffles distinct values only.
     data = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")) \
-        .where(F.col("_v").isNotNull()).withColumn("_one", F.lit(1).cast("bigint"))
-    ranked = running_total(data, "_one", ["_v"], group_cols,
-                           out="_rank", slices=slices, rows_per_slice=rows_per_slice)
-    counts = data.groupBy(*group_cols).agg(F.count("*").alias("_n"))
+        .where(F.col("_v").isNotNull()).groupBy(*group_cols, "_v").agg(F.count("*").alias("_same"))
+    ranked = running_total(data, "_same", ["_v"], group_cols,
+                           out="_last", slices=slices, rows_per_slice=rows_per_slice)
+    counts = ranked.groupBy(*group_cols).agg(F.sum("_same").alias("_n"))
     specs = F.array(*[F.struct(F.lit(name).alias("pname"), F.lit(float(p)).alias("p"))
                       for name, p in percentiles.items()])
     targets = counts.select(*group_cols, "_n", F.explode(specs).alias("s")).select(
@@ -94,14 +102,19 @@ def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
                              F.ceil("_pos").cast("bigint").alias("_hi"))
     wanted = targets.select(*group_cols, "pname", "_pos", "_lo",
                             F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_rank"))
-    picked = ranked.join(bounded_broadcast(wanted), [*group_cols, "_rank"], "inner")
+    # Group keys may be null (a task without model): match them null-safely.
+    wanted = wanted.select(*[F.col(c).alias(f"_w_{c}") for c in [*group_cols, "_rank"]], "pname", "_pos", "_lo")
+    match = (F.col("_w__rank") <= F.col("_last")) & (F.col("_w__rank") > F.col("_last") - F.col("_same"))
+    for c in group_cols:
+        match = match & F.col(c).eqNullSafe(F.col(f"_w_{c}"))
+    picked = ranked.join(bounded_broadcast(wanted), match, "inner")
     # One aggregation per group: for each percentile the value at the lower
     # rank, at the upper rank, and the interpolation position.
     aggs = []
     for name in percentiles:
         mine = F.col("pname") == name
-        lo_v = F.max(F.when(mine & (F.col("_rank") == F.col("_lo")), F.col("_v")))
-        hi_v = F.max(F.when(mine & (F.col("_rank") != F.col("_lo")), F.col("_v")))
+        lo_v = F.max(F.when(mine & (F.col("_w__rank") == F.col("_lo")), F.col("_v")))
+        hi_v = F.max(F.when(mine & (F.col("_w__rank") != F.col("_lo")), F.col("_v")))
         frac = F.max(F.when(mine, F.col("_pos") - F.col("_lo")))
         aggs.append((lo_v + frac * (F.coalesce(hi_v, lo_v) - lo_v)).alias(name))
     return picked.groupBy(*group_cols).agg(*aggs)

@@ -14,20 +14,23 @@ from tokenloom.operators import guard, tasks as tk, usage
 from tokenloom.operators.infer import infer_batch
 from tokenloom.operators.vectors import save_condition, upsert_vectors
 from tokenloom.session import checkpoint_root
-from tokenloom.schemas import DEFAULT_BATCH_SIZE, DEFAULT_TIMEOUT_SECONDS
+from tokenloom.schemas import DEFAULT_TIMEOUT_SECONDS
 
 
 def queue_sweep(tasks: DataFrame, provider_factory, prices: DataFrame, as_of: dt.datetime,
-                batch_size: int = DEFAULT_BATCH_SIZE, timeout_seconds: int = DEFAULT_TIMEOUT_SECONDS,
+                batch_size: int | None = None, timeout_seconds: int = DEFAULT_TIMEOUT_SECONDS,
                 target_dims: int = 0) -> tuple[DataFrame, DataFrame]:
     """Recover timed-out tasks, pick the next batch, run it, fold the outcomes.
 
-    Returns (new task log, outcomes).  ``batch_size=None`` runs every pending
-    task in parallel instead of the reference's small sequential batch.
+    Returns (new task log, outcomes); every pending task runs, in parallel,
+    unless ``batch_size`` limits the sweep.  The outcomes are written before
+    they are folded, so the provider is called once per task however often the
+    two results are read.
     """
     recovered = tk.recover_timeouts(tasks, as_of, timeout_seconds)
     chosen = tk.next_batch(recovered, batch_size) if batch_size else tk.pending_tasks(recovered)
-    outcomes = infer_batch(chosen, provider_factory, target_dims)
+    checkpoint_root(tasks.sparkSession)
+    outcomes = infer_batch(chosen, provider_factory, target_dims).checkpoint(eager=True)
     return tk.apply_outcomes(recovered, outcomes, prices, as_of), outcomes
 
 

@@ -43,13 +43,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 
     Only when the setting is absent (local tests) is a private folder
     created; it is registered with ``setCheckpointDir`` and remembered under
-    a library key (core settings cannot be changed at runtime), so cluster
-    jobs never write to a machine-local path.
+    a library key (core settings cannot be changed at runtime).  On any other
+    master a missing setting is an error: executors can't see a private folder.
     """
     sc = spark.sparkContext
     root = (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
             or spark.conf.get(FALLBACK_KEY, None))
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tokenloom-ckpt-")
         spark.conf.set(FALLBACK_KEY, root)
     if sc.getCheckpointDir() is None:

@@ -167,16 +167,24 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PLANTED_ID = 1_000_000_000   # ids of added attack rows start here
+
+
 def planted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its whole text (some with an attack appended), and
+    further rows under new ids whose text is a hidden payload."""
     docs = spread(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
     m = F.col("doc_id") % 11
     text = (F.when(m == 0, F.concat("text", F.lit(" " + INJECTION_PHRASE)))
-            .when(m == 1, F.lit(BASE64_PAYLOAD))
-            .when(m == 2, F.lit("xy " + BASE64_PAYLOAD))
             .when(m == 3, F.concat("text", F.lit(SSN_TRAP)))
             .when(m == 4, F.concat("text", F.lit(SECRET_WORD)))
             .otherwise(F.col("text")))
-    return docs.select("doc_id", text.alias("text"), "lang", "source")
+    own = F.struct("doc_id", text.alias("text"))
+    payload = F.when(m == 1, F.lit(BASE64_PAYLOAD)).otherwise(F.lit("xy " + BASE64_PAYLOAD))
+    added = F.struct((F.col("doc_id") + PLANTED_ID).alias("doc_id"), payload.alias("text"))
+    # One generator rather than a union, so the screens above it run once.
+    rows = F.when(m.isin(1, 2), F.array(own, added)).otherwise(F.array(own))
+    return docs.select(F.explode(rows).alias("r"), "lang", "source").select("r.doc_id", "r.text", "lang", "source")
 
 
 def planted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tokenloom.functions.dates import ntz
 from tokenloom.operators import entities as en
@@ -67,19 +68,23 @@ def run_batches(stream: DataFrame, handle, checkpoint: str, mode: str = "update"
     q.awaitTermination()
 
 
-def batch_folder_writer(out_root: str):
-    """Write each micro-batch to ``out_root/batch_id=N`` (overwrite = idempotent retry)."""
+def batch_folder_writer(out_root: str, empty: DataFrame | None = None):
+    """Write each micro-batch to ``out_root/batch_id=N`` (overwrite = idempotent
+    retry).  ``empty``, a frame without rows, is written first if given, so the
+    folder exists even when the stream emits nothing."""
+    if empty is not None:
+        empty.write.mode("overwrite").parquet(f"{out_root}/batch_id=-1")
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out_root}/batch_id={batch_id}")
     return handle
 
 
-def latest_per_key(spark: SparkSession, out_root: str, keys: list[str], schema) -> DataFrame:
-    """Collapse update-mode batch folders: the row of the highest batch id per key."""
-    try:
-        df = spark.read.schema(schema.add("batch_id", "long")).parquet(out_root)
-    except Exception:  # noqa: BLE001 - nothing was emitted
-        return spark.createDataFrame([], schema)
+def latest_per_key(spark: SparkSession, out_root: str, keys: list[str], schema: StructType) -> DataFrame:
+    """Collapse update-mode batch folders: the row of the highest batch id per
+    key.  A missing or unreadable folder is an error."""
+    stored = StructType([*schema.fields, StructField("batch_id", LongType())])
+    df = spark.read.schema(stored).parquet(out_root)
     cols = [c for c in df.columns if c not in keys and c != "batch_id"]
     best = F.max_by(F.struct(*cols), F.col("batch_id"))
     return df.groupBy(*keys).agg(best.alias("r")).select(*keys, "r.*")
