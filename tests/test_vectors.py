@@ -137,3 +137,13 @@ def test_provider_registry_capability_order(spark):
     assert got == ["openai", "google", "mistral", "ollama", "generic"]
     img = [r.code for r in providers_with_capability(provider_dim(spark), "image").collect()]
     assert img == ["openai", "google", "openrouter", "generic"]
+
+
+def test_ann_answers_every_dimension(spark):
+    from tokenloom.operators.vectors import ann_topk, cosine_topk
+    rows = [(i, [float(i + 1), 1.0] if i % 2 else [1.0, float(i), 2.0]) for i in range(12)]
+    v = spark.createDataFrame(rows, "entity_id long, vector array<double>")
+    key = lambda df: sorted((r.query_id, r.rank, r.neighbor_id) for r in df.collect())
+    exact = key(cosine_topk(v, v, 2, exclude_self=True))
+    assert key(ann_topk(v, v, 2, n_lists=3, n_probe=3, exclude_self=True)) == exact
+    assert len({q for q, _, _ in exact}) == 12

@@ -53,11 +53,6 @@ PII_PATTERNS = [
 FORBIDDEN_TAGS = ["script", "iframe", "object", "embed", "form", "base", "link", "meta", "style"]
 
 
-def injection_regex() -> str:
-    """All patterns as one case-insensitive alternation."""
-    return "(?i)" + "|".join(f"(?:{p})" for p in INJECTION_PATTERNS)
-
-
 def injection_regexes() -> list[str]:
     """One case-insensitive regex per pattern.  Measured on sf0.1 documents,
     OR-ing them (each keeps Java's literal-prefix scan, and the OR stops at

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import regex as rx
 from tokenloom.operators.tasks import enqueue
-from tokenloom.operators.util import bounded_broadcast
 from tokenloom.schemas import MESSAGES_TYPE
 
 # Call-log line layout.
@@ -107,12 +106,13 @@ def queue_all(products: DataFrame, categories: DataFrame, include_products: bool
     return embed_tasks(texts, store_id, created_at)
 
 
-def missing_vectors(texts: DataFrame, vectors: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Entities with text but neither a stored vector nor an open embedding task."""
-    have = vectors.select("entity_type", "entity_id").distinct()
+def missing_vectors(texts: DataFrame, vectors: DataFrame, tasks: DataFrame, store_id: int = 0) -> DataFrame:
+    """Entities with text but, in this store, neither a stored vector nor an
+    open embedding task (vectors are keyed by entity and store)."""
+    have = vectors.where(F.col("store_id") == store_id).select("entity_type", "entity_id").distinct()
     ctx = F.from_json("context", "map<string,string>")
     queued = tasks.where(F.col("status").isin("pending", "processing")
-                         & (F.col("task_type") == "embedding")) \
+                         & (F.col("task_type") == "embedding") & (F.col("store_id") == store_id)) \
         .select(F.try_element_at(ctx, F.lit("entity_type")).alias("entity_type"),
                 F.try_element_at(ctx, F.lit("entity_id")).cast("bigint").alias("entity_id")) \
         .where(F.col("entity_id").isNotNull()).distinct()
@@ -177,8 +177,3 @@ def parse_call_log(lines: DataFrame, col: str = "value") -> DataFrame:
         field(5, 3).cast("bigint").alias("input_tokens"), field(6, 4).cast("bigint").alias("output_tokens"),
         field(7, 6).cast("decimal(10,6)").alias("estimated_cost"),
         F.when(~F.col("parsed"), F.col(col)).alias("rejected_line"))
-
-
-def lookup(keys: DataFrame, table: DataFrame, on: list[str], max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Batch key look-up (broadcast only a proven-small key table)."""
-    return table.join(bounded_broadcast(keys.select(*on).distinct(), max_broadcast_rows), on, "inner")

@@ -118,10 +118,3 @@ def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
         frac = F.max(F.when(mine, F.col("_pos") - F.col("_lo")))
         aggs.append((lo_v + frac * (F.coalesce(hi_v, lo_v) - lo_v)).alias(name))
     return picked.groupBy(*group_cols).agg(*aggs)
-
-
-def first_row_by(df: DataFrame, keys: list[str], order: list[Column], cols: list[str]) -> DataFrame:
-    """Per key, the columns of the row that sorts first (partial aggregation, no window)."""
-    packed = F.struct(*[c for c in cols])
-    best = F.min_by(packed, F.struct(*order))
-    return df.groupBy(*keys).agg(best.alias("_best")).select(*keys, "_best.*")

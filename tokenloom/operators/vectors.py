@@ -273,6 +273,20 @@ def _refine_centroids(v: DataFrame, cents: np.ndarray, iterations: int) -> np.nd
 def ann_topk(queries: DataFrame, vectors: DataFrame, k: int, n_lists: int = 64, n_probe: int = 4,
              query_id: str = "entity_id", vector_id: str = "entity_id", exclude_self: bool = False,
              block: int = 16384, iterations: int = 3) -> DataFrame:
+    """``ann_one_dimension`` for each vector length (a handful: one per
+    embedding model), as only vectors of equal length can be compared."""
+    length = F.size("vector")
+    sizes = [r[0] for r in vectors.where(length > 0).select(length.alias("n")).distinct().collect()]
+    parts = [ann_one_dimension(queries.where(length == n), vectors.where(length == n), k, n_lists, n_probe,
+                               query_id, vector_id, exclude_self, block, iterations) for n in sorted(sizes) or [0]]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def ann_one_dimension(queries: DataFrame, vectors: DataFrame, k: int, n_lists: int, n_probe: int,
+                      query_id: str, vector_id: str, exclude_self: bool, block: int, iterations: int) -> DataFrame:
     """Approximate top-k with inverted lists: every vector goes to its nearest
     centroid, every query searches its ``n_probe`` nearest lists, exactly.
 

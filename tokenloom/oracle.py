@@ -677,8 +677,9 @@ cte("vectors", [], """  SELECT 'product' AS entity_type, vec_id AS entity_id, CA
   FROM embeddings""")
 
 oracle("missing_vectors", ["entity_texts", "vectors", "tasks"], """SELECT entity_type, entity_id FROM entity_texts e
-WHERE NOT EXISTS (SELECT 1 FROM vectors v WHERE v.entity_type = e.entity_type AND v.entity_id = e.entity_id)
-  AND NOT EXISTS (SELECT 1 FROM tasks t WHERE t.status IN ('pending', 'processing') AND t.task_type = 'embedding'
+WHERE NOT EXISTS (SELECT 1 FROM vectors v WHERE v.entity_type = e.entity_type AND v.entity_id = e.entity_id
+                  AND v.store_id = 0)
+  AND NOT EXISTS (SELECT 1 FROM tasks t WHERE t.status IN ('pending', 'processing') AND t.task_type = 'embedding' AND t.store_id = 0
                   AND json_extract_string(t.context, '$.entity_type') = e.entity_type
                   AND TRY_CAST(json_extract_string(t.context, '$.entity_id') AS BIGINT) = e.entity_id)""")
 

@@ -34,11 +34,6 @@ def queue_sweep(tasks: DataFrame, provider_factory, prices: DataFrame, as_of: dt
     return tk.apply_outcomes(recovered, outcomes, prices, as_of), outcomes
 
 
-def nightly_rollup(tasks: DataFrame, prices: DataFrame, day: dt.date) -> DataFrame:
-    """Price completed tasks and roll one day up (write with ``write_usage``)."""
-    return usage.daily_usage(usage.estimate_cost(tasks, prices), day)
-
-
 def sync_calls(conversations: DataFrame, provider_factory, prices: DataFrame, as_of: dt.datetime,
                system_prompt: str | None = None, blocklist=None, consumer: str = "_direct",
                store_id: int = 0, detect_pii: bool = True) -> DataFrame:

@@ -29,10 +29,3 @@ def append_tasks(tasks: DataFrame, path: str) -> None:
     """Append task rows, partitioned by creation day."""
     tasks.withColumn("created_date", F.to_date("created_at")) \
         .write.mode("append").partitionBy("created_date").parquet(path)
-
-
-def write_snapshot(df: DataFrame, root: str, version: str | int) -> str:
-    """Write a new snapshot folder ``root/v=<version>`` and return its path."""
-    path = f"{root.rstrip('/')}/v={version}"
-    df.write.mode("overwrite").parquet(path)
-    return path

@@ -26,7 +26,6 @@ DEFAULT_TIMEOUT_SECONDS = 120
 DEFAULT_BATCH_SIZE = 10
 DEFAULT_RETENTION_DAYS = 90
 DEFAULT_CRON = "*/2 * * * *"
-DEFAULT_TARGET_DIMENSIONS = 512
 DEFAULT_MAX_TOKENS_PER_REQUEST = 4096
 DEFAULT_RATE_LIMIT_PER_MINUTE = 30
 
