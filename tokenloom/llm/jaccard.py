@@ -51,8 +51,8 @@ from tokenloom.llm.common import materialise, mix64, words_of
 SHINGLE = 5
 THRESHOLD = 0.8
 COORDS = 64
-SMALL = 24
-DEPTH = 10
+SMALL = 64
+DEPTH = 5
 RECALL = 0.999
 SCREEN = 0.62        # three and a half standard deviations below the threshold
 NO_ID = -(1 << 63)    # stands for a null doc_id inside the operator
@@ -109,18 +109,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.diff(off)
             sketch = np.full((part.num_rows, COORDS), 0xFFFFFFFF, dtype=np.uint32)
             some = np.flatnonzero(n)
-            digest = np.zeros((part.num_rows, 2), dtype=np.uint64)
+            digest = _set_key(h, off)
             if len(some):
                 for c in range(COORDS):
                     v = (h * mult[c] + add[c]) >> np.uint64(32)
                     sketch[some, c] = np.minimum.reduceat(v, off[:-1][some]).astype(np.uint32)
-                # Two independent sums over the set identify it.
-                digest[some, 0] = np.add.reduceat(mix64(h + np.uint64(11)), off[:-1][some])
-                digest[some, 1] = np.add.reduceat(mix64(h * np.uint64(3) + np.uint64(7)), off[:-1][some])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest[:, 0].view(np.int64)),
-                 pa.array(digest[:, 1].view(np.int64)),
-                 pa.array([r.tobytes() for r in sketch], pa.binary())],
+                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
+                 pa.array([r.tobytes() for r in np.c_[sketch, n.astype(np.uint32)]], pa.binary())],
                 names=["doc_id", "n", "d1", "d2", "sketch"])
 
 
@@ -147,13 +143,19 @@ def texts_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, texts.select("t", "text_id", "copies", "n"), sketch
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Coordinates of each row, the last column is the set's size."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, COORDS + 1)
+
+
 def _children(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
-    """Rows of the next level: (bucket, t) for each sampled coordinate of a node."""
+    """Rows of the next level: (bucket, t) for each sampled coordinate of a
+    node, with the sketch from the second level on."""
     extra = 1 / THRESHOLD - 1
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u4").reshape(-1, COORDS)
+        sketch = _matrix(batch.column("sketch"))
         t = batch.column("t").to_numpy()
         if level == 0:
             nodes = [np.full(len(t), np.uint64(r + 1)) for r in range(RUNS)]
@@ -161,22 +163,34 @@ def _children(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.Reco
             nodes = [batch.column("bucket").to_numpy().view(np.uint64)]
         for node in nodes:
             seed = mix64(node * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level))
-            picks = [(seed % np.uint64(COORDS), np.ones(len(t), dtype=bool))]
+            first = seed % np.uint64(COORDS)
             more = mix64(seed + np.uint64(1))
-            second = (picks[0][0] + np.uint64(1) + more % np.uint64(COORDS - 1)) % np.uint64(COORDS)
-            picks.append((second, (mix64(more) >> np.uint64(11)).astype(np.float64) / 2.0 ** 53 < extra))
-            for coord, on in picks:
-                if not on.any():
+            second = (first + np.uint64(1) + more % np.uint64(COORDS - 1)) % np.uint64(COORDS)
+            branch = (mix64(more) >> np.uint64(11)).astype(np.float64) / 2.0 ** 53 < extra
+            for coord, on in ((first, np.ones(len(t), dtype=bool)), (second, branch)):
+                rows = np.flatnonzero(on)
+                if not len(rows):
                     continue
-                c = coord[on].astype(np.int64)
-                value = sketch[np.flatnonzero(on), c].astype(np.uint64)
-                bucket = mix64(mix64(node[on] + value * np.uint64(31)) + coord[on] + np.uint64(level * 131 + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(t[on])],
-                                                 names=["bucket", "t"])
+                value = sketch[rows, coord[rows].astype(np.int64)].astype(np.uint64)
+                bucket = mix64(mix64(node[rows] + value * np.uint64(31)) + coord[rows] + np.uint64(level * 131 + 1))
+                columns = [pa.array(bucket.view(np.int64)), pa.array(t[rows])]
+                if level:
+                    columns.append(batch.column("sketch").take(pa.array(rows)))
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "t", "sketch"][:len(columns)])
+
 
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs whose sizes allow the threshold and whose coordinates promise it."""
+    small, large = np.minimum(a[..., -1], b[..., -1]), np.maximum(a[..., -1], b[..., -1])
+    return (small >= THRESHOLD * large) & ((a[..., :-1] == b[..., :-1]).mean(axis=-1) >= SCREEN)
 
-def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a == b).mean(axis=-1)
+
+def _pair_batch(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs of one batch, smaller number first."""
+    if left:
+        a, b = np.concatenate(left), np.concatenate(right)
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def _pairs_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,69 +199,76 @@ def _pairs_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         left, right = [], []
         for members in batch.column("members"):
             ids = members.values.field("t").to_numpy()
-            sk = np.frombuffer(b"".join(members.values.field("sketch").to_pylist()), "<u4").reshape(-1, COORDS)
+            sketch = _matrix(members.values.field("sketch"))
             i, j = np.triu_indices(len(ids), 1)
-            near = _estimate(sk[i], sk[j]) >= SCREEN
+            near = _near(sketch[i], sketch[j])
             left.append(ids[i[near]])
             right.append(ids[j[near]])
-        if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))],
-                                             names=["a", "b"])
+        yield from _pair_batch(left, right)
 
 
 def _pairs_to_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        sk = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, COORDS)
-              for c in ("sketch", "leader_sketch")]
-        t, leader = batch.column("t").to_numpy(), batch.column("leader").to_numpy()
-        near = (_estimate(*sk) >= SCREEN) & (t != leader)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.minimum(t, leader)[near]), pa.array(np.maximum(t, leader)[near])], names=["a", "b"])
+        if batch.num_rows:
+            t, leader = batch.column("t").to_numpy(), batch.column("leader").to_numpy()
+            near = _near(_matrix(batch.column("sketch")), _matrix(batch.column("leader_sketch"))) & (t != leader)
+            yield from _pair_batch([t[near]], [leader[near]])
 
 
 def candidate_pairs(sketch: DataFrame) -> DataFrame:
     """Distinct promising pairs of text numbers (a < b).
 
     ``sketch``: t, sketch, one row per text."""
-    spark = sketch.sparkSession
     rows = sketch.mapInArrow(lambda it: _children(it, 0), "bucket long, t long")
     found = None
     for level in range(1, DEPTH + 1):
         rows = materialise(rows, f"jaccard-level{level}")
-        size = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("t").alias("leader")) \
-            .where("size > 1")
-        size = materialise(size, f"jaccard-size{level}")
-        # Only members of shared buckets carry their sketch on.
-        live = rows.join(size, "bucket").join(sketch, "t")
-        live = materialise(live, f"jaccard-live{level}")
+        counted = [F.count(F.lit(1)).alias("size"), F.min("t").alias("leader")]
+        if level == 1:
+            # Most buckets hold one text; only members of shared ones get their sketch.
+            size = materialise(rows.groupBy("bucket").agg(*counted).where("size > 1"), "jaccard-size1")
+            live = rows.join(size, "bucket").join(sketch, "t")
+            leaders = sketch.select(F.col("t").alias("leader"), F.col("sketch").alias("leader_sketch"))
+            lead = size.where(F.col("size") > SMALL).join(leaders, "leader").select("bucket", "leader_sketch")
+            live = live.join(lead, "bucket", "left")
+        else:
+            size = rows.groupBy("bucket").agg(*counted, F.min_by("sketch", "t").alias("leader_sketch")).where("size > 1")
+            live = rows.join(size, "bucket")
+        live = materialise(live.select("bucket", "t", "sketch", "size", "leader", "leader_sketch"), f"jaccard-live{level}")
         small = live.where(F.col("size") <= SMALL).groupBy("bucket") \
             .agg(F.collect_list(F.struct("t", "sketch")).alias("members")) \
             .select("members").mapInArrow(_pairs_within, "a long, b long")
         large = live.where(F.col("size") > SMALL)
-        leaders = large.where("t = leader").select("bucket", F.col("sketch").alias("leader_sketch"))
-        star = large.join(leaders, "bucket").select("t", "leader", "sketch", "leader_sketch") \
+        star = large.select("t", "leader", "sketch", "leader_sketch") \
             .mapInArrow(_pairs_to_leader, "a long, b long")
-        pairs = materialise(small.unionByName(star).distinct(), f"jaccard-pairs{level}")
+        pairs = small.unionByName(star)
         found = pairs if found is None else found.unionByName(pairs)
         if level == DEPTH or large.isEmpty():
             break
         rows = large.select("bucket", "t", "sketch") \
-            .mapInArrow(lambda it, level=level: _children(it, level), "bucket long, t long")
-    return found.distinct() if found is not None else \
-        spark.createDataFrame([], "a long, b long")
+            .mapInArrow(lambda it, level=level: _children(it, level), "bucket long, t long, sketch binary")
+    return found.distinct()
+
+
+def _set_key(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Two independent sums over each set; with its size they identify it."""
+    digest = np.zeros((len(off) - 1, 2), dtype=np.uint64)
+    some = np.flatnonzero(np.diff(off))
+    if len(some):
+        digest[some, 0] = np.add.reduceat(mix64(h + np.uint64(11)), off[:-1][some])
+        digest[some, 1] = np.add.reduceat(mix64(h * np.uint64(3) + np.uint64(7)), off[:-1][some])
+    return digest.view(np.int64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in _row_slices(batch):
             h, off = shingle_hashes(part.column("words"))
-            raw = h.tobytes()
+            raw, key = h.tobytes(), _set_key(h, off)
             yield pa.RecordBatch.from_arrays(
-                [part.column("t"), pa.array([raw[8 * a:8 * b] for a, b in zip(off[:-1], off[1:])], pa.binary())],
-                names=["t", "shingles"])
+                [pa.array(np.diff(off), pa.int64()), pa.array(key[:, 0]), pa.array(key[:, 1]),
+                 pa.array([raw[8 * a:8 * b] for a, b in zip(off[:-1], off[1:])], pa.binary())],
+                names=["n", "d1", "d2", "shingles"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,24 +283,19 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["a", "b", "similarity"])
 
 
-def verified_links(docs: DataFrame, members: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified_links(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs with their exact similarity where it reaches the threshold."""
-    # Sizes alone exclude pairs; only texts of remaining pairs are read again.
-    size = texts.select("t", "n")
-    p = pairs.join(size.select(F.col("t").alias("a"), F.col("n").alias("na")), "a") \
-        .join(size.select(F.col("t").alias("b"), F.col("n").alias("nb")), "b") \
-        .where(F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb")).select("a", "b")
-    p = materialise(p, "jaccard-candidates")
-    needed = p.select(F.col("a").alias("t")).unionByName(p.select(F.col("b").alias("t"))).distinct()
-    # One document stands for each text; equal sets, so any would do.
-    stand = members.groupBy("t").agg(F.min("doc_id").alias("doc_id")).join(needed, "t", "left_semi")
-    stand = materialise(stand, "jaccard-standins")
-    keyed = docs.select(ident().alias("doc_id"), "text")
-    words = word_hashes(keyed.join(stand.select("doc_id"), "doc_id", "left_semi"))
-    sets = words.join(stand, "doc_id").select("t", "words").mapInArrow(_sets, "t long, shingles binary") \
-        .dropDuplicates(["t"])
+    pairs = materialise(pairs, "jaccard-candidates")
+    needed = materialise(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct(), "jaccard-needed")
+    # Only documents that stand for a text of some pair are read again.
+    stand = materialise(texts.join(needed, "t", "left_semi").select(F.col("text_id").alias("doc_id")).distinct(),
+                        "jaccard-standins")
+    keyed = docs.select(ident().alias("doc_id"), "text").join(stand, "doc_id", "left_semi")
+    sets = word_hashes(keyed).select("words") \
+        .mapInArrow(_sets, "n long, d1 long, d2 long, shingles binary") \
+        .select(F.xxhash64("n", "d1", "d2").alias("t"), "shingles").dropDuplicates(["t"])
     sets = materialise(sets, "jaccard-sets")
-    checked = p.join(sets.select(F.col("t").alias("a"), F.col("shingles").alias("sa")), "a") \
+    checked = pairs.join(sets.select(F.col("t").alias("a"), F.col("shingles").alias("sa")), "a") \
         .join(sets.select(F.col("t").alias("b"), F.col("shingles").alias("sb")), "b") \
         .select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long, similarity double")
     return checked.where(F.col("similarity") >= THRESHOLD)
@@ -314,7 +330,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per doc_id: class_id, n_links, text_copies."""
     members, texts, sketch = texts_of(docs)
     sketch = materialise(sketch.groupBy("t").agg(F.min("sketch").alias("sketch")), "jaccard-coordinates")
-    links = materialise(verified_links(docs, members, texts, candidate_pairs(sketch)), "jaccard-verified")
+    links = materialise(verified_links(docs, texts, candidate_pairs(sketch)), "jaccard-verified")
     # Rows of one doc_id with different texts tie those texts together.
     first = members.groupBy("doc_id").agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a < z")
     ties = members.join(first, "doc_id").where("t > a").select("a", F.col("t").alias("b"))
