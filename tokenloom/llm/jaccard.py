@@ -232,7 +232,9 @@ def candidate_pairs(sketch: DataFrame) -> DataFrame:
             lead = size.where(F.col("size") > SMALL).join(leaders, "leader").select("bucket", "leader_sketch")
             live = live.join(lead, "bucket", "left")
         else:
-            size = rows.groupBy("bucket").agg(*counted, F.min_by("sketch", "t").alias("leader_sketch")).where("size > 1")
+            # Written before the join, so that Spark may split a hot bucket's rows there.
+            size = materialise(rows.groupBy("bucket").agg(*counted, F.min_by("sketch", "t").alias("leader_sketch"))
+                               .where("size > 1"), f"jaccard-size{level}")
             live = rows.join(size, "bucket")
         live = materialise(live.select("bucket", "t", "sketch", "size", "leader", "leader_sketch"), f"jaccard-live{level}")
         small = live.where(F.col("size") <= SMALL).groupBy("bucket") \
