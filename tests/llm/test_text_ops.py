@@ -47,8 +47,10 @@ def test_decontamination(spark, docs, odd_docs, no_docs, small):
     assert left == {i for i, n in want.items() if not n}
     words = next(t for _, t in items if len(t.split()) > 30).split()
     loose = " ".join(w for n, w in enumerate(words) if n % 6)      # a paraphrase drops every sixth word
-    d = spark.createDataFrame([(1, "filler " * 90 + loose + " filler" * 90), (2, "filler " * 200)], "doc_id long, text string")
-    assert [r.contaminated for r in decontam.op6(d, bench).orderBy("doc_id").collect()] == [True, False]
+    d = spark.createDataFrame([(10 ** 6, "filler " * 90 + loose + " filler" * 90), (10 ** 6 + 1, "filler " * 200)],
+                              "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    got = {r.doc_id: r.contaminated for r in decontam.op6(d, bench).collect()}
+    assert got[10 ** 6] and not got[10 ** 6 + 1]
     assert not any(r.contaminated for r in decontam.op6(odd_docs, bench).collect())
     assert decontam.op6(no_docs, bench).count() == 0
     assert decontam.remove_leaks(docs, bench.where("false")).count() == docs.count()

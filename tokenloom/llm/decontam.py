@@ -39,11 +39,11 @@ from pyspark.sql import functions as F
 from tokenloom.llm.common import materialise
 
 PASSAGE = 64
-RANK, OVERSAMPLE = 32, 8
+RANK, OVERSAMPLE = 64, 16
 STEP = 8                     # windows start every STEP words
 BLOCK = 2000
 MIN_ITEM = 6
-MIN_COSINE = 0.5
+MIN_COSINE = 0.55
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.55, 0.75
 SEED = 7
 
@@ -133,7 +133,8 @@ def _passages(off: np.ndarray, size: int) -> np.ndarray:
 
 
 def latent_space(seqs: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
-    """Right singular vectors (terms x RANK) of the TF-IDF passage matrix."""
+    """Right singular vectors (terms x RANK) of the TF-IDF passage matrix, each
+    divided by its singular value."""
     size, width = len(items.vocab), min(RANK + OVERSAMPLE, len(items.vocab))
     random = np.random.default_rng(SEED).standard_normal((size, width))
     shared = seqs.sparkSession.sparkContext.broadcast(
@@ -176,6 +177,12 @@ def latent_space(seqs: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
         .groupBy("term").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()   # one row per term
     z = np.zeros((size, width))
     z[got["term"].to_numpy(dtype=np.int64)] = got[columns].to_numpy()
+    # The items are passages too, so even a tiny corpus has a space that holds them.
+    for words in items.words:
+        t, tf = np.unique(items.terms(words), return_counts=True)
+        v = tf * idf[t]
+        v = v / max(float(np.linalg.norm(v)), 1e-9)
+        z[t] += np.outer(v, v @ random[t])
     # Nystroem: A'A is about Z (G'Z)^-1 Z' with Z = A'A G.
     shift = 1e-8 * max(1.0, np.linalg.norm(z))
     z = z + shift * random
@@ -183,8 +190,11 @@ def latent_space(seqs: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     good = values > values.max() * 1e-10
     half = z @ vectors[:, good] / np.sqrt(values[good])
-    left, _, _ = np.linalg.svd(half, full_matrices=False)
-    return left[:, :RANK]
+    left, strength, _ = np.linalg.svd(half, full_matrices=False)
+    # Directions are scaled to equal variance: otherwise the few that tell
+    # languages and common words apart would decide every cosine.
+    keep = strength > strength.max() * 1e-6
+    return (left[:, keep] / strength[keep])[:, :RANK]
 
 
 def lcs(a: list[int], b: list[int]) -> int:
