@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -47,3 +48,25 @@ def test_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 4, 5, 6, 8]
     assert j.near_duplicates(no_docs).count() == 0 and j.deduplicate(no_docs).count() == 0
+
+
+def edited_copies(copies, words, edits):
+    """An original (doc_id 0) and copies with random words of it replaced, all differently."""
+    rng = random.Random(5)
+    base = [f"word{i}" for i in range(words)]
+    rows = [(0, " ".join(base))]
+    for n in range(1, copies + 1):
+        w = list(base)
+        for k in rng.sample(range(words // 6), edits):
+            w[6 * k + 2] = f"new{n}x{k}"
+        rows.append((n, " ".join(w)))
+    return rows
+
+
+def test_original_with_600_edits_matches_brute_force(spark):
+    # 4 edits x 5 shingles of 200: copies at 180/220 = 0.82 to the original, below 0.8 to most others.
+    rows = edited_copies(600, 204, 4)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in
+           j.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert want[0] == (0, 600) and got == want

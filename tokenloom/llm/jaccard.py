@@ -12,23 +12,22 @@ more are found as follows.
 3. Chosen-path recursion, ``RUNS`` independent runs: a node's texts are split
    by the value of a coordinate sampled from (run, path); with 1/similarity
    branches per node on average (one always, a second now and then).  A bucket
-   of at most ``SMALL`` texts is compared all against all and leaves the
-   recursion.  A larger bucket compares every member with the bucket's
-   smallest member (linear, so a dense group of near copies is linked through
-   its leaders) and is split again, up to ``DEPTH`` levels.
-4. Pairs whose coordinates estimate a similarity below ``SCREEN`` are
-   dropped; the rest are verified exactly on the shingle sets.
-
-``RUNS`` follows from the target recall of a pair at the threshold that has to
-survive two splits.  Buckets travel as (bucket, text id) rows; a hot bucket is
-only counted and minimised by partial aggregation and joined with the one row
-of its leader, which Spark may split, never gathered.
+   of at most ``SMALL`` texts leaves the recursion and is compared all against
+   all; larger ones are split again, up to ``DEPTH`` levels.
+4. Pairs of small buckets whose sizes and coordinates rule out the threshold
+   (``SCREEN``) are dropped; the rest are verified exactly on the shingle sets.
+5. What is larger than ``SMALL`` after the last split is a hot bucket.  Its
+   texts are dealt into hashed blocks and each block meets each block in a
+   group of its own, with the exact shingle sets and no screen.  A pair that
+   shares hot buckets is counted in the first of them only, so the groups add
+   up links per text and write no pairs, only who is connected to whom.
+
+``RUNS`` follows from the recall of a pair at the threshold over all ``DEPTH``
+splits, the screen and the shared coordinates included.
 
 The result has one row per document: its class (smallest doc_id of the
 connected component) and its number of links: verified linked texts, counted
-with their copies, plus its own copies.  In a bucket that stays larger than
-``SMALL`` the links to leaders span the group, so its classes are whole though
-not every pair in it is enumerated.
+with their copies, plus its own copies.
 
 Defined results: null and blank texts have no shingles: they are copies of
 each other (one class).  Rows that repeat a doc_id are judged as rows of one
@@ -52,11 +51,27 @@ SHINGLE = 5
 THRESHOLD = 0.8
 COORDS = 64
 SMALL = 64
-DEPTH = 5
-RECALL = 0.999
+DEPTH = 3
+RECALL = 0.9999
 SCREEN = 0.62        # three and a half standard deviations below the threshold
+BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1 << 18   # of one block of a hot bucket
 NO_ID = -(1 << 63)    # stands for a null doc_id inside the operator
-RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - THRESHOLD ** 2))
+
+
+def recall(runs: int) -> float:
+    """Recall of a pair at the threshold: over the number of coordinates it
+    shares, the chance that a run's branching reaches the last level."""
+    found, extra = 0.0, 1 / THRESHOLD - 1
+    for same in range(math.ceil(SCREEN * COORDS), COORDS + 1):
+        p, lost = same / COORDS, 0.0
+        for _ in range(DEPTH):
+            gone = 1 - p + p * lost
+            lost = (1 - extra) * gone + extra * gone ** 2
+        found += math.comb(COORDS, same) * THRESHOLD ** same * (1 - THRESHOLD) ** (COORDS - same) * (1 - lost ** runs)
+    return found
+
+
+RUNS = next(r for r in range(1, 100) if recall(r) >= RECALL)
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -207,49 +222,35 @@ def _pairs_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from _pair_batch(left, right)
 
 
-def _pairs_to_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            t, leader = batch.column("t").to_numpy(), batch.column("leader").to_numpy()
-            near = _near(_matrix(batch.column("sketch")), _matrix(batch.column("leader_sketch"))) & (t != leader)
-            yield from _pair_batch([t[near]], [leader[near]])
-
-
-def candidate_pairs(sketch: DataFrame) -> DataFrame:
-    """Distinct promising pairs of text numbers (a < b).
+def candidate_pairs(sketch: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct promising pairs of text numbers (a < b) of small buckets, and
+    the rows (bucket, t) of hot ones if there are any.
 
     ``sketch``: t, sketch, one row per text."""
     rows = sketch.mapInArrow(lambda it: _children(it, 0), "bucket long, t long")
-    found = None
+    found = hot = None
     for level in range(1, DEPTH + 1):
         rows = materialise(rows, f"jaccard-level{level}")
-        counted = [F.count(F.lit(1)).alias("size"), F.min("t").alias("leader")]
+        # Written before the join, so that Spark may split a hot bucket's rows there.
+        size = materialise(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"),
+                           f"jaccard-size{level}")
+        live = rows.join(size, "bucket")
         if level == 1:
             # Most buckets hold one text; only members of shared ones get their sketch.
-            size = materialise(rows.groupBy("bucket").agg(*counted).where("size > 1"), "jaccard-size1")
-            live = rows.join(size, "bucket").join(sketch, "t")
-            leaders = sketch.select(F.col("t").alias("leader"), F.col("sketch").alias("leader_sketch"))
-            lead = size.where(F.col("size") > SMALL).join(leaders, "leader").select("bucket", "leader_sketch")
-            live = live.join(lead, "bucket", "left")
-        else:
-            # Written before the join, so that Spark may split a hot bucket's rows there.
-            size = materialise(rows.groupBy("bucket").agg(*counted, F.min_by("sketch", "t").alias("leader_sketch"))
-                               .where("size > 1"), f"jaccard-size{level}")
-            live = rows.join(size, "bucket")
-        live = materialise(live.select("bucket", "t", "sketch", "size", "leader", "leader_sketch"), f"jaccard-live{level}")
-        small = live.where(F.col("size") <= SMALL).groupBy("bucket") \
+            live = live.join(sketch, "t")
+        live = materialise(live.select("bucket", "t", "sketch", "size"), f"jaccard-live{level}")
+        pairs = live.where(F.col("size") <= SMALL).groupBy("bucket") \
             .agg(F.collect_list(F.struct("t", "sketch")).alias("members")) \
             .select("members").mapInArrow(_pairs_within, "a long, b long")
-        large = live.where(F.col("size") > SMALL)
-        star = large.select("t", "leader", "sketch", "leader_sketch") \
-            .mapInArrow(_pairs_to_leader, "a long, b long")
-        pairs = small.unionByName(star)
         found = pairs if found is None else found.unionByName(pairs)
-        if level == DEPTH or large.isEmpty():
+        large = live.where(F.col("size") > SMALL)
+        if large.isEmpty():
             break
+        if level == DEPTH:
+            hot = large.select("bucket", "t")
         rows = large.select("bucket", "t", "sketch") \
             .mapInArrow(lambda it, level=level: _children(it, level), "bucket long, t long, sketch binary")
-    return found.distinct()
+    return found.distinct(), hot
 
 
 def _set_key(h: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -285,10 +286,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["a", "b", "similarity"])
 
 
-def verified_links(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs with their exact similarity where it reaches the threshold."""
-    pairs = materialise(pairs, "jaccard-candidates")
-    needed = materialise(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct(), "jaccard-needed")
+def sets_of(docs: DataFrame, texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """t, shingles of the texts in ``needed``, written."""
+    needed = materialise(needed.distinct(), "jaccard-needed")
     # Only documents that stand for a text of some pair are read again.
     stand = materialise(texts.join(needed, "t", "left_semi").select(F.col("text_id").alias("doc_id")).distinct(),
                         "jaccard-standins")
@@ -296,13 +296,105 @@ def verified_links(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataF
     sets = word_hashes(keyed).select("words") \
         .mapInArrow(_sets, "n long, d1 long, d2 long, shingles binary") \
         .select(F.xxhash64("n", "d1", "d2").alias("t"), "shingles").dropDuplicates(["t"])
-    sets = materialise(sets, "jaccard-sets")
+    return materialise(sets, "jaccard-sets")
+
+
+def verified_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs with their exact similarity where it reaches the threshold."""
     checked = pairs.join(sets.select(F.col("t").alias("a"), F.col("shingles").alias("sa")), "a") \
         .join(sets.select(F.col("t").alias("b"), F.col("shingles").alias("sb")), "b") \
         .select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long, similarity double")
     return checked.where(F.col("similarity") >= THRESHOLD)
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Number of values that each set of ``left`` shares with each of ``right``."""
+    count = np.zeros((len(left), len(right)), dtype=np.float32)
+    x, y = np.concatenate(left), np.concatenate(right)
+    vocab = np.intersect1d(x, y)
+    if left is right and len(vocab):
+        values, times = np.unique(x, return_counts=True)
+        vocab = values[times > 1]
+    cells = []
+    for flat, sets in ((x, left), (y, right)):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(vocab, flat)
+        hit = np.flatnonzero(at < len(vocab))
+        hit = hit[vocab[at[hit]] == flat[hit]]
+        order = hit[np.argsort(at[hit], kind="stable")]
+        cells.append((row[order], at[order]))
+    for low in range(0, len(vocab), width):
+        dense = []
+        for (row, at), sets in zip(cells, (left, right)):
+            a, b = np.searchsorted(at, [low, low + width])
+            m = np.zeros((len(sets), width), dtype=np.float32)
+            m[row[a:b], at[a:b] - low] = 1
+            dense.append(m)
+        count += dense[0] @ dense[1].T
+    if left is right:
+        np.fill_diagonal(count, [len(s) for s in left])
+    return count
+
+
+def _linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    both = _common(left, right).astype(np.float64)
+    union = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :] - both
+    return both / union >= THRESHOLD
+
+
+def _heads(linked: np.ndarray) -> np.ndarray:
+    """The first member of each member's connected component."""
+    head = np.full(len(linked), -1)
+    for i in range(len(linked)):
+        edge = np.array([i]) if head[i] < 0 else np.array([], dtype=np.int64)
+        while len(edge):
+            head[edge] = i
+            edge = np.flatnonzero(linked[edge].any(axis=0) & (head < 0))
+    return head
+
+
+def _block_pair(key, pdf):
+    """One block against another (or itself): rows (a, a, its links here) and
+    (a, b, 0) for members of one component."""
+    import pandas as pd
+    bucket, p, q = key
+    t = pdf["t"].to_numpy()
+    sets = [np.frombuffer(s, "<u8") for s in pdf["shingles"]]
+    earlier = [np.asarray(h, dtype=np.int64) for h in pdf["hot"]]
+    earlier = [h[h < bucket] for h in earlier]
+    block = pdf["block"].to_numpy()
+    x, y = np.flatnonzero(block == p), np.flatnonzero(block == q)
+    linked = np.zeros((len(t), len(t)), dtype=bool)
+    if len(x) and len(y):
+        pick = lambda rows, of: [of[i] for i in rows]
+        sx, ex = pick(x, sets), pick(x, earlier)
+        sy, ey = (sx, ex) if p == q else (pick(y, sets), pick(y, earlier))
+        linked[np.ix_(x, y)] = _linked(sx, sy) & (_common(ex, list(ey)) == 0)
+    linked |= linked.T
+    np.fill_diagonal(linked, False)
+    links = linked @ pdf["copies"].to_numpy().astype(np.float64)
+    some, head = np.flatnonzero(links), _heads(linked)
+    tied = np.flatnonzero(head != np.arange(len(t)))
+    return pd.DataFrame({"a": np.r_[t[some], t[tied]], "b": np.r_[t[some], t[head[tied]]],
+                         "links": np.r_[links[some], np.zeros(len(tied))].astype(np.int64)})
+
+
+def hot_links(hot: DataFrame, lists: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, links) of all hot buckets, see ``_block_pair``; ``lists``: t, hot."""
+    rows = materialise(hot.join(texts.select("t", "copies", "n"), "t"), "jaccard-hot")
+    size = materialise(rows.groupBy("bucket").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks")),
+        "jaccard-hot-blocks")
+    rows = materialise(rows.join(size, "bucket").select(
+        "bucket", "t", "copies", "blocks", F.pmod(F.xxhash64("t", F.lit(5)), F.col("blocks")).alias("block")),
+        "jaccard-hot-rows")
+    dealt = rows.join(lists, "t").join(sets, "t") \
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
+                        "block", "t", "copies", "hot", "shingles") \
+        .groupBy("bucket", "p", "q").applyInPandas(_block_pair, "a long, b long, links long")
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """t -> label: the smallest ``text_id`` that links reach.
 
@@ -332,16 +424,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per doc_id: class_id, n_links, text_copies."""
     members, texts, sketch = texts_of(docs)
     sketch = materialise(sketch.groupBy("t").agg(F.min("sketch").alias("sketch")), "jaccard-coordinates")
-    links = materialise(verified_links(docs, texts, candidate_pairs(sketch)), "jaccard-verified")
+    pairs, hot = candidate_pairs(sketch)
+    pairs = materialise(pairs, "jaccard-candidates")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("t"))
+    if hot is not None:
+        lists = materialise(hot.groupBy("t").agg(F.sort_array(F.collect_list("bucket")).alias("hot")),
+                            "jaccard-hot-lists")
+        needed = needed.unionByName(lists.select("t"))
+        # Pairs that share a hot bucket are counted there.
+        of = lambda c: lists.select(F.col("t").alias(c), F.col("hot").alias(f"hot_{c}"))
+        pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left") \
+            .where(~F.coalesce(F.arrays_overlap("hot_a", "hot_b"), F.lit(False))).select("a", "b")
+    sets = sets_of(docs, texts, needed)
+    links = materialise(verified_links(pairs, sets), "jaccard-verified")
+    near = links.select("a", "b")
+    if hot is not None:
+        dense = materialise(hot_links(hot, lists, texts, sets), "jaccard-hot-links")
+        near = near.unionByName(dense.where("a != b").select("a", "b"))
     # Rows of one doc_id with different texts tie those texts together.
     first = members.groupBy("doc_id").agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a < z")
     ties = members.join(first, "doc_id").where("t > a").select("a", F.col("t").alias("b"))
-    labels = components(texts, links.select("a", "b").unionByName(ties).distinct())
+    labels = components(texts, near.unionByName(ties).distinct())
     named = texts.join(labels, "t", "left").withColumn("label", F.coalesce("label", "t"))
     low = named.groupBy("label").agg(F.min("text_id").alias("class_id"))
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = ends.join(texts.select(F.col("t").alias("b"), F.col("copies").alias("far")), "b") \
-        .groupBy(F.col("a").alias("t")).agg(F.sum("far").alias("links"))
+        .select(F.col("a").alias("t"), "far")
+    if hot is not None:
+        degree = degree.unionByName(dense.where("a = b").select(F.col("a").alias("t"), F.col("links").alias("far")))
+    degree = degree.groupBy("t").agg(F.sum("far").alias("links"))
     per_text = materialise(named.join(low, "label").join(degree, "t", "left").select(
         "t", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
         "jaccard-texts-out")
