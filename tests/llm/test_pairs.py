@@ -70,3 +70,13 @@ def test_original_with_600_edits_matches_brute_force(spark):
            j.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute(rows)
     assert want[0] == (0, 600) and got == want
+
+
+def test_dense_group_counts_every_link(spark):
+    # 2 edits of 200 shingles: nearly all copies reach 0.8 to each other.
+    rows = edited_copies(600, 204, 2)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in
+           j.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    short = {i for i in want if got[i] != want[i]}
+    assert want[0] == (0, 600) and sum(n for _, n in got.values()) >= 0.999 * sum(n for _, n in want.values()), short
