@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import defaultdict
@@ -80,3 +81,9 @@ def test_dense_group_counts_every_link(spark):
     want = brute(rows)
     short = {i for i in want if got[i] != want[i]}
     assert want[0] == (0, 600) and sum(n for _, n in got.values()) >= 0.999 * sum(n for _, n in want.values()), short
+
+
+def test_screen_is_part_of_the_recall():
+    need = math.ceil(j.SCREEN * j.COORDS)
+    passes = sum(math.comb(j.COORDS, k) * 0.8 ** k * 0.2 ** (j.COORDS - k) for k in range(need, j.COORDS + 1))
+    assert passes > 1 - 1e-6 and j.recall(j.RUNS) >= j.RECALL

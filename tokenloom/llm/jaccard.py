@@ -53,7 +53,7 @@ COORDS = 64
 SMALL = 64
 DEPTH = 3
 RECALL = 0.9999
-SCREEN = 0.62        # three and a half standard deviations below the threshold
+SCREEN = 0.5         # share of equal coordinates; a pair at the threshold falls below it once in 10^7
 BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1 << 18   # of one block of a hot bucket
 NO_ID = -(1 << 63)    # stands for a null doc_id inside the operator
 
