@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import re
 import zlib
@@ -75,6 +76,42 @@ def test_candidate_search_recall(spark, small, docs):
     assert hits >= 0.9 * total
 
 
+def test_planted_paraphrases_match_brute_force(spark):
+    """55 to 80 % kept words at every item length, in a text of the benchmark's own
+    vocabulary: all leaks that the checks accept, over every window, and short items verbatim."""
+    rng = np.random.default_rng(11)
+    weight = 1 / np.arange(20, 3020)
+    pool = [f"w{k}" for k in rng.choice(3000, 40_000, p=weight / weight.sum())]
+    items = [(i, " ".join(pool[100 * i:100 * i + 16 + i % 44])) for i in range(200)]
+    items += [(10 ** 6, "quokka zebu ibex numbat")]
+    common = collections.Counter(pool)
+    rows = []
+    for i, text in items:
+        w = text.split()
+        rare = sorted(range(len(w)), key=lambda k: common[w[k]])     # the answer's words stay
+        for share in (0.56, 0.6, 0.7, 0.8):
+            n = len(w) if len(w) < 6 else max(-(-len(w) // 3), int(np.ceil(share * len(w))))
+            keep = {*rare[:-(-len(w) // 3)]}
+            keep |= {int(k) for k in rng.permutation([k for k in range(len(w)) if k not in keep])[:n - len(keep)]}
+            kept = [x if k in keep else pool[int(rng.integers(len(pool)))] for k, x in enumerate(w)]
+            at = int(rng.integers(20_000, len(pool) - 400))
+            rows.append((len(rows), " ".join(pool[at:at + 40] + kept + pool[at + 40:at + 80])))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    seqs = decontam.word_sequences(d, "doc_id")
+    block = next(decontam.item_blocks(b))
+    df, n = decontam.document_frequency(seqs, block)
+    s = decontam.Searcher(block, np.log((1 + n) / (1 + df)) + 1e-3, np.zeros((len(block.vocab), 1)))
+    want = set()
+    for r in seqs.collect():
+        for i, w in enumerate(block.words):
+            size = decontam.window_words(len(w))
+            if any(s.leak(i, r.words[k:k + size])[0] for k in range(0, len(r.words), decontam.STEP)):
+                want.add((r.doc_id, block.ids[i]))
+    got = {(r.doc_id, r.item_id) for r in decontam.matches(d, b).collect()}
+    assert len(want) > len(rows) / 2 and len(got & want) == len(want) and got == want
+
+
 def test_lcs():
     assert decontam.lcs([1, 2, 3, 4], [2, 9, 4, 4]) == 2 and decontam.lcs([1], []) == 0
 

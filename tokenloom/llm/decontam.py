@@ -8,10 +8,13 @@
    the sum (Nystroem form of the one-pass randomised eigenproblem of A'A) gives
    the right singular vectors.  Terms are the benchmark's words, so matrices on
    the driver are bounded by the benchmark block, not by the corpus.
-3. Every window of every document is projected into the space and compared
-   with the items by cosine; windows come in a few sizes, and items are
-   compared with the size that fits their length.  All pairs above
-   ``MIN_COSINE`` are candidates.
+3. Windows come in a few sizes and items are compared with the size that fits
+   their length.  In every window of every document the words that belong to an
+   item are counted, from the item words' postings.  A common subsequence is no
+   longer than this count, so all windows whose count could reach an accepted
+   share are candidates and no other window can be a leak.  The latent space
+   gates nothing: its cosine describes a match and decides between windows of
+   the same share.
 4. A candidate is a leak if the longest common subsequence of item and window
    covers ``VERBATIM`` of the item, or ``PARAPHRASE`` of it and the answer
    check holds: ``ANSWER`` of the item's rarest words (its informative fifth)
@@ -43,7 +46,7 @@ RANK, OVERSAMPLE = 64, 16
 STEP = 8                     # windows start every STEP words
 BLOCK = 2000
 MIN_ITEM = 6
-MIN_COSINE = 0.55
+CELLS = 1 << 19               # counts of (window start, item) held at a time
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.55, 0.75
 SEED = 7
 
@@ -238,6 +241,16 @@ class Searcher:
             self.answers.append(set(items.vocab[rare[:max(1, -(-len(rare) // 5))]].tolist()))
         self.queries = np.array(queries, dtype=np.float32)
         self.lists = [w.tolist() for w in items.words]
+        # Items in the order of their groups, the count of words each needs, and the items of each term.
+        self.order = [i for group in self.groups.values() for i in group]
+        n = np.array([len(self.lists[i]) for i in self.order])
+        self.need = np.where(n < MIN_ITEM, n, np.ceil(n * PARAPHRASE - 1e-9)).astype(np.int32)
+        uses = [np.unique(items.terms(items.words[i])) for i in self.order]
+        term = np.concatenate(uses)
+        column = np.repeat(np.arange(len(uses)), [len(u) for u in uses])
+        self.posts = column[np.argsort(term, kind="stable")]
+        self.per_term = np.bincount(term, minlength=len(items.vocab))
+        self.first_post = np.cumsum(self.per_term) - self.per_term
 
     def leak(self, item: int, window: list[int]) -> tuple[bool, float]:
         words = self.lists[item]
@@ -249,27 +262,45 @@ class Searcher:
         answer = self.answers[item]
         return len(answer & set(window)) >= ANSWER * len(answer), share
 
+    def cosine(self, item: int, term: np.ndarray) -> float:
+        v = self.project[term[term >= 0]].sum(axis=0)
+        return float(v @ self.queries[item]) / max(float(np.linalg.norm(v)), 1e-9)
+
+    def _counts(self, term: np.ndarray, chunk: np.ndarray, chunks: int) -> np.ndarray:
+        """Item words in the chunks before each chunk: (chunks + 1) x items."""
+        hit = np.flatnonzero(term >= 0)
+        t = term[hit]
+        per = self.per_term[t]
+        at = np.arange(per.sum()) + np.repeat(self.first_post[t] - (np.cumsum(per) - per), per)
+        cell = np.repeat(chunk[hit] * len(self.order), per) + self.posts[at]
+        sums = np.zeros((chunks + 1, len(self.order)), dtype=np.int32)
+        np.cumsum(np.bincount(cell, minlength=chunks * len(self.order)).reshape(chunks, -1), axis=0, out=sums[1:])
+        return sums
+
     def candidates(self, flat: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
-        """(row, item, first word, end word, cosine) of promising windows."""
+        """(row, item, first word, end word, cosine) of all windows that can hold a leak."""
         if not len(flat):
             return
         term = self.items.terms(flat)
-        e = np.where((term >= 0)[:, None], self.project[term], np.float32(0))
         starts = _passages(off, STEP)
-        chunks = np.add.reduceat(e, starts, axis=0)
-        sums = np.vstack([np.zeros((1, chunks.shape[1])), np.cumsum(chunks, axis=0, dtype=np.float64)])
         row = np.searchsorted(off, starts, side="right") - 1
         last = np.searchsorted(starts, off[row + 1], side="left")     # chunk after the row's end
-        for size, group in self.groups.items():
-            stop = np.minimum(np.arange(len(starts)) + size // STEP, last)
-            v = (sums[stop] - sums[:-1]).astype(np.float32)
-            v /= np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]
-            for i in range(0, len(v), 8192):
-                cos = v[i:i + 8192] @ self.queries[group].T
-                for w, g in zip(*np.nonzero(cos >= MIN_COSINE)):
-                    k = i + int(w)
-                    end = int(starts[stop[k]]) if stop[k] < last[k] else int(off[row[k] + 1])
-                    yield int(row[k]), group[g], int(starts[k]), end, float(cos[w, g])
+        end = np.r_[starts, len(flat)]
+        reach = max(self.groups) // STEP
+        step = max(64, CELLS // len(self.order))
+        for c in range(0, len(starts), step):
+            d = min(c + step, len(starts))
+            far = min(d + reach, len(starts))
+            span = np.diff(end[c:far + 1])
+            sums = self._counts(term[end[c]:end[far]], np.repeat(np.arange(far - c), span), far - c)
+            low = 0
+            for size, group in self.groups.items():
+                stop = np.minimum(np.arange(c, d) + size // STEP, last[c:d])
+                count = sums[stop - c, low:low + len(group)] - sums[:d - c, low:low + len(group)]
+                for w, g in zip(*np.nonzero(count >= self.need[low:low + len(group)])):
+                    k, a, b = c + int(w), int(starts[c + w]), int(end[stop[w]])
+                    yield int(row[k]), group[g], a, b, self.cosine(group[g], term[a:b])
+                low += len(group)
 
 
 MATCH_SCHEMA = "doc_id long, item_id long, cosine double, overlap double, start int, stop int"
