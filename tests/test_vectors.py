@@ -81,6 +81,15 @@ def test_ann_recall_against_exact(spark, medium):
     assert recall(4, 4) == 1.0            # probing every list is exact search
 
 
+def test_registered_ann_recall_is_at_least_nine_tenths(spark, small, medium):
+    from tokenloom.catalog import q_ann_topk
+    for folder in (small, medium):
+        v = fx.vectors(spark, folder)
+        exact = {(r.query_id, r.neighbor_id) for r in vx.cosine_topk(v, v, 3, exclude_self=True).collect()}
+        got = {(r.query_id, r.neighbor_id) for r in q_ann_topk(spark, folder).collect()}
+        assert len(got & exact) >= 0.9 * len(exact)
+
+
 def test_bucketed_table_merge_matches_upsert_and_is_idempotent(spark, small):
     import glob
     import os

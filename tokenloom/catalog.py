@@ -787,7 +787,7 @@ def q_latest_per_key(spark, sf_dir):
 @register("ann_topk")
 def q_ann_topk(spark, sf_dir):
     v = fx.vectors(spark, sf_dir)
-    return vx.ann_topk(v, v, 3, n_lists=16, n_probe=4, exclude_self=True).select(
+    return vx.ann_topk(v, v, 3, n_lists=16, n_probe=12, exclude_self=True).select(
         "query_id", "rank", "neighbor_id", F.round("similarity", 6).alias("similarity"))
 
 
