@@ -1,9 +1,12 @@
 import base64
+import collections
 import hashlib
 import html as H
 import io
 import re
+import zlib
 
+import numpy as np
 import zstandard
 
 from tokenloom.llm import html, urls, warc
@@ -102,3 +105,27 @@ def test_language_models_separate(spark):
     rest = [(2000, "http://news9.info/article-77.html"), (2001, "http://x9.info/click?id=5&promo=win")]
     got = {r.page_id: r for r in urls.op10(spark.createDataFrame(good + bad + rest, "page_id long, url string")).collect()}
     assert got[2000].verdict == "allow" and got[2001].verdict == "block"
+
+
+def test_language_models_count_exactly(spark):
+    """More distinct n-grams than any fixed table of counters: differences equal plain counting."""
+    rng = np.random.default_rng(3)
+    text = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 40))
+    rows = [(i, ("http://example.net/en/" if i % 2 else "http://net/de/") + text()) for i in range(5000)]
+    free = [(9000 + i, f"http://other.com/{rows[i][1][-30:]}") for i in range(20)]
+    got = {r.page_id: r.difference for r in urls.op10(spark.createDataFrame(rows + free, "page_id long, url string")).collect()}
+    counts = [collections.Counter(), collections.Counter()]
+    grams = lambda u: [(k, ("^" * 5 + u)[n + 5 - k:n + 5], c) for n, c in enumerate(u) for k in range(6)]
+    for i, u in rows:
+        if zlib.crc32(u.encode()) % 5:
+            for k, before, c in grams(u[7:]):
+                counts[i % 2][k, before, c] += 1
+                counts[i % 2][k, before] += 1
+    for i, u in free:
+        total = 0.0
+        for label, sign in ((1, 1), (0, -1)):
+            for k, before, c in grams(u[7:]):
+                p = 1 / 256 if k == 0 else p
+                p = (counts[label][k, before, c] + 3 * p) / (counts[label][k, before] + 3)
+                total += sign * np.log(p) if k == 5 else 0
+        assert abs(got[i] - total / len(u[7:])) < 1e-9

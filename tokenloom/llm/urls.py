@@ -5,12 +5,13 @@ smoothed variable-order Markov models over bytes (accepted and rejected), and
 the remaining URLs are judged by their length-normalised log-likelihood
 difference against a calibrated threshold.
 
-n-gram counts cover every rule-labelled row.  Each task counts into a hashed
-table whose size is the parameter ``SLOTS`` (contexts of 0..ORDER bytes), and
-Spark sums the non-empty slots, so the model's size is fixed however large the
-corpus and one hot host only adds to counters.  The threshold comes from a
-histogram over the calibration fold (crc32(url) mod 5 = 0), whose rows the
-models don't train on.
+n-gram counts cover every rule-labelled row and are exact: a Spark table with
+one row per distinct context (of 0..ORDER bytes) and per distinct context with
+its next byte, named by 64-bit hashes, that grows with the corpus.  URLs are
+scored in chunks: a chunk's distinct n-grams are joined with the counts and meet
+its URLs in one task, so a common n-gram costs one row per chunk.  The threshold
+comes from a histogram over the calibration fold (crc32(url) mod 5 = 0), whose
+rows the models don't train on.
 
 Defined results: a null URL or one without ``://`` has empty host and path and
 no rule; its whole text is scored (null: empty text, difference 0).  Without
@@ -23,14 +24,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import mix64, text_slices, with_field
+from tokenloom.llm.common import materialise, mix64, text_slices, with_field
 
 ORDER = 5            # longest context in bytes
-SLOTS = 1 << 16      # hashed counters per order
+CHUNK = 1 << 18      # bytes of text scored together
 PRIOR = 3.0          # weight of the next shorter context
 BINS, WIDTH = 2001, 0.01   # calibration histogram: differences -10 .. 10
 
@@ -69,8 +72,8 @@ def apply_rules(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         .withColumn("listed", rule_of(F.col("host"), F.col("path"), rules, "verdict"))
 
 
-def _slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(joint slots, context slots) per byte and order, and the row of each byte."""
+def _keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(joint keys, context keys) per order and byte, and the row of each byte."""
     column = column.cast(pa.binary())
     lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
     data = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).astype(np.uint64)
@@ -85,64 +88,90 @@ def _slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             inside = index - k >= start
             before = np.where(inside, data[np.maximum(index - k, 0)], np.uint64(256))
             h = mix64(h * np.uint64(257) + before + np.uint64(k))
-        ctx[k] = (mix64(h + np.uint64(977)) % np.uint64(SLOTS)).astype(np.int64) + k * SLOTS
-        joint[k] = (mix64(h * np.uint64(31) + data + np.uint64(1)) % np.uint64(SLOTS)).astype(np.int64) + k * SLOTS
+        ctx[k] = mix64(h + np.uint64(977)).view(np.int64)
+        joint[k] = mix64(h * np.uint64(31) + data + np.uint64(1)).view(np.int64)
     return joint, ctx, rows
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros((2, 2, (ORDER + 1) * SLOTS), dtype=np.int64)   # [class, joint or context, slot]
     for batch in batches:
-        for part in text_slices(batch, "text", 1 << 20):
-            joint, ctx, rows = _slots(part.column("text"))
-            label = part.column("label").to_numpy(zero_copy_only=False)[rows]
-            for c in (0, 1):
-                mine = label == c
-                for kind, slots in enumerate((joint, ctx)):
-                    table[c, kind] += np.bincount(slots[:, mine].ravel(), minlength=table.shape[2])
-    flat = table.reshape(2, -1)
-    used = np.flatnonzero(flat.any(axis=0))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(used, pa.int64()), pa.array(flat[0, used]), pa.array(flat[1, used])],
-        names=["slot", "rejected", "accepted"])
-
-
-def train(labelled: DataFrame) -> np.ndarray:
-    """Counts [class, joint or context, slot]; ``labelled`` has text, label (1 accepted)."""
-    counted = labelled.select("text", F.col("label").cast("int").alias("label")) \
-        .mapInArrow(_count, "slot long, rejected long, accepted long") \
-        .groupBy("slot").agg(F.sum("rejected").alias("rejected"), F.sum("accepted").alias("accepted"))
-    table = np.zeros((2, 2 * (ORDER + 1) * SLOTS), dtype=np.float32)
-    got = counted.toPandas()   # at most 2 * (ORDER + 1) * SLOTS rows, whatever the corpus
-    table[0, got["slot"]] = got["rejected"]
-    table[1, got["slot"]] = got["accepted"]
-    return table.reshape(2, 2, -1)
-
-
-def differences(counts: np.ndarray, column: pa.Array) -> np.ndarray:
-    """Mean log-likelihood difference per byte, accepted minus rejected."""
-    joint, ctx, rows = _slots(column)
+        for part in text_slices(batch, "text", CHUNK):
+            joint, ctx, rows = _keys(part.column("text"))
+            label = np.tile(part.column("label").to_numpy(zero_copy_only=False)[rows], 2 * (ORDER + 1))
+            key, at = np.unique(np.concatenate([joint.ravel(), ctx.ravel()]), return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), *(pa.array(np.bincount(at[label == c], minlength=len(key))) for c in (0, 1))],
+                names=["key", "rejected", "accepted"])
+
+
+def train(labelled: DataFrame) -> DataFrame:
+    """key, rejected, accepted: the counts, written; ``labelled`` has text, label (1 accepted)."""
+    return materialise(labelled.select("text", F.col("label").cast("int").alias("label"))
+                       .mapInArrow(_count, "key long, rejected long, accepted long")
+                       .groupBy("key").agg(F.sum("rejected").alias("rejected"), F.sum("accepted").alias("accepted")),
+                       "url-counts")
+
+
+def differences(key: np.ndarray, counts: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Mean log-likelihood difference per byte, accepted minus rejected; ``key``
+    is sorted, ``counts`` [class, key]."""
+    joint, ctx, rows = _keys(column)
+    key, counts = np.r_[key, key[-1:] if len(key) else 0], np.c_[counts, np.zeros((2, 1))]   # last: not counted
+
+    def looked_up(keys):
+        at = np.searchsorted(key[:-1], keys)
+        return np.where(key[at] == keys, at, len(key) - 1)
+
+    at_joint, at_ctx = looked_up(joint), looked_up(ctx)
     ll = []
     for c in (0, 1):
         p = np.full(joint.shape[1], 1 / 256)
         for k in range(ORDER + 1):
-            seen, total = counts[c, 0][joint[k]], counts[c, 1][ctx[k]]
-            p = (np.minimum(seen, total) + PRIOR * p) / (total + PRIOR)
+            p = (counts[c][at_joint[k]] + PRIOR * p) / (counts[c][at_ctx[k]] + PRIOR)
         ll.append(np.bincount(rows, np.log(p), minlength=len(column)))
     size = np.maximum(np.bincount(rows, minlength=len(column)), 1)
     return (ll[1] - ll[0]) / size
 
 
-def score(df: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``df`` (with ``text``) plus ``difference``."""
-    model = df.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for part in text_slices(batch, "text", CHUNK):
+            yield part.append_column("chunk", pa.array(np.full(part.num_rows, number), pa.int64()))
+            number += 1
+
+
+def _chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in text_slices(batch, "text", CHUNK):
+            joint, ctx, rows = _keys(part.column("text"))
+            chunk = part.column("chunk").to_numpy()[rows]
+            for c in np.unique(chunk):
+                mine = chunk == c
+                key = np.unique(np.concatenate([joint[:, mine].ravel(), ctx[:, mine].ravel()]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c)), pa.array(key)], names=["chunk", "key"])
+
+
+def score(df: DataFrame, counts: DataFrame) -> DataFrame:
+    """``df`` (with ``text``) plus ``difference``, written."""
+    # Ids travel as text: pandas would turn a column with nulls into floats.
+    wide = df.withColumn("page_id", F.col("page_id").cast("string"))
+    dealt = materialise(wide.mapInArrow(_chunks, with_field(wide, "chunk", "long")), "url-chunks")
+    keys = materialise(dealt.select("chunk", "text").mapInArrow(_chunk_keys, "chunk long, key long"), "url-keys")
+    known = keys.join(counts, "key").select("chunk", "key", "rejected", "accepted")
+
+    names = [*wide.columns, "difference"]
 
-    def run(batches):
-        for batch in batches:
-            for part in text_slices(batch, "text", 1 << 20):
-                yield part.append_column("difference", pa.array(differences(model.value, part.column("text"))))
+    def run(rows, found):
+        found = found.drop_duplicates("key").sort_values("key")
+        if not len(rows):
+            return pd.DataFrame({c: [] for c in names})
+        table = found[["rejected", "accepted"]].to_numpy(dtype=np.float64).T
+        rows["difference"] = differences(found["key"].to_numpy(dtype=np.int64), table, pa.array(rows["text"], pa.string()))
+        return rows.drop(columns="chunk")
 
-    return df.mapInArrow(run, with_field(df, "difference", "double"))
+    out = dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(run, with_field(wide, "difference", "double"))
+    return materialise(out.withColumn("page_id", F.col("page_id").cast(df.schema["page_id"].dataType)), "url-scored")
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -169,15 +198,17 @@ def calibrate(scored: DataFrame) -> float:
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """page_id, url, host, path, rule, difference, threshold, verdict."""
     ruled = apply_rules(pages, rules)
-    labelled = ruled.where(F.col("listed").isNotNull()).select(
-        "text", (F.col("listed") == "allow").cast("int").alias("label"),
-        (F.crc32(F.col("url").cast("binary")) % 5 == 0).alias("held"))
-    counts = train(labelled.where(~F.col("held")))
-    if not counts[:, 0].any(axis=1).all():
-        counts[:] = 0
-    threshold = calibrate(score(labelled.where("held").select("text", "label"), counts))
+    label = (F.col("listed") == "allow").cast("int").alias("label")
+    held = F.crc32(F.col("url").cast("binary")) % 5 == 0
+    labelled = ruled.where(F.col("listed").isNotNull())
+    counts = train(labelled.where(~held).select("text", label))
+    both = counts.agg(F.max("rejected").alias("r"), F.max("accepted").alias("a")).first()
+    if not (both["r"] and both["a"]):
+        counts = counts.where(F.lit(False))
+    scored = score(ruled, counts)
+    threshold = calibrate(scored.where(F.col("listed").isNotNull() & held).select("difference", label))
     method = F.when(F.col("difference") >= threshold, "allow").otherwise("block")
-    return score(ruled, counts).select(
+    return scored.select(
         "page_id", "url", "host", "path", "rule", "difference", F.lit(threshold).alias("threshold"),
         F.coalesce("listed", method).alias("verdict"))
 
