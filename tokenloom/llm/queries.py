@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tokenloom.llm import decontam, html, jaccard, mixing, quality, secrets, tokens, toxicity, urls, warc
+from tokenloom.llm import (bpe, decontam, html, interactions, jaccard, mixing, quality, secrets, tokens, toxicity, urls,
+                           warc, whitening)
 from tokenloom.sources.tables import read_table
 
 
@@ -21,5 +22,10 @@ QUERIES = {
     "op8_token_ids": lambda s, d: tokens.op8(_documents(s, d)),
     "op9_quality_rules": lambda s, d: quality.op9(_documents(s, d)),
     "op10_url_filter": lambda s, d: urls.op10(read_table(s, d, "pages", "page_id", "url")),
+    "op11_embedding_whitening": lambda s, d: whitening.op11(read_table(s, d, "embeddings", "vec_id", "embedding")),
+    "op12_filter_audit": lambda s, d: interactions.op12(
+        read_table(s, d, "documents", "doc_id", "source", "text"),
+        read_table(s, d, "labels", "doc_id", "quality", "toxic")),
+    "op13_bpe_codec": lambda s, d: bpe.op13(_documents(s, d)),
 }
-ORACLE = {"op9_quality_rules": quality.ORACLE_SQL}
+ORACLE = {"op9_quality_rules": quality.ORACLE_SQL, "op12_filter_audit": interactions.ORACLE_SQL}
