@@ -12,7 +12,8 @@ Filter E (identical to a smaller doc_id's text) needs no join of documents: rows
 are counted by (text digest, part), keeping apart those at the group's smallest
 id, and only the smallest id per digest meets those counts again - one row per
 digest and part, however many copies a text has.  All aggregations combine
-before they shuffle; texts are read once and never shuffled.
+before they shuffle; texts are read once and never shuffled (the counts per text
+and part are written to the shared folder).
 
 Defined results: null text counts as empty; null source is the part '' (together
 with empty sources).  A null doc_id is neither smaller than another nor has a
@@ -30,7 +31,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import words_of
+from tokenloom.llm.common import materialise, words_of
 
 FILTERS = "ABCDE"
 STEPS = len(FILTERS)
@@ -77,6 +78,7 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.min("doc_id").alias("low"), F.min_by("w", "doc_id").alias("at_low"),
         F.struct(*[c.alias(x) for c, x in zip(sums(F.col("w")), ("n", "good", "toxic"))]).alias("all"),
         F.struct(*[c.alias(x) for c, x in zip(sums(no_id), ("n", "good", "toxic"))]).alias("free"))
+    groups = materialise(groups, "audit-groups")   # read twice below; a few bytes per text
     # Texts of more than one part: the part that has the smallest id.
     first = groups.groupBy(F.col("digest").alias("d")).agg(F.min("low").alias("first"), F.count("*").alias("parts")) \
         .where("parts > 1")
