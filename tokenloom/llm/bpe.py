@@ -45,12 +45,14 @@ from tokenloom.llm.common import text_slices
 TOKENIZER = "word_bpe_49k.json"
 CACHE_CHUNKS = 250_000
 MEMO_PAIRS = 500_000
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 NEVER = 1 << 30
 WORD_END = [chr(256 + byte) for byte in range(256)]
 
-# The tokenizer's word pattern on lower-case ASCII text.
-ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\x09-\x0d0-9a-z]+")
+# The tokenizer's word pattern on lower-case text of ASCII characters
+# and the composed letters of Latin-1 (normalising leaves both as they are).
+EASY = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+EASY_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x20\x09-\x0d0-9a-zß-öø-ÿ]+")
 
 
 def byte_characters() -> dict[str, int]:
@@ -80,8 +82,13 @@ class Codec:
         self.special_cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.strings = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
 
+        names = [self.strings.get(i) for i in range(max(self.strings) + 1)]
+        self.known = np.array([n is not None for n in names])
+        self.string_table = pa.array(names, pa.large_string())
+
         # Every token as a symbol string, from the base symbols up the merges.
         self.byte_of = byte_characters()
+        self.as_bytes = {ord(char): byte for char, byte in self.byte_of.items()}
         symbols: dict[int, str] = {}
         for char, byte in self.byte_of.items():
             symbols[vocab[char]] = chr(byte)
@@ -110,6 +117,7 @@ class Codec:
                 occurs[token] = occurs[a] and occurs[b] and self.standing(a, b, self.made[token])
             if occurs[token]:
                 self.automaton.add_word(s, token)
+        self.closes = self.ends.tolist()
         self.automaton.make_automaton()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -148,7 +156,7 @@ class Codec:
     def last_tokens(self, symbols: str) -> list[int]:
         """The last token of every prefix's encoding."""
         last = [-1] * len(symbols)
-        length, memo, compatible = self.length, self.memo, self.compatible
+        length, closes, memo, compatible = self.length, self.closes, self.memo, self.compatible
         for end, token in self.automaton.iter(symbols):
             if last[end] >= 0:
                 continue
@@ -157,17 +165,18 @@ class Codec:
                 neighbour = last[before]
                 if neighbour < 0:
                     continue
-                fits = memo.get(neighbour << 20 | token)
-                if fits is None:
-                    fits = compatible(neighbour, token)
-                if not fits:
-                    continue
+                if not closes[neighbour]:   # no merge reaches over a word's end
+                    fits = memo.get(neighbour << 20 | token)
+                    if fits is None:
+                        fits = compatible(neighbour, token)
+                    if not fits:
+                        continue
             last[end] = token
         return last
 
-    def words(self, words: list[bytes]) -> list[bytes]:
-        """Ids (i32, little endian) of each (non-empty) word, given as bytes."""
-        joined = "".join([w[:-1].decode("latin-1") + WORD_END[w[-1]] for w in words])
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids (i32, little endian) of each (non-empty) word, one character a byte."""
+        joined = "".join([w[:-1] + WORD_END[ord(w[-1])] for w in words])
         last, length = self.last_tokens(joined), self.length
         ids, at = [], len(joined) - 1
         while at >= 0:
@@ -179,38 +188,41 @@ class Codec:
         stops = (4 * (np.flatnonzero(self.ends[flat]) + 1)).tolist()
         return [raw[i:j] for i, j in zip([0, *stops], stops)]
 
-    def cut(self, chunk: str) -> list[bytes | int]:
-        """Words (bytes) and special ids of a chunk."""
+    def cut(self, chunk: str) -> list[str | int]:
+        """Words (one character a byte) and special ids of a chunk."""
         if self.special_cut is not None and "<" in chunk:
             pieces = self.special_cut.split(chunk)
             if len(pieces) > 1:
                 return [x for i, p in enumerate(pieces) if p
                         for x in ([self.special[p]] if i % 2 else self.cut(p))]
         if chunk.isascii():
-            return [w.encode() for w in ASCII_WORDS.findall(chunk.lower())]
+            return EASY_WORDS.findall(chunk.lower())
+        if EASY.fullmatch(chunk):
+            return [w.encode().decode("latin-1") for w in EASY_WORDS.findall(chunk.lower())]
         normal = self.normalizer.normalize_str(chunk)
-        byte_of = self.byte_of
-        return [bytes([byte_of[c] for c in piece]) for piece, _ in self.pre_tokenizer.pre_tokenize_str(normal)]
+        return [piece.translate(self.as_bytes) for piece, _ in self.pre_tokenizer.pre_tokenize_str(normal)]
 
     def chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids (i32) of each chunk, remembered across calls."""
-        out: list[bytes | None] = []
-        fresh: list[tuple[int, list[bytes | int]]] = []
-        number: dict[bytes | int, int] = {}
-        for chunk in chunks:
-            ids = self.young.get(chunk)
-            if ids is None and (ids := self.old.get(chunk)) is not None:
+        out = [self.young.get(chunk) for chunk in chunks]
+        fresh: list[tuple[int, list[str | int]]] = []
+        number: dict[str, int] = {}
+        for at, (chunk, ids) in enumerate(zip(chunks, out)):
+            if ids is not None:
+                continue
+            ids = self.old.get(chunk)
+            if ids is not None:
+                out[at] = ids
                 self.keep(chunk, ids)
-            if ids is None:
-                pieces = self.cut(chunk)
-                for p in pieces:
-                    if p not in number and not isinstance(p, int):
-                        number[p] = len(number)
-                fresh.append((len(out), pieces))
-            out.append(ids)
+                continue
+            pieces = self.cut(chunk)
+            for p in pieces:
+                if p not in number and isinstance(p, str):
+                    number[p] = len(number)
+            fresh.append((at, pieces))
         coded = self.words(list(number))
         for at, pieces in fresh:
-            got = b"".join([p.to_bytes(4, "little") if isinstance(p, int) else coded[number[p]] for p in pieces])
+            got = b"".join([coded[number[p]] if isinstance(p, str) else p.to_bytes(4, "little") for p in pieces])
             out[at] = got
             if len(chunks[at]) < 100:
                 self.keep(chunks[at], got)
@@ -240,10 +252,24 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return self.encode_column(pa.array([text], pa.string()))[0].as_py()
 
+    def decode_column(self, ids: pa.Array) -> pa.Array:
+        """The tokens' strings of each list, joined by spaces (the file names no
+        decoder); null lists and ids outside the vocabulary give nothing."""
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())]
+        known = (flat >= 0) & (flat < len(self.known))
+        known[known] = self.known[flat[known]]
+        ends = np.r_[0, np.cumsum(known)][ends]
+        return joined(self.string_table, flat[known], ends)
+
     def decode(self, ids: list[int]) -> str:
-        """The tokens' strings, joined by spaces (the file names no decoder)."""
-        strings = self.strings
-        return " ".join([strings[i] for i in ids if i in strings])
+        return self.decode_column(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
+
+
+def joined(table: pa.Array, index: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Entries of a string table, joined by spaces per list (``ends``: offsets)."""
+    lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), table.take(pa.array(index, pa.int64())))
+    return pc.binary_join(lists, pa.scalar(" ", table.type))
 
 
 _CODECS: dict[str, Codec] = {}
@@ -277,20 +303,25 @@ def _decoded(batches: Batches, path: str) -> Batches:
     """(id, ids) batches -> (id, ids, decoded)."""
     c = codec(path)
     for batch in batches:
-        texts = [c.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else [])
-                 for x in batch.column("ids")]
-        yield batch.append_column("decoded", pa.array(texts, pa.string()))
+        yield batch.append_column("decoded", c.decode_column(batch.column("ids")).cast(pa.string()))
+
+
+def _sha256(column: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column.cast(pa.large_binary())], pa.string())
 
 
 def _digests(batches: Batches) -> Batches:
     """(id, ids, decoded) batches -> the query's columns."""
+    decimals: list[str] = []
     for batch in batches:
-        ids = [x.values.to_numpy(zero_copy_only=False).tolist() for x in batch.column("ids")]
-        decoded = batch.column("decoded").to_pylist()
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array([len(x) for x in ids], pa.int64()),
-            pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]),
-            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded])],
+        ids = batch.column("ids")
+        flat, n = ids.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(ids).to_numpy()
+        if len(flat) and flat.max() >= len(decimals):
+            decimals = list(map(str, range(int(flat.max()) + 1)))
+            table = pa.array(decimals, pa.large_string())
+        listed = joined(table, flat, np.r_[0, np.cumsum(n)]) if len(flat) else pa.array([""] * len(n), pa.large_string())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(n, pa.int64()), _sha256(listed), _sha256(batch.column("decoded"))],
             names=[batch.schema.names[0], "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
