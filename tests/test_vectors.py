@@ -90,29 +90,6 @@ def test_registered_ann_recall_is_at_least_nine_tenths(spark, small, medium):
         assert len(got & exact) >= 0.9 * len(exact)
 
 
-def test_bucketed_table_merge_matches_upsert_and_is_idempotent(spark, small):
-    import glob
-    import os
-
-    from tokenloom.session import scratch_path
-    base, batch = fx.vectors(spark, small), fx.vector_batch(spark, small)
-    path = scratch_path(spark, "vec-table")
-    vx.write_vector_table(base, path, buckets=8)
-    local = path.replace("file:", "")
-    before = {f: os.path.getmtime(f) for f in glob.glob(f"{local}/bucket=*/*.parquet")}
-    one_key = batch.where(F.col("entity_id") == 0)
-    vx.merge_into_vector_table(one_key, path, buckets=8)
-    after = {f: os.path.getmtime(f) for f in glob.glob(f"{local}/bucket=*/*.parquet")}
-    changed_dirs = {os.path.dirname(f) for f in set(before) ^ set(after)}
-    assert len(changed_dirs) == 1                     # only the touched bucket was rewritten
-    vx.merge_into_vector_table(batch, path, buckets=8)
-    vx.merge_into_vector_table(batch, path, buckets=8)  # a retried batch changes nothing
-    cols = ["entity_type", "entity_id", "store_id", "dimensions", "vector", "created_at", "updated_at"]
-    got = sorted(map(tuple, vx.read_vector_table(spark, path).select(*cols).collect()))
-    exp = sorted(map(tuple, vx.upsert_vectors(base, batch).select(*cols).collect()))
-    assert got == exp
-
-
 def test_save_condition_falsy_context(spark):
     rows = [(1, '{"entity_type":"product","entity_id":5}'), (2, "{}"), (3, "{bad"),
             (4, '{"entity_type":"product","entity_id":0}'), (5, '{"entity_type":"0","entity_id":7}'),

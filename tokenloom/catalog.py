@@ -20,7 +20,8 @@ from tokenloom.operators import entities as en
 from tokenloom.operators import infer as inf
 from tokenloom.operators import tasks as tk
 from tokenloom.operators import vectors as vx
-from tokenloom.plans import jobs, sinks
+from tokenloom.plans import jobs, sinks, vectorstore
+from tokenloom.plans.tasklog import TaskLog
 from tokenloom.session import scratch_path
 from tokenloom.sources import fixtures as fx
 from tokenloom.sources.dims import PRICES, price_dim, provider_dim
@@ -279,6 +280,30 @@ def q_replay_attempts(spark, sf_dir):
     return tk.replay_attempts(t, fx.attempts(t), price_dim(spark), AS_OF).select(*RESULT_COLS)
 
 
+def _folded_in_parts(spark, sf_dir) -> TaskLog:
+    """Later attempts first, then the earlier ones, then the whole batch twice more."""
+    t = fx.task_log(spark, sf_dir)
+    attempts = fx.attempts(t)
+    log = TaskLog.create(spark, scratch_path(spark, "task-log"), t, max_rows=50_000)
+    for number, part in enumerate((attempts.where("attempt >= 2"), attempts.where("attempt < 2"), attempts, attempts)):
+        log.fold(part, price_dim(spark), AS_OF, "provider", min(number, 2))
+    return log
+
+
+@register("fold_ledger")
+def q_fold_ledger(spark, sf_dir):
+    return _folded_in_parts(spark, sf_dir).tasks().select(*RESULT_COLS)
+
+
+@register("attempt_ledger")
+def q_attempt_ledger(spark, sf_dir):
+    e = F.col("entries")
+    return _folded_in_parts(spark, sf_dir).ledger().select(
+        "task_id", "base_retries", "max_retries", "status", "retries",
+        F.size(F.filter(e, lambda x: ~x["ok"])).alias("failures"),
+        F.array_min(F.transform(F.filter(e, lambda x: x["ok"]), lambda x: x["attempt"])).alias("first_ok"))
+
+
 def _odd_typed_tasks(spark, sf_dir):
     t = fx.task_log(spark, sf_dir)
     m = F.col("task_id") % 17
@@ -478,6 +503,23 @@ def q_queue_all(spark, sf_dir):
                                     created_at=AS_OF))
 
 
+@register("queue_again")
+def q_queue_again(spark, sf_dir):
+    """One queue run delivered twice, then a second run: ids stay unique."""
+    def queued(run):
+        return en.queue_all(fx.products(spark, sf_dir), fx.categories(spark, sf_dir), created_at=AS_OF, run=run)
+
+    log = TaskLog.create(spark, scratch_path(spark, "queue-log"), queued("first"))
+    for run in ("first", "second"):
+        log.append(queued(run))
+    ctx = F.from_json("context", "map<string,string>")
+    keyed = log.tasks().select("task_id", F.try_element_at(ctx, F.lit("entity_type")).alias("entity_type"),
+                               F.try_element_at(ctx, F.lit("entity_id")).alias("entity_id"))
+    return keyed.groupBy("entity_type").agg(
+        F.count("*").alias("tasks"), F.countDistinct("task_id").alias("task_ids"),
+        F.countDistinct("entity_id").alias("entities"))
+
+
 @register("task_detail")
 def q_task_detail(spark, sf_dir):
     """Entity text -> embedding tasks -> provider -> outcome fold -> detail preview."""
@@ -569,6 +611,20 @@ def q_vector_upsert(spark, sf_dir):
                     _first().alias("first_value"), _checksum().alias("checksum"))
 
 
+@register("vector_versions")
+def q_vector_versions(spark, sf_dir):
+    """A versioned table before and after a merge that is delivered twice."""
+    batch = fx.vector_batch(spark, sf_dir)
+    store = vectorstore.create_vectors(spark, scratch_path(spark, "vector-store"), fx.vectors(spark, sf_dir),
+                                       max_rows=512)
+    for _ in range(2):
+        vectorstore.merge_vectors(store, batch, "nightly", 1)
+    both = [vectorstore.read_vectors(store, v).withColumn("version", F.lit(v).cast("bigint")) for v in (1, 2)]
+    return both[0].unionByName(both[1]).select(
+        "version", "entity_id", "store_id", "created_at", "updated_at", _first().alias("first_value"),
+        _checksum().alias("checksum"))
+
+
 @register("vector_lookup")
 def q_vector_lookup(spark, sf_dir):
     keys = read_table(spark, sf_dir, "part", "p_partkey").select(
@@ -691,7 +747,7 @@ def q_stream_vector_upsert(spark, sf_dir):
     src = scratch_path(spark, "vec-updates")
     batch.write.partitionBy("seq").parquet(src)
     updates = st.file_stream(spark, src, batch.schema, 1)
-    u = st.stream_vector_upsert(spark, fx.vectors(spark, sf_dir), updates, buckets=16)
+    u = st.stream_vector_upsert(spark, fx.vectors(spark, sf_dir), updates)
     return u.select("entity_type", "entity_id", "store_id", "dimensions", "created_at", "updated_at",
                     _first().alias("first_value"), _checksum().alias("checksum"))
 

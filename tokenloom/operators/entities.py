@@ -76,16 +76,18 @@ CONSUMER_BY_TYPE = {"product": "catalog_product", "category": "catalog_category"
 
 
 def embed_tasks(texts: DataFrame, store_id: int = 0, created_at: dt.datetime | None = None,
-                id_col: Column | None = None) -> DataFrame:
+                id_col: Column | None = None, run: str | None = None) -> DataFrame:
     """Embedding task rows for (entity_type, entity_id, text).
 
-    ``task_id`` defaults to a deterministic 64-bit hash of the entity key,
-    so a re-run produces the same ids.
+    ``task_id`` defaults to a 64-bit hash of the entity key and the queue run
+    (its name, else its time): running the same job again produces the same ids,
+    which a task log then ignores, and a later run produces new ones.
     """
     consumer = F.when(F.col("entity_type") == "product", "catalog_product") \
         .when(F.col("entity_type") == "category", "catalog_category") \
         .otherwise(F.concat(F.lit("catalog_"), F.col("entity_type")))
-    tid = id_col if id_col is not None else F.xxhash64("entity_type", "entity_id", F.lit(store_id))
+    name = run if run is not None else str(created_at or "")
+    tid = id_col if id_col is not None else F.xxhash64("entity_type", "entity_id", F.lit(store_id), F.lit(name))
     req = texts.select(
         tid.alias("task_id"),
         consumer.alias("consumer"),
@@ -100,10 +102,10 @@ def embed_tasks(texts: DataFrame, store_id: int = 0, created_at: dt.datetime | N
 
 def queue_all(products: DataFrame, categories: DataFrame, include_products: bool = True,
               include_categories: bool = True, store_id: int = 0,
-              created_at: dt.datetime | None = None) -> DataFrame:
+              created_at: dt.datetime | None = None, run: str | None = None) -> DataFrame:
     texts = entity_text(products if include_products else None,
                         categories if include_categories else None)
-    return embed_tasks(texts, store_id, created_at)
+    return embed_tasks(texts, store_id, created_at, run=run)
 
 
 def missing_vectors(texts: DataFrame, vectors: DataFrame, tasks: DataFrame, store_id: int = 0) -> DataFrame:

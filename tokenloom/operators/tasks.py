@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.dates import ntz
-from tokenloom.operators.usage import estimate_cost
+from tokenloom.operators.ledger import fold_once
 from tokenloom.operators.util import bounded_broadcast, exact_percentiles
 from tokenloom.schemas import (DEFAULT_BATCH_SIZE, DEFAULT_CRON, DEFAULT_MAX_RETRIES,
                                DEFAULT_RETENTION_DAYS, DEFAULT_TIMEOUT_SECONDS, MESSAGES_TYPE,
@@ -182,59 +182,11 @@ def replay_attempts(tasks: DataFrame, outcomes: DataFrame, prices: DataFrame,
     success (all failures if none): success counts when f = 0 or r + f <= m;
     otherwise the task fails iff f > 0 and r + f > m, else it stays pending;
     retries become least(r + f, greatest(r, m)).  Only pending/processing
-    rows change.  Duplicate (task_id, attempt) rows (task retries) collapse.
+    rows change, and only they are shuffled.  Duplicate (task_id, attempt) rows
+    (task retries) collapse.  Folding the same batch again needs the attempt
+    ledger: see ``ledger.fold_once`` and ``plans.tasklog``.
     """
-    o = outcomes.groupBy("task_id", "attempt").agg(
-        F.max_by(F.struct("ok", "response", "input_tokens", "output_tokens", "platform", "model",
-                          "error"), F.col("ok")).alias("o")).select("task_id", "attempt", "o.*")
-    # Each task's retry budget travels with its outcomes, so only failures
-    # that can still change the task are looked at (no per-task lists).
-    budget = tasks.select("task_id", F.col("retries").alias("_r"), F.col("max_retries").alias("_m"))
-    o = o.join(budget, "task_id")
-    per_task = Window.partitionBy("task_id")
-    o = o.withColumn("first_ok", F.min(F.when(F.col("ok"), F.col("attempt"))).over(per_task))
-    considered_fail = (~F.col("ok")) & (F.col("first_ok").isNull() | (F.col("attempt") < F.col("first_ok")))
-    o = o.withColumn("fail_no", F.when(considered_fail, F.row_number().over(
-        per_task.orderBy(F.when(considered_fail, 0).otherwise(1), "attempt"))))
-    needed = F.greatest(F.col("_m") - F.col("_r"), F.lit(0)) + 1
-    agg = o.groupBy("task_id").agg(
-        F.count(F.col("fail_no")).alias("f"),
-        F.min_by(F.struct("response", "input_tokens", "output_tokens", "platform", "model"),
-                 F.when(F.col("ok"), F.col("attempt"))).alias("win"),
-        F.max("first_ok").alias("first_ok"),
-        F.max_by(F.col("error"), F.when(F.col("fail_no") <= needed, F.col("fail_no"))).alias("last_error"))
-    t = tasks.join(agg, "task_id", "left")
-    r, m, f = F.col("retries"), F.col("max_retries"), F.col("f")
-    open_ = F.col("status").isin("pending", "processing") & F.col("f").isNotNull()
-    success = open_ & F.col("first_ok").isNotNull() & ((f == 0) | (r + f <= m))
-    failed = open_ & ~success & (f > 0) & (r + f > m)
-    requeue = open_ & ~success & ~failed
-    # the error of failure number least(f, budget): the last one that counted
-    last_error = F.col("last_error")
-    now = _ts(as_of)
-    out = t.select(
-        *[c for c in tasks.columns if c not in ("status", "retries", "error_message", "completed_at",
-                                                "response", "input_tokens", "output_tokens",
-                                                "platform", "model", "estimated_cost")],
-        F.when(success, "complete").when(failed, "failed").when(requeue, "pending")
-        .otherwise(F.col("status")).alias("status"),
-        F.when(open_, F.least(r + f, F.greatest(r, m))).otherwise(r).cast("int").alias("retries"),
-        F.when(open_ & (f > 0), last_error).otherwise(F.col("error_message")).alias("error_message"),
-        F.when(success | failed, now).otherwise(F.col("completed_at")).alias("completed_at"),
-        F.when(success, F.col("win.response")).otherwise(F.col("response")).alias("response"),
-        F.when(success, F.coalesce(F.col("win.input_tokens"), F.lit(0)))
-        .otherwise(F.col("input_tokens")).alias("input_tokens"),
-        F.when(success, F.coalesce(F.col("win.output_tokens"), F.lit(0)))
-        .otherwise(F.col("output_tokens")).alias("output_tokens"),
-        F.when(success, F.col("win.platform")).otherwise(F.col("platform")).alias("platform"),
-        F.when(success, F.col("win.model")).otherwise(F.col("model")).alias("model"),
-        F.col("estimated_cost"),
-        success.alias("_priced"),
-    )
-    # One broadcast price join for every row; only completed-now rows take the new cost.
-    priced = estimate_cost(out, prices, out="_new_cost")
-    return priced.withColumn("estimated_cost", F.when(F.col("_priced"), F.col("_new_cost"))
-                             .otherwise(F.col("estimated_cost"))).select(*tasks.columns)
+    return fold_once(tasks, None, outcomes, prices, as_of)[0]
 
 
 def apply_outcomes(tasks: DataFrame, outcomes: DataFrame, prices: DataFrame,

@@ -12,11 +12,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.session import checkpoint_root
+from tokenloom.session import checkpoint_root, scratch_path
 
 DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared scratch folder: computed once, and read
+    again from there after an executor is lost."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_bounded(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows (a distributed count)."""
     return df.count() <= max_rows

@@ -37,19 +37,22 @@ def upsert_vectors(existing: DataFrame, batch: DataFrame, keep_seq: bool = False
     """Keyed upsert on (entity_type, entity_id, store_id).
 
     The latest version (by ``updated_at``, then the batch sequence ``seq``)
-    wins for platform, model, dimensions, vector and updated_at; the first
-    ``created_at`` of the key is kept.  One ``groupBy`` with ``max_by`` /
-    ``min``: partial aggregation drops superseded versions before the shuffle.
+    wins for platform, model, dimensions, vector and updated_at.  A stored key
+    keeps its ``created_at`` whatever the batch says; a new key gets that of its
+    first version.  One ``groupBy`` with ``max_by`` / ``min_by``: partial
+    aggregation drops superseded versions before the shuffle.
     ``keep_seq`` keeps the winning sequence so later merges (streaming
     snapshots) order versions exactly regardless of arrival order.
     """
-    def shaped(df: DataFrame, default_seq: int) -> DataFrame:
+    def shaped(df: DataFrame, default_seq: int, arriving: bool) -> DataFrame:
         seq = F.col("seq") if "seq" in df.columns else F.lit(default_seq)
-        return df.select(*VECTOR_KEY, *VECTOR_COLS, "created_at", seq.cast("bigint").alias("seq"))
+        return df.select(*VECTOR_KEY, *VECTOR_COLS, "created_at", seq.cast("bigint").alias("seq"),
+                         F.lit(arriving).alias("arriving"))
 
-    both = shaped(existing, -1).unionByName(shaped(batch, 0))
+    both = shaped(existing, -1, False).unionByName(shaped(batch, 0, True))
     latest = F.max_by(F.struct(*VECTOR_COLS, "seq"), F.struct("updated_at", "seq"))
-    merged = both.groupBy(*VECTOR_KEY).agg(latest.alias("v"), F.min("created_at").alias("created_at"))
+    first = F.min_by("created_at", F.struct("arriving", "updated_at", "seq"))
+    merged = both.groupBy(*VECTOR_KEY).agg(latest.alias("v"), first.alias("created_at"))
     extra = ["v.seq"] if keep_seq else []
     return merged.select(*VECTOR_KEY, "v.platform", "v.model", "v.dimensions", "v.vector",
                          "created_at", "v.updated_at", *extra)
@@ -324,44 +327,6 @@ def ann_one_dimension(queries: DataFrame, vectors: DataFrame, k: int, n_lists: i
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-# -- bucketed vector table (keyed merge rewrites only touched buckets) ----------------
-
-VECTOR_BUCKETS = 1024
-
-
-def vector_bucket(buckets: int = VECTOR_BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(*VECTOR_KEY), F.lit(buckets))
-
-
-def write_vector_table(vectors: DataFrame, path: str, buckets: int = VECTOR_BUCKETS) -> None:
-    """Create (or replace) a vector table partitioned by key-hash bucket."""
-    seq = F.col("seq") if "seq" in vectors.columns else F.lit(-1).cast("bigint")
-    vectors.withColumn("seq", seq.cast("bigint")).withColumn("bucket", vector_bucket(buckets)) \
-        .repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-
-
-def merge_into_vector_table(batch: DataFrame, path: str, buckets: int = VECTOR_BUCKETS) -> None:
-    """Keyed upsert of ``batch`` into the table at ``path``.
-
-    Only buckets the batch touches are read (semi join on the partition
-    column: at most ``buckets`` ids, so the broadcast is bounded, and the
-    scan is pruned) and rewritten (dynamic partition overwrite).  Re-running
-    the same batch gives the same table, so a retried micro-batch is safe.
-    """
-    spark = batch.sparkSession
-    b = batch.withColumn("bucket", vector_bucket(buckets))
-    touched = b.select("bucket").distinct()
-    current = spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi")
-    merged = upsert_vectors(current.drop("bucket"), b.drop("bucket"), keep_seq=True) \
-        .withColumn("bucket", vector_bucket(buckets))
-    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("bucket").parquet(path)
-
-
-def read_vector_table(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket", "seq")
-
-
 def stale_vectors(vectors: DataFrame, changes: DataFrame) -> DataFrame:
     """Vectors older than the latest change of their entity (re-embedding
     candidates).  ``changes``: (entity_type, entity_id, changed_at); the

@@ -406,6 +406,15 @@ RESULT_COLS = ("task_id, status, retries, error_message, completed_at, response,
                "platform, model, estimated_cost")
 ORACLE["apply_outcomes"] = replay_sql(["tasks", "outcomes1"], "tasks", "outcomes1", RESULT_COLS)
 ORACLE["replay_attempts"] = replay_sql(["tasks", "attempts"], "tasks", "attempts", RESULT_COLS)
+# Folding in parts, in any order and again must equal folding once.
+ORACLE["fold_ledger"] = ORACLE["replay_attempts"]
+ORACLE["attempt_ledger"] = replay_sql(
+    ["tasks", "attempts"], "tasks", "attempts",
+    """r.task_id, t.retries AS base_retries, t.max_retries, r.status, r.retries,
+  CAST((SELECT LEAST(COUNT(*), GREATEST(t.max_retries - t.retries, 0) + 1) FROM outs o
+        WHERE o.task_id = r.task_id AND NOT o.ok) AS INTEGER) AS failures,
+  (SELECT MIN(o.attempt) FROM outs o WHERE o.task_id = r.task_id AND o.ok) AS first_ok""").replace(
+    "\n) r", "\n) r JOIN tasks t ON t.task_id = r.task_id WHERE t.status IN ('pending', 'processing')")
 
 cte("odd_tasks", ["tasks"], """  SELECT * REPLACE (
     CASE WHEN task_id % 17 IN (0, 1) THEN 'completion' WHEN task_id % 17 = 2 THEN 'video'
@@ -661,6 +670,9 @@ FROM {src}"""
 
 oracle("embed_tasks", ["product_text"], TASK_SHAPE.format(src="product_text"))
 oracle("queue_all", ["entity_texts"], TASK_SHAPE.format(src="entity_texts"))
+oracle("queue_again", ["entity_texts"], """SELECT entity_type, CAST(2 * COUNT(*) AS BIGINT) AS tasks,
+  CAST(2 * COUNT(*) AS BIGINT) AS task_ids, CAST(COUNT(*) AS BIGINT) AS entities
+FROM entity_texts GROUP BY entity_type""")
 
 oracle("task_detail", ["entity_texts"], """SELECT entity_type, entity_id, 'complete' AS status,
   'user' AS preview_role, CAST(length(p) AS INTEGER) AS preview_length, md5(p) AS preview_md5,
@@ -730,12 +742,13 @@ cte("vbatch", [], f"""  SELECT 'product' AS entity_type, vec_id AS entity_id, CA
 
 cte("upserted", ["vectors", "vbatch"], f"""  SELECT entity_type, entity_id, store_id, platform, model, dimensions, vector, created_at, updated_at FROM (
     SELECT *, ROW_NUMBER() OVER (PARTITION BY entity_type, entity_id, store_id ORDER BY updated_at DESC, seq DESC) AS rn,
-      MIN(created_at0) OVER (PARTITION BY entity_type, entity_id, store_id) AS created_at
+      FIRST_VALUE(created_at0) OVER (PARTITION BY entity_type, entity_id, store_id
+                                     ORDER BY stored DESC, updated_at, seq) AS created_at
     FROM (SELECT entity_type, entity_id, store_id, platform, model, dimensions, vector,
-                 created_at AS created_at0, updated_at, -1 AS seq FROM vectors
+                 created_at AS created_at0, updated_at, -1 AS seq, true AS stored FROM vectors
           UNION ALL
           SELECT entity_type, entity_id, store_id, 'openai', 'text-embedding-3-small', CAST(len(vector) AS BIGINT),
-                 vector, {ASOF_TS}, {ASOF_TS}, seq FROM vbatch))
+                 vector, {ASOF_TS} - INTERVAL 100000 DAY, {ASOF_TS}, seq, false FROM vbatch))
   WHERE rn = 1""")
 
 oracle("vector_scan", ["vectors"], f"""SELECT entity_type, entity_id, store_id, dimensions,
@@ -747,6 +760,12 @@ oracle("vector_encode", ["vectors"], """SELECT entity_id, dimensions, CAST(len(v
 oracle("vector_upsert", ["upserted"], f"""SELECT entity_type, entity_id, store_id, dimensions, created_at, updated_at,
   {FIRST.format(v='vector')} AS first_value, {CHECKSUM.format(v='vector')} AS checksum FROM upserted""")
 
+oracle("vector_versions", ["vectors", "upserted"], f"""SELECT CAST(1 AS BIGINT) AS version, entity_id, store_id, created_at, updated_at,
+  {FIRST.format(v='vector')} AS first_value, {CHECKSUM.format(v='vector')} AS checksum FROM vectors
+UNION ALL
+SELECT 2, entity_id, store_id, created_at, updated_at, {FIRST.format(v='vector')}, {CHECKSUM.format(v='vector')}
+FROM upserted""")
+
 oracle("vector_lookup", ["upserted"], """SELECT u.entity_id, u.store_id, u.model, u.platform, u.dimensions, u.updated_at
 FROM upserted u JOIN part p ON u.entity_type = 'product' AND u.entity_id = p.p_partkey
   AND u.store_id = CAST(p.p_partkey % 3 AS INTEGER)""")
@@ -901,7 +920,8 @@ LEFT JOIN prices p ON p.platform = 'openai' AND p.model = 'gpt-4o'""")
 
 cte("embedded", ["vectors", "entity_texts"], f"""  SELECT entity_type, entity_id, store_id, model, dimensions, vector, created_at, updated_at FROM (
     SELECT *, ROW_NUMBER() OVER (PARTITION BY entity_type, entity_id, store_id ORDER BY updated_at DESC, seq DESC) AS rn,
-      MIN(created_at0) OVER (PARTITION BY entity_type, entity_id, store_id) AS created_at
+      FIRST_VALUE(created_at0) OVER (PARTITION BY entity_type, entity_id, store_id
+                                     ORDER BY seq >= 0, updated_at, seq) AS created_at
     FROM (SELECT entity_type, entity_id, store_id, model, dimensions, vector, created_at AS created_at0,
                  updated_at, -1 AS seq FROM vectors
           UNION ALL

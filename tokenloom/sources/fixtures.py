@@ -221,7 +221,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An upsert batch over every vector: a reversed version, a later version
     with the same timestamp that must win (doubled values, higher sequence),
-    and a copy under a new id."""
+    and a copy under a new id.  Its ``created_at`` lies before that of any stored
+    vector and must only show in new keys."""
     emb = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
     common = [F.lit("product").alias("entity_type"),
               (F.col("label") % 3).cast("int").alias("store_id"),
@@ -240,7 +241,8 @@ def vector_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = reversed_.unionByName(doubled).unionByName(fresh)
     return batch.select("entity_type", "entity_id", "store_id", "platform", "model",
                         F.size("vector").cast("bigint").alias("dimensions"), "vector",
-                        F.col("updated_at").alias("created_at"), "updated_at", "seq")
+                        F.timestamp_add("DAY", F.lit(-100_000), F.col("updated_at")).alias("created_at"),
+                        "updated_at", "seq")
 
 
 def outcomes(tasks: DataFrame) -> DataFrame:

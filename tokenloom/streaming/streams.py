@@ -18,6 +18,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tokenloom.functions.dates import ntz
 from tokenloom.operators import entities as en
 from tokenloom.operators import guard
+from tokenloom.plans.vectorstore import create_vectors, merge_vectors, read_vectors
+from tokenloom.plans.versioned import MAX_ROWS
 from tokenloom.session import scratch_path
 
 EPOCH = dt.datetime(1970, 1, 1)
@@ -142,18 +144,14 @@ def stream_embed_queue(changes: DataFrame, delay: str = "1 hour", created_at: dt
 
 
 def stream_vector_upsert(spark: SparkSession, base: DataFrame, updates: DataFrame, label: str = "vectors",
-                         buckets: int | None = None) -> DataFrame:
-    """Merge a stream of vector versions into a bucketed vector table; each
-    micro-batch rewrites only the buckets it touches (``foreachBatch``)."""
-    from tokenloom.operators.vectors import VECTOR_BUCKETS, merge_into_vector_table, read_vector_table, \
-        write_vector_table
-    n = buckets or VECTOR_BUCKETS
-    table = scratch_path(spark, f"{label}-table")
-    write_vector_table(base, table, n)
+                         max_rows: int = MAX_ROWS) -> DataFrame:
+    """Merge a stream of vector versions into a versioned vector table; each
+    micro-batch rewrites only the buckets it touches and is applied once, also
+    when it is run again after a failure."""
+    store = create_vectors(spark, scratch_path(spark, f"{label}-table"), base, max_rows)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        merge_into_vector_table(batch, table, n)
+        merge_vectors(store, batch, label, batch_id)
 
     run_batches(updates, handle, scratch_path(spark, f"{label}-ckpt"), mode="append")
-    return read_vector_table(spark, table)
-
+    return read_vectors(store)
