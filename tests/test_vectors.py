@@ -3,6 +3,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
+from tokenloom.operators import ann
 from tokenloom.operators import vectors as vx
 from tokenloom.sources import fixtures as fx
 
@@ -68,26 +69,51 @@ def test_truncate_and_clear(spark):
         pass
 
 
-def test_ann_recall_against_exact(spark, medium):
-    v = fx.vectors(spark, medium)
-    exact = {(r.query_id, r.neighbor_id) for r in vx.cosine_topk(v, v, 3, exclude_self=True).collect()}
-
-    def recall(n_lists, n_probe):
-        rows = vx.ann_topk(v, v, 3, n_lists=n_lists, n_probe=n_probe, exclude_self=True, block=64).collect()
-        return len({(r.query_id, r.neighbor_id) for r in rows} & exact) / len(exact)
-
-    r2, r4, r8 = recall(16, 2), recall(16, 4), recall(16, 8)
-    assert 0 < r2 <= r4 <= r8 <= 1.0      # probed lists are nested, so recall cannot drop
-    assert recall(4, 4) == 1.0            # probing every list is exact search
-
-
-def test_registered_ann_recall_is_at_least_nine_tenths(spark, small, medium):
-    from tokenloom.catalog import q_ann_topk
+def test_ann_recall_and_scored_share(spark, small, medium):
     for folder in (small, medium):
         v = fx.vectors(spark, folder)
-        exact = {(r.query_id, r.neighbor_id) for r in vx.cosine_topk(v, v, 3, exclude_self=True).collect()}
-        got = {(r.query_id, r.neighbor_id) for r in q_ann_topk(spark, folder).collect()}
-        assert len(got & exact) >= 0.9 * len(exact)
+        exact = vx.cosine_topk(v, v, 3, exclude_self=True)
+        got = ann.ann_topk(v, v, 3, exclude_self=True)
+        assert ann.recall(got, exact).first().recall >= 0.9
+        assert ann.RERANK < 0.2 * v.count()
+        truth = {(r.query_id, r.neighbor_id): r.similarity for r in exact.collect()}
+        for r in got.collect():     # the final order is exact
+            if (r.query_id, r.neighbor_id) in truth:
+                assert abs(r.similarity - truth[r.query_id, r.neighbor_id]) < 1e-12
+
+
+def test_ann_probing_and_scoring_everything_is_exact(spark, small, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_CODES", 60)      # many shards and query blocks
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 100)
+    v = fx.vectors(spark, small)
+    exact = {(r.query_id, r.neighbor_id, r["rank"]) for r in vx.cosine_topk(v, v, 3, exclude_self=True).collect()}
+    full = ann.ann_topk(v, v, 3, exclude_self=True, rerank=10_000, probe_share=1.0)
+    assert {(r.query_id, r.neighbor_id, r["rank"]) for r in full.collect()} == exact
+    shares = []
+    for share in (0.05, 0.3, 1.0):
+        got = ann.ann_topk(v, v, 3, exclude_self=True, rerank=10_000, probe_share=share).collect()
+        shares.append(len({(r.query_id, r.neighbor_id, r["rank"]) for r in got} & exact))
+    assert 0 < shares[0] < shares[1] < shares[2] == len(exact)
+
+
+def test_ann_clusters_need_few_probes(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 16))
+    rows = [(i, (centres[i % 20] + 0.05 * rng.normal(size=16)).astype(float).tolist()) for i in range(600)]
+    v = spark.createDataFrame(rows, "entity_id long, vector array<float>")
+    exact = vx.cosine_topk(v, v, 5, exclude_self=True)
+    got = ann.ann_topk(v, v, 5, exclude_self=True, probe_share=0.1)
+    assert ann.recall(got, exact).first().recall >= 0.9
+
+
+def test_ann_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, []), (5, [0.6, 0.8]), (6, [1.0, 2.0, 3.0])]
+    v = spark.createDataFrame(rows, "entity_id long, vector array<float>")
+    got = {(r.query_id, r.neighbor_id) for r in ann.ann_topk(v, v, 3, exclude_self=True).collect()}
+    assert got == {(1, 5), (5, 1)}
+    assert ann.ann_topk(v.where("false"), v.where("false"), 3).collect() == []
+    alone = v.where("entity_id = 6")
+    assert ann.ann_topk(alone, alone, 3, exclude_self=True).collect() == []
 
 
 def test_save_condition_falsy_context(spark):
@@ -126,10 +152,11 @@ def test_provider_registry_capability_order(spark):
 
 
 def test_ann_answers_every_dimension(spark):
-    from tokenloom.operators.vectors import ann_topk, cosine_topk
+    from tokenloom.operators.ann import ann_topk
+    from tokenloom.operators.vectors import cosine_topk
     rows = [(i, [float(i + 1), 1.0] if i % 2 else [1.0, float(i), 2.0]) for i in range(12)]
     v = spark.createDataFrame(rows, "entity_id long, vector array<double>")
     key = lambda df: sorted((r.query_id, r.rank, r.neighbor_id) for r in df.collect())
     exact = key(cosine_topk(v, v, 2, exclude_self=True))
-    assert key(ann_topk(v, v, 2, n_lists=3, n_probe=3, exclude_self=True)) == exact
+    assert key(ann_topk(v, v, 2, lists=3, probe_share=1.0, exclude_self=True)) == exact
     assert len({q for q, _, _ in exact}) == 12

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.functions.dates import ntz
-from tokenloom.operators import budget, guard, usage
+from tokenloom.operators import ann, budget, guard, usage
 from tokenloom.operators import entities as en
 from tokenloom.operators import infer as inf
 from tokenloom.operators import tasks as tk
@@ -843,10 +843,21 @@ def q_latest_per_key(spark, sf_dir):
 @register("ann_topk")
 def q_ann_topk(spark, sf_dir):
     v = fx.vectors(spark, sf_dir)
-    return vx.ann_topk(v, v, 3, n_lists=16, n_probe=12, exclude_self=True).select(
+    return ann.ann_topk(v, v, 3, exclude_self=True).select(
         "query_id", "rank", "neighbor_id", F.round("similarity", 6).alias("similarity"))
 
 
+@register("ann_recall")
+def q_ann_recall(spark, sf_dir):
+    """Whether the index finds nine tenths of the exact answers while it scores
+    less than a fifth of the vectors against a query."""
+    v = fx.vectors(spark, sf_dir)
+    got = ann.recall(ann.ann_topk(v, v, 3, exclude_self=True), vx.cosine_topk(v, v, 3, exclude_self=True))
+    return got.select(
+        "pairs", (F.col("recall") >= 0.9).alias("recall_reached"),
+        F.lit(ann.RERANK < 0.2 * v.count()).alias("few_scored"))
+
+
 @register("sync_call")
 def q_sync_call(spark, sf_dir):
     calls = jobs.sync_calls(fx.planted_conversations(spark, sf_dir), _stub, price_dim(spark), AS_OF,

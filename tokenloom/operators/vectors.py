@@ -216,29 +216,7 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str =
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-# -- approximate top-k (inverted lists) ----------------------------------------------
-
-def _assign_lists(df: DataFrame, centroids: np.ndarray, id_col: str, n_probe: int) -> DataFrame:
-    """Nearest ``n_probe`` centroids per vector (numpy per Arrow batch)."""
-    cents = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-30)
-
-    def run(batches):
-        for pdf in batches:
-            groups = _by_dimension(pdf["vector"])
-            m = np.zeros((len(pdf), cents.shape[1]))
-            ok = np.zeros(len(pdf), dtype=bool)
-            if cents.shape[1] in groups:   # other dimensions cannot be compared
-                rows, unit = groups[cents.shape[1]]
-                m[rows] = unit
-                ok[rows] = True
-            scores = m @ cents.T
-            best = np.argsort(-scores, axis=1)[:, :n_probe]
-            ids = np.repeat(pdf[id_col].to_numpy(dtype=np.int64), best.shape[1])
-            keep = np.repeat(ok, best.shape[1])
-            yield pd.DataFrame({"id": ids[keep], "list_id": best.reshape(-1)[keep].astype(np.int64)})
-
-    return df.select(id_col, "vector").mapInPandas(run, "id long, list_id long")
-
+# -- k-means step of the approximate index (operators/ann.py) --------------------------
 
 def _refine_centroids(v: DataFrame, cents: np.ndarray, iterations: int) -> np.ndarray:
     """Spherical k-means steps run by Spark: each Arrow batch assigns its unit
@@ -273,60 +251,6 @@ def _refine_centroids(v: DataFrame, cents: np.ndarray, iterations: int) -> np.nd
     return cents
 
 
-def ann_topk(queries: DataFrame, vectors: DataFrame, k: int, n_lists: int = 64, n_probe: int = 4,
-             query_id: str = "entity_id", vector_id: str = "entity_id", exclude_self: bool = False,
-             block: int = 16384, iterations: int = 3) -> DataFrame:
-    """``ann_one_dimension`` for each vector length (a handful: one per
-    embedding model), as only vectors of equal length can be compared."""
-    length = F.size("vector")
-    sizes = [r[0] for r in vectors.where(length > 0).select(length.alias("n")).distinct().collect()]
-    parts = [ann_one_dimension(queries.where(length == n), vectors.where(length == n), k, n_lists, n_probe,
-                               query_id, vector_id, exclude_self, block, iterations) for n in sorted(sizes) or [0]]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def ann_one_dimension(queries: DataFrame, vectors: DataFrame, k: int, n_lists: int, n_probe: int,
-                      query_id: str, vector_id: str, exclude_self: bool, block: int, iterations: int) -> DataFrame:
-    """Approximate top-k with inverted lists: every vector goes to its nearest
-    centroid, every query searches its ``n_probe`` nearest lists, exactly.
-
-    Centroids start as ``n_lists`` vectors chosen by a hash order (a bounded
-    sample) and are refined by ``iterations`` distributed k-means steps.  A crowded list is cut into chunks of
-    at most ``block`` vectors, so no group grows with the data; results are
-    re-ranked exactly.  Recall is measured against ``cosine_topk`` in tests.
-    """
-    v = vectors.select(F.col(vector_id).cast("bigint").alias("vid"), "vector")
-    q = queries.select(F.col(query_id).cast("bigint").alias("qid"), "vector")
-    sample = v.where(F.size("vector") > 0).orderBy(F.xxhash64("vid"), "vid").limit(n_lists) \
-        .select("vector").collect()
-    if not sample:
-        return q.select(F.col("qid").alias("query_id")).limit(0).select(
-            "query_id", F.lit(None).cast("long").alias("neighbor_id"),
-            F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("int").alias("rank"))
-    cents = np.array([np.asarray(r.vector, dtype=np.float64) for r in sample])
-    cents = _refine_centroids(v, cents, iterations)
-    v_lists = _assign_lists(v.withColumnRenamed("vid", "id"), cents, "id", 1) \
-        .withColumnRenamed("id", "vid")
-    q_lists = _assign_lists(q.withColumnRenamed("qid", "id"), cents, "id", n_probe) \
-        .withColumnRenamed("id", "qid")
-    sizes = v_lists.groupBy("list_id").agg(F.count("*").alias("n"))
-    chunks = sizes.select("list_id", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block))).cast("long")
-                          .alias("chunks"))
-    vx_ = v_lists.join(F.broadcast(chunks), "list_id").join(v, "vid") \
-        .withColumn("chunk", F.pmod(F.xxhash64("vid"), F.col("chunks")))
-    qx_ = q_lists.join(F.broadcast(chunks), "list_id").join(q, "qid") \
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    part = qx_.select("list_id", "chunk", "qid", "vector").groupBy("list_id", "chunk") \
-        .cogroup(vx_.select("list_id", "chunk", "vid", "vector").groupBy("list_id", "chunk")) \
-        .applyInPandas(_topk_kernel(k, exclude_self), TOPK_SCHEMA)
-    best = part.groupBy("query_id", "neighbor_id").agg(F.max("similarity").alias("similarity"))
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("neighbor_id"))
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def stale_vectors(vectors: DataFrame, changes: DataFrame) -> DataFrame:
     """Vectors older than the latest change of their entity (re-embedding
     candidates).  ``changes``: (entity_type, entity_id, changed_at); the

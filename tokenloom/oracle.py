@@ -809,6 +809,9 @@ oracle("cosine_topk", [], """SELECT query_id, CAST(rank AS INTEGER) AS rank, nei
     ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0)
 WHERE rank <= 3""")
 
+oracle("ann_recall", [], """SELECT CAST(COUNT(*) * LEAST(3, COUNT(*) - 1) AS BIGINT) AS pairs, true AS recall_reached,
+  true AS few_scored FROM embeddings""")
+
 # -- streaming keys reuse the batch semantics -----------------------------------------------------------
 
 ORACLE["stream_usage"] = ORACLE["call_usage"]
