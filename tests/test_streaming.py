@@ -28,22 +28,38 @@ def test_stream_usage_equals_batch(spark, small):
     assert got == sorted(map(tuple, exp.collect()))
 
 
-def test_stream_usage_late_rows_and_restart(spark):
-    src = scratch_path(spark, "late-src")
-    out = scratch_path(spark, "late-out")
-    ckpt = scratch_path(spark, "late-ckpt")
+def test_late_rows_restarts_and_batches_run_again(spark):
+    """However late a row is, the table ends equal to the batch rollup."""
+    src, ckpt = scratch_path(spark, "late-src"), scratch_path(spark, "late-ckpt")
+    store = st.usage_store(spark, scratch_path(spark, "late-usage"))
     d0 = dt.datetime(2024, 1, 10, 12)
-    _calls(spark, [_row(1, d0), _row(2, d0 + dt.timedelta(days=3))]).write.mode("append").parquet(src)
-    stream = st.stream_usage(st.file_stream(spark, src, _calls(spark, []).schema), "1 day")
-    st.run_batches(stream, st.batch_folder_writer(out), ckpt, "update")
-    # next arrival: one row within the watermark (day 12), one far too late (day 1)
-    _calls(spark, [_row(3, d0 + dt.timedelta(days=2)), _row(4, dt.datetime(2024, 1, 1, 1))]) \
-        .write.mode("append").parquet(src)
-    stream = st.stream_usage(st.file_stream(spark, src, _calls(spark, []).schema), "1 day")
-    st.run_batches(stream, st.batch_folder_writer(out), ckpt, "update")
-    keys = ["consumer", "platform", "model", "store_id", "period_date"]
-    got = {r.period_date: r.request_count for r in st.latest_per_key(spark, out, keys, stream.schema).collect()}
-    assert got == {dt.date(2024, 1, 10): 1, dt.date(2024, 1, 12): 1, dt.date(2024, 1, 13): 1}
+    arrivals = [[_row(1, d0), _row(2, d0 + dt.timedelta(days=3))],
+                [_row(3, d0 + dt.timedelta(days=2)), _row(4, dt.datetime(2021, 1, 1, 1))],     # years late
+                [_row(5, d0), _row(6, dt.datetime(2021, 1, 1, 2)), (*_row(7, d0)[:3], None, *_row(7, d0)[4:])]]
+    everything = []
+    for rows in arrivals:
+        _calls(spark, rows).write.mode("append").parquet(src)
+        everything += rows
+        got = st.stream_usage(st.file_stream(spark, src, _calls(spark, []).schema), store, ckpt)
+        exp = usage.call_usage(_calls(spark, everything))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
+    version = store.state().version
+    again = usage.call_usage(_calls(spark, arrivals[2]))
+    assert store.merge(again, lambda now: {"usage": usage.usage_merge(now["usage"], again)}, "calls", 2) == version
+    assert {r.period_date: r.request_count for r in store.read("usage").collect()} == {
+        dt.date(2024, 1, 10): 2, dt.date(2024, 1, 12): 1, dt.date(2024, 1, 13): 1, dt.date(2021, 1, 1): 2}
+
+
+def test_rate_limit_is_known_after_the_batch(spark):
+    src, ckpt = scratch_path(spark, "rate-src"), scratch_path(spark, "rate-ckpt")
+    store = st.rate_store(spark, scratch_path(spark, "rates"))
+    minute = dt.datetime(2024, 1, 10, 12, 5)
+    for n, want in ((2, [(minute, 2, False)]), (2, [(minute, 4, True)])):
+        spark.createDataFrame([(minute + dt.timedelta(seconds=i),) for i in range(n)], "ts timestamp_ntz") \
+            .write.mode("append").parquet(src)
+        stream = st.file_stream(spark, src, "ts timestamp_ntz")
+        got = st.stream_rate_limit(stream, "ts", 3, store, ckpt)
+        assert [tuple(r) for r in got.collect()] == want
 
 
 def test_stream_timeouts_equal_batch_rule(spark, small):

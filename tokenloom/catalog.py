@@ -683,13 +683,9 @@ def _day_stream(spark, df, time_col, label, max_files=8, marker=None):
 
 @register("stream_usage")
 def q_stream_usage(spark, sf_dir):
-    calls = priced_calls(spark, sf_dir)
-    agg = st.stream_usage(_day_stream(spark, calls, "called_at", "calls"), LATE_TOLERANCE)
-    out = scratch_path(spark, "stream-usage-out")
-    st.run_batches(agg, st.batch_folder_writer(out, spark.createDataFrame([], agg.schema)),
-                   scratch_path(spark, "stream-usage-ckpt"), "update")
-    return st.latest_per_key(spark, out, ["consumer", "platform", "model", "store_id", "period_date"],
-                             agg.schema)
+    calls = _day_stream(spark, priced_calls(spark, sf_dir), "called_at", "calls")
+    return st.stream_usage(calls, st.usage_store(spark, scratch_path(spark, "stream-usage")),
+                           scratch_path(spark, "stream-usage-ckpt"))
 
 
 def _marker(spark, id_col, time_col):
@@ -724,11 +720,8 @@ def q_stream_screen(spark, sf_dir):
 @register("stream_rate_limit")
 def q_stream_rate_limit(spark, sf_dir):
     calls = fx.call_log(spark, sf_dir).select(F.col("called_at").alias("ts"))
-    marker = spark.createDataFrame([(FAR_FUTURE,)], "ts timestamp_ntz")
-    r = st.stream_rate_limit(_day_stream(spark, calls, "ts", "requests", 8, marker), "ts", 30,
-                             LATE_TOLERANCE)
-    out = st.run_available_now(r, scratch_path(spark, "rate-out"), scratch_path(spark, "rate-ckpt"))
-    return spark.read.schema(r.schema).parquet(out).where(F.col("minute_start") < ntz(FAR_FUTURE))
+    return st.stream_rate_limit(_day_stream(spark, calls, "ts", "requests"), "ts", 30,
+                                st.rate_store(spark, scratch_path(spark, "rates")), scratch_path(spark, "rate-ckpt"))
 
 
 @register("stream_embed_queue")

@@ -133,7 +133,8 @@ class VersionedStore:
             state.rows[b], state.folders[b] = 0, {}
         for number, (table, df) in enumerate(tables.items()):
             folder, schema = f"{snapshot}/{table}", state.schemas[table]
-            self._labelled(df.select(*schema.names), state).repartition(BUCKET_COL) \
+            typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+            self._labelled(typed, state).repartition(BUCKET_COL) \
                 .write.partitionBy(BUCKET_COL).parquet(folder)
             stored = self.spark.read.schema(StructType([*schema.fields, StructField(BUCKET_COL, StringType())])) \
                 .parquet(folder)

@@ -13,13 +13,13 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from tokenloom.functions.dates import ntz
 from tokenloom.operators import entities as en
-from tokenloom.operators import guard
+from tokenloom.operators import guard, usage
 from tokenloom.plans.vectorstore import create_vectors, merge_vectors, read_vectors
-from tokenloom.plans.versioned import MAX_ROWS
+from tokenloom.plans.versioned import MAX_ROWS, VersionedStore
+from tokenloom.schemas import USAGE_KEY, USAGE_SCHEMA
 from tokenloom.session import scratch_path
 
 EPOCH = dt.datetime(1970, 1, 1)
@@ -70,40 +70,26 @@ def run_batches(stream: DataFrame, handle, checkpoint: str, mode: str = "update"
     q.awaitTermination()
 
 
-def batch_folder_writer(out_root: str, empty: DataFrame | None = None):
-    """Write each micro-batch to ``out_root/batch_id=N`` (overwrite = idempotent
-    retry).  ``empty``, a frame without rows, is written first if given, so the
-    folder exists even when the stream emits nothing."""
-    if empty is not None:
-        empty.write.mode("overwrite").parquet(f"{out_root}/batch_id=-1")
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_root}/batch_id={batch_id}")
-    return handle
+# -- jobs ----------------------------------------------------------------------------
 
+def usage_store(spark: SparkSession, root: str, max_rows: int = MAX_ROWS) -> VersionedStore:
+    """An empty usage table for ``stream_usage``."""
+    return VersionedStore.create(spark, root, {"usage": spark.createDataFrame([], USAGE_SCHEMA)}, USAGE_KEY, max_rows)
 
-def latest_per_key(spark: SparkSession, out_root: str, keys: list[str], schema: StructType) -> DataFrame:
-    """Collapse update-mode batch folders: the row of the highest batch id per
-    key.  A missing or unreadable folder is an error."""
-    stored = StructType([*schema.fields, StructField("batch_id", LongType())])
-    df = spark.read.schema(stored).parquet(out_root)
-    cols = [c for c in df.columns if c not in keys and c != "batch_id"]
-    best = F.max_by(F.struct(*cols), F.col("batch_id"))
-    return df.groupBy(*keys).agg(best.alias("r")).select(*keys, "r.*")
 
+def stream_usage(priced_calls: DataFrame, store: VersionedStore, checkpoint: str, source: str = "calls") -> DataFrame:
+    """Per-call counters by (consumer, platform, model, store, day), kept in ``store``.
 
-# -- jobs ----------------------------------------------------------------------------
+    Every micro-batch is rolled up and added to the stored counters in one
+    commit that carries the batch number, so a batch that is run again adds
+    nothing.  There is no watermark and no stream state: a row that arrives
+    however late is counted on its day.  ``source`` stands for one checkpoint."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        part = usage.call_usage(batch)
+        store.merge(part, lambda now: {"usage": usage.usage_merge(now["usage"], part)}, source, batch_id)
 
-def stream_usage(priced_calls: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Per-call counters by (consumer, platform, model, store, UTC day), watermarked."""
-    ev = priced_calls.where(F.col("platform").isNotNull()) \
-        .withColumn("event_time", ntz_to_instant(F.col("called_at"))).withWatermark("event_time", delay)
-    agg = ev.groupBy(F.window("event_time", "1 day"), "consumer", "platform", "model", "store_id").agg(
-        F.count("*").alias("request_count"), F.sum("input_tokens").alias("input_tokens"),
-        F.sum("output_tokens").alias("output_tokens"), F.sum("estimated_cost").alias("estimated_cost"))
-    return agg.select("consumer", "platform", "model", "store_id",
-                      F.to_date(instant_to_ntz(F.col("window.start"))).alias("period_date"),
-                      "request_count", "input_tokens", "output_tokens", "estimated_cost")
+    run_batches(priced_calls, handle, checkpoint, "append")
+    return store.read("usage")
 
 
 def stream_timeouts(starts: DataFrame, finishes: DataFrame, timeout_seconds: int = 120,
@@ -126,12 +112,29 @@ def stream_screen(texts: DataFrame, text_col: str = "text", blocklist: list[str]
     return guard.validate(texts, text_col, blocklist)
 
 
-def stream_rate_limit(requests: DataFrame, time_col: str, limit: int, delay: str = "1 minute") -> DataFrame:
-    ev = requests.withColumn("event_time", ntz_to_instant(F.col(time_col))).withWatermark("event_time", delay)
-    per_min = ev.groupBy(F.window("event_time", "1 minute")).agg(F.count("*").alias("requests"))
+def rate_store(spark: SparkSession, root: str, max_rows: int = MAX_ROWS) -> VersionedStore:
+    """An empty per-minute request table for ``stream_rate_limit``."""
+    empty = spark.createDataFrame([], "minute_start timestamp_ntz, requests long")
+    return VersionedStore.create(spark, root, {"minutes": empty}, ["minute_start"], max_rows)
+
+
+def stream_rate_limit(requests: DataFrame, time_col: str, limit: int, store: VersionedStore, checkpoint: str,
+                      source: str = "requests") -> DataFrame:
+    """Requests per minute with an over-limit flag, known as soon as the
+    micro-batch that crosses the limit is in (added like ``stream_usage``)."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        part = batch.groupBy(F.date_trunc("minute", time_col).cast("timestamp_ntz").alias("minute_start")) \
+            .agg(F.count("*").alias("requests"))
+
+        def add(now: dict[str, DataFrame]) -> dict[str, DataFrame]:
+            return {"minutes": now["minutes"].unionByName(part).groupBy("minute_start")
+                    .agg(F.sum("requests").alias("requests"))}
+
+        store.merge(part, add, source, batch_id)
+
+    run_batches(requests, handle, checkpoint, "append")
     over = F.lit(False) if limit <= 0 else F.col("requests") > F.lit(limit)
-    return per_min.select(instant_to_ntz(F.col("window.start")).alias("minute_start"), "requests",
-                          over.alias("over_limit"))
+    return store.read("minutes").select("minute_start", "requests", over.alias("over_limit"))
 
 
 def stream_embed_queue(changes: DataFrame, delay: str = "1 hour", created_at: dt.datetime | None = None) -> DataFrame:
