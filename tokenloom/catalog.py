@@ -20,7 +20,7 @@ from tokenloom.operators import entities as en
 from tokenloom.operators import infer as inf
 from tokenloom.operators import tasks as tk
 from tokenloom.operators import vectors as vx
-from tokenloom.plans import jobs, sinks, vectorstore
+from tokenloom.plans import jobs, sinks, sweep, vectorstore
 from tokenloom.plans.tasklog import TaskLog
 from tokenloom.session import scratch_path
 from tokenloom.sources import fixtures as fx
@@ -793,6 +793,33 @@ def q_queue_sweep(spark, sf_dir):
     return new_log.select(*RESULT_COLS)
 
 
+def _swept(spark, sf_dir):
+    """A whole sweep, delivered twice under one number."""
+    log = TaskLog.create(spark, scratch_path(spark, "sweep-log"), fx.task_log(spark, sf_dir), max_rows=50_000)
+    table = vectorstore.create_vectors(spark, scratch_path(spark, "sweep-vectors"), fx.vectors(spark, sf_dir))
+    registry = {"Shop_Model_Callback": {"onDone": lambda task_id, response: None}}
+    for _ in range(2):
+        sweep.sweep(log, table, _stub, registry, price_dim(spark), AS_OF, 1)
+    return log, table
+
+
+@register("full_sweep")
+def q_full_sweep(spark, sf_dir):
+    return _swept(spark, sf_dir)[0].tasks().select(*RESULT_COLS)
+
+
+@register("sweep_effects")
+def q_sweep_effects(spark, sf_dir):
+    return _swept(spark, sf_dir)[0].effects().select("task_id", "kind", "attempt", "state", "detail")
+
+
+@register("sweep_vectors")
+def q_sweep_vectors(spark, sf_dir):
+    v = vectorstore.read_vectors(_swept(spark, sf_dir)[1])
+    return v.select("entity_type", "entity_id", "store_id", "dimensions", "created_at", "updated_at",
+                    _first().alias("first_value"), _checksum().alias("checksum"))
+
+
 @register("usage_scan")
 def q_usage_scan(spark, sf_dir):
     path = scratch_path(spark, "usage-table")

@@ -33,7 +33,14 @@ TASK_INPUT_COLS = ["task_id", "task_type", "platform", "model", "system_prompt",
 
 
 class Provider:
-    """What a provider client implements (all methods see one task)."""
+    """What a provider client implements (all methods see one task).
+
+    A client that answers with another model or platform than it was asked for
+    says so in ``last_model`` / ``last_platform``; the outcome is then booked and
+    priced under those."""
+
+    last_model: str | None = None
+    last_platform: str | None = None
 
     def complete(self, messages: list[dict], options: dict) -> tuple[str, int, int]:
         raise NotImplementedError
@@ -61,6 +68,16 @@ def _context(raw) -> dict:
     return out if isinstance(out, dict) else {}
 
 
+def _used(provider: Provider, outcome: dict) -> dict:
+    """The outcome under the platform and model that really answered."""
+    return {**outcome, "platform": getattr(provider, "last_platform", None) or outcome["platform"],
+            "model": getattr(provider, "last_model", None) or outcome["model"]}
+
+
+def _forget(provider: Provider) -> None:
+    provider.last_model = provider.last_platform = None
+
+
 def _run_one(provider: Provider, row, target_dims: int) -> dict:
     ttype = row.task_type or "completion"
     platform = row.platform or DEFAULT_PLATFORM
@@ -68,6 +85,7 @@ def _run_one(provider: Provider, row, target_dims: int) -> dict:
     base = {"task_id": int(row.task_id), "attempt": int(row.retries) + 1, "platform": platform, "model": model,
             "response": None, "input_tokens": None, "output_tokens": None, "error": None, "vector": None}
     msgs = _messages(row.messages)
+    _forget(provider)
     try:
         if ttype == "completion":
             if row.system_prompt:
@@ -75,19 +93,19 @@ def _run_one(provider: Provider, row, target_dims: int) -> dict:
             msgs = [{"role": m.get("role") if m.get("role") in ("system", "assistant") else "user",
                      "content": m.get("content") or ""} for m in msgs if isinstance(m, dict)]
             text, tin, tout = provider.complete(msgs, {"model": model})
-            return {**base, "ok": True, "response": text, "input_tokens": tin, "output_tokens": tout}
+            return _used(provider, {**base, "ok": True, "response": text, "input_tokens": tin, "output_tokens": tout})
         if ttype == "embedding":
             text = (msgs[0].get("content") if msgs and isinstance(msgs[0], dict) else "") or ""
             opts = {"model": model, **({"dimensions": target_dims} if target_dims > 0 else {})}
             vecs, tin = provider.embed([text], opts)
             tin = _tokens_per_text(tin, [text])[0]
             vec = [float(x) for x in (vecs[0] if vecs else [])]
-            return {**base, "ok": True, "response": json.dumps(vec), "input_tokens": tin, "output_tokens": 0,
-                    "vector": vec}
+            return _used(provider, {**base, "ok": True, "response": json.dumps(vec), "input_tokens": tin,
+                                    "output_tokens": 0, "vector": vec})
         if ttype == "image":
             prompt = (msgs[0].get("content") if msgs and isinstance(msgs[0], dict) else "") or ""
             url = provider.generate_image(prompt, {**_context(row.context), "model": model})
-            return {**base, "ok": True, "response": url, "input_tokens": 0, "output_tokens": 0}
+            return _used(provider, {**base, "ok": True, "response": url, "input_tokens": 0, "output_tokens": 0})
         raise ValueError(f"Unknown task type: {ttype}")
     except Exception as exc:  # noqa: BLE001 - every provider error becomes an outcome row
         return {**base, "ok": False, "platform": None, "model": None, "error": str(exc)}
@@ -104,6 +122,7 @@ def _embed_chunk(provider: Provider, rows: list, target_dims: int) -> list[dict]
         msgs = _messages(r.messages)
         texts.append((msgs[0].get("content") if msgs and isinstance(msgs[0], dict) else "") or "")
     opts = {"model": model, **({"dimensions": target_dims} if target_dims > 0 else {})}
+    _forget(provider)
     try:
         vecs, tokens = provider.embed(texts, opts)
         if len(vecs) != len(rows):
@@ -114,9 +133,10 @@ def _embed_chunk(provider: Provider, rows: list, target_dims: int) -> list[dict]
     out = []
     for r, count, vec in zip(rows, counts, vecs):
         vec = [float(x) for x in vec]
-        out.append({"task_id": int(r.task_id), "attempt": int(r.retries) + 1, "ok": True,
-                    "response": json.dumps(vec), "input_tokens": count, "output_tokens": 0,
-                    "platform": platform, "model": model, "error": None, "vector": vec})
+        out.append(_used(provider, {
+            "task_id": int(r.task_id), "attempt": int(r.retries) + 1, "ok": True, "response": json.dumps(vec),
+            "input_tokens": count, "output_tokens": 0, "platform": platform, "model": model, "error": None,
+            "vector": vec}))
     return out
 
 
@@ -200,7 +220,11 @@ def on_complete(before: DataFrame, after: DataFrame, registry: dict[str, dict[st
         .where((F.col("status") == "complete") & (F.col("old_status") != "complete")
                & F.col("callback_class").isNotNull() & F.col("callback_method").isNotNull()) \
         .select("task_id", "callback_class", "callback_method", "response")
+    return fire(newly, registry)
+
 
+def fire(rows: DataFrame, registry: dict[str, dict[str, Callable]]) -> DataFrame:
+    """Call back for every row (task_id, callback_class, callback_method, response)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
@@ -218,7 +242,7 @@ def on_complete(before: DataFrame, after: DataFrame, registry: dict[str, dict[st
                         out.append((r.task_id, f"error: {exc}"))
             yield pd.DataFrame(out, columns=["task_id", "callback_status"])
 
-    return newly.mapInPandas(run, "task_id long, callback_status string")
+    return rows.mapInPandas(run, "task_id long, callback_status string")
 
 
 class StubProvider(Provider):

@@ -889,6 +889,28 @@ cte("sweep_batch", ["recovered"], """  SELECT * FROM recovered WHERE status = 'p
 cte("sweep_out", ["sweep_batch"], "  SELECT * EXCLUDE (vector_dims) FROM (" + stub_outcomes_sql("sweep_batch") + ")")
 ORACLE["queue_sweep"] = replay_sql(["recovered", "sweep_out"], "recovered", "sweep_out", RESULT_COLS)
 
+ORACLE["full_sweep"] = ORACLE["queue_sweep"]
+cte("swept", ["recovered", "sweep_out"], """  SELECT t.task_id, t.task_type, t.store_id, t.callback_class, t.callback_method, o.attempt, o.response,
+    json_extract_string(t.context, '$.entity_type') AS et, json_extract_string(t.context, '$.entity_id') AS eid
+  FROM recovered t JOIN sweep_out o USING (task_id) WHERE o.ok""")
+oracle("sweep_effects", ["swept"], """SELECT task_id, 'vector' AS kind, attempt, 'done' AS state, CAST(NULL AS VARCHAR) AS detail
+FROM swept WHERE task_type = 'embedding' AND et NOT IN ('', '0') AND eid NOT IN ('', '0')
+UNION ALL
+SELECT task_id, 'callback', attempt, 'done', 'called' FROM swept
+WHERE callback_class NOT IN ('', '0') AND callback_method NOT IN ('', '0')""")
+cte("swept_vectors", ["swept", "vectors"], f"""  SELECT * FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY entity_type, entity_id, store_id ORDER BY updated_at DESC, seq DESC) AS rn,
+      FIRST_VALUE(created_at0) OVER (PARTITION BY entity_type, entity_id, store_id ORDER BY seq >= 0, seq) AS created_at
+    FROM (SELECT entity_type, entity_id, store_id, dimensions, vector, created_at AS created_at0, updated_at, -1 AS seq
+          FROM vectors
+          UNION ALL
+          SELECT et, CAST(eid AS BIGINT), store_id, CAST(4 AS BIGINT), CAST(json(response) AS FLOAT[]), {ASOF_TS}, {ASOF_TS},
+            task_id
+          FROM swept WHERE task_type = 'embedding' AND et NOT IN ('', '0') AND eid NOT IN ('', '0')))
+  WHERE rn = 1""")
+oracle("sweep_vectors", ["swept_vectors"], f"""SELECT entity_type, entity_id, store_id, dimensions, created_at, updated_at,
+  {FIRST.format(v='vector')} AS first_value, {CHECKSUM.format(v='vector')} AS checksum FROM swept_vectors""")
+
 oracle("usage_scan", ["usage_tbl"], f"""SELECT {USAGE_COLS} FROM usage_tbl WHERE period_date >= DATE '2024-01-20'""")
 
 ORACLE["complete"] = replay_sql(["tasks", "outcomes1"], "tasks", "outcomes1", RESULT_COLS).replace(

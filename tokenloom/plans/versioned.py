@@ -126,12 +126,18 @@ class VersionedStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
-    def _write(self, state: State, tables: dict[str, DataFrame], buckets: list[str]) -> None:
-        """New contents of ``buckets``, entered into ``state``."""
+    def _write(self, state: State, tables: dict[str, DataFrame | None], buckets: list[str]) -> None:
+        """New contents of ``buckets``, entered into ``state`` (None: as before)."""
         snapshot = f"{self.root}/data/{state.version}-{uuid.uuid4().hex}"
+        main = next(iter(state.schemas))
         for b in buckets:
-            state.rows[b], state.folders[b] = 0, {}
-        for number, (table, df) in enumerate(tables.items()):
+            kept = {t: f for t, f in state.folders.get(b, {}).items() if tables[t] is None}
+            state.folders[b] = kept
+            if tables[main] is not None:
+                state.rows[b] = 0
+        for table, df in tables.items():
+            if df is None:
+                continue
             folder, schema = f"{snapshot}/{table}", state.schemas[table]
             typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
             self._labelled(typed, state).repartition(BUCKET_COL) \
@@ -140,7 +146,7 @@ class VersionedStore:
                 .parquet(folder)
             for bucket, n in stored.groupBy(BUCKET_COL).count().collect():
                 state.folders[bucket][table] = folder
-                if number == 0:
+                if table == main:
                     state.rows[bucket] = n
 
     # -- interface -------------------------------------------------------------
@@ -192,7 +198,10 @@ class VersionedStore:
             if bits:
                 del state.rows[b], state.folders[b]
         if arriving:
-            self._write(state, combine(current), buckets)
+            tables = combine(current)
+            if len(buckets) == len(arriving):   # none splits: tables given back as they are stay where they are
+                tables = {t: None if df is current[t] else df for t, df in tables.items()}
+            self._write(state, tables, buckets)
         return self._commit(state)
 
     def vacuum(self, keep: int = 2) -> None:
