@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.functions.dates import ntz
-from tokenloom.operators import ann, budget, guard, usage
+from tokenloom.operators import ann, budget, guard, ledger, usage
 from tokenloom.operators import entities as en
 from tokenloom.operators import infer as inf
 from tokenloom.operators import tasks as tk
@@ -297,8 +297,9 @@ def q_fold_ledger(spark, sf_dir):
 
 @register("attempt_ledger")
 def q_attempt_ledger(spark, sf_dir):
-    e = F.col("entries")
-    return _folded_in_parts(spark, sf_dir).ledger().select(
+    t, e = fx.task_log(spark, sf_dir), F.col("entries")
+    _, entries = ledger.fold_once(t, ledger.empty_ledger(spark), fx.attempts(t), price_dim(spark), AS_OF)
+    return entries.select(
         "task_id", "base_retries", "max_retries", "status", "retries",
         F.size(F.filter(e, lambda x: ~x["ok"])).alias("failures"),
         F.array_min(F.transform(F.filter(e, lambda x: x["ok"]), lambda x: x["attempt"])).alias("first_ok"))
@@ -793,12 +794,12 @@ def q_queue_sweep(spark, sf_dir):
     return new_log.select(*RESULT_COLS)
 
 
-def _swept(spark, sf_dir):
-    """A whole sweep, delivered twice under one number."""
+def _swept(spark, sf_dir, times: int = 1):
+    """A whole sweep, delivered ``times`` times under one number."""
     log = TaskLog.create(spark, scratch_path(spark, "sweep-log"), fx.task_log(spark, sf_dir), max_rows=50_000)
     table = vectorstore.create_vectors(spark, scratch_path(spark, "sweep-vectors"), fx.vectors(spark, sf_dir))
     registry = {"Shop_Model_Callback": {"onDone": lambda task_id, response: None}}
-    for _ in range(2):
+    for _ in range(times):
         sweep.sweep(log, table, _stub, registry, price_dim(spark), AS_OF, 1)
     return log, table
 
@@ -810,7 +811,7 @@ def q_full_sweep(spark, sf_dir):
 
 @register("sweep_effects")
 def q_sweep_effects(spark, sf_dir):
-    return _swept(spark, sf_dir)[0].effects().select("task_id", "kind", "attempt", "state", "detail")
+    return _swept(spark, sf_dir, 2)[0].effects().select("task_id", "kind", "attempt", "state", "detail")
 
 
 @register("sweep_vectors")

@@ -26,6 +26,7 @@ import math
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,19 +136,21 @@ class VersionedStore:
             state.folders[b] = kept
             if tables[main] is not None:
                 state.rows[b] = 0
+        counts = []
         for table, df in tables.items():
             if df is None:
                 continue
             folder, schema = f"{snapshot}/{table}", state.schemas[table]
             typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-            self._labelled(typed, state).repartition(BUCKET_COL) \
-                .write.partitionBy(BUCKET_COL).parquet(folder)
+            self._labelled(typed, state).repartition(BUCKET_COL).write.partitionBy(BUCKET_COL).parquet(folder)
             stored = self.spark.read.schema(StructType([*schema.fields, StructField(BUCKET_COL, StringType())])) \
                 .parquet(folder)
-            for bucket, n in stored.groupBy(BUCKET_COL).count().collect():
-                state.folders[bucket][table] = folder
-                if table == main:
-                    state.rows[bucket] = n
+            counts.append(stored.groupBy(BUCKET_COL).count().select(
+                F.lit(table), F.lit(folder), BUCKET_COL, "count"))
+        for table, folder, bucket, n in (reduce(DataFrame.union, counts).collect() if counts else []):
+            state.folders[bucket][table] = folder
+            if table == main:
+                state.rows[bucket] = n
 
     # -- interface -------------------------------------------------------------
 
