@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (registers pa.compute)
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from tokenloom.session import scratch_path
 
@@ -37,6 +38,26 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def orderable(kind: DataType) -> bool:
+    """Whether Spark can compare values of a type."""
+    if isinstance(kind, StructType):
+        return all(orderable(f.dataType) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return orderable(kind.elementType)
+    return not isinstance(kind, (MapType, VariantType))
+
+
+def smallest_row(df: DataFrame) -> Column:
+    """Aggregate: the smallest row (as a struct of all columns).  Columns whose
+    values can't be compared only decide, as JSON, after all others."""
+    row = F.struct(*[df[c] for c in df.columns])
+    rest = [f.name for f in df.schema.fields if not orderable(f.dataType)]
+    if not rest:
+        return F.min(row)
+    order = [df[c] for c in df.columns if c not in rest]
+    return F.min_by(row, F.struct(*order, F.to_json(F.struct(*[df[c] for c in rest]))))
+
+
 def with_field(df: DataFrame, name: str, kind: str) -> str:
     """DDL of the frame's schema and one more column."""
     return df.schema.simpleString()[7:-1] + f",{name}:{kind}"

@@ -357,7 +357,9 @@ def op6(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents (all columns) that leak no item; a doc_id with any leaking
-    row goes with all its rows, rows without an id stay."""
+    """The documents (all columns, of any name) that leak no item; a doc_id with
+    any leaking row goes with all its rows, rows without an id stay.  An empty
+    table gives an empty one."""
     found = materialise(matches(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct(), "decontam-ids")
-    return docs.join(found, F.col("doc_id") == F.col("_id"), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.join(found, F.col("row.doc_id") == F.col("_id"), "left_anti").select("row.*")

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import materialise, mix64, words_of
+from tokenloom.llm.common import materialise, mix64, smallest_row, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -463,13 +463,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """All columns of the documents that are their class's smallest doc_id;
-    rows that repeat a doc_id give one row, the smallest."""
+    """All columns (of any name and type) of the documents that are their class's
+    smallest doc_id; rows that repeat a doc_id give one row, the smallest.  An
+    empty table gives an empty one."""
     classes = materialise(near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
         ident().alias("_keep")), "jaccard-keep")
-    kept = docs.withColumn("_ident", ident()).join(classes, F.col("_ident") == F.col("_keep"), "left_semi")
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    return kept.groupBy("_ident").agg(F.min(row).alias("_row")).select("_row.*")
+    rows = docs.select(ident().alias("_ident"), F.struct("*").alias("row"))
+    kept = rows.join(classes, F.col("_ident") == F.col("_keep"), "left_semi").select("row.*")
+    return kept.groupBy(ident().alias("_group")).agg(smallest_row(kept).alias("_row")).select("_row.*")
 
 
 def op2(docs: DataFrame) -> DataFrame:

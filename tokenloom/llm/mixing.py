@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import materialise, prefix_sums, word_count
+from tokenloom.llm.common import materialise, prefix_sums, smallest_row, word_count
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
@@ -122,9 +122,8 @@ def mix(docs: DataFrame) -> DataFrame:
     # One row per (id, source, text): pieces then match many to one however
     # often a row is repeated.
     key = F.xxhash64(F.lit(SEED), F.col("doc_id"), F.coalesce("text", F.lit("")))
-    row = F.struct(*[F.col(c) for c in docs.columns])
     rows = docs.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), key.alias("_k")) \
-        .agg(F.min(row).alias("_row"))
+        .agg(smallest_row(docs).alias("_row"))
     same = (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_d")) \
         & F.col("_source").eqNullSafe(F.col("_s"))
     return pieces.join(rows, same).orderBy("_position", "_id", "_epoch").select("_row.*")
