@@ -3,7 +3,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from tokenloom.operators import ann
+from tokenloom.operators import ann, topk
 from tokenloom.operators import vectors as vx
 from tokenloom.sources import fixtures as fx
 
@@ -32,30 +32,6 @@ def test_decode_bad_json_is_empty(spark):
     assert np.allclose(got[0], [0.1, 0.002]) and got[1] == [] and got[2] == []
 
 
-def test_cosine_topk_matches_brute_force(spark, small):
-    v = fx.vectors(spark, small)
-    rows = v.select("entity_id", "vector").collect()
-    ids = np.array([r.entity_id for r in rows])
-    m = np.array([np.asarray(r.vector, dtype=np.float64) for r in rows])
-    m = m / np.linalg.norm(m, axis=1, keepdims=True)
-    sims = m @ m.T
-    np.fill_diagonal(sims, -np.inf)
-    got = {}
-    # small blocks force many (query block, vector block) groups
-    for r in vx.cosine_topk(v, v, 3, exclude_self=True, query_block=7, vector_block=11).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.neighbor_id))
-    for i, q in enumerate(ids):
-        order = np.lexsort((ids, -sims[i]))[:3]
-        assert [n for _, n in sorted(got[q])] == list(ids[order])
-
-
-def test_cosine_topk_zero_vector_never_matches(spark):
-    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.9, 0.1])],
-                               "entity_id long, vector array<float>")
-    out = vx.cosine_topk(df, df, 5, exclude_self=True).collect()
-    assert all(r.neighbor_id != 1 and r.query_id != 1 for r in out)
-
-
 def test_truncate_and_clear(spark):
     df = spark.createDataFrame([("product", 1, 0, "p", "m", 3, [3.0, 4.0, 5.0], T0, T0),
                                 ("product", 2, 0, "p", "m", 1, [2.0], T0, T0)], SCHEMA)
@@ -71,28 +47,28 @@ def test_truncate_and_clear(spark):
 
 def test_ann_recall_and_scored_share(spark, small, medium):
     for folder in (small, medium):
-        v = fx.vectors(spark, folder)
-        exact = vx.cosine_topk(v, v, 3, exclude_self=True)
+        v = fx.scoped_vectors(spark, folder)
+        exact = topk.cosine_topk(v, v, 3, exclude_self=True)
         got = ann.ann_topk(v, v, 3, exclude_self=True)
         assert ann.recall(got, exact).first().recall >= 0.9
         assert ann.RERANK < 0.2 * v.count()
-        truth = {(r.query_id, r.neighbor_id): r.similarity for r in exact.collect()}
+        truth = {tuple(r)[:6]: r.similarity for r in exact.collect()}
         for r in got.collect():     # the final order is exact
-            if (r.query_id, r.neighbor_id) in truth:
-                assert abs(r.similarity - truth[r.query_id, r.neighbor_id]) < 1e-12
+            if tuple(r)[:6] in truth:
+                assert abs(r.similarity - truth[tuple(r)[:6]]) < 1e-12
 
 
 def test_ann_probing_and_scoring_everything_is_exact(spark, small, monkeypatch):
     monkeypatch.setattr(ann, "SHARD_CODES", 60)      # many shards and query blocks
     monkeypatch.setattr(ann, "QUERY_BLOCK", 100)
-    v = fx.vectors(spark, small)
-    exact = {(r.query_id, r.neighbor_id, r["rank"]) for r in vx.cosine_topk(v, v, 3, exclude_self=True).collect()}
+    v = fx.scoped_vectors(spark, small)
+    exact = {(r.query_id, r.query_store_id, r.neighbor_id, r.neighbor_store_id, r["rank"]) for r in topk.cosine_topk(v, v, 3, exclude_self=True).collect()}
     full = ann.ann_topk(v, v, 3, exclude_self=True, rerank=10_000, probe_share=1.0)
-    assert {(r.query_id, r.neighbor_id, r["rank"]) for r in full.collect()} == exact
+    assert {(r.query_id, r.query_store_id, r.neighbor_id, r.neighbor_store_id, r["rank"]) for r in full.collect()} == exact
     shares = []
     for share in (0.05, 0.3, 1.0):
         got = ann.ann_topk(v, v, 3, exclude_self=True, rerank=10_000, probe_share=share).collect()
-        shares.append(len({(r.query_id, r.neighbor_id, r["rank"]) for r in got} & exact))
+        shares.append(len({(r.query_id, r.query_store_id, r.neighbor_id, r.neighbor_store_id, r["rank"]) for r in got} & exact))
     assert 0 < shares[0] < shares[1] < shares[2] == len(exact)
 
 
@@ -101,7 +77,7 @@ def test_ann_clusters_need_few_probes(spark):
     centres = rng.normal(size=(20, 16))
     rows = [(i, (centres[i % 20] + 0.05 * rng.normal(size=16)).astype(float).tolist()) for i in range(600)]
     v = spark.createDataFrame(rows, "entity_id long, vector array<float>")
-    exact = vx.cosine_topk(v, v, 5, exclude_self=True)
+    exact = topk.cosine_topk(v, v, 5, exclude_self=True)
     got = ann.ann_topk(v, v, 5, exclude_self=True, probe_share=0.1)
     assert ann.recall(got, exact).first().recall >= 0.9
 
@@ -125,24 +101,6 @@ def test_save_condition_falsy_context(spark):
     assert got == {1: True, 2: False, 3: False, 4: False, 5: False, 6: True}
 
 
-def test_topk_skips_null_and_wrong_dimension(spark):
-    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, 0.0, 0.0]), (4, [0.8, 0.6])],
-                               "entity_id long, vector array<float>")
-    out = vx.cosine_topk(df, df, 3, exclude_self=True).collect()
-    pairs = {(r.query_id, r.neighbor_id) for r in out}
-    assert (1, 4) in pairs and (4, 1) in pairs
-    assert all(2 not in p for p in pairs)
-
-
-def test_topk_ties_go_to_smaller_id(spark):
-    df = spark.createDataFrame([(9, [1.0, 0.0]), (5, [1.0, 0.0]), (7, [1.0, 0.0]), (1, [0.0, 1.0])],
-                               "entity_id long, vector array<float>")
-    q = df.where("entity_id = 1").select("entity_id", F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>")
-                                         .alias("vector"))
-    got = [(r.rank, r.neighbor_id) for r in vx.cosine_topk(q, df, 2).orderBy("rank").collect()]
-    assert got == [(1, 5), (2, 7)]
-
-
 def test_provider_registry_capability_order(spark):
     from tokenloom.sources.dims import provider_dim, providers_with_capability
     got = [r.code for r in providers_with_capability(provider_dim(spark), "embed").collect()]
@@ -153,7 +111,7 @@ def test_provider_registry_capability_order(spark):
 
 def test_ann_answers_every_dimension(spark):
     from tokenloom.operators.ann import ann_topk
-    from tokenloom.operators.vectors import cosine_topk
+    from tokenloom.operators.topk import cosine_topk
     rows = [(i, [float(i + 1), 1.0] if i % 2 else [1.0, float(i), 2.0]) for i in range(12)]
     v = spark.createDataFrame(rows, "entity_id long, vector array<double>")
     key = lambda df: sorted((r.query_id, r.rank, r.neighbor_id) for r in df.collect())

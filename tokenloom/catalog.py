@@ -19,6 +19,7 @@ from tokenloom.operators import ann, budget, guard, ledger, usage
 from tokenloom.operators import entities as en
 from tokenloom.operators import infer as inf
 from tokenloom.operators import tasks as tk
+from tokenloom.operators import topk
 from tokenloom.operators import vectors as vx
 from tokenloom.plans import jobs, sinks, sweep, vectorstore
 from tokenloom.plans.tasklog import TaskLog
@@ -659,11 +660,15 @@ def q_clear_vectors(spark, sf_dir):
     return kept.groupBy("entity_type", "store_id").agg(F.count("*").alias("vectors"))
 
 
+TOPK_COLUMNS = ["query_type", "query_id", "query_store_id", "rank",
+                "neighbor_type", "neighbor_id", "neighbor_store_id"]
+
+
 @register("cosine_topk")
 def q_cosine_topk(spark, sf_dir):
-    v = fx.vectors(spark, sf_dir)
-    return vx.cosine_topk(v, v, 3, exclude_self=True).select(
-        "query_id", "rank", "neighbor_id", F.round("similarity", 6).alias("similarity"))
+    v = fx.scoped_vectors(spark, sf_dir)
+    return topk.cosine_topk(v, v, 3, exclude_self=True).select(
+        *TOPK_COLUMNS, F.round("similarity", 6).alias("similarity"))
 
 
 # -- streaming (availableNow over files Spark derives from the tables) -----------------------------
@@ -863,17 +868,17 @@ def q_latest_per_key(spark, sf_dir):
 
 @register("ann_topk")
 def q_ann_topk(spark, sf_dir):
-    v = fx.vectors(spark, sf_dir)
+    v = fx.scoped_vectors(spark, sf_dir)
     return ann.ann_topk(v, v, 3, exclude_self=True).select(
-        "query_id", "rank", "neighbor_id", F.round("similarity", 6).alias("similarity"))
+        *TOPK_COLUMNS, F.round("similarity", 6).alias("similarity"))
 
 
 @register("ann_recall")
 def q_ann_recall(spark, sf_dir):
     """Whether the index finds nine tenths of the exact answers while it scores
     less than a fifth of the vectors against a query."""
-    v = fx.vectors(spark, sf_dir)
-    got = ann.recall(ann.ann_topk(v, v, 3, exclude_self=True), vx.cosine_topk(v, v, 3, exclude_self=True))
+    v = fx.scoped_vectors(spark, sf_dir)
+    got = ann.recall(ann.ann_topk(v, v, 3, exclude_self=True), topk.cosine_topk(v, v, 3, exclude_self=True))
     return got.select(
         "pairs", (F.col("recall") >= 0.9).alias("recall_reached"),
         F.lit(ann.RERANK < 0.2 * v.count()).alias("few_scored"))

@@ -1,19 +1,11 @@
-"""Entity vector table: encode/decode, keyed upsert, look-up, truncation,
-health checks and cosine top-k.
-
-Top-k never emits all (query, vector) pairs: both sides are hashed into
-blocks of bounded size, every (query block, vector block) group is scored
-with numpy inside ``applyInPandas`` and returns only its best ``k`` rows per
-query; the final ranking runs over at most ``k x blocks`` rows per query.
-"""
+"""Entity vector table: encode/decode, keyed upsert, look-up, truncation and
+health checks; vector kernels shared by the searches (``topk.py``, ``ann.py``)."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.schemas import VECTOR_KEY
@@ -111,10 +103,7 @@ def clear_vectors(vectors: DataFrame, predicate: Column | None) -> DataFrame:
     return vectors.where(~F.coalesce(predicate, F.lit(False)))
 
 
-# -- cosine top-k -----------------------------------------------------------------
-
-TOPK_SCHEMA = "query_id long, neighbor_id long, similarity double"
-
+# -- kernels of the searches ------------------------------------------------------------
 
 def _by_dimension(vectors: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Row indices and unit-length rows per vector dimension (zero/NULL/empty
@@ -157,65 +146,6 @@ def _topk_indices(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray
     return np.concatenate(rows), np.concatenate(cols)
 
 
-def _topk_kernel(k: int, exclude_self: bool):
-    """Best ``k`` neighbours per query within one (query block, vector block)
-    group; only vectors of the query's own dimension are compared."""
-    empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "neighbor_id": pd.Series([], dtype="int64"),
-                          "similarity": pd.Series([], dtype="float64")})
-
-    def run(key, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or v.empty:
-            return empty
-        qids = q["qid"].to_numpy(dtype=np.int64)
-        vids = v["vid"].to_numpy(dtype=np.int64)
-        vgroups = _by_dimension(v["vector"])
-        out_q, out_v, out_s = [], [], []
-        for dim, (qi, qm) in _by_dimension(q["vector"]).items():
-            if dim not in vgroups:
-                continue
-            vi, vm = vgroups[dim]
-            sims = qm @ vm.T
-            gv = vids[vi]
-            if exclude_self:
-                sims[qids[qi][:, None] == gv[None, :]] = -np.inf
-            sel_rows, sel_cols = _topk_indices(sims, gv, k)
-            keep = np.isfinite(sims[sel_rows, sel_cols])
-            out_q.append(qids[qi][sel_rows[keep]])
-            out_v.append(gv[sel_cols[keep]])
-            out_s.append(sims[sel_rows[keep], sel_cols[keep]])
-        if not out_q:
-            return empty
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "neighbor_id": np.concatenate(out_v),
-                             "similarity": np.concatenate(out_s)})
-    return run
-
-
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "entity_id",
-                vector_id: str = "entity_id", exclude_self: bool = False,
-                query_block: int = 4096, vector_block: int = 16384,
-                n_queries: int | None = None, n_vectors: int | None = None) -> DataFrame:
-    """Exact top-k cosine neighbours of every query vector.
-
-    Similarity in double; zero-norm vectors never match; ties go to the
-    smaller neighbour id.  Work is Q x V as exact search must be, spread over
-    ceil(Q/query_block) x ceil(V/vector_block) bounded groups.
-    """
-    q = queries.select(F.col(query_id).cast("bigint").alias("qid"), "vector")
-    v = vectors.select(F.col(vector_id).cast("bigint").alias("vid"), "vector")
-    nq = n_queries if n_queries is not None else q.count()
-    nv = n_vectors if n_vectors is not None else v.count()
-    qb = max(1, math.ceil(nq / query_block))
-    vb = max(1, math.ceil(nv / vector_block))
-    qx = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb))) \
-        .withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(vb - 1)))).withColumn("vb", F.col("vb").cast("long"))
-    vx = v.withColumn("vb", F.pmod(F.xxhash64("vid"), F.lit(vb))) \
-        .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))).withColumn("qb", F.col("qb").cast("long"))
-    part = qx.groupBy("qb", "vb").cogroup(vx.groupBy("qb", "vb")) \
-        .applyInPandas(_topk_kernel(k, exclude_self), TOPK_SCHEMA)
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("neighbor_id"))
-    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 # -- k-means step of the approximate index (operators/ann.py) --------------------------
 
 def _refine_centroids(v: DataFrame, cents: np.ndarray, iterations: int) -> np.ndarray:

@@ -797,16 +797,19 @@ FROM (SELECT task_id, json_extract_string(context, '$.entity_type') AS et,
 oracle("clear_vectors", ["upserted"], """SELECT entity_type, store_id, COUNT(*) AS vectors FROM upserted
 WHERE store_id <> 0 GROUP BY ALL""")
 
-oracle("cosine_topk", [], """SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(similarity, 6) AS similarity FROM (
-  SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_dot_product(a.v, b.v) / (a.n * b.n) AS similarity,
-    ROW_NUMBER() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.v, b.v) / (a.n * b.n) DESC, b.vec_id) AS rank
-  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v,
-               sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n
-        FROM embeddings) a
-  JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v,
-               sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n
-        FROM embeddings) b
-    ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0)
+cte("scoped_vectors", [], """  SELECT CASE WHEN vec_id % 2 = 0 THEN 'product' ELSE 'category' END AS type, vec_id // 4 AS id,
+    CAST((vec_id // 2) % 2 AS INTEGER) AS store_id, CAST(embedding AS DOUBLE[]) AS v,
+    sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n
+  FROM embeddings""")
+
+oracle("cosine_topk", ["scoped_vectors"], """SELECT query_type, query_id, query_store_id, CAST(rank AS INTEGER) AS rank,
+  neighbor_type, neighbor_id, neighbor_store_id, round(similarity, 6) AS similarity FROM (
+  SELECT a.type AS query_type, a.id AS query_id, a.store_id AS query_store_id, b.type AS neighbor_type,
+    b.id AS neighbor_id, b.store_id AS neighbor_store_id, list_dot_product(a.v, b.v) / (a.n * b.n) AS similarity,
+    ROW_NUMBER() OVER (PARTITION BY a.type, a.id, a.store_id
+      ORDER BY list_dot_product(a.v, b.v) / (a.n * b.n) DESC, b.type, b.id, b.store_id) AS rank
+  FROM scoped_vectors a JOIN scoped_vectors b
+    ON (a.type, a.id, a.store_id) <> (b.type, b.id, b.store_id) AND a.n > 0 AND b.n > 0)
 WHERE rank <= 3""")
 
 oracle("ann_recall", [], """SELECT CAST(COUNT(*) * LEAST(3, COUNT(*) - 1) AS BIGINT) AS pairs, true AS recall_reached,

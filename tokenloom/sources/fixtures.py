@@ -218,6 +218,15 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scoped_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same vectors under ids that repeat: four share an id, told apart by type and store."""
+    n = F.col("entity_id")
+    return vectors(spark, sf_dir).select(
+        F.when(n % 2 == 0, "product").otherwise("category").alias("entity_type"),
+        F.floor(n / 4).cast("bigint").alias("entity_id"),
+        (F.floor(n / 2) % 2).cast("int").alias("store_id"), "dimensions", "vector")
+
+
 def vector_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An upsert batch over every vector: a reversed version, a later version
     with the same timestamp that must win (doubled values, higher sequence),
