@@ -1,3 +1,6 @@
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from tokenloom.operators import entities as en
@@ -15,9 +18,85 @@ def test_strip_tags_edges(spark):
         "keep <div": "keep ",
         "<script>var t=1;</script>z": "var t=1;z",
         "<p>one</p><br/>two": "onetwo",
+        # a '<' opens markup unless white space follows
+        "a <3 b> c": "a  c",
+        "I <3 you": "I ",
+        "price <5 EUR": "price ",
+        "price < 5 EUR > 3": "price < 5 EUR > 3",
+        "tab <\tx>": "tab <\tx>",
+        "ends in <": "ends in ",
+        "a<>b": "ab",
+        # tags within tags
+        "<a <b> c> d": " d",
+        "<a <b <c>> x>y<i>z</i>": "yz",
+        "<a < b>x": "x",
+        "<<b>>x": "x",
+        "a <b <c> d": "a ",
+        # quotes
+        "<a t='>' u=\">\">x": "x",
+        "<a t='\">'>x": "x",
+        "<a t=\"<b>\">x": "x",
+        "<it's>x": "",
+        "it's <b>\"bold\"</b> > all": "it's \"bold\" > all",
+        # comments, declarations, code
+        "a<!-- <b> \" ' > -->c": "ac",
+        "a<!-->b<!--->c": "abc",
+        "a<!-- open > b": "a",
+        "<b t='<!--'>x</b>-->y": "x-->y",
+        "<!DOCTYPE d [<!ENTITY e \">\">]>x": "x",
+        "<!x \">\" >y": "y",
+        "<?php if (1 > 0) echo '?>'; ?>z": "z",
+        "<?xml version='1.0'?>z": "z",
+        "nul\x00l": "null",
+        "": "",
     }
-    for src, exp in cases.items():
-        assert _one(spark, en.strip_tags, src) == exp, src
+    df = spark.createDataFrame(list(cases.items()), "src string, exp string")
+    for r in df.withColumn("got", en.strip_tags(F.col("src"))).collect():
+        assert r.got == r.exp, r.src
+    assert _one(spark, en.strip_tags, None) is None
+
+
+def test_strip_tags_equals_a_plain_scanner(spark):
+    """Random texts of markup characters against a loop with depth and quote."""
+    def scan(text):
+        out, i = [], 0
+        while i < len(text):
+            if text[i] != "<" or text[i + 1:i + 2].isspace():
+                out.append(text[i])
+                i += 1
+                continue
+            depth, quote = 0, None
+            while i < len(text):
+                c = text[i]
+                if quote:
+                    quote = None if c == quote else quote
+                elif c in "\"'":
+                    quote = c
+                elif c == "<" and not text[i + 1:i + 2].isspace():
+                    depth += 1
+                elif c == ">":
+                    depth -= 1
+                i += 1
+                if depth == 0:
+                    break
+        return "".join(out)
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("<<>>ab \"'") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", en.strip_tags(F.col("t")).alias("got")).collect():
+        assert r.got == scan(r.t), r.t
+
+
+def test_strip_tags_is_linear_on_broken_markup(spark):
+    n = 300_000
+    texts = {"<a " * n: "", "x <b \"" * n: "x ", "<b>" * n + "t": "t", "a < b " * n: "a < b " * n,
+             "<p>" + "y" * n + "<" + "z" * n: "y" * n, "<!-- " * n + "-->q": "q", "<" * n + ">" * n + "k": ""}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    start = time.monotonic()
+    got = {r.i: r.s for r in df.select("i", en.strip_tags(F.col("t")).alias("s")).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+    assert time.monotonic() - start < 30
 
 
 def test_entity_text_filters_falsy_and_trims(spark):

@@ -87,11 +87,29 @@ def sanitize_steps() -> list[tuple[str, str]]:
     return steps
 
 
-# Markup removal (tags and comments go, text between them stays).  Possessive
-# quantifiers keep long unterminated tags linear.
-COMMENT = r"(?s)<!--.*?(?:-->|$)"
-TAG = r"""<[A-Za-z/!?](?:"[^"]*+"|'[^']*+'|[^'">])*+>"""
-UNTERMINATED_TAG = r"(?s)<[A-Za-z/!?].*$"
+def markup_scan(depth: int = 32) -> str:
+    """One pattern that takes the next piece of markup, so that replacing it reads a
+    text from left to right.  Possessive throughout: linear in the text, also on
+    unterminated markup.
+
+    A ``<`` opens markup unless white space follows it.  A tag ends at the ``>`` that
+    is neither quoted nor the end of a ``<`` opened within the tag; such inner tags nest
+    ``depth`` deep, and one nested deeper runs to the end of the text.  A comment ends
+    at ``-->``, ``<? ... ?>`` (but not ``<?xml``) at ``?>`` outside quotes, another
+    declaration at ``>`` outside quotes.  What does not end runs to the end of the text.
+    NUL characters go as well."""
+    quoted = r"""\"[^\"]*+(?:\"|\z)|'[^']*+(?:'|\z)"""
+    plain = rf"""(?:[^<>"']++|<(?=\s)|{quoted})*+"""
+    tag = plain + r"(?:<(?!\s)(?s:.*+))?+"
+    for _ in range(depth):
+        tag = rf"{plain}(?:<(?!\s){tag}(?:>|\z){plain})*+"
+    comment = r"<!(?=--)(?s:.*?)(?:-->|\z)"
+    code = rf"""<\?(?!(?i:xml))(?:[^?"']++|\?(?!>)|{quoted})*+(?:\?>|\z)"""
+    declaration = rf"""<!(?!(?i:doctype))(?:[^>"']++|{quoted})*+(?:>|\z)"""
+    return rf"{comment}|{code}|{declaration}|<(?!\s){tag}(?:>|\z)|\x00"
+
+
+MARKUP = markup_scan()
 
 # Characters removed by the final trim (space, tab, LF, CR, NUL, VT).
 TRIM_CHARS = " \t\n\r\x00\x0b"

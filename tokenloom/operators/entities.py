@@ -18,11 +18,9 @@ CALL_LOG_LINE = (r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\] consumer=(\S*) pla
 
 
 def strip_tags(c: Column) -> Column:
-    """Markup removal: comments, then tags (quoted '>' allowed), then an
-    unterminated trailing tag.  Text between tags (also script text) stays."""
-    out = F.regexp_replace(c, rx.COMMENT, "")
-    out = F.regexp_replace(out, rx.TAG, "")
-    return F.regexp_replace(out, rx.UNTERMINATED_TAG, "")
+    """Markup removal in one pass from left to right (``rx.markup_scan``).  Text
+    between tags stays, also that of scripts; ``a < b`` is text, ``a <b`` is not."""
+    return F.regexp_replace(c, rx.MARKUP, "")
 
 
 def _join_parts(*parts: Column) -> Column:

@@ -622,16 +622,16 @@ GROUP BY ALL""")
 
 # -- entity text -------------------------------------------------------------------------------
 
-COMMENT = "(?s)<!--.*?(?:-->|$)"
-TAG = "<[A-Za-z/!?](?:\"[^\"]*\"|'[^']*'|[^'\">])*>"
-UNTERMINATED = "(?s)<[A-Za-z/!?].*$"
+# Markup in left-to-right order: comments, then tags with quoted values and, one level
+# deep, tags opened within a tag; what does not end runs to the end.
+QUOTED = "\"[^\"]*(?:\"|$)|'[^']*(?:'|$)"
+INSIDE = f"(?:[^<>\"']|<\\s|{QUOTED})*"
+MARKUP = f"<!---?>|<!--(?s:.*?)(?:-->|$)|<(?:[^\\s<>\"']|{QUOTED}){INSIDE}(?:<[^\\s<>\"']{INSIDE}(?:>|$){INSIDE})*(?:>|$)|<>|<$"
 TRIM = "' ' || chr(9) || chr(10) || chr(13) || chr(0) || chr(11)"
 
 
 def strip_sql(col: str) -> str:
-    out = f"regexp_replace({col}, {_sql_str(COMMENT)}, '', 'g')"
-    out = f"regexp_replace({out}, {_sql_str(TAG)}, '', 'g')"
-    return f"regexp_replace({out}, {_sql_str(UNTERMINATED)}, '', 'g')"
+    return f"regexp_replace({col}, {_sql_str(MARKUP)}, '', 'g')"
 
 
 def join_parts_sql(*parts: str) -> str:
