@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.catalog import QUERIES, priced_calls
@@ -70,10 +71,63 @@ def test_stream_timeouts_equal_batch_rule(spark, small):
     assert got == exp
 
 
-def test_embed_queue_drops_repeated_deliveries(spark, small):
+SAVE = "entity_type string, entity_id long, store_id int, name string, short_description string, " \
+       "description string, active boolean, changed_at timestamp_ntz"
+
+
+def _save(hour, name, entity_id=1, store_id=0, entity_type="product", active=True):
+    return (entity_type, entity_id, store_id, name, None, f"<p>{name}</p>", active, dt.datetime(2024, 1, 1, hour))
+
+
+def test_embed_queue_only_for_changed_text(spark):
+    src, queue, ckpt = (scratch_path(spark, f"saves-{x}") for x in ("src", "queue", "ckpt"))
+    store = st.entity_store(spark, scratch_path(spark, "saves-seen"))
+    arrivals = [
+        ([_save(1, "a"), _save(1, "a"), _save(1, "a", store_id=1), _save(1, "a", entity_type="category")], 3),
+        ([_save(2, "a"), _save(1, "a", store_id=1)], 0),                    # unchanged; delivered again
+        ([_save(4, "c"), _save(3, "b")], 1),                                # the last save of a batch counts
+        ([_save(3, "b"), _save(2, "x", entity_id=2, active=False), _save(2, "", entity_id=3)], 0),
+        ([_save(5, "a"), _save(5, "x", entity_id=2)], 2),                   # back to an earlier text; switched on
+        ([_save(6, "a", active=False)], 0),
+        ([_save(7, "a")], 1),                                               # off and on again
+    ]
+    total = 0
+    for rows, new in arrivals:
+        spark.createDataFrame(rows, SAVE).coalesce(1).write.mode("append").parquet(src)
+        stream = st.file_stream(spark, src, spark.createDataFrame([], SAVE).schema)
+        got = st.stream_embed_queue(stream, store, queue, ckpt, dt.datetime(2024, 1, 2)).collect()
+        total += new
+        assert len(got) == len({r.task_id for r in got}) == total, rows
+    seen = {tuple(r)[:3]: r.changed_at.hour for r in store.read("seen").collect()}
+    assert seen == {("product", 1, 0): 7, ("product", 1, 1): 1, ("category", 1, 0): 1,
+                    ("product", 2, 0): 5, ("product", 3, 0): 2}
+
+
+def test_embed_queue_killed_between_tasks_and_state(spark, monkeypatch):
+    src, queue, ckpt = (scratch_path(spark, f"killed-{x}") for x in ("src", "queue", "ckpt"))
+    store = st.entity_store(spark, scratch_path(spark, "killed-seen"))
+    spark.createDataFrame([_save(1, "a"), _save(1, "b", 2)], SAVE).write.parquet(src)
+
+    def run():
+        stream = st.file_stream(spark, src, spark.createDataFrame([], SAVE).schema)
+        return st.stream_embed_queue(stream, store, queue, ckpt, dt.datetime(2024, 1, 2))
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_commit", lambda state: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(Exception):
+            run()
+    assert store.read("seen").count() == 0
+    assert run().count() == run().count() == 2
+    assert store.read("seen").count() == 2
+
+
+def test_embed_queue_equals_batch_twin(spark, small):
     got = QUERIES["stream_embed_queue"](spark, small)
-    assert got.count() == got.select("entity_type", "entity_id").distinct().count()
-    assert got.count() == QUERIES["embed_tasks"](spark, small).count()
+    assert got.count() == got.select("entity_type", "entity_id", "store_id").distinct().count()
+    twin = QUERIES["queue_all"](spark, small)
+    for store in (0, 1):
+        mine = sorted(map(str, got.where(F.col("store_id") == store).drop("store_id").collect()))
+        assert mine == sorted(map(str, twin.drop("store_id").collect()))
 
 
 def test_stream_vector_upsert_is_order_free(spark, small):

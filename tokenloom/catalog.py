@@ -718,7 +718,7 @@ def q_stream_screen(spark, sf_dir):
     src = scratch_path(spark, "docs-src")
     docs.repartition(4).write.parquet(src)
     v = st.stream_screen(st.file_stream(spark, src, docs.schema, 1), "text", _blocklist(spark))
-    v = v.select("doc_id", "safe", "reason")
+    v = v.select("doc_id", "safe", "reason", F.array_join("pii_types", ",").alias("pii_types"))
     out = st.run_available_now(v, scratch_path(spark, "screen-out"), scratch_path(spark, "screen-ckpt"))
     return spark.read.schema(v.schema).parquet(out)
 
@@ -732,12 +732,17 @@ def q_stream_rate_limit(spark, sf_dir):
 
 @register("stream_embed_queue")
 def q_stream_embed_queue(spark, sf_dir):
-    p = fx.products(spark, sf_dir).withColumn(
-        "changed_at", F.timestamp_add("MINUTE", F.col("entity_id") % 60, ntz(AS_OF)))
-    changes = p.unionByName(p.where(F.col("entity_id") % 4 == 0))   # repeated deliveries
-    tasks = st.stream_embed_queue(_day_stream(spark, changes, "changed_at", "changes", 2), "1 hour", AS_OF)
-    out = st.run_available_now(tasks, scratch_path(spark, "embedq-out"), scratch_path(spark, "embedq-ckpt"))
-    return _task_shape(spark.read.schema(tasks.schema).parquet(out))
+    """Saves of both entity types in two stores; every one is saved again unchanged the day after."""
+    def saved(df):
+        once = df.withColumn("store_id", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
+            "changed_at", F.timestamp_add("MINUTE", F.col("entity_id") % 60, ntz(AS_OF)))
+        return once.unionByName(once.withColumn("changed_at", F.timestamp_add("DAY", F.lit(1), F.col("changed_at"))))
+
+    changes = en.entity_changes(saved(fx.products(spark, sf_dir)), saved(fx.categories(spark, sf_dir)))
+    stream = _day_stream(spark, changes, "changed_at", "changes")
+    return _task_shape(st.stream_embed_queue(
+        stream, st.entity_store(spark, scratch_path(spark, "entities-seen")), scratch_path(spark, "embedq-out"),
+        scratch_path(spark, "embedq-ckpt"), AS_OF))
 
 
 @register("stream_vector_upsert")

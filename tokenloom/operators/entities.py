@@ -58,6 +58,24 @@ def category_text(categories: DataFrame) -> DataFrame:
     return categories.select(F.lit("category").alias("entity_type"), "entity_id", _non_empty(text).alias("text"))
 
 
+def entity_changes(products: DataFrame, categories: DataFrame) -> DataFrame:
+    """Saves of both entity types in one shape (``store_id`` and ``changed_at`` kept);
+    ``active`` tells whether the entity is to be embedded."""
+    common = ["entity_id", "store_id", "name"]
+    p = products.select(F.lit("product").alias("entity_type"), *common, "short_description", "description",
+                        (F.col("status") == 1).alias("active"), "changed_at")
+    c = categories.select(F.lit("category").alias("entity_type"), *common,
+                          F.lit(None).cast("string").alias("short_description"), "description",
+                          (F.col("is_active") & (F.col("level") > 1)).alias("active"), "changed_at")
+    return p.unionByName(c)
+
+
+def change_text(changes: DataFrame) -> DataFrame:
+    """``text`` of each save; empty where there is nothing to embed."""
+    text = _join_parts(F.col("name"), strip_tags(F.col("short_description")), strip_tags(F.col("description")))
+    return changes.withColumn("text", F.when(F.col("active"), text).otherwise(F.lit("")))
+
+
 def entity_text(products: DataFrame | None, categories: DataFrame | None) -> DataFrame:
     parts = []
     if products is not None:
@@ -73,7 +91,7 @@ def entity_text(products: DataFrame | None, categories: DataFrame | None) -> Dat
 CONSUMER_BY_TYPE = {"product": "catalog_product", "category": "catalog_category"}
 
 
-def embed_tasks(texts: DataFrame, store_id: int = 0, created_at: dt.datetime | None = None,
+def embed_tasks(texts: DataFrame, store_id: int | Column = 0, created_at: dt.datetime | None = None,
                 id_col: Column | None = None, run: str | None = None) -> DataFrame:
     """Embedding task rows for (entity_type, entity_id, text).
 

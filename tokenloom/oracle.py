@@ -818,8 +818,10 @@ oracle("ann_recall", [], """SELECT CAST(COUNT(*) * LEAST(3, COUNT(*) - 1) AS BIG
 # -- streaming keys reuse the batch semantics -----------------------------------------------------------
 
 ORACLE["stream_usage"] = ORACLE["call_usage"]
-ORACLE["stream_screen"] = ORACLE["validate"]
-ORACLE["stream_embed_queue"] = ORACLE["embed_tasks"]
+oracle("stream_screen", ["docs", "validated"], f"""SELECT v.doc_id, safe, reason, {pii_sql('text')} AS pii_types
+FROM validated v JOIN docs d ON v.doc_id = d.doc_id""")
+oracle("stream_embed_queue", ["entity_texts"], f"""SELECT * EXCLUDE (store) REPLACE (store AS store_id)
+FROM ({TASK_SHAPE.format(src="entity_texts")}) CROSS JOIN (VALUES (0), (1)) stores(store)""")
 ORACLE["stream_vector_upsert"] = ORACLE["vector_upsert"]
 oracle("stream_timeouts", ["tasks"], """SELECT task_id, started_at FROM tasks
 WHERE started_at IS NOT NULL

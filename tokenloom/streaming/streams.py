@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from tokenloom.functions.dates import ntz
 from tokenloom.operators import entities as en
 from tokenloom.operators import guard, usage
+from tokenloom.operators.util import written
 from tokenloom.plans.vectorstore import create_vectors, merge_vectors, read_vectors
 from tokenloom.plans.versioned import MAX_ROWS, VersionedStore
-from tokenloom.schemas import USAGE_KEY, USAGE_SCHEMA
+from tokenloom.schemas import USAGE_KEY, USAGE_SCHEMA, VECTOR_KEY
 from tokenloom.session import scratch_path
 
 EPOCH = dt.datetime(1970, 1, 1)
@@ -108,8 +109,11 @@ def stream_timeouts(starts: DataFrame, finishes: DataFrame, timeout_seconds: int
         F.col("s_task_id").alias("task_id"), instant_to_ntz(F.col("s_at")).alias("started_at"))
 
 
-def stream_screen(texts: DataFrame, text_col: str = "text", blocklist: list[str] | None = None) -> DataFrame:
-    return guard.validate(texts, text_col, blocklist)
+def stream_screen(texts: DataFrame, text_col: str = "text", blocklist: list[str] | None = None,
+                  detect_pii: bool = True) -> DataFrame:
+    """Every text with its verdict and, if wanted, the kinds of personal data in it."""
+    screened = guard.validate(texts, text_col, blocklist)
+    return guard.pii_flag(screened, text_col) if detect_pii else screened
 
 
 def rate_store(spark: SparkSession, root: str, max_rows: int = MAX_ROWS) -> VersionedStore:
@@ -137,13 +141,65 @@ def stream_rate_limit(requests: DataFrame, time_col: str, limit: int, store: Ver
     return store.read("minutes").select("minute_start", "requests", over.alias("over_limit"))
 
 
-def stream_embed_queue(changes: DataFrame, delay: str = "1 hour", created_at: dt.datetime | None = None) -> DataFrame:
-    """Entity change events -> embedding tasks; repeated deliveries of one
-    (entity, version) collapse within the watermark."""
-    ev = changes.withColumn("event_time", ntz_to_instant(F.col("changed_at"))).withWatermark("event_time", delay) \
-        .dropDuplicatesWithinWatermark(["entity_id", "changed_at"])
-    texts = en.product_text(en.enabled_products(ev))
-    return en.embed_tasks(texts, created_at=created_at)
+def entity_store(spark: SparkSession, root: str, max_rows: int = MAX_ROWS) -> VersionedStore:
+    """An empty table of what was last seen of every entity, for ``stream_embed_queue``."""
+    seen = spark.createDataFrame([], "entity_type string, entity_id long, store_id int, "
+                                     "changed_at timestamp_ntz, saved long, fingerprint string")
+    return VersionedStore.create(spark, root, {"seen": seen}, VECTOR_KEY, max_rows)
+
+
+def _last_saves(changes: DataFrame) -> DataFrame:
+    """The latest save per entity and store (partial aggregation first), its text and
+    the text's fingerprint; saves of one time are ordered by a hash of their content."""
+    content = ["name", "short_description", "description", "active"]
+    order = F.struct("changed_at", F.xxhash64(*content).alias("saved"))
+    last = changes.groupBy(*VECTOR_KEY).agg(F.max_by(F.struct(*content), order).alias("c"), F.max(order).alias("o"))
+    texts = en.change_text(last.select(*VECTOR_KEY, "c.*", "o.*"))
+    mark = F.when(F.col("text") == "", "").otherwise(F.sha2("text", 256))
+    return texts.select(*VECTOR_KEY, "changed_at", "saved", "text", mark.alias("fingerprint"))
+
+
+def stream_embed_queue(changes: DataFrame, store: VersionedStore, queue: str, checkpoint: str,
+                       created_at: dt.datetime | None = None, source: str = "changes") -> DataFrame:
+    """Entity saves (``entities.entity_changes``) -> embedding tasks.
+
+    A save queues a task if its text is not empty and differs from what was last
+    seen of the entity in its store.  So a repeated delivery, a save that changes
+    nothing and one older than the last seen queue nothing; an entity that was
+    switched off is queued again when it is back.  Within a micro-batch the last
+    save counts.  Tasks of batch n lie in ``queue/batch=n``; they count once the
+    batch is committed with the entities' new state, so a batch that is run again
+    after a failure neither loses nor doubles a task.  Returns the committed tasks."""
+    spark = changes.sparkSession
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        if store.state().applied.get(source, -1) >= batch_id:
+            return
+        last = written(_last_saves(batch), "last-saves")
+        before = store.lookup("seen", last).select(
+            *VECTOR_KEY, F.struct("changed_at", "saved").alias("old"), F.col("fingerprint").alias("old_mark"))
+        newer = F.col("old").isNull() | (F.struct("changed_at", "saved") > F.col("old"))
+        fresh = last.join(before, VECTOR_KEY, "left").where(
+            newer & (F.col("text") != "") & ~F.col("fingerprint").eqNullSafe(F.col("old_mark")))
+        number = F.xxhash64(*VECTOR_KEY, "changed_at", "saved")
+        en.embed_tasks(fresh, F.col("store_id"), created_at, number) \
+            .write.mode("overwrite").parquet(f"{queue}/batch={batch_id}")
+        state = last.drop("text")
+
+        def keep(now: dict[str, DataFrame]) -> dict[str, DataFrame]:
+            row, order = F.struct("changed_at", "saved", "fingerprint"), F.struct("changed_at", "saved")
+            return {"seen": now["seen"].unionByName(state).groupBy(*VECTOR_KEY)
+                    .agg(F.max_by(row, order).alias("s")).select(*VECTOR_KEY, "s.*")}
+
+        store.merge(state, keep, source, batch_id)
+
+    run_batches(changes, handle, checkpoint, "append")
+    none = spark.createDataFrame([], "entity_type string, entity_id long, store_id int, text string")
+    schema = en.embed_tasks(none, F.col("store_id"), created_at, F.lit(0)).schema
+    done = store.state().applied.get(source, -1)
+    if done < 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{queue}/batch={n}" for n in range(done + 1)])
 
 
 def stream_vector_upsert(spark: SparkSession, base: DataFrame, updates: DataFrame, label: str = "vectors",
