@@ -112,6 +112,55 @@ def test_planted_paraphrases_match_brute_force(spark):
     assert len(want) > len(rows) / 2 and len(got & want) == len(want) and got == want
 
 
+def test_paraphrases_come_through_the_latent_space(spark, docs, small):
+    """Recall of the cosine at every item length and share of kept words; with a space of
+    zeros only verbatim passages are found."""
+    items = next(decontam.item_blocks(spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")))
+    seqs = decontam.word_sequences(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id")
+    df, n = decontam.document_frequency(seqs, items)
+    idf = np.log((1 + n) / (1 + df)) + 1e-3
+    s = decontam.Searcher(items, idf, decontam.latent_space(seqs, items, idf))
+    blind = decontam.Searcher(items, idf, np.zeros((len(items.vocab), 1)))
+    rng = np.random.default_rng(3)
+    pool = np.concatenate([np.array(r.words, dtype=np.int32) for r in seqs.collect()])
+    found, total = {}, {}
+    for i, w in enumerate(items.words):
+        rare = np.argsort(-idf[items.terms(w)], kind="stable")
+        for share in (0.56, 0.65, 0.75, 1.0):
+            k = -(-len(w) // 5) + 1
+            more = int(np.ceil(share * len(w))) - k
+            keep = {*rare[:k].tolist(), *rng.permutation(rare[k:])[:more].tolist()}
+            body = [x if at in keep else pool[rng.integers(len(pool))] for at, x in enumerate(w)]
+            at = int(rng.integers(len(pool) - 300))
+            flat = np.concatenate([pool[at:at + 77], np.array(body, dtype=np.int32), pool[at + 77:at + 200]])
+            off = np.array([0, len(flat)])
+            size = decontam.window_words(len(w))
+            want = [s.leak(i, flat[b:b + size].tolist()) for b in range(0, len(flat), decontam.STEP)]
+            if max((x for hit, x in want if hit), default=0) < (0.55 if share < 1 else 0.8):
+                continue
+            verbatim = any(hit and x >= s.verbatim(i) for hit, x in want)
+            key = (share, len(w) // 15)
+            total[key] = total.get(key, 0) + 1
+            got = any(item == i for _, item, *_ in s.leaks(flat, off))
+            found[key] = found.get(key, 0) + got
+            assert got or not verbatim
+            assert verbatim == any(item == i for _, item, *_ in blind.leaks(flat, off))
+    assert len(total) >= 12 and all(found[k] >= 0.9 * total[k] for k in total), (found, total)
+
+
+def test_long_rows_in_parts(monkeypatch):
+    """Hits taken a few at a time give the same windows."""
+    rng = np.random.default_rng(4)
+    words = [rng.integers(0, 60, 20).astype(np.int32) for _ in range(8)] + [np.array([70, 71], dtype=np.int32)]
+    items = decontam.Items(list(range(9)), words)
+    flat, off = rng.integers(0, 90, 5000).astype(np.int32), np.array([0, 0, 7, 3000, 5000])
+    s = decontam.Searcher(items, np.arange(len(items.vocab)) + 1.0, np.zeros((len(items.vocab), 1)))
+    whole = [p.windows(items.terms(flat), off) for p in (s.answer_windows, s.rare_windows)]
+    monkeypatch.setattr(decontam, "CELLS", 50)
+    parts = [p.windows(items.terms(flat), off) for p in (s.answer_windows, s.rare_windows)]
+    assert all(len(a) and (a == b).all() for a, b in zip(whole, parts))
+
+
 def test_lcs():
     assert decontam.lcs([1, 2, 3, 4], [2, 9, 4, 4]) == 2 and decontam.lcs([1], []) == 0
 
