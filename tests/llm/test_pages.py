@@ -4,9 +4,11 @@ import hashlib
 import html as H
 import io
 import re
+import time
 import zlib
 
 import numpy as np
+import pytest
 import zstandard
 
 from tokenloom.llm import html, urls, warc
@@ -129,3 +131,42 @@ def test_language_models_count_exactly(spark):
                 p = (counts[label][k, before, c] + 3 * p) / (counts[label][k, before] + 3)
                 total += sign * np.log(p) if k == 5 else 0
         assert abs(got[i] - total / len(u[7:])) < 1e-9
+
+
+ARTICLE = "<h1>Title</h1>" + "".join(
+    f"<p>Paragraph number {i} of running text that goes on for a while, as articles do.</p>" for i in range(8))
+COMMENTS = "<div class='comments'>" + "<p>A reader's comment, long enough to count as running text by any rule.</p>" * 30 + "</div>"
+
+
+def main_text(page):
+    blocks, nodes = html.read_page(page)
+    best = html.best_container(blocks, nodes)
+    return html.container_text(blocks, {id(n) for n in nodes if n.key == best.key}) if best else ""
+
+
+@pytest.mark.parametrize("wrapper", [
+    "<div class='content has-sidebar'>%s</div>", "<div class='entry no-comments'>%s</div>",
+    "<article class='post comments-open'>%s</article>", "<div id='main' class='share-enabled'>%s</div>",
+    "<div class='sidebar-page'>%s</div>", "<div class='promo'><div class='widget'>%s</div></div>"])
+def test_class_words_don_t_drop_the_article(wrapper):
+    got = main_text(f"<body><nav>menu</nav>{wrapper % ARTICLE}{COMMENTS}<div class='ad'>Buy</div></body>")
+    assert got.split("\n")[0] == "Title" and got.count("Paragraph") == 8 and "comment" not in got and "Buy" not in got
+
+
+def test_furniture_without_content_elsewhere():
+    """A longer advert beside a short article, comments alone, furniture inside a line, hidden text, labels."""
+    advert = "<div class='ad'>" + "Long advert text that never seems to end. " * 9 + "</div>"
+    assert main_text(f"<body>{advert}<article><h1>Short.</h1></article></body>") == "Short."
+    assert main_text(f"<body>{COMMENTS}</body>") == ""
+    assert main_text("<body><p>We <span class='search-term'>found</span> it.<span class='ad'><span>x</span>BUY</span> ok</p>"
+                     "<label>Name</label><div style='display: none'>hid</div></body>") == "We found it. ok"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "x <b \"", "<b \">\" ", "<div>some text ", "<div></p>", "<li class=ad>x", "<!-- ",
+                                   "</script <script>", "<span class='ad'>x", "<div class='ad has'><p>x"])
+def test_broken_markup_is_linear(piece):
+    def seconds(n):
+        start = time.perf_counter()
+        main_text(piece * (n // len(piece)))
+        return time.perf_counter() - start
+    assert seconds(1 << 20) < 10 and seconds(1 << 20) < 12 * seconds(1 << 18) + 0.5
