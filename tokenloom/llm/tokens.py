@@ -60,7 +60,8 @@ class WordEncoder:
     The tokenizer drops white space and its split pattern never crosses it, so
     a text's ids are its chunks' ids in order.  New words are encoded together
     in one call; every plain word ends in exactly one id with a word end, which
-    gives the cuts back.  Two generations of ``CACHE_WORDS`` bound the memory.
+    gives the cuts back.  Two generations of ``CACHE_WORDS`` bound the memory,
+    beside the latest ``CACHE_WORDS`` whole chunks.
     """
 
     def __init__(self, path: str) -> None:
@@ -74,6 +75,7 @@ class WordEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
+        self.chunk_ids: dict[str, bytes] = {"": b""}     # of whole chunks, seen lately
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
@@ -111,6 +113,17 @@ class WordEncoder:
 
     def chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk, as u16 bytes."""
+        out = list(map(self.chunk_ids.get, chunks))
+        fresh = [at for at, ids in enumerate(out) if ids is None]
+        if len(self.chunk_ids) + len(fresh) > CACHE_WORDS:
+            self.chunk_ids = {"": b""}
+        for at, ids in zip(fresh, self.new_chunks([chunks[at] for at in fresh])):
+            out[at] = ids
+            if len(chunks[at]) < 100:
+                self.chunk_ids[chunks[at]] = ids
+        return out
+
+    def new_chunks(self, chunks: list[str]) -> list[bytes]:
         out: list[bytes | None] = []
         plain: list[tuple[int, str, bytes]] = []
         fresh: dict[str, None] = {}
@@ -149,23 +162,15 @@ class WordEncoder:
         lists = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
         ids = self.chunks(coded.dictionary.to_pylist())
-        size = np.array([len(x) // 2 for x in ids], dtype=np.int64)
-        start = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(ids), dtype="<u2")
-        which = coded.indices.to_numpy()
-        n_words = pc.list_value_length(lists).to_numpy()
-        bounds = np.r_[0, np.cumsum(n_words)]
-        per_word = size[which]
-        ends = np.r_[0, np.cumsum(per_word)]
-        per_text = ends[bounds[1:]] - ends[bounds[:-1]]
-        # Word ids go to their place, shifted by one end id per earlier text.
-        text_of = np.repeat(np.arange(len(n_words)), n_words)
-        result = np.full(int(ends[-1]) + len(n_words), END_ID, dtype="<u2")
-        shift = np.repeat(start[which] - ends[:-1], per_word)
-        source = np.arange(int(ends[-1])) + shift
-        target = np.arange(int(ends[-1])) + np.repeat(text_of, per_word)
-        result[target] = flat[source]
-        return result, per_text + 1
+        # One list of ids per distinct chunk and one for the end of a text, taken in text order.
+        ids.append(END_ID.to_bytes(2, "little"))
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 2
+        table = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)]),
+                                              pa.array(np.frombuffer(b"".join(ids), dtype="<u2")))
+        bounds = np.cumsum(pc.list_value_length(lists).to_numpy())
+        order = np.insert(coded.indices.to_numpy(), bounds, len(ids) - 1)
+        ends = np.cumsum(size[order])[bounds + np.arange(len(bounds))]
+        return table.take(pa.array(order)).flatten().to_numpy(), np.diff(ends, prepend=0)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -214,7 +219,7 @@ def tokenize_blocks(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             return row
 
         for batch in batches:
-            for piece in text_slices(batch, "text", 512 << 10):
+            for piece in text_slices(batch, "text", 2 << 20):
                 got, sizes = words.texts(piece.column("text"))
                 doc_ids += piece.column("doc_id").to_pylist()
                 lengths.append(sizes)
