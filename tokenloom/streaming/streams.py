@@ -42,9 +42,16 @@ def instant_to_ntz(c: Column) -> Column:
 
 # -- sources ---------------------------------------------------------------------
 
-def write_day_files(df: DataFrame, time_col: str, path: str) -> str:
-    """Split a table into one folder per day (the shape of an arriving log)."""
-    df.withColumn("day", F.to_date(time_col)).write.mode("overwrite").partitionBy("day").parquet(path)
+def write_day_files(df: DataFrame, time_col: str, path: str, gather: bool = True) -> str:
+    """Split a table into one folder per day (the shape of an arriving log).
+
+    A day's rows are gathered, so that files follow the rows of a day (one per
+    advisory partition size) and not the number of writing tasks; ``gather=False``
+    leaves wide rows where they are."""
+    days = df.withColumn("day", F.to_date(time_col))
+    if gather:
+        days = days.hint("rebalance", "day")
+    days.write.mode("overwrite").option("compression", "zstd").partitionBy("day").parquet(path)
     return path
 
 
@@ -86,7 +93,7 @@ def stream_usage(priced_calls: DataFrame, store: VersionedStore, checkpoint: str
     nothing.  There is no watermark and no stream state: a row that arrives
     however late is counted on its day.  ``source`` stands for one checkpoint."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        part = usage.call_usage(batch)
+        part = written(usage.call_usage(batch), "usage-batch")
         store.merge(part, lambda now: {"usage": usage.usage_merge(now["usage"], part)}, source, batch_id)
 
     run_batches(priced_calls, handle, checkpoint, "append")
@@ -127,8 +134,8 @@ def stream_rate_limit(requests: DataFrame, time_col: str, limit: int, store: Ver
     """Requests per minute with an over-limit flag, known as soon as the
     micro-batch that crosses the limit is in (added like ``stream_usage``)."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        part = batch.groupBy(F.date_trunc("minute", time_col).cast("timestamp_ntz").alias("minute_start")) \
-            .agg(F.count("*").alias("requests"))
+        part = written(batch.groupBy(F.date_trunc("minute", time_col).cast("timestamp_ntz").alias("minute_start"))
+                       .agg(F.count("*").alias("requests")), "requests-batch")
 
         def add(now: dict[str, DataFrame]) -> dict[str, DataFrame]:
             return {"minutes": now["minutes"].unionByName(part).groupBy("minute_start")
