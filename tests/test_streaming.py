@@ -1,6 +1,7 @@
 """Streaming = batch, late rows past the watermark, repeated deliveries."""
 
 import datetime as dt
+import glob
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +135,32 @@ def test_stream_vector_upsert_is_order_free(spark, small):
     a = sorted(map(tuple, QUERIES["stream_vector_upsert"](spark, small).collect()))
     b = sorted(map(tuple, QUERIES["vector_upsert"](spark, small).collect()))
     assert a == b
+
+
+def test_embed_queue_shuffles_no_texts_and_queues_a_double_save_once(spark):
+    src, queue, ckpt = (scratch_path(spark, f"double-{x}") for x in ("src", "queue", "ckpt"))
+    saves = spark.createDataFrame([
+        _save(1, "a"), _save(1, "a"), _save(2, "b", 2), _save(2, "c", None), _save(3, "", 4)], SAVE)
+    assert not {"text", "c"} & set(st._last_saves(saves).columns)
+    saves.coalesce(1).write.parquet(src)
+    store = st.entity_store(spark, scratch_path(spark, "double-seen"))
+    got = st.stream_embed_queue(st.file_stream(spark, src, saves.schema), store, queue, ckpt, dt.datetime(2024, 1, 2))
+    texts = [r.c for r in got.select(F.get_json_object("messages", "$[0].content").alias("c")).collect()]
+    assert len(texts) == 3 and {t[0] for t in texts} == {"a", "b", "c"}
+
+
+def test_screened_files_follow_the_cores(spark, small, monkeypatch):
+    read = []
+    monkeypatch.setattr(st, "file_stream", lambda s, path, schema, n=None: read.append((path, n)) or s.read.schema(
+        schema).parquet(path))
+    monkeypatch.setattr(st, "run_available_now", lambda v, out, ckpt: v.write.parquet(out) or out)
+    QUERIES["stream_screen"](spark, small)
+    (path, files), cores = read[0], spark.sparkContext.defaultParallelism
+    assert files == cores and len(glob.glob(f"{path.replace('file:', '')}/part-*")) == 4 * cores
+
+
+def test_files_of_a_day_do_not_grow_with_the_writing_tasks(spark):
+    rows = spark.createDataFrame([(dt.datetime(2024, 1, 1 + i % 3, i % 24),) for i in range(96)], "ts timestamp_ntz")
+    path = st.write_day_files(rows.repartition(16), "ts", scratch_path(spark, "days")).replace("file:", "")
+    assert [len(glob.glob(f"{path}/day=2024-01-0{d}/part-*")) for d in (1, 2, 3)] == [1, 1, 1]
+    assert spark.read.parquet(path).count() == 96

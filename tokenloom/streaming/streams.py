@@ -10,6 +10,8 @@ id, so a retried micro-batch overwrites its own output.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.dates import ntz
 from tokenloom.operators import entities as en
 from tokenloom.operators import guard, usage
-from tokenloom.operators.util import written
+from tokenloom.operators.util import bounded_broadcast, written
 from tokenloom.plans.vectorstore import create_vectors, merge_vectors, read_vectors
 from tokenloom.plans.versioned import MAX_ROWS, VersionedStore
 from tokenloom.schemas import USAGE_KEY, USAGE_SCHEMA, VECTOR_KEY
@@ -155,15 +157,31 @@ def entity_store(spark: SparkSession, root: str, max_rows: int = MAX_ROWS) -> Ve
     return VersionedStore.create(spark, root, {"seen": seen}, VECTOR_KEY, max_rows)
 
 
+_CONTENT = ["name", "short_description", "description", "active"]
+_ORDER = ["changed_at", "saved"]
+
+
 def _last_saves(changes: DataFrame) -> DataFrame:
-    """The latest save per entity and store (partial aggregation first), its text and
-    the text's fingerprint; saves of one time are ordered by a hash of their content."""
-    content = ["name", "short_description", "description", "active"]
-    order = F.struct("changed_at", F.xxhash64(*content).alias("saved"))
-    last = changes.groupBy(*VECTOR_KEY).agg(F.max_by(F.struct(*content), order).alias("c"), F.max(order).alias("o"))
-    texts = en.change_text(last.select(*VECTOR_KEY, "c.*", "o.*"))
+    """The latest save per entity and store: its place in the order (saves of one time are
+    ordered by a hash of their content), its text's fingerprint and how often it came.
+    Texts stay where they are; the shuffled rows are narrow."""
+    saves = en.change_text(changes.withColumn("saved", F.xxhash64(*_CONTENT)))
     mark = F.when(F.col("text") == "", "").otherwise(F.sha2("text", 256))
-    return texts.select(*VECTOR_KEY, "changed_at", "saved", "text", mark.alias("fingerprint"))
+    marked = saves.select(*VECTOR_KEY, *_ORDER, mark.alias("fingerprint"))
+    per_save = marked.groupBy(*VECTOR_KEY, *_ORDER).agg(F.max("fingerprint").alias("fingerprint"),
+                                                        F.count("*").alias("came"))
+    last = F.max_by(F.struct(*_ORDER, "fingerprint", "came"), F.struct(*_ORDER))
+    return per_save.groupBy(*VECTOR_KEY).agg(last.alias("s")).select(*VECTOR_KEY, "s.*")
+
+
+def _texts_of(changes: DataFrame, last: DataFrame) -> DataFrame:
+    """The texts of the saves listed in ``last`` (null-safe), once each."""
+    named = last.select(*[F.col(c).alias(f"_{c}") for c in [*VECTOR_KEY, *_ORDER]], "came")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*VECTOR_KEY, *_ORDER]])
+    rows = changes.withColumn("saved", F.xxhash64(*_CONTENT)).join(bounded_broadcast(named), same)
+    if not last.where("came > 1").isEmpty():    # delivered more than once within the batch
+        rows = rows.where("came = 1").unionByName(rows.where("came > 1").dropDuplicates([*VECTOR_KEY, *_ORDER]))
+    return en.change_text(rows).select(*VECTOR_KEY, *_ORDER, "text")
 
 
 def stream_embed_queue(changes: DataFrame, store: VersionedStore, queue: str, checkpoint: str,
@@ -186,12 +204,13 @@ def stream_embed_queue(changes: DataFrame, store: VersionedStore, queue: str, ch
         before = store.lookup("seen", last).select(
             *VECTOR_KEY, F.struct("changed_at", "saved").alias("old"), F.col("fingerprint").alias("old_mark"))
         newer = F.col("old").isNull() | (F.struct("changed_at", "saved") > F.col("old"))
-        fresh = last.join(before, VECTOR_KEY, "left").where(
-            newer & (F.col("text") != "") & ~F.col("fingerprint").eqNullSafe(F.col("old_mark")))
+        fresh = written(last.join(before, VECTOR_KEY, "left").where(
+            newer & (F.col("fingerprint") != "") & ~F.col("fingerprint").eqNullSafe(F.col("old_mark")))
+            .select(*last.columns), "fresh-saves")
         number = F.xxhash64(*VECTOR_KEY, "changed_at", "saved")
-        en.embed_tasks(fresh, F.col("store_id"), created_at, number) \
-            .write.mode("overwrite").parquet(f"{queue}/batch={batch_id}")
-        state = last.drop("text")
+        en.embed_tasks(_texts_of(batch, fresh), F.col("store_id"), created_at, number) \
+            .write.mode("overwrite").option("compression", "zstd").parquet(f"{queue}/batch={batch_id}")
+        state = last.drop("came")
 
         def keep(now: dict[str, DataFrame]) -> dict[str, DataFrame]:
             row, order = F.struct("changed_at", "saved", "fingerprint"), F.struct("changed_at", "saved")
