@@ -126,3 +126,18 @@ def test_batch_size_next_sweep_and_unknown_callbacks(spark, some_tasks):
                  batch_size=7)
         assert log.ledger().count() == 7 * number
     assert {r.detail for r in log.effects().where("kind = 'callback'").collect()} <= {"unknown class"}
+
+
+def test_few_outcomes_are_held_at_a_time():
+    made = []
+
+    def outcomes():
+        for i in range(3 * inf.OUTCOME_ROWS + 1):
+            made.append(i)
+            yield {"task_id": i}
+
+    sizes = []
+    for frame in inf._frames(outcomes(), ["task_id"]):
+        sizes.append(len(frame))
+        assert len(made) == sum(sizes)
+    assert sizes == [inf.OUTCOME_ROWS] * 3 + [1]
