@@ -193,3 +193,20 @@ def test_killed_fold_is_run_again(spark, small, monkeypatch):
     assert state(store.tasks()) == state(t) and store.ledger().count() == 0
     store.fold(a, prices, AS_OF, "p", 1)
     assert state(store.tasks()) == state(tk.replay_attempts(t, a, prices, AS_OF))
+
+
+def test_append_leaves_stored_rows_where_they_are(spark, small):
+    t = fx.task_log(spark, small)
+    old, new = t.where("task_id % 3 > 0"), t.where("task_id % 3 = 0")
+    log_ = TaskLog.create(spark, scratch_path(spark, "grow"), old, max_rows=400)
+    before = log_.store.state()
+    log_.append(new.unionByName(new).unionByName(old))                  # ids twice, and known ones
+    after = log_.store.state()
+    assert state(log_.tasks()) == state(t) and state(log_.tasks(1)) == state(old)
+    for bucket, tables in before.folders.items():
+        first, *further = after.folders[bucket]["tasks"].splitlines()
+        assert first == tables["tasks"] and len(further) == 1
+    assert log_.append(t) == after.version                              # nothing new: nothing is written
+    assert sum(after.rows.values()) == t.count()
+    log_.fold(fx.attempts(t), price_dim(spark), AS_OF)                  # reads and rewrites both folders
+    assert log_.tasks().count() == t.count()

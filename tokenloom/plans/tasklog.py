@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.operators.ledger import empty_ledger, fold_once
 from tokenloom.operators.tasks import recover_timeouts
+from tokenloom.operators.util import written
 from tokenloom.operators.vectors import save_condition
 from tokenloom.plans.versioned import MAX_ROWS, VersionedStore
 from tokenloom.schemas import DEFAULT_TIMEOUT_SECONDS, STATUS_COMPLETE, STATUS_PROCESSING
@@ -52,6 +53,7 @@ class TaskLog:
     @classmethod
     def create(cls, spark: SparkSession, root: str, tasks: DataFrame, max_rows: int = MAX_ROWS) -> TaskLog:
         """A new log.  Task ids must be unique: repeated ones are an error."""
+        tasks = written(tasks, "new-log", "zstd")
         repeated = tasks.groupBy("task_id").count().where("count > 1").limit(1).collect()
         if repeated:
             raise ValueError(f"task_id {repeated[0][0]} occurs more than once")
@@ -72,14 +74,18 @@ class TaskLog:
     def append(self, tasks: DataFrame) -> int:
         """Add task rows; an id that the log already has, or that occurs twice in
         the batch, is left as it is (queueing the same run again adds nothing)."""
-        fresh = tasks.dropDuplicates(["task_id"])
-
-        def combine(now: dict[str, DataFrame]) -> dict[str, DataFrame]:
-            old = now["tasks"]
-            new = fresh.join(old.select("task_id"), "task_id", "left_anti").select(*old.columns)
-            return {**now, "tasks": old.unionByName(new)}
-
-        return self.store.merge(fresh, combine)
+        tasks = written(tasks, "arriving-tasks", "zstd")
+        ids = tasks.groupBy("task_id").agg(F.count("*").alias("came"))
+        known = self.store.stored("tasks", ids).select("task_id")
+        fresh = written(ids.join(known, "task_id", "left_anti"), "fresh-tasks")
+        if fresh.isEmpty():
+            return self.store.state().version
+        rows = tasks
+        if fresh.count() < ids.count():
+            rows = rows.join(known, "task_id", "left_anti")
+        if not fresh.where("came > 1").isEmpty():
+            rows = rows.dropDuplicates(["task_id"])
+        return self.store.append("tasks", rows, fresh)
 
     def fold(self, outcomes: DataFrame, prices: DataFrame, as_of: dt.datetime, source: str | None = None,
              batch: int | None = None) -> int:

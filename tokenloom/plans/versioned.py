@@ -14,6 +14,10 @@ the manifest, so table size never shows in a parameter, and a merge rewrites no
 more than the touched buckets.  The driver holds the bucket list (rows /
 ``max_rows`` entries), never rows.
 
+New rows can be appended: they lie in a further folder of their bucket and what it
+holds stays where it is.  A bucket takes ``MAX_FOLDERS`` folders and ``MAX_GROWTH`` times
+``max_rows``; beyond that, or by the next merge, it is written anew and split.
+
 A merge may carry (source, batch): a batch number up to the last one applied from
 that source is skipped, which makes a replayed micro-batch a no-op.  One writer at
 a time; a second one's commit is detected and raised.
@@ -35,11 +39,15 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tokenloom.operators.util import bounded_broadcast
 
 MAX_ROWS = 200_000
+MAX_FOLDERS = 8
+MAX_GROWTH = 4
 ROOT_BUCKET = "b"
 BUCKET_COL = "_bucket"
 MANIFEST = ("commit string, bucket string, rows long, folders map<string,string>, keys array<string>, max_rows long, "
             "schemas map<string,string>, applied map<string,long>")
 
+Table = DataFrame | Callable[[dict[str, DataFrame]], DataFrame]
+
 
 @dataclass
 class State:
@@ -51,7 +59,7 @@ class State:
     schemas: dict[str, StructType]
     applied: dict[str, int]
     rows: dict[str, int] = field(default_factory=dict)                  # bucket -> rows of the first table
-    folders: dict[str, dict[str, str]] = field(default_factory=dict)    # bucket -> table -> folder
+    folders: dict[str, dict[str, str]] = field(default_factory=dict)    # bucket -> table -> folders, by line
 
 
 def _leaf(slot: int, buckets) -> str:
@@ -120,15 +128,16 @@ class VersionedStore:
         return df.withColumn("_slot", slot).join(bounded_broadcast(directory), "_slot").drop("_slot")
 
     def _scan(self, table: str, state: State, buckets=None) -> DataFrame:
-        paths = [f"{state.folders[b][table]}/{BUCKET_COL}={b}" for b in sorted(buckets or state.folders)
-                 if table in state.folders[b]]
+        paths = [f"{folder}/{BUCKET_COL}={b}" for b in sorted(buckets or state.folders)
+                 if table in state.folders[b] for folder in state.folders[b][table].splitlines()]
         schema = state.schemas[table]
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
-    def _write(self, state: State, tables: dict[str, DataFrame | None], buckets: list[str]) -> None:
-        """New contents of ``buckets``, entered into ``state`` (None: as before)."""
+    def _write(self, state: State, tables: dict[str, Table | None], buckets: list[str],
+               current: dict[str, DataFrame] | None = None) -> None:
+        """New contents of ``buckets``, entered into ``state`` (None: as before, ``current``)."""
         snapshot = f"{self.root}/data/{state.version}-{uuid.uuid4().hex}"
         main = next(iter(state.schemas))
         for b in buckets:
@@ -136,21 +145,31 @@ class VersionedStore:
             state.folders[b] = kept
             if tables[main] is not None:
                 state.rows[b] = 0
-        counts = []
-        for table, df in tables.items():
+        for table, bucket, folder, n in self._stored(state, snapshot, tables, current):
+            state.folders[bucket][table] = folder
+            if table == main:
+                state.rows[bucket] = n
+
+    def _stored(self, state: State, snapshot: str, tables: dict[str, Table | None],
+                current: dict[str, DataFrame] | None = None) -> list[tuple]:
+        """Write tables by bucket, those that follow from others last; (table, bucket,
+        folder, rows) of all that was written."""
+        counts, new = [], dict(current or {})
+        for table, df in sorted(tables.items(), key=lambda item: callable(item[1])):
             if df is None:
                 continue
+            if callable(df):
+                df = df(new)
             folder, schema = f"{snapshot}/{table}", state.schemas[table]
             typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-            self._labelled(typed, state).repartition(BUCKET_COL).write.partitionBy(BUCKET_COL).parquet(folder)
+            self._labelled(typed, state).repartition(BUCKET_COL).write.option("compression", "zstd") \
+                .partitionBy(BUCKET_COL).parquet(folder)
             stored = self.spark.read.schema(StructType([*schema.fields, StructField(BUCKET_COL, StringType())])) \
                 .parquet(folder)
+            new[table] = stored.drop(BUCKET_COL)
             counts.append(stored.groupBy(BUCKET_COL).count().select(
-                F.lit(table), F.lit(folder), BUCKET_COL, "count"))
-        for table, folder, bucket, n in (reduce(DataFrame.union, counts).collect() if counts else []):
-            state.folders[bucket][table] = folder
-            if table == main:
-                state.rows[bucket] = n
+                F.lit(table), BUCKET_COL, F.lit(folder), "count"))
+        return [tuple(r) for r in reduce(DataFrame.union, counts).collect()] if counts else []
 
     # -- interface -------------------------------------------------------------
 
@@ -169,20 +188,27 @@ class VersionedStore:
     def read(self, table: str, version: int | None = None) -> DataFrame:
         return self._scan(table, self.state(version))
 
+    def stored(self, table: str, keys: DataFrame, version: int | None = None) -> DataFrame:
+        """All rows of the buckets that can hold one of ``keys``."""
+        state = self.state(version)
+        wanted = keys.select(*state.keys).distinct()
+        hit = [r[0] for r in self._labelled(wanted, state).select(BUCKET_COL).distinct().collect()]
+        return self._scan(table, state, hit) if hit else self.spark.createDataFrame([], state.schemas[table])
+
     def lookup(self, table: str, keys: DataFrame, version: int | None = None) -> DataFrame:
         """Rows with one of ``keys``; only the buckets that can hold them are read."""
         state = self.state(version)
         wanted = keys.select(*state.keys).distinct()
-        hit = [r[0] for r in self._labelled(wanted, state).select(BUCKET_COL).distinct().collect()]
-        rows = self._scan(table, state, hit) if hit else self.spark.createDataFrame([], state.schemas[table])
+        rows = self.stored(table, wanted, state.version)
         return rows.join(bounded_broadcast(wanted), state.keys, "left_semi")
 
-    def merge(self, changed: DataFrame, combine: Callable[[dict[str, DataFrame]], dict[str, DataFrame]],
+    def merge(self, changed: DataFrame, combine: Callable[[dict[str, DataFrame]], dict[str, Table]],
               source: str | None = None, batch: int | None = None) -> int:
         """Replace the buckets that ``changed``'s keys fall into.
 
         ``combine`` gets every table's present rows of those buckets and returns
-        their new rows (keys must stay within them).  Returns the version."""
+        their new rows (keys must stay within them); for a table that follows from
+        others' new rows, a function of these as they are stored.  Returns the version."""
         state = self.state()
         if source is not None and state.applied.get(source, -1) >= batch:
             return state.version
@@ -204,7 +230,26 @@ class VersionedStore:
             tables = combine(current)
             if len(buckets) == len(arriving):   # none splits: tables given back as they are stay where they are
                 tables = {t: None if df is current[t] else df for t, df in tables.items()}
-            self._write(state, tables, buckets)
+            self._write(state, tables, buckets, current)
+        return self._commit(state)
+
+    def append(self, table: str, rows: DataFrame, keys: DataFrame) -> int:
+        """Add ``rows`` to ``table``; none of their ``keys`` may be in it.
+
+        What the buckets hold is neither read nor written, unless one would outgrow its
+        bounds.  Returns the version."""
+        state = self.state()
+        arriving = self._labelled(keys.select(*state.keys), state).groupBy(BUCKET_COL).count().collect()
+        full = [b for b, n in arriving if state.rows[b] + n > MAX_GROWTH * state.max_rows
+                or len(state.folders[b].get(table, "").splitlines()) >= MAX_FOLDERS]
+        if full:
+            return self.merge(keys, lambda now: {**now, table: now[table].unionByName(rows.select(*now[table].columns))})
+        state.version += 1
+        snapshot = f"{self.root}/data/{state.version}-{uuid.uuid4().hex}"
+        for _, bucket, folder, n in self._stored(state, snapshot, {table: rows}) if arriving else []:
+            known = state.folders[bucket].get(table)
+            state.folders[bucket][table] = f"{known}\n{folder}" if known else folder
+            state.rows[bucket] += n
         return self._commit(state)
 
     def vacuum(self, keep: int = 2) -> None:
