@@ -158,3 +158,29 @@ def test_second_writer_is_detected(spark, monkeypatch):
     with pytest.raises(RuntimeError, match="another writer"):
         store._commit(state)
     assert vd.uuid.uuid4 is real
+
+
+def test_a_table_may_follow_from_the_others_as_stored(spark):
+    tables = {"a": simple(spark, [(1, "x"), (2, "y")]), "b": simple(spark, [])}
+    store = vd.VersionedStore.create(spark, scratch_path(spark, "store"), tables, ["k"], 8)
+    seen = []
+
+    def follows(new):
+        seen.extend(new["a"].inputFiles())
+        return new["a"].where("v = 'z'")
+
+    store.merge(simple(spark, [(1, "z")]), lambda now: {
+        "a": now["a"].select("k", F.when(F.col("k") == 1, "z").otherwise(F.col("v")).alias("v")), "b": follows})
+    assert [tuple(r) for r in store.read("b").collect()] == [(1, "z")]
+    assert seen and all("/data/2-" in f for f in seen)                  # not computed again
+
+
+def test_appended_bucket_is_written_anew_when_it_has_outgrown_its_bounds(spark, monkeypatch):
+    monkeypatch.setattr(vd, "MAX_FOLDERS", 2)
+    store = store_of(spark, [(0, "0"), (1, "1")], max_rows=2)
+    for i in (2, 3, 4):
+        one = simple(spark, [(i, str(i))]).coalesce(1)
+        store.append("t", one, one)
+    state = store.state()
+    assert sorted(r.k for r in store.read("t").collect()) == list(range(5)) and len(state.rows) > 1
+    assert max(len(f["t"].splitlines()) for f in state.folders.values() if "t" in f) <= 2

@@ -93,7 +93,8 @@ class TaskLog:
         the effects of the tasks it completes."""
         def combine(now: dict[str, DataFrame]) -> dict[str, DataFrame]:
             tasks, ledger = fold_once(now["tasks"], now["ledger"], outcomes, prices, as_of)
-            return {"tasks": tasks, "ledger": ledger, "effects": with_due_effects(tasks, ledger, now["effects"])}
+            return {"tasks": tasks, "ledger": ledger,   # the effects follow from the rows as they are stored
+                    "effects": lambda new: with_due_effects(new["tasks"], new["ledger"], now["effects"])}
 
         return self.store.merge(outcomes.where(F.col("task_id").isNotNull()), combine, source, batch)
 
