@@ -1,11 +1,13 @@
 import collections
 import hashlib
 import re
+import sys
 import zlib
 from math import floor
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tokenloom.llm import decontam, mixing, secrets, tokens, toxicity
 
@@ -281,3 +283,51 @@ def test_word_encoder_equals_the_library():
     for t, n in zip(texts, sizes):
         assert flat[at:at + n].tolist() == [*enc.tokenizer.encode(t, add_special_tokens=False).ids, 2], t
         at += n
+
+
+def test_known_chunks_take_no_python_step():
+    """Chunks are split, looked up and joined in columns, not one by one."""
+    import pyarrow as pa
+    enc = tokens.WordEncoder(tokens.default_tokenizer())
+    rng = np.random.default_rng(5)
+    words = ["".join(w) for w in rng.choice(list("abcdeéTß"), (8000, 6))]
+    texts = [" ".join(w + rng.choice(["", ",", "!!", "***"]) for w in rng.permutation(words)) for _ in range(2)]
+    for text in texts:
+        calls = [0]
+
+        def count(frame, event, arg):
+            calls[0] += event in ("call", "c_call")
+
+        sys.setprofile(count)
+        try:
+            flat, sizes = enc.texts(pa.array([text]))
+        finally:
+            sys.setprofile(None)
+        assert flat.tolist() == [*enc.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        assert calls[0] < 2000
+
+
+def test_encoder_memory_is_bounded(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 20)
+    enc = tokens.WordEncoder(tokens.default_tokenizer())
+    for turn in range(6):
+        texts = [f"the {'abcdefg'[turn]}{'hijk'[i % 4]}{'lmnop'[i % 5]}. don't{i}\n " + "y" * 200 for i in range(20)]
+        flat, sizes = enc.texts(pa.array(texts))
+        want = [[*enc.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert flat.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+        assert len(enc.known) == len(enc.known_ids) == len(enc.used) <= 40
+        assert "y" * 200 not in enc.known.to_pylist()
+
+
+def test_blocks_end_after_block_tokens(spark):
+    """A block ends with the document that reaches BLOCK_TOKENS, however much text is tokenized at a time."""
+    docs = spark.range(2400).select(F.col("id").alias("doc_id"), F.lit("a b " * 1000).alias("text"))
+    got = tokens.tokenize_blocks(docs).collect()
+    assert sum(r.n_tokens for r in got) == 2400 * 2001
+    assert sorted(i for r in got for i in r.doc_ids) == list(range(2400))
+    assert all(r.n_tokens == sum(r.lengths) == len(r.ids) // 2 < tokens.BLOCK_TOKENS + 2001 for r in got)
+    by_part = {}
+    for r in sorted(got, key=lambda r: (r.part, r.block)):
+        assert r.start_in_part == by_part.get(r.part, 0)
+        by_part[r.part] = r.start_in_part + r.n_tokens

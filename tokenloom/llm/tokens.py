@@ -23,7 +23,6 @@ each row has its own span.  Ids must be below 65,536.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -44,6 +43,7 @@ LANES = 1024
 CHECK_STEPS = 128
 SCALE = 20           # frequencies sum to 2^SCALE
 CACHE_WORDS = 350_000
+SLICE_BYTES = 8 << 20  # text tokenized at a time: the more, the fewer distinct chunks per byte
 IDS = 1 << 16
 
 
@@ -51,17 +51,20 @@ IDS = 1 << 16
 
 # A chunk of plain letters and a run of other ASCII marks: the tokenizer's
 # split pattern always cuts between the two.  Other chunks are encoded whole.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#*$%&|<>()\[\]{}=+/_~^@\"-]*)")
+LETTERS = r"[A-Za-zÀ-ÖØ-öø-ÿ]+"
+PLAIN = rf"\A(?P<word>{LETTERS})(?P<tail>[.,!?;:#*$%&|<>()\[\]{{}}=+/_~^@\"-]*)\z"
 
 
 class WordEncoder:
     """Ids of space-separated chunks, remembered across batches.
 
     The tokenizer drops white space and its split pattern never crosses it, so
-    a text's ids are its chunks' ids in order.  New words are encoded together
-    in one call; every plain word ends in exactly one id with a word end, which
-    gives the cuts back.  Two generations of ``CACHE_WORDS`` bound the memory,
-    beside the latest ``CACHE_WORDS`` whole chunks.
+    a text's ids are its chunks' ids in order, and a plain chunk's ids those of
+    its lower-case word and of its tail.  New words are encoded together in one
+    call; every plain word ends in exactly one id with a word end, which gives
+    the cuts back.  Words, tails and other chunks of fewer than 100 bytes are
+    remembered in one Arrow table: at 2 x ``CACHE_WORDS`` rows it shrinks to the
+    ``CACHE_WORDS`` used latest.
     """
 
     def __init__(self, path: str) -> None:
@@ -72,107 +75,84 @@ class WordEncoder:
         self.ends = np.zeros(IDS, dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
-        self.chunk_ids: dict[str, bytes] = {"": b""}     # of whole chunks, seen lately
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-
-    def known(self, word: str) -> bytes | None:
-        ids = self.young.get(word)
-        if ids is None:
-            ids = self.old.get(word)
-            if ids is not None:
-                self.keep(word, ids)
-        return ids
-
-    def keep(self, word: str, ids: bytes) -> None:
-        if len(self.young) >= CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        self.young[word] = ids
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Encode plain lower-case words in joined runs."""
-        got: dict[str, bytes] = {}
-        for i in range(0, len(words), 4096):
-            run = words[i:i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids,
-                           dtype="<u2")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(run) and cuts[-1] == len(ids):
-                raw = ids.tobytes()
-                at = [0, *(2 * cuts).tolist()]
-                got.update((w, raw[a:b]) for w, a, b in zip(run, at, at[1:]))
+        self.known = pa.array([""])
+        self.known_ids = id_lists([], [0])
+        self.used = np.zeros(1, dtype=np.int64)     # the call that used a known part last
+        self.call = 0
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2")
+
+    def learn(self, parts: pa.Array) -> pa.LargeListArray:
+        """Ids of new parts, plain lower-case words in joined runs."""
+        plain = pc.match_substring_regex(parts, rf"\A{LETTERS}\z").to_numpy(zero_copy_only=False)
+        words = parts.filter(pa.array(plain))
+        runs = pa.array([*range(0, len(words), 4096), len(words)], pa.int32())
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        for at, run in enumerate(pc.binary_join(pa.ListArray.from_arrays(runs, words), " ").to_pylist()):
+            got = self.encode(run)
+            cuts = np.flatnonzero(self.ends[got]) + 1
+            run_words = words.slice(4096 * at, 4096)
+            if len(cuts) == len(run_words) and cuts[-1] == len(got):
+                ids.append(got)
+                sizes.append(np.diff(cuts, prepend=0))
             else:
-                got.update((w, self.encode(w)) for w in run)
-        for word, ids in got.items():
-            self.keep(word, ids)
+                ids += map(self.encode, run_words.to_pylist())
+                sizes.append(np.array([len(i) for i in ids[-len(run_words):]]))
+        others = [self.encode(part) for part in parts.filter(pa.array(~plain)).to_pylist()]
+        lists = id_lists([*ids, *others], np.concatenate([*sizes, [len(i) for i in others]]))
+        return lists.take(pa.array(np.argsort(np.argsort(~plain, kind="stable"))))
+
+    def parts(self, parts: pa.Array) -> pa.LargeListArray:
+        """Ids of each of some distinct parts."""
+        at = pc.index_in(parts, value_set=self.known)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        known, ids, used = self.known, self.known_ids, self.used
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        if new.any():
+            fresh = parts.filter(pa.array(new))
+            at[new] = len(known) + np.arange(len(fresh))
+            known = pa.concat_arrays([known, fresh])
+            ids = pa.concat_arrays([ids, self.learn(fresh)])
+            used = np.concatenate([used, np.zeros(len(fresh), dtype=np.int64)])
+        got = ids.take(pa.array(at))
+        self.call += 1
+        used[at] = self.call
+        keep = np.flatnonzero(pc.binary_length(known).to_numpy() < 100)
+        if len(keep) > 2 * CACHE_WORDS:
+            keep = keep[np.argpartition(-used[keep], CACHE_WORDS)[:CACHE_WORDS]]
+        if len(keep) < len(known):
+            known, ids, used = known.take(pa.array(keep)), ids.take(pa.array(keep)), used[keep]
+        self.known, self.known_ids, self.used = known, ids, used
         return got
 
-    def chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk, as u16 bytes."""
-        out = list(map(self.chunk_ids.get, chunks))
-        fresh = [at for at, ids in enumerate(out) if ids is None]
-        if len(self.chunk_ids) + len(fresh) > CACHE_WORDS:
-            self.chunk_ids = {"": b""}
-        for at, ids in zip(fresh, self.new_chunks([chunks[at] for at in fresh])):
-            out[at] = ids
-            if len(chunks[at]) < 100:
-                self.chunk_ids[chunks[at]] = ids
-        return out
-
-    def new_chunks(self, chunks: list[str]) -> list[bytes]:
-        out: list[bytes | None] = []
-        plain: list[tuple[int, str, bytes]] = []
-        fresh: dict[str, None] = {}
-        for chunk in chunks:
-            m = PLAIN.fullmatch(chunk)
-            if m is None:
-                ids = self.known(chunk) if chunk else b""
-                if ids is None:
-                    ids = self.encode(chunk)
-                    if len(chunk) < 100:
-                        self.keep(chunk, ids)
-                out.append(ids)
-                continue
-            word, tail = m[1].lower(), m[2]
-            if len(tail) > 40:
-                last = self.encode(tail)
-            elif (last := self.tails.get(tail)) is None:
-                last = self.encode(tail)
-                if len(self.tails) < 10_000:
-                    self.tails[tail] = last
-            ids = self.known(word)
-            if ids is None:
-                fresh[word] = None
-                plain.append((len(out), word, last))
-                out.append(None)
-            else:
-                out.append(ids + last)
-        if fresh:
-            got = self.learn(list(fresh))
-            for i, word, last in plain:
-                out[i] = got[word] + last
-        return out
-
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids with END_ID after each text, ids per text)."""
-        lists = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        lists = pc.split_pattern(pc.replace_substring(column.cast(pa.string()), "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
-        ids = self.chunks(coded.dictionary.to_pylist())
+        chunks = coded.dictionary
+        plain = pc.extract_regex(chunks, PLAIN)
+        word = pc.coalesce(pc.utf8_lower(pc.struct_field(plain, "word")), chunks)
+        tail = pc.coalesce(pc.struct_field(plain, "tail"), "")
+        parts = pa.concat_arrays([word, tail]).dictionary_encode()
+        ids = self.parts(parts.dictionary)
         # One list of ids per distinct chunk and one for the end of a text, taken in text order.
-        ids.append(END_ID.to_bytes(2, "little"))
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 2
-        table = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)]),
-                                              pa.array(np.frombuffer(b"".join(ids), dtype="<u2")))
+        pairs = parts.indices.to_numpy().reshape(2, -1).T.ravel()
+        size = np.append(ids.value_lengths().to_numpy()[pairs].reshape(-1, 2).sum(axis=1), 1)
+        table = id_lists([ids.take(pa.array(pairs)).flatten().to_numpy(), [END_ID]], size)
         bounds = np.cumsum(pc.list_value_length(lists).to_numpy())
-        order = np.insert(coded.indices.to_numpy(), bounds, len(ids) - 1)
+        order = np.insert(coded.indices.to_numpy(), bounds, len(chunks))
         ends = np.cumsum(size[order])[bounds + np.arange(len(bounds))]
         return table.take(pa.array(order)).flatten().to_numpy(), np.diff(ends, prepend=0)
 
 
+def id_lists(ids: list, sizes) -> pa.LargeListArray:
+    """Lists of the given sizes over the joined ids."""
+    return pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int64)),
+                                         pa.array(np.concatenate([np.empty(0, "<u2"), *ids]).astype("<u2")))
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -219,14 +199,19 @@ def tokenize_blocks(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             return row
 
         for batch in batches:
-            for piece in text_slices(batch, "text", 2 << 20):
+            for piece in text_slices(batch, "text", SLICE_BYTES):
                 got, sizes = words.texts(piece.column("text"))
-                doc_ids += piece.column("doc_id").to_pylist()
-                lengths.append(sizes)
-                ids.append(got)
-                held += len(got)
-                if held >= BLOCK_TOKENS:
-                    yield flush()
+                ends = np.cumsum(sizes)
+                a = at = 0
+                while a < len(sizes):
+                    b = min(len(sizes), int(np.searchsorted(ends, at + BLOCK_TOKENS - held)) + 1)
+                    doc_ids += piece.column("doc_id").slice(a, b - a).to_pylist()
+                    lengths.append(sizes[a:b])
+                    ids.append(got[at:ends[b - 1]])
+                    held += int(ends[b - 1]) - at
+                    a, at = b, int(ends[b - 1])
+                    if held >= BLOCK_TOKENS:
+                        yield flush()
         if doc_ids:
             yield flush()
 
@@ -265,23 +250,29 @@ def encode_frame(ids: np.ndarray, table: Table, lanes: int = LANES, check: int =
     freq, base = table.freq[ids], table.base[ids]
     if n and not freq.all():
         raise ValueError("an id is missing from the frequency table")
-    shift, scale = np.uint64(63 - SCALE), np.uint64(SCALE)
+    scale = np.uint64(SCALE)
+    limit = freq << np.uint64(63 - SCALE)
     x = np.full(lanes, LOW, dtype=np.uint64)
     steps = -(-n // lanes)
     words: list[np.ndarray] = []
     marks: list[tuple[int, np.ndarray]] = []
     emitted = 0
     for step in range(steps - 1, -1, -1):
-        f, b = freq[step * lanes:(step + 1) * lanes], base[step * lanes:(step + 1) * lanes]
+        here = slice(step * lanes, (step + 1) * lanes)
+        f = freq[here]
         y = x[:len(f)]
-        full = y >= (f << shift)
-        if full.any():
+        full = np.flatnonzero(y >= limit[here])
+        if len(full):
             w = y[full]
             words.append(w.astype(np.uint32))
             emitted += len(w)
             y[full] = w >> WORD
         q = y // f
-        y[:] = (q << scale) + (y - q * f) + b
+        # y = (q << scale) + y % f + base
+        y -= q * f
+        q <<= scale
+        y += q
+        y += base[here]
         if step % check == 0:
             marks.append((emitted, x.copy()))
     if not marks:
@@ -310,9 +301,13 @@ def decode_segment(frame: bytes, table: Table, segment: int) -> np.ndarray:
     for start in range(0, len(out), lanes):
         y = x[:min(lanes, len(out) - start)]
         slot = y & mask
-        s = table.symbol[slot]
+        s = table.symbol.take(slot.view(np.int64))
         out[start:start + len(y)] = s
-        y[:] = table.freq[s] * (y >> scale) + slot - table.base[s]
+        # y = freq * (y >> scale) + slot - base
+        y >>= scale
+        y *= table.freq.take(s)
+        slot -= table.base.take(s)
+        y += slot
         low = np.flatnonzero(y < LOW)
         if len(low):
             y[low] = (y[low] << WORD) | stream[word:word + len(low)]
